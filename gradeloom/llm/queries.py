@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, warczip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_bpe": op10_bpe}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages, where = warczip.archive(table(spark, sf_dir, "pages"))
+    spread = packages.repartition(max(1, packages.count()), "path")
+    return warczip.read(spread, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_warc": op8_warc,
+    "op10_bpe": op10_bpe,
+}
 
 ORACLE: dict[str, str] = {}
