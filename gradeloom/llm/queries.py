@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, warczip
+from . import bpe, quality, warczip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,33 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
+#: Words of a text, and a line's normalised form.
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS lines FROM d),
+pos AS (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3),
+tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS c FROM pos),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM tri, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY r),
+raw AS (SELECT r, source, md5(text) AS t, unnest(lines) AS line FROM w),
+norm AS (SELECT r, source, t, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM raw),
+full_lines AS (SELECT r, source, t, line, array_to_string(ws, ' ') AS n, len(ws) AS k FROM norm WHERE len(ws) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY r),
+common AS (SELECT coalesce(source, chr(0)) AS source, n FROM full_lines GROUP BY 1, 2 HAVING count(DISTINCT t) > 100),
+cut AS (SELECT r, sum(k) AS words, count(DISTINCT n) AS lines FROM full_lines JOIN common USING (n) WHERE coalesce(full_lines.source, chr(0)) = common.source GROUP BY r),
+m AS (
+  SELECT doc_id, len(w.words)::BIGINT AS n_words, length(array_to_string(w.words, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+    (len(w.words) - coalesce(cut.words, 0))::BIGINT AS n_words_left, coalesce(cut.lines, 0)::BIGINT AS n_lines_cut
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN cut USING (r)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND n_words_left >= 50 AND n_words_left >= 0.5 * n_words AS kept FROM f
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages, where = warczip.archive(table(spark, sf_dir, "pages"))
     spread = packages.repartition(max(1, packages.count()), "path")
@@ -33,8 +60,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_quality": op6_quality,
     "op8_warc": op8_warc,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_quality": OP6_SQL}

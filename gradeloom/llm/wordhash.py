@@ -42,6 +42,11 @@ def _power_table(base: int, slot: int, n: int) -> np.ndarray:
     return have
 
 
+def powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of the polynomials' base."""
+    return _power_table(_BASE, 0, n)[:n]
+
+
 def ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
     """Hashes of ``data[starts[i]:ends[i]]``; ranges ascend and do not overlap.  ``fold``: A-Z count as a-z."""
     table, n = _LOWER if fold else _BYTES, len(starts)
