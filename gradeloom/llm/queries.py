@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, warczip
+from . import bpe, linechunks, quality, sharding, shared, warczip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,36 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, shared.fresh(spark, "shards"))
+    for arrival in range(4):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == arrival))
+    store.compact()
+    store.vacuum()
+    return store.snapshot().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+OP1_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linechunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Rows of the documents with their repeated chunks gone.
+OP5_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS x FROM l),
+r AS (SELECT *, (x + 31 * lag(x, 1, 0) OVER w + 961 * lag(x, 2, 0) OVER w) % 4 = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM r),
+c AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM k GROUP BY doc_id, chunk),
+g AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AND n > 1 AS cut FROM c),
+t AS (SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT cut), '') AS text, coalesce(sum(n) FILTER (cut), 0)::BIGINT AS n_lines_cut FROM g GROUP BY doc_id)
+SELECT d.doc_id, t.text, coalesce(t.n_lines_cut, 0) AS n_lines_cut FROM documents d LEFT JOIN t USING (doc_id)
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -60,9 +90,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op8_warc": op8_warc,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {"op6_quality": OP6_SQL}
+ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_quality": OP6_SQL}
