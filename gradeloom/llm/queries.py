@@ -8,13 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linechunks, quality, sharding, shared, warczip
+from . import bpe, linechunks, quality, sharding, shared, shinglejoin, warczip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shinglejoin.link_documents(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle are counted; components by following the least label along links.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) WHEN len(words) > 0 THEN ['!' || array_to_string(words, ' ')] ELSE [] END) AS g
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sets AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+rep AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS r FROM sets),
+rs AS (SELECT s.doc_id, g FROM s JOIN rep ON s.doc_id = rep.doc_id AND rep.doc_id = rep.r),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM rs a JOIN rs b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+reach AS (SELECT r AS node, r AS seen FROM (SELECT DISTINCT r FROM rep) UNION SELECT node, e.v FROM reach JOIN e ON e.u = seen),
+c AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN c ON c.node = rep.r
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -94,7 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op8_warc": op8_warc,
+    "op9_shingle_join": op9_shingle_join,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_quality": OP6_SQL}
+ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op9_shingle_join": OP9_SQL}
