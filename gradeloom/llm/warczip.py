@@ -2,7 +2,8 @@
 
 The writer packs the records of a task into ZIP files with two stored members, the WARC file and a line index with
 each record's offset and length.  The reader parses the end record, its ZIP64 forms and the central directory, finds
-the stored members through their local headers, and reads index and records as byte ranges of the package.
+the stored members through their local headers, and reads index and records as byte ranges of the package.  As usual
+for WARC, each record is a gzip member of its own, so a range is read and unpacked without its neighbours.
 
 Cases: a null html is an empty payload; an empty payload is a payload like others; a null page_id is kept as null and
 is never the larger one; rows that repeat the largest page_id of a payload are all responses; a null url is written as
@@ -12,6 +13,7 @@ an empty one and read as null; an empty table writes no package and reads as no
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from . import rowbatch, shared
 
 #: Member names, and the bytes of records after which a package ends.
-RECORDS, INDEX, PACKAGE_BYTES = "archive/data.warc", "indexes/index.cdxj", 64 << 20
+RECORDS, INDEX, PACKAGE_BYTES = "archive/data.warc.gz", "indexes/index.cdxj", 64 << 20
 #: Fixed values of the ZIP format: signatures of the local header, central entry, end record and its ZIP64 forms.
 LOCAL, ENTRY, END, END64, LOCATOR64 = b"PK\3\4", b"PK\1\2", b"PK\5\6", b"PK\6\6", b"PK\6\7"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -55,7 +57,7 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> tuple[bytes, dict]:
-    """A WARC record and its index entry."""
+    """A WARC record, packed, and its index entry."""
     sha = digest(payload)
     kind = "response" if refers_to is None else "revisit"
     block = HTTP + payload if refers_to is None else HTTP
@@ -71,7 +73,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    raw = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    raw = gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 4, mtime=0)
     return raw, {"record": kind, "digest": sha, "length": len(raw)}
 
 
@@ -248,8 +250,8 @@ def read(packages: DataFrame, where: str, batch_bytes: int = 1 << 20) -> DataFra
                         entry = json.loads(line)
                         if entry["offset"] + entry["length"] > size:
                             raise ValueError("the index points outside the archive member")
-                        rows.append(parse(package.bytes_at(base + entry["offset"], entry["length"])))
-                        held += entry["length"]
+                        rows.append(parse(gzip.decompress(package.bytes_at(base + entry["offset"], entry["length"]))))
+                        held += len(rows[-1]["payload"] or b"")
                         if held >= batch_bytes:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
