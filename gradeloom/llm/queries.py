@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linechunks, quality, sharding, shared, shinglejoin, warczip
+from . import bpe, langid, linechunks, quality, sharding, shared, shinglejoin, warczip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,11 @@ SELECT *, NOT base_failed AND n_words_left >= 50 AND n_words_left >= 0.5 * n_wor
 """
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, langid.learn(docs))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages, where = warczip.archive(table(spark, sf_dir, "pages"))
     spread = packages.repartition(max(1, packages.count()), "path")
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
+    "op7_langid": op7_langid,
     "op8_warc": op8_warc,
     "op9_shingle_join": op9_shingle_join,
     "op10_bpe": op10_bpe,
