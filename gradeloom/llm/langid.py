@@ -100,8 +100,7 @@ def gradients(x: np.ndarray, y: np.ndarray, net: Net) -> tuple[list[np.ndarray],
     loss = -float(np.log(np.maximum(p[:, y, lanes], 1e-9)).mean())
     d = p / x.size
     d[:, y, lanes] -= np.float32(1 / x.size)
-    chosen = np.zeros((x.size, 256), np.float32)
-    chosen[np.arange(x.size), x.reshape(-1)] = 1
+    read = x.reshape(-1)
     grads: list[np.ndarray] = []
     for side, tape in enumerate(tapes):
         rec = w[2 * side + 1]
@@ -120,7 +119,8 @@ def gradients(x: np.ndarray, y: np.ndarray, net: Net) -> tuple[list[np.ndarray],
             back[2 * h :] *= r
             d_rec += back @ state.T
             carried = dh * z + rec.T @ back
-        grads += [d_terms.transpose(1, 0, 2).reshape(3 * h, -1) @ chosen, d_rec]
+        rows = d_terms.transpose(1, 0, 2).reshape(3 * h, -1)
+        grads += [np.stack([np.bincount(read, row, 256) for row in rows]).astype(rec.dtype), d_rec]
     return [*grads, np.matmul(d, states.transpose(0, 2, 1)).sum(0), d.sum((0, 2))], loss
 
 
