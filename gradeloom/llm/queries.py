@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linechunks, quality, sharding, shared, shinglejoin, warczip
+from . import bpe, langid, linechunks, quality, sharding, shared, shinglejoin, spans, warczip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
 
 
+def op2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linechunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -120,6 +124,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_spans": op2_spans,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op7_langid": op7_langid,

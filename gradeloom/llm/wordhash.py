@@ -47,6 +47,11 @@ def powers(n: int) -> np.ndarray:
     return _power_table(_BASE, 0, n)[:n]
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """Their inverses modulo 2**64."""
+    return _power_table(_INVERSE, 1, n)[:n]
+
+
 def ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
     """Hashes of ``data[starts[i]:ends[i]]``; ranges ascend and do not overlap.  ``fold``: A-Z count as a-z."""
     table, n = _LOWER if fold else _BYTES, len(starts)
