@@ -74,9 +74,9 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of the words of texts that lie at ``offsets`` in ``data``."""
-    inside = ~_IS_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, chars: np.ndarray = ~_IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the words (runs of ``chars``) of texts that lie at ``offsets`` in ``data``."""
+    inside = chars[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
