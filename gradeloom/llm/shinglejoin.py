@@ -4,11 +4,12 @@ The n-gram order (by hash) is cut into fragments.  Three rounds work on fragment
 
 1. Frequencies.  Every fragment gets its part of all documents' sets, packed, with copies of one set dropped.  It keeps
    n-grams of two sets or more; the others link nothing.  A document that keeps less than 3/4 of its set is out.
-2. Candidates.  Documents with an equal minimum under one of a few hash orders are held against the least such
-   document.  Links found so join documents to components.  Then prefixes (the rarest n-grams, one of which any
-   linked pair must share) are joined, but only across components: more links inside one change nothing.
-3. Overlaps.  Each fragment counts the partial overlap of its candidate pairs; the sums per pair are compared with the
-   threshold exactly, in integers.
+2. Candidates.  Linked sets share an n-gram of their prefixes (the rarest quarter of a set).  Sets that hold one
+   n-gram there are joined to the least of them, which gives clusters beyond which no pair can be linked.
+3. Overlaps.  Clusters are dealt in blocks of bounded size, and blocks meet in pairs if set sizes allow links.  A pair
+   of blocks counts the partial overlap of its sets in one fragment of the order after the other, sums them per pair,
+   drops pairs that the rest can't save, and compares the sums with the threshold exactly, in integers.  It returns a
+   spanning star of each local component: no pair of sets ever is a row.
 
 Copies of one set are one node throughout, so groups of copies are never expanded into pairs.
 
@@ -31,9 +32,11 @@ from . import rowbatch, shared, wordhash
 from .components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
-#: N-grams a task of round 1 holds at once, text bytes packed together, hash orders and fragments of rounds 2 and 3.
-FRAGMENT_GRAMS, PACK_BYTES, ORDERS, FRAGMENTS = 1 << 20, 6 << 20, 4, 4
-LOW_BITS = 40
+#: N-grams a task of round 1 holds at once, text bytes packed together; sets and n-grams of a block, fragments of round 3
+#: and co-occurrences counted at a time.
+FRAGMENT_GRAMS, PACK_BYTES = 4 << 20, 6 << 20
+BLOCK_SETS, BLOCK_GRAMS, FRAGMENTS, EXPANDED = 512, 400_000, 4, 2_000_000
+LOW_BITS, LEAST_FRAGMENTS = 40, 8
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,8 +93,18 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
-def fragments(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """Packed parts of all sets: a row a fragment and some megabytes of text."""
+def cut_order(grams: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fragments of n-gram hashes, and their places in these, in 40 bits."""
+    width = np.uint64((1 << 64) // count + 1)
+    part = grams // width
+    return part.astype(np.int64), (grams - part * width) >> np.uint64(64 - LOW_BITS - (count.bit_length() - 1))
+
+
+def fragments(docs: DataFrame, size: int, count: int) -> DataFrame:
+    """Packed parts of all sets: a row a fragment and some megabytes of text.
+
+    A part is the set's id, its size, one byte for the number of n-grams here, and five an n-gram.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
@@ -102,25 +115,34 @@ def fragments(docs: DataFrame, size: int, bits: int) -> DataFrame:
             one[first] = True  # copies in one batch go here already
             one = one[owner]
             grams, owner = grams[one], owner[one]
-            part = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+            sizes = counts.astype(np.uint32)
+            part, place = cut_order(grams, count)
             order = np.argsort(part, kind="stable")
-            grams, owner, part = grams[order] >> np.uint64(64 - bits - LOW_BITS), owner[order], part[order]
+            place, owner, part = place[order], owner[order], part[order]
             edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
             rows = {k: [] for k in ("fragment", "ids", "sizes", "counts", "grams")}
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                some = owner[a:b]
-                heads = np.flatnonzero(np.diff(some, prepend=-1))
+                heads, runs = _runs(owner[a:b])
                 rows["fragment"].append(int(part[a]))
-                rows["ids"].append(ids[some[heads]].tobytes())
-                rows["sizes"].append(counts[some[heads]].astype(np.int32).tobytes())
-                rows["counts"].append(np.diff(np.append(heads, b - a)).astype(np.int32).tobytes())
-                rows["grams"].append(_pack(grams[a:b]))
+                rows["ids"].append(ids[owner[a:b][heads]].tobytes())
+                rows["sizes"].append(sizes[owner[a:b][heads]].tobytes())
+                rows["counts"].append(runs.astype(np.uint8).tobytes())
+                rows["grams"].append(_pack(place[a:b]))
             if rows["fragment"]:
                 yield pa.RecordBatch.from_pydict({"fragment": pa.array(rows.pop("fragment"), pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in rows.items()}})
 
     return docs.select("text").mapInArrow(run, "fragment int, ids binary, sizes binary, counts binary, grams binary")
 
 
+def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of runs of one owner; runs of over 255 are cut."""
+    place = np.arange(len(owner))
+    new = np.diff(owner, prepend=-1) != 0
+    head = np.maximum.accumulate(np.where(new, place, 0))
+    heads = np.flatnonzero(new | ((place - head) % 255 == 0))
+    return heads, np.diff(np.append(heads, len(owner)))
+
+
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches joined, or cut, to about PACK_BYTES of text."""
     held, size = [], 0
@@ -134,42 +156,42 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def shared_grams(packed: DataFrame, bits: int) -> DataFrame:
-    """N-grams of two sets or more, dealt by set: a row a fragment and target."""
-    targets = 1 << bits
+def shared_grams(packed: DataFrame, targets: int) -> DataFrame:
+    """N-grams of two sets or more with their frequency classes, dealt by set: a row a fragment and target."""
     names = ("ids", "sizes", "counts", "grams", "classes")
 
     def run(table: pa.Table) -> pa.Table:
         fragment = table.column("fragment")[0].as_py()
         joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        ids, sizes, counts = joined("ids", np.int64), joined("sizes", np.int32), joined("counts", np.int32)
-        grams = np.concatenate([_unpack(x) for x in table.column("grams").to_pylist()])
-        _, first = np.unique(ids, return_index=True)
-        one = np.zeros(len(ids), bool)
-        one[first] = True
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
-        keep = one[owner]
-        grams, owner = grams[keep], owner[keep]
-        order = np.argsort(grams, kind="stable")
+        every, sizes, counts = joined("ids", np.int64), joined("sizes", np.uint32), joined("counts", np.uint8)
+        grams = _unpack(b"".join(table.column("grams").to_pylist()))
+        ids, first, which = np.unique(every, return_index=True, return_inverse=True)
+        sizes = sizes[first]
+        owner = np.repeat(which.astype(np.int32), counts)
+        order = np.lexsort((owner, grams))
         grams, owner = grams[order], owner[order]
-        heads = np.flatnonzero(np.diff(grams, prepend=grams[:1] + np.uint64(1)))
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])  # copies of a set bring the same
+        grams, owner = grams[new], owner[new]
+        heads = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
         times = np.diff(np.append(heads, len(grams)))
-        kept = np.repeat(times, times) > 1
-        classes = np.minimum(255, np.log2(np.repeat(times, times)[kept]) * 6).astype(np.uint8)
+        times = np.repeat(times, times)
+        kept = times > 1
+        classes = np.minimum(255, np.log2(times[kept]) * 6).astype(np.uint8)
         grams, owner = grams[kept], owner[kept]
-        target = ids & (targets - 1)
+        target = (ids.view(np.uint64) % np.uint64(targets)).astype(np.int64)
         order = np.lexsort((owner, target[owner]))
         grams, owner, classes = grams[order], owner[order], classes[order]
         to = target[owner]
         edges = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
         rows: dict[str, list] = {"target": [], **{k: [] for k in names}}
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            some = owner[a:b]
-            heads = np.flatnonzero(np.diff(some, prepend=-1))
+            heads, runs = _runs(owner[a:b])
+            some = owner[a:b][heads]
             rows["target"].append(int(to[a]))
-            rows["ids"].append(ids[some[heads]].tobytes())
-            rows["sizes"].append(sizes[some[heads]].tobytes())
-            rows["counts"].append(np.diff(np.append(heads, b - a)).astype(np.int32).tobytes())
+            rows["ids"].append(ids[some].tobytes())
+            rows["sizes"].append(sizes[some].tobytes())
+            rows["counts"].append(runs.astype(np.uint8).tobytes())
             rows["grams"].append(_pack(grams[a:b]))
             rows["classes"].append(classes[a:b].tobytes())
         out = {"target": pa.array(rows.pop("target"), pa.int32()), "fragment": pa.array([fragment] * (len(edges) - 1), pa.int32())}
@@ -178,83 +200,172 @@ def shared_grams(packed: DataFrame, bits: int) -> DataFrame:
     return packed.groupBy("fragment").applyInArrow(run, "target int, fragment int, " + ", ".join(f"{n} binary" for n in names))
 
 
-def survivors(dealt: DataFrame, bits: int) -> DataFrame:
-    """Sets of which at least the threshold's part is shared: id, size, shared n-grams in prefix order, prefix length.
+def survivors(dealt: DataFrame) -> DataFrame:
+    """Sets that share the threshold's part: id, size, length of the prefix that is left, and the shared n-grams.
 
-    The order is by frequency class, then hash.  N-grams of no other set come before it and count for the prefix.
+    These are in prefix order, by frequency class, then hash; n-grams of no other set come before them and count.
     """
 
     def run(table: pa.Table) -> pa.Table:
         columns = {c: table.column(c).to_pylist() for c in ("fragment", "ids", "sizes", "counts", "grams", "classes")}
         joined = lambda c, kind: np.frombuffer(b"".join(columns[c]), kind)
-        ids, sizes, counts, classes = joined("ids", np.int64), joined("sizes", np.int32), joined("counts", np.int32), joined("classes", np.uint8)
+        ids, sizes, counts, classes = joined("ids", np.int64), joined("sizes", np.uint32), joined("counts", np.uint8), joined("classes", np.uint8)
         grams = np.concatenate([_unpack(g) | np.uint64(f << LOW_BITS) for f, g in zip(columns["fragment"], columns["grams"])])
         unique, first, which = np.unique(ids, return_index=True, return_inverse=True)
-        size = sizes[first].astype(np.int64)
         owner = np.repeat(which, counts)
         held = np.bincount(owner, minlength=len(unique))
+        size = sizes[first].astype(np.int64)
         alive = DENOMINATOR * held >= NUMERATOR * size
         some = alive[owner]
         grams, owner, classes = grams[some], owner[some], classes[some]
         order = np.lexsort((grams, classes, owner))
-        grams = grams[order].view(np.int64)
-        size, held = size[alive], held[alive]
-        prefix = size - -(-NUMERATOR * size // DENOMINATOR) + 1 - (size - held)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)).astype(np.int32)), pa.array(grams))
-        return pa.table({"set_id": unique[alive], "size": size, "held": held, "prefix": prefix.astype(np.int32), "grams": lists})
-
-    return dealt.groupBy("target").applyInArrow(run, "set_id long, size long, held long, prefix int, grams array<long>")
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held[alive])).astype(np.int32)), pa.array(grams[order].view(np.int64)))
+        prefix = held - -(-NUMERATOR * size // DENOMINATOR) + 1
+        return pa.table({"set_id": unique[alive], "size": size[alive], "prefix": prefix[alive].astype(np.int32), "grams": lists})
 
+    return dealt.groupBy("target").applyInArrow(run, "set_id long, size long, prefix int, grams array<long>")
 
-def _fits(a: str, b: str) -> F.Column:
-    """Whether the sizes and shared parts of two sets leave the threshold in reach."""
-    most = F.least(f"{a}.held", f"{b}.held")
-    return DENOMINATOR * most >= NUMERATOR * (F.col(f"{a}.size") + F.col(f"{b}.size") - most)
 
+def count_pairs(cluster: np.ndarray, side: np.ndarray, size: np.ndarray, counts: np.ndarray, grams: np.ndarray, classes: int = FRAGMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of sets, as indexes.  Sets meet inside a cluster; of two sides only those of sides 0 and 1.
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are linked: partial overlaps a fragment, summed per pair."""
-    parts = sets.select(
-        "set_id", "size",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda k: F.struct(k.alias("k"), F.filter("grams", lambda g: F.pmod(F.shiftright(g, 3), F.lit(FRAGMENTS)) == k).alias("g")))).alias("p"),
-    ).select("set_id", "size", "p.k", "p.g")
-    left = parts.select(F.col("set_id").alias("u"), F.col("size").alias("nu"), "k", F.col("g").alias("gu"))
-    right = parts.select(F.col("set_id").alias("v"), F.col("size").alias("nv"), "k", F.col("g").alias("gv"))
-    overlaps = pairs.join(left, "u").join(right, ["v", "k"]).select("u", "v", "nu", "nv", F.size(F.array_intersect("gu", "gv")).alias("c"))
-    summed = overlaps.groupBy("u", "v", "nu", "nv").agg(F.sum("c").alias("c"))
-    return summed.where(DENOMINATOR * F.col("c") >= NUMERATOR * (F.col("nu") + F.col("nv") - F.col("c"))).select("u", "v")
+    ``grams``: the shared n-grams of all sets one after another, ``counts`` of each, in any order.
+    """
+    n = len(size)
+    owner = np.repeat(np.arange(n), counts)
+    fragment = (grams >> 2) % classes
+    rest = np.stack([np.bincount(owner[fragment == k], minlength=n) for k in range(classes)])
+    rest = np.cumsum(rest[::-1], axis=0)[::-1]
+    rest = np.concatenate([rest, np.zeros((1, n), rest.dtype)])
+    keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+    active = np.ones(n, bool)
+    for k in range(classes):
+        some = (fragment == k) & active[owner]
+        g, o = grams[some], owner[some]
+        order = np.lexsort((side[o], g, cluster[o]))
+        g, o = g[order], o[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (cluster[o[1:]] != cluster[o[:-1]])
+        heads = np.flatnonzero(new)
+        lengths = np.diff(np.append(heads, len(g))) if len(g) else heads
+        head = np.repeat(heads, lengths)
+        stop = head + np.repeat(lengths, lengths)
+        begin = np.arange(len(g)) + 1
+        if side.any():  # each of side 0 meets those of side 1 in its run
+            right = np.cumsum(np.append(0, side[o] == 0))
+            begin = head + right[stop] - right[head]
+            number = np.where(side[o] == 0, stop - begin, 0)
+        else:
+            number = stop - begin
+        ends = np.cumsum(number)
+        at = 0
+        while at < len(g):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EXPANDED, "right")))
+            m = number[at:to]
+            a = np.repeat(o[at:to], m)
+            b = o[np.repeat(begin[at:to] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+            fresh, c = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_counts=True)
+            keys, sums = _add(keys, sums, fresh, c)
+            at = to
+        u, v = keys // n, keys % n
+        most = sums + np.minimum(rest[k + 1][u], rest[k + 1][v])
+        alive = DENOMINATOR * most >= NUMERATOR * (size[u] + size[v] - most)
+        if k + 1 < classes:
+            # A pair without a common n-gram so far may still come, if the rest is enough for it.
+            late = NUMERATOR * size <= DENOMINATOR * rest[k + 1]
+            active = late.copy()
+            active[u[alive]] = active[v[alive]] = True
+        else:
+            u, v = u[alive], v[alive]
+            return u, v
+        keep = alive | (late[u] & late[v])
+        keys, sums = keys[keep], sums[keep]
+    return u, v
+
+
+def _add(keys: np.ndarray, sums: np.ndarray, more: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by sorted key."""
+    if not len(keys):
+        return more, c
+    both, total = np.concatenate([keys, more]), np.concatenate([sums, c])
+    order = np.argsort(both, kind="stable")
+    both, total = both[order], total[order]
+    heads = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+    return both[heads], np.add.reduceat(total, heads)
+
+
+def local_components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least index that each of n nodes reaches."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, u, label[v])
+        np.minimum.at(new, v, label[u])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def blocks(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The clustered sets, once for each meeting: set id, task (key), side, cluster, size and n-grams.
+
+    A cluster within the bounds meets itself, several of them in one task.  A larger one is cut by size band (a factor
+    of 4/3, the largest ratio of linked sizes) and hash; a block meets the blocks of its own band and the next.
+    """
+    facts = sets.select("set_id", F.col("size").cast("double").alias("size"), F.size("grams").alias("held"))
+    band = F.floor(F.log("size") / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+    placed = facts.join(clusters, F.col("set_id") == F.col("node")).select("set_id", "component", "held", band.alias("band"))
+    held = placed.groupBy("component", "band").agg(F.count("*").alias("n"), F.sum("held").alias("g"))
+    whole = held.groupBy("component").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+    small = (F.col("n") <= BLOCK_SETS) & (F.col("g") <= BLOCK_GRAMS)
+    tasks = max(1, -(-int(whole.where(small).agg(F.sum("g")).first()[0] or 0) // BLOCK_GRAMS))
+    one = placed.join(whole.where(small).select(F.col("component").alias("c")), F.col("component") == F.col("c"))
+    one = one.select("set_id", F.struct(F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("cluster"), *(F.lit(-1).alias(k) for k in ("a", "i", "b", "j"))).alias("task"), F.lit(0).alias("side"), F.col("component").alias("cluster"))
+    number = F.ceil(F.greatest(F.col("held.n") / BLOCK_SETS, F.col("held.g") / BLOCK_GRAMS)).cast("int")
+    large = held.alias("held").join(whole.where(~small).select(F.col("component").alias("c")), F.col("component") == F.col("c")).select("c", F.col("band").alias("at"), number.alias("blocks"))
+    cut = placed
+    for name, shift in (("here", 0), ("below", -1), ("above", 1)):
+        other = large.select(F.col("c").alias(f"c_{name}"), F.col("at").alias(f"at_{name}"), F.col("blocks").alias(name))
+        cut = cut.join(other, (F.col("component") == F.col(f"c_{name}")) & (F.col("band") + shift == F.col(f"at_{name}")), "left" if shift else "inner")
+    cut = cut.withColumn("i", F.pmod(F.xxhash64("set_id"), F.col("here")).cast("int"))
+    meet = lambda a, i, b, j, side: F.struct(F.struct(F.col("component").alias("cluster"), a.alias("a"), i.alias("i"), b.alias("b"), j.alias("j")).alias("task"), side.cast("int").alias("side"))
+    band, i = F.col("band"), F.col("i")
+    to = lambda n: F.when(F.col(n).isNotNull(), F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    met = F.concat(
+        F.transform(to("here"), lambda j: meet(band, F.least(i, j), band, F.greatest(i, j), F.when(i > j, 1).otherwise(0))),
+        F.transform(to("above"), lambda j: meet(band, i, band + 1, j, F.lit(0))),
+        F.transform(to("below"), lambda j: meet(band - 1, j, band, i, F.lit(1))),
+    )
+    cut = cut.select("set_id", "component", F.explode(met).alias("m")).select("set_id", "m.task", "m.side", F.col("component").alias("cluster"))
+    return one.unionAll(cut).join(sets.select("set_id", "size", "grams"), "set_id")
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """Components (node, component) of the sets that are linked with another."""
-    seeds = [F.struct(F.lit(k).alias("k"), F.array_min(F.transform("grams", lambda g: F.xxhash64(g, F.lit(k)))).alias("h")) for k in range(ORDERS)]
-    keys = sets.select("set_id", F.explode(F.array(*seeds)).alias("key"))
-    least = keys.groupBy("key").agg(F.min("set_id").alias("u"), F.count("*").alias("n")).where("n > 1").select("key", "u")
-    stars = keys.join(least, "key").where("set_id != u").select("u", F.col("set_id").alias("v")).distinct()
-    facts = sets.select("set_id", "size", "held")
-    stars = stars.alias("s").join(facts.alias("a"), F.col("s.u") == F.col("a.set_id")).join(facts.alias("b"), F.col("s.v") == F.col("b.set_id")).where(_fits("a", "b")).select("u", "v")
-    known = shared.saved(verify(stars, sets), "links")
-    groups = components(known)
-
-    heads = sets.select("set_id", "size", "held", F.explode(F.slice("grams", 1, F.greatest("prefix", F.lit(0)))).alias("gram"))
-    heads = heads.join(groups, F.col("set_id") == F.col("node"), "left").select("gram", "set_id", "size", "held", F.coalesce("component", "set_id").alias("component"))
-    border = heads.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select(F.col("gram").alias("g"))
-    heads = shared.saved(heads.join(border, F.col("gram") == F.col("g"), "left_semi"), "prefixes")
-    a, b = heads.alias("a"), heads.alias("b")
-    across = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") < F.col("b.component")) & _fits("a", "b"))
-    across = across.select(F.least("a.set_id", "b.set_id").alias("u"), F.greatest("a.set_id", "b.set_id").alias("v")).distinct()
-    return components(known.unionAll(verify(shared.saved(across, "candidates"), sets)))
+    """Components (node, component) of the sets (set_id, size, prefix, grams) that are linked with another."""
+    heads = sets.select("set_id", F.explode(F.slice("grams", 1, F.greatest("prefix", F.lit(0)))).alias("gram"))
+    least = heads.groupBy("gram").agg(F.min("set_id").alias("v"), F.max("set_id").alias("w")).where("v != w").select(F.col("gram").alias("g"), "v")
+    clusters = components(heads.join(least, F.col("gram") == F.col("g")).select(F.col("set_id").alias("u"), "v"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        get = lambda c: table.column(c).to_numpy()
+        lists = table.column("grams").combine_chunks()
+        counts = lists.value_lengths().to_numpy().astype(np.int64)
+        u, v = count_pairs(get("cluster"), get("side"), get("size"), counts, lists.flatten().to_numpy())
+        label, ids = local_components(len(counts), u, v), get("set_id")
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"u": ids[moved], "v": ids[label[moved]]})
+
+    return components(blocks(sets, clusters).groupBy("task").applyInArrow(run, "u long, v long"))
 
 
 def link_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document."""
-    spark = docs.sparkSession
     known = shared.saved(catalogue(docs, size), "shingle-sets")
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, total / FRAGMENT_GRAMS)))))
-    bits = max(bits, min(5, int(np.log2(int(spark.conf.get("spark.sql.shuffle.partitions"))))))
-    dealt = shared_grams(fragments(docs, size, bits), bits)
-    sets = shared.saved(survivors(dealt, bits), "shingle-survivors")
+    count = max(LEAST_FRAGMENTS, -(-total // FRAGMENT_GRAMS))
+    sets = shared.saved(survivors(shared_grams(fragments(docs, size, count), count)), "shingle-survivors")
     groups = links(sets)
     classed = known.join(groups, F.col("set_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_id")).alias("class"))
     least = classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).withColumnRenamed("class", "c")
