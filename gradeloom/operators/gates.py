@@ -33,11 +33,11 @@ def gate_reason(checks: list[tuple[str, Column]]) -> Column:
 def sweep(rows: DataFrame, configs: DataFrame, kind: str, passes: Column, gated: str, base: str) -> DataFrame:
     """Per kind the configuration with the best total, and whether it beats the base.
 
-    Rows meet all configurations of a small grid, and partial sums are a row a task, kind and configuration.  Ties: more
+    Rows meet all configurations of the grid, which Spark broadcasts if its size allows, and partial sums are a row a task, kind and configuration.  Ties: more
     tens, fewer zeros, fewer uses, lower number.
     """
     value = F.when(passes, F.col(gated)).otherwise(F.col(base))
-    every = rows.join(F.broadcast(configs)).groupBy(kind, "config").agg(
+    every = rows.crossJoin(configs).groupBy(kind, "config").agg(
         F.sum(value).alias("raw"), F.count_if(value == 10).alias("tens"), F.count_if(value == 0).alias("zeros"), F.count_if(passes).alias("used"), F.sum(base).alias("base_raw"), F.count("*").alias("n"))
     best = every.groupBy(kind).agg(F.max(F.struct("raw", "tens", (-F.col("zeros")).alias("z"), (-F.col("used")).alias("u"), (-F.col("config")).alias("c"), "used", "base_raw", "n")).alias("m"))
     return best.select(kind, (-F.col("m.c")).alias("config"), F.col("m.raw").alias("raw"), F.col("m.base_raw").alias("base_raw"), F.col("m.used").alias("used"), F.col("m.n").alias("n"), (F.col("m.raw") > F.col("m.base_raw")).alias("enabled"))
@@ -46,7 +46,7 @@ def sweep(rows: DataFrame, configs: DataFrame, kind: str, passes: Column, gated:
 def threshold_replay(rows: DataFrame, thresholds: DataFrame, similarity: str, gated: str, base: str) -> DataFrame:
     """Totals when values above each threshold take the place of the base."""
     use = F.coalesce(F.col(similarity) >= F.col("threshold"), F.lit(False))
-    return rows.join(F.broadcast(thresholds)).groupBy("threshold").agg(F.count_if(use).alias("used"), F.sum(F.when(use, F.col(gated)).otherwise(F.col(base))).alias("raw"))
+    return rows.crossJoin(thresholds).groupBy("threshold").agg(F.count_if(use).alias("used"), F.sum(F.when(use, F.col(gated)).otherwise(F.col(base))).alias("raw"))
 
 
 def select_best(summaries: DataFrame, order: list[Column]) -> DataFrame:

@@ -17,7 +17,7 @@ def priors(df: DataFrame, answer: str, kind: str | None = None) -> DataFrame:
     cond = F.col("c.over_all") == F.col("t.over_all")
     if kind is not None:
         cond = cond & F.col(f"c.{kind}").eqNullSafe(F.col(f"t.{kind}"))
-    return counts.alias("c").join(F.broadcast(top.alias("t")) if kind is None else top.alias("t"), cond).select("c.*", (F.log1p("c.n") / F.log1p("t.top")).alias("prior_norm"))
+    return counts.alias("c").join(top.alias("t"), cond).select("c.*", (F.log1p("c.n") / F.log1p("t.top")).alias("prior_norm"))
 
 
 def majority(df: DataFrame, query: str, answer: str, ordinal: str) -> DataFrame:

@@ -9,12 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import answers as A
+from .functions import solver as S
 from .functions import text as T
 from .operators import aggregate as G
 from .operators import clean as P
 from .operators import gates as H
 from .operators import joins as J
 from .operators import vote as V
+from .plans import retrieval as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -429,3 +431,106 @@ def reply_answers(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     got = rows.select("conv_id", "turn", A.extracted("text", bare=True).alias("a"))
     return got.select("conv_id", "turn", "a.answer", "a.anchor", "a.num", A.keyed("a.num").alias("key"), A.answer_form("a.answer", "a.num").alias("form"))
+
+
+# Retrieval, candidates and templates.
+
+GRAMS_SQL = f"""list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"""
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{WORDS}') AS w FROM documents), b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '{WORDS}') AS w FROM benchmark),
+dt AS (SELECT id, unnest({GRAMS_SQL}) AS term FROM d), dc AS (SELECT id, term, count(*) AS tf FROM dt GROUP BY 1, 2), bt AS (SELECT id, unnest({GRAMS_SQL}) AS term FROM b), bc AS (SELECT id, term, count(*) AS tf FROM bt GROUP BY 1, 2),
+n AS (SELECT count(DISTINCT id) AS n FROM dc), idf AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM dc, n GROUP BY term, n HAVING count(*) <= n * 0.35),
+dx AS (SELECT id, term, tf * idf AS x FROM dc JOIN idf USING (term)), dw AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM dx),
+bx AS (SELECT id, term, tf * idf AS x FROM bc JOIN idf USING (term)), bw AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM bx),
+s AS (SELECT bw.id AS query_id, dw.id AS index_id, sum(bw.w * dw.w) AS sim FROM bw JOIN dw USING (term) GROUP BY 1, 2)
+SELECT query_id, index_id, round(sim, 6) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, index_id) AS place FROM s) WHERE place <= 5""")
+def tfidf_neighbours(spark, sf_dir):
+    index = R.term_counts(table(spark, sf_dir, "documents"), "doc_id", R.word_grams("text"))
+    items = R.term_counts(table(spark, sf_dir, "benchmark"), "item_id", R.word_grams("text"))
+    idf = R.fit(index, max_df=0.35)
+    got = R.top_k(R.weighted(items, idf), R.weighted(index, idf), 5)
+    return got.select("query_id", "index_id", F.round("similarity", 6).alias("similarity"), "place")
+
+
+@query()
+def char_gram_neighbours(spark, sf_dir):
+    """Character n-gram retrieval of document titles (first lines) for benchmark items."""
+    titles = table(spark, sf_dir, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"))
+    index = R.term_counts(titles, "doc_id", R.char_grams("title"))
+    items = R.term_counts(table(spark, sf_dir, "benchmark"), "item_id", R.char_grams("text"))
+    idf = R.fit(index)
+    return R.top_k(R.weighted(items, idf), R.weighted(index, idf), 9).select("query_id", "index_id", F.round("similarity", 6).alias("similarity"), "place")
+
+
+CANDIDATES_SQL = """WITH h AS (SELECT l_orderkey AS row, l_shipmode AS key, l_discount * 10 AS similarity, l_tax * 10 AS jaccard FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)),
+g AS (SELECT row, key, count(*) AS retrieval_count, max(similarity) AS top_sim, max(jaccard) AS top_jaccard FROM h GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER w AS rank, retrieval_count / sum(retrieval_count) OVER (PARTITION BY row) AS frac, (retrieval_count - coalesce(lead(retrieval_count) OVER w, 0)) / sum(retrieval_count) OVER (PARTITION BY row) AS lead FROM g WINDOW w AS (PARTITION BY row ORDER BY retrieval_count DESC, top_sim DESC, top_jaccard DESC, key)),
+a AS (SELECT row, key, retrieval_count, top_sim, top_jaccard, rank, frac, CASE WHEN rank = 1 THEN lead ELSE 0.0 END AS margin FROM r)
+"""
+
+
+def hit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.concat("l_returnflag", "l_linestatus").alias("key"), (F.col("l_discount") * 10).alias("similarity"), (F.col("l_tax") * 10).alias("jaccard"))
+    return V.answer_groups(hits, "row", "key")
+
+
+@query(CANDIDATES_SQL + """SELECT row, key, retrieval_count, rank, round(frac, 6) AS frac, round(margin, 6) AS margin, round(least(1.0, 0.5 * top_sim + 0.18 * top_jaccard + 0.18 * frac + 0.1 * margin + CASE WHEN key = 'NO' THEN 0.12 ELSE 0 END), 6) AS confidence FROM a""")
+def answer_group_confidence(spark, sf_dir):
+    got = hit_groups(spark, sf_dir)
+    conf = V.group_confidence(F.col("key") == "NO", F.lit(False))
+    return got.select("row", "key", "retrieval_count", "rank", F.round("frac", 6).alias("frac"), F.round("margin", 6).alias("margin"), F.round(conf, 6).alias("confidence"))
+
+
+MODEL_SQL = """, m AS (SELECT o_orderkey AS row, CASE WHEN o_orderstatus = 'O' THEN 'NO' WHEN o_orderstatus = 'F' THEN 'RF' ELSE 'AF' END AS key, 2 AS model_votes, 0.5::DOUBLE AS model_frac FROM orders)
+"""
+
+
+@query(CANDIDATES_SQL + MODEL_SQL + """, c AS (SELECT coalesce(m.row, a.row) AS row, coalesce(m.key, a.key) AS key, coalesce(model_votes, 0) AS votes, coalesce(model_frac, 0) AS f, coalesce(retrieval_count, 0) AS n, coalesce(top_sim, 0) AS s, coalesce(top_jaccard, 0) AS j FROM m FULL JOIN a ON m.row = a.row AND m.key = a.key),
+x AS (SELECT *, s >= 0.7 AND j >= 0.45 AND n > 0 AS gate FROM c)
+SELECT row, key AS chosen, round(f + CASE WHEN gate THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN gate AND votes > 0 THEN 0.2::DOUBLE ELSE 0 END, 6) AS score FROM x
+QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(f + CASE WHEN gate THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN gate AND votes > 0 THEN 0.2::DOUBLE ELSE 0 END, 6) DESC, votes DESC, n DESC, key DESC) = 1""")
+def candidate_ranking(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "O", "NO").when(F.col("o_orderstatus") == "F", "RF").otherwise("AF")
+    model = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), status.alias("key"), F.lit(2).alias("model_votes"), F.lit(0.5).alias("model_frac"))
+    both = V.model_and_retrieval(model, hit_groups(spark, sf_dir), "row", "key").withColumns({"prior_norm": F.lit(0.0), "sanity_penalty": F.lit(0.0)})
+    score = F.round(V.linear_rank_score({"vote": 1.0, "bonus": 0.3, "agree": 0.2}), 6)
+    return V.pick(both, "row", "key", score, [F.col("model_votes"), F.col("retrieval_count")])
+
+
+@query("""WITH c AS (SELECT l_orderkey AS row, l_returnflag AS key, 'flag' AS source, l_discount AS confidence FROM lineitem UNION ALL SELECT l_orderkey, l_linestatus, 'status', l_tax FROM lineitem UNION ALL SELECT o_orderkey, o_orderstatus, 'order', 0.05 FROM orders)
+SELECT row, key, max(confidence) AS confidence, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM c GROUP BY 1, 2""")
+def merged_candidates(spark, sf_dir):
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    make = lambda df, row, key, source, conf: df.select(F.col(row).alias("row"), F.col(key).alias("key"), F.lit(source).alias("source"), conf.alias("confidence"))
+    frames = [make(lines, "l_orderkey", "l_returnflag", "flag", F.col("l_discount")), make(lines, "l_orderkey", "l_linestatus", "status", F.col("l_tax")), make(orders, "o_orderkey", "o_orderstatus", "order", F.lit(0.05))]
+    return V.merge_candidates(frames, "row", "key").withColumn("sources", F.array_join("sources", ","))
+
+
+@query("""WITH k AS (SELECT regexp_replace(lower(p_name), '[0-9]+', '<num>', 'g') AS skeleton, p_brand, count(*) AS n FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2)
+SELECT p_partkey, k.p_brand AS answer, n FROM (SELECT p_partkey, regexp_replace(lower(p_name), '[0-9]+', '<num>', 'g') AS skeleton FROM part WHERE p_partkey % 2 = 1) q JOIN k USING (skeleton)""")
+def template_lookup(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.lower("p_name"), "[0-9]+", "<num>").alias("skeleton"), F.col("p_brand").alias("answer"))
+    return R.lookup(parts.where("p_partkey % 2 = 1").select("p_partkey", "skeleton"), parts.where("p_partkey % 2 = 0"), ["skeleton"], "answer").select("p_partkey", "answer", "n")
+
+
+@query()
+def linear_templates(spark, sf_dir):
+    """Parts whose line prices are a linear function of quantity; least squares has no SQL form here."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.array("l_quantity").alias("numbers"), F.col("l_extendedprice").alias("answer"))
+    got = H.linear_templates(lines, "l_partkey", "numbers", "answer")
+    return got.select("l_partkey", "support", F.round("mean_error", 6).alias("mean_error"))
+
+
+@query()
+def solved_questions(spark, sf_dir):
+    """The template solver over the users' turns."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", S.solved("text").alias("s"))
+    return rows.select("conv_id", "turn", "s.answer", "s.rule")
+
+
+@query()
+def query_features(spark, sf_dir):
+    """Numbers, skeleton key, arithmetic values and equations of the users' turns, by Unicode-aware patterns."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("nums", T.query_numbers("text"))
+    return rows.select("conv_id", "turn", T.text_key("text").alias("key"), F.size("nums").alias("n_numbers"), F.sha1(T.skeleton("text")).alias("skeleton"), F.size(A.arithmetic_values("nums")).alias("n_values"), F.size(A.equations("text")).alias("n_equations"))
