@@ -19,6 +19,15 @@ def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shinglejoin.link_documents(table(spark, sf_dir, "documents"))
 
 
+#: SHA-1 in base32: its 160 bits in groups of five.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+b AS (SELECT *, array_to_string(list_transform(string_split(sha1(html), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', c)]), '') AS bits FROM p),
+d AS (SELECT page_id, html, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ('0b' || substr(bits, 1 + 5 * i, 5))::INT, 1)), '') AS digest, max(page_id) OVER (PARTITION BY html) AS top FROM b)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to, true AS intact FROM d
+"""
+
+
 #: All pairs that share a shingle are counted; components by following the least label along links.
 OP9_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -67,10 +76,47 @@ def op2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Sentences are runs of words with the white space behind them; a span's first place is its least (doc_id, sentence).
+OP2_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract(text, '^[\x20\x09-\x0D]*') AS lead, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS toks FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM t),
+e AS (SELECT *, regexp_extract(tok, '^[^\x20\x09-\x0D]+') AS word FROM w),
+s AS (SELECT *, coalesce(sum((contains(tok, chr(10)) OR regexp_matches(word, '[.!?]["'')\]}]?$'))::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM e),
+g AS (SELECT doc_id, sent, string_agg(tok, '' ORDER BY i) AS body, string_agg(word, ' ' ORDER BY i) AS ws, count(*) AS n FROM s GROUP BY 1, 2),
+l AS (SELECT doc_id, sent, ws, n, lead(ws, 1) OVER o AS ws1, lead(n, 1) OVER o AS n1, lead(ws, 2) OVER o AS ws2, lead(n, 2) OVER o AS n2 FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY sent)),
+sp AS (SELECT doc_id, sent, 3 AS k, ws || ' ' || ws1 || ' ' || ws2 AS h FROM l WHERE n + n1 + n2 >= 8 UNION ALL SELECT doc_id, sent, 2, ws || ' ' || ws1 FROM l WHERE n + n1 >= 20),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, h ORDER BY doc_id, sent) > 1 AS again FROM sp),
+cut AS (SELECT DISTINCT doc_id, sent + j AS sent FROM r, (SELECT unnest([0, 1, 2]) AS j) WHERE again AND j < k),
+k AS (SELECT doc_id, string_agg(body, '' ORDER BY sent) FILTER (cut.sent IS NULL) AS rest, count(cut.sent) AS n_cut FROM g LEFT JOIN cut USING (doc_id, sent) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE t.lead || coalesce(k.rest, '') END AS text, coalesce(n_cut, 0) AS n_sentences_cut FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+_FOLDED = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+_BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+_TEMPLATES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in item)) for item in licenses.TEMPLATES.items())
+OP3_SQL = f"""
+WITH tpl(license, body) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT license, {_FOLDED.format("body")} AS w FROM tpl), tb AS (SELECT license, unnest({_BIGRAMS}) AS g FROM tw), ts AS (SELECT license, count(*) AS t FROM tb GROUP BY 1),
+u AS (
+  SELECT doc_id, 2 AS kind, 0 AS no, text AS x FROM documents
+  UNION ALL SELECT doc_id, 0, generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) FROM documents WHERE contains(text, chr(10))
+  UNION ALL SELECT doc_id, 1, generate_subscripts(string_split(text, chr(10) || chr(10)), 1), unnest(string_split(text, chr(10) || chr(10))) FROM documents WHERE contains(text, chr(10))
+), w AS (SELECT doc_id, kind, no, {_FOLDED.format("x")} AS w FROM u), b AS (SELECT doc_id, kind, no, {_BIGRAMS} AS gs FROM w WHERE len(w) > 1),
+c AS (SELECT doc_id, kind, no, len(gs) AS a, unnest(gs) AS g FROM b),
+m AS (SELECT doc_id, kind, no, license, any_value(a) AS a, any_value(t) AS t, count(*) AS k FROM c JOIN tb USING (g) JOIN ts USING (license) GROUP BY 1, 2, 3, 4),
+h AS (SELECT *, 2 * k::DOUBLE / (a + t) AS score FROM m WHERE 10 * k >= 4 * (a + t)),
+best AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, kind) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, kind, no FROM h) GROUP BY 1)
+SELECT d.doc_id, license, coalesce(score, 0.0::DOUBLE) AS score, CASE kind WHEN 0 THEN 'line' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'text' END AS unit, coalesce(n.n, 0) AS n_matches
+FROM documents d LEFT JOIN best USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -143,4 +189,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op9_shingle_join": OP9_SQL}
+ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_spans": OP2_SQL, "op3_licenses": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op8_warc": OP8_SQL, "op9_shingle_join": OP9_SQL}
