@@ -65,7 +65,7 @@ class _Parser:
             if not m:
                 raise ValueError(text[at])
             kind = m.lastgroup
-            if kind == "num" and re.fullmatch(r"0\d*[1-9]\d*|0+\d*[1-9]\d*", m.group()):
+            if kind == "num" and re.fullmatch(r"0\d*[1-9]\d*", m.group()):
                 raise ValueError("leading zero")
             self.tokens.append((kind, "^" if m.group() == "**" else m.group()))
             at = m.end()
