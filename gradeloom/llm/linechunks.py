@@ -58,7 +58,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = chunk_bounds(docs).select(_KEY, "lines", F.explode(F.filter("at", lambda c: c["n"] >= LEAST_LINES)).alias("c"))
     chunks = found.select(_KEY, F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(chunk_text(F.col("lines"), F.col("c"))).alias("hash"))
     again = chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(F.struct(_KEY, "start")).alias("first")).where("times > 1")
-    spots = chunks.join(again, "hash").select(_KEY, F.struct("start", "n", "hash", (F.struct(_KEY, "start") == F.col("first")).alias("is_first")).alias("s"))
+    spots = chunks.join(shared.dealt(again), "hash").select(_KEY, F.struct("start", "n", "hash", (F.struct(_KEY, "start") == F.col("first")).alias("is_first")).alias("s"))
     return spots.distinct().groupBy(_KEY).agg(F.array_sort(F.collect_list("s")).alias(_CHUNKS))
 
 

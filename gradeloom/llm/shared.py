@@ -35,6 +35,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, an aggregate that is small beside what it is joined with, dealt out evenly.
+
+    A join that reads an aggregate in place can't have its skewed partitions split; one that shuffles both sides can.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder, through Hadoop's file systems."""
     jvm = spark.sparkContext._jvm
