@@ -19,7 +19,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    hooked = both.join(least, F.col("u") == F.col("w"))
+    hooked = both.join(shared.dealt(least), F.col("u") == F.col("w"))
     if large:
         made = hooked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -34,9 +34,9 @@ from .components import components
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: N-grams a task of round 1 holds at once, text bytes packed together; sets and n-grams of a block, fragments of round 3
 #: and co-occurrences counted at a time.
-FRAGMENT_GRAMS, PACK_BYTES = 4 << 20, 6 << 20
-BLOCK_SETS, BLOCK_GRAMS, FRAGMENTS, EXPANDED = 512, 400_000, 4, 2_000_000
-LOW_BITS, LEAST_FRAGMENTS = 40, 8
+FRAGMENT_GRAMS, PACK_BYTES = 4 << 20, 4 << 20
+BLOCK_SETS, BLOCK_GRAMS, FRAGMENTS, EXPANDED = 512, 400_000, 4, 1_000_000
+LOW_BITS, SET_BITS, LEAST_FRAGMENTS = 40, 24, 8
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,6 +156,23 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def sorted_parts(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (n-gram, set), sorted; copies of a set bring the same.  Overwrites ``grams``.
+
+    Up to 2**24 sets share a word with their n-grams, which is sorted in place.
+    """
+    if len(owner) and int(owner.max()) >> SET_BITS:
+        order = np.lexsort((owner, grams))
+        grams, owner = grams[order], owner[order]
+        new = np.append(True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1]))
+        return grams[new], owner[new]
+    grams <<= np.uint64(SET_BITS)
+    grams |= owner
+    grams.sort()
+    grams = grams[np.append(True, grams[1:] != grams[:-1])[: len(grams)]]
+    return grams >> np.uint64(SET_BITS), (grams & np.uint64((1 << SET_BITS) - 1)).astype(np.uint32)
+
+
 def shared_grams(packed: DataFrame, targets: int) -> DataFrame:
     """N-grams of two sets or more with their frequency classes, dealt by set: a row a fragment and target."""
     names = ("ids", "sizes", "counts", "grams", "classes")
@@ -164,21 +181,14 @@ def shared_grams(packed: DataFrame, targets: int) -> DataFrame:
         fragment = table.column("fragment")[0].as_py()
         joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
         every, sizes, counts = joined("ids", np.int64), joined("sizes", np.uint32), joined("counts", np.uint8)
-        grams = _unpack(b"".join(table.column("grams").to_pylist()))
         ids, first, which = np.unique(every, return_index=True, return_inverse=True)
         sizes = sizes[first]
-        owner = np.repeat(which.astype(np.int32), counts)
-        order = np.lexsort((owner, grams))
-        grams, owner = grams[order], owner[order]
-        new = np.ones(len(grams), bool)
-        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])  # copies of a set bring the same
-        grams, owner = grams[new], owner[new]
+        grams, owner = sorted_parts(_unpack(b"".join(table.column("grams").to_pylist())), np.repeat(which.astype(np.uint32), counts))
         heads = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
-        times = np.diff(np.append(heads, len(grams)))
-        times = np.repeat(times, times)
-        kept = times > 1
-        classes = np.minimum(255, np.log2(times[kept]) * 6).astype(np.uint8)
-        grams, owner = grams[kept], owner[kept]
+        runs = np.diff(np.append(heads, len(grams)))
+        kept = np.repeat(runs > 1, runs)
+        grams, owner = grams[kept], owner[kept].astype(np.int64)
+        classes = np.minimum(255, np.log2(np.repeat(runs[runs > 1], runs[runs > 1])) * 6).astype(np.uint8)
         target = (ids.view(np.uint64) % np.uint64(targets)).astype(np.int64)
         order = np.lexsort((owner, target[owner]))
         grams, owner, classes = grams[order], owner[order], classes[order]
@@ -345,7 +355,7 @@ def links(sets: DataFrame) -> DataFrame:
     """Components (node, component) of the sets (set_id, size, prefix, grams) that are linked with another."""
     heads = sets.select("set_id", F.explode(F.slice("grams", 1, F.greatest("prefix", F.lit(0)))).alias("gram"))
     least = heads.groupBy("gram").agg(F.min("set_id").alias("v"), F.max("set_id").alias("w")).where("v != w").select(F.col("gram").alias("g"), "v")
-    clusters = components(heads.join(least, F.col("gram") == F.col("g")).select(F.col("set_id").alias("u"), "v"))
+    clusters = components(heads.join(shared.dealt(least), F.col("gram") == F.col("g")).select(F.col("set_id").alias("u"), "v"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -369,4 +379,4 @@ def link_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     groups = links(sets)
     classed = known.join(groups, F.col("set_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_id")).alias("class"))
     least = classed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).withColumnRenamed("class", "c")
-    return classed.join(least, F.col("class") == F.col("c"), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return classed.join(shared.dealt(least), F.col("class") == F.col("c"), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
