@@ -122,7 +122,7 @@ def verdicts(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: float =
     known = shared.saved(features(docs, host_col).withColumn("row", F.monotonically_increasing_id()), "quality-features")
     lines = known.select("row", "host", "text_hash", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l")).select("row", "host", "text_hash", F.col("l.line_hashes").alias("line"), F.col("l.line_words").alias("words"))
     common = lines.select("host", "line", "text_hash").distinct().groupBy("host", "line").count().where(F.col("count") > line_limit).select(F.col("host").alias("h"), F.col("line").alias("l"))
-    cut = lines.join(common, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))).groupBy("row").agg(F.sum("words").alias("cut"), F.count("*").alias("n_lines_cut"))
+    cut = lines.join(shared.dealt(common), (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))).groupBy("row").agg(F.sum("words").alias("cut"), F.count("*").alias("n_lines_cut"))
     left = F.col("n_words") - F.coalesce("cut", F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return known.join(cut, "row", "left").select(
