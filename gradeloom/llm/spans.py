@@ -109,7 +109,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     source = docs.select(F.col(doc_id).alias("doc_id"), mark.alias("mark"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     rows = span_rows(source)
     again = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").select(F.col("hash").alias("h"), "first_id")
-    hits = rows.join(again, F.col("hash") == F.col("h")).select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), F.struct(F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.col("hash")).alias("own"), "place").alias("hit"))
+    hits = rows.join(shared.dealt(again), F.col("hash") == F.col("h")).select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), F.struct(F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.col("hash")).alias("own"), "place").alias("hit"))
     lists = hits.groupBy("hit_id", "hit_mark").agg(F.collect_set("hit").alias("hits")).select("hit_id", "hit_mark", F.col("hits.own").alias("own"), F.col("hits.place").alias("place"))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(doc_id).alias("i"), mark.alias("m"), F.col(text).alias("text"))
     joined = packed.join(lists, F.col("i").eqNullSafe(F.col("hit_id")) & (F.col("m") == F.col("hit_mark")), "left").select("row", "own", "place", "text")
