@@ -53,7 +53,7 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("h", F.sha2(F.col("html").cast("binary"), 256))
     largest = keyed.groupBy("h").agg(F.max("page_id").alias("largest"))
     own = F.col("page_id").eqNullSafe(F.col("largest"))
-    return keyed.join(largest, "h").select("page_id", "url", "html", F.when(~own, F.col("largest")).alias("refers_to"))
+    return keyed.join(shared.dealt(largest), "h").select("page_id", "url", "html", F.when(~own, F.col("largest")).alias("refers_to"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> tuple[bytes, dict]:
