@@ -38,6 +38,12 @@ def term_counts(df: DataFrame, row_id: str, grams: Column) -> DataFrame:
     return df.select(F.col(row_id).alias("id"), F.explode(grams).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+def char_gram_counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """``term_counts`` of ``char_grams``: grams lie inside words, so a row's equal words are counted before they are cut."""
+    found = df.select(F.col(row_id).alias("id"), F.explode(words(text)).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
+    return found.select("id", "n", F.explode(char_grams("word")).alias("term")).groupBy("id", "term").agg(F.sum("n").alias("tf"))
+
+
 def fit(index: DataFrame, max_df: float = 1.0) -> DataFrame:
     """(term, idf) of term counts: ln((1 + n) / (1 + df)) + 1; terms of more than ``max_df`` of the rows are left out."""
     n = index.agg(F.count_distinct("id").alias("n"))

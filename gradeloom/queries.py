@@ -455,10 +455,9 @@ def tfidf_neighbours(spark, sf_dir):
 
 @query()
 def char_gram_neighbours(spark, sf_dir):
-    """Character n-gram retrieval of document titles (first lines) for benchmark items."""
-    titles = table(spark, sf_dir, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"))
-    index = R.term_counts(titles, "doc_id", R.char_grams("title"))
-    items = R.term_counts(table(spark, sf_dir, "benchmark"), "item_id", R.char_grams("text"))
+    """Character n-gram retrieval of documents, by their whole texts, for benchmark items."""
+    index = R.char_gram_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    items = R.char_gram_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
     idf = R.fit(index)
     return R.top_k(R.weighted(items, idf), R.weighted(index, idf), 9).select("query_id", "index_id", F.round("similarity", 6).alias("similarity"), "place")
 
