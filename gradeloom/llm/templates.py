@@ -5,7 +5,8 @@ placeholders, all else into lower-cased words.  Windows of eight tokens, five of
 those of the benchmark.  Adjoining matches of one item form a span, and a span counts if its slots are consistent:
 within a type, each value of the item stands for one value of the document and the other way round.  So a question
 with other numbers, names or units is found, while texts of like grammar are not.  A document leaks an item if its
-consistent spans cover half of the item's windows, or six of them.
+consistent spans cover half of the item's windows, or six of them.  An item of eight tokens or more whose windows all
+have too few words (sums, tables, lists of names) is searched by its windows of any tokens, with equal values.
 
 Cases: null, empty and short texts leak nothing; a benchmark item shorter than a window is one window if it has four
 words, else it is ignored; null item texts are ignored; repeated rows and ties are judged each; empty tables on either
@@ -72,6 +73,7 @@ class Tokens:
         opens = np.ones(len(self.starts), bool)
         opens[1:] = (self.text[1:] != self.text[:-1]) | (stops[self.starts[1:]] > stops[self.ends[:-1]])
         self.codes = wordhash.ranges(data, self.starts, self.ends, fold=True) | np.uint64(4)
+        self.exact = self.codes.copy()
         units = np.zeros(len(number), bool)
         units[1:] = number[:-1] & (self.text[1:] == self.text[:-1]) & ~number[1:]
         at = np.flatnonzero(units)
@@ -81,9 +83,11 @@ class Tokens:
         self.codes[units] = _UNIT
         self.codes[number] = _NUM
 
-    def windows(self, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and first tokens of the windows with enough words."""
-        h, at = wordhash.grams(self.codes, self.text, size)
+    def windows(self, size: int, least: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and first tokens of the windows with enough words; ``exact``: of all, hashed with their values."""
+        h, at = wordhash.grams(self.exact if exact else self.codes, self.text, size)
+        if exact:
+            return h, at
         words = np.concatenate([[0], np.cumsum(self.codes > _UNIT)])
         ok = words[at + size] - words[at] >= least
         return h[ok], at[ok]
@@ -93,7 +97,7 @@ class Tokens:
 
 
 class TemplateIndex:
-    """The windows of one block of benchmark items, by size."""
+    """The windows of one block of benchmark items, by size and whether they are exact."""
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         raw = [t.encode("utf-8") for _, t in items]
@@ -101,7 +105,7 @@ class TemplateIndex:
         self.tokens = Tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
         held = np.bincount(self.tokens.text, minlength=len(items))
         self.first = np.cumsum(held) - held
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.sizes: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
         self.count = np.zeros(len(items), np.int64)
         for size in sorted({min(WINDOW, n) for n in held.tolist() if n >= LEAST_SHORT}):
             h, at = self.tokens.windows(size, LEAST_WORDS if size == WINDOW else LEAST_SHORT)
@@ -109,17 +113,26 @@ class TemplateIndex:
             h, at = h[mine], at[mine]
             self.count += np.bincount(self.tokens.text[at], minlength=len(items))
             order = np.argsort(h, kind="stable")
-            self.sizes[size] = h[order], at[order]
-        self.seen = {size: _bits(h) for size, (h, _) in self.sizes.items()}
+            self.sizes[size, False] = h[order], at[order]
+        wordless = (held >= WINDOW) & (self.count == 0)
+        if wordless.any():
+            h, at = self.tokens.windows(WINDOW, 0, exact=True)
+            mine = wordless[self.tokens.text[at]]
+            h, at = h[mine], at[mine]
+            self.count += np.bincount(self.tokens.text[at], minlength=len(items))
+            order = np.argsort(h, kind="stable")
+            self.sizes[WINDOW, True] = h[order], at[order]
+        self.seen = {key: _bits(h) for key, (h, _) in self.sizes.items()}
 
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, str]]:
         """(text, item, windows, first token in the text, kind) of every leak, in order of texts and items."""
         tokens = Tokens(data, offsets)
         text_first = np.searchsorted(tokens.text, np.arange(len(offsets)))
         found: dict[tuple[int, int], list[tuple[int, int, bool]]] = {}
-        for size, (keys, places) in self.sizes.items():
-            h, at = tokens.windows(size, LEAST_WORDS if size == WINDOW else LEAST_SHORT)
-            near = self.seen[size][h & np.uint64(len(self.seen[size]) - 1)]
+        for (size, exact), (keys, places) in self.sizes.items():
+            h, at = tokens.windows(size, LEAST_WORDS if size == WINDOW else LEAST_SHORT, exact)
+            seen = self.seen[size, exact]
+            near = seen[h & np.uint64(len(seen) - 1)]
             h, at = h[near], at[near]
             lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
             n = hi - lo
@@ -135,7 +148,7 @@ class TemplateIndex:
             edges = [*np.flatnonzero(new).tolist(), len(here)]
             for a, b in zip(edges[:-1], edges[1:]):
                 length = int(here[b - 1] - here[a]) + size
-                same = self._consistent(tokens, int(here[a]), int(there[a]), length)
+                same = self._equal(tokens, int(here[a]), int(there[a]), length) if exact else self._consistent(tokens, int(here[a]), int(there[a]), length)
                 if same is not None:
                     found.setdefault((int(tokens.text[here[a]]), int(item[a])), []).append((int(here[a]), b - a, same))
         out = []
@@ -145,6 +158,10 @@ class TemplateIndex:
                 out.append((text, item, n, min(s[0] for s in spans) - int(text_first[text]), "verbatim" if all(s[2] for s in spans) else "reparameterised"))
         return out
 
+    def _equal(self, tokens: Tokens, here: int, there: int, length: int) -> bool | None:
+        """None unless all tokens agree, values included."""
+        return True if np.array_equal(tokens.exact[here : here + length], self.tokens.exact[there : there + length]) else None
+
     def _consistent(self, tokens: Tokens, here: int, there: int, length: int) -> bool | None:
         """None unless words agree and slots map one to one by type; else whether all values are the same."""
         mine, other = tokens.codes[here : here + length], self.tokens.codes[there : there + length]
