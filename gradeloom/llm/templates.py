@@ -3,8 +3,9 @@
 Texts become tokens: numbers, names (capitalised inside a sentence) and units (after a number) turn into typed
 placeholders, all else into lower-cased words.  Windows of eight tokens, five of them words, are hash-joined with
 those of the benchmark.  Adjoining matches of one item form a span, and a span counts if its slots are consistent:
-within a type, each value of the item stands for one value of the document and the other way round.  So a question
-with other numbers, names or units is found, while texts of like grammar are not.  A document leaks an item if its
+within a type, each value of the item stands for one value of the document.  A number or unit that conflicts cuts the
+span, and its parts count each; a name that conflicts discards it, for it tells another question.  So a question with
+other numbers, names or units is found, while texts of like grammar are not.  A document leaks an item if its
 consistent spans cover half of the item's windows, or six of them.  An item of eight tokens or more whose windows all
 have too few words (sums, tables, lists of names) is searched by its windows of any tokens, with equal values.
 
@@ -148,9 +149,17 @@ class TemplateIndex:
             edges = [*np.flatnonzero(new).tolist(), len(here)]
             for a, b in zip(edges[:-1], edges[1:]):
                 length = int(here[b - 1] - here[a]) + size
-                same = self._equal(tokens, int(here[a]), int(there[a]), length) if exact else self._consistent(tokens, int(here[a]), int(there[a]), length)
-                if same is not None:
-                    found.setdefault((int(tokens.text[here[a]]), int(item[a])), []).append((int(here[a]), b - a, same))
+                if exact:
+                    same, cuts = self._equal(tokens, int(here[a]), int(there[a]), length), []
+                else:
+                    same, cuts = self._consistent(tokens, int(here[a]), int(there[a]), length)
+                if same is None:
+                    continue
+                bounds = int(here[a]) + np.array([0, *cuts, length])
+                for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    inside = here[a:b][(here[a:b] >= start) & (here[a:b] + size <= end)]
+                    if len(inside):
+                        found.setdefault((int(tokens.text[here[a]]), int(item[a])), []).append((int(inside[0]), len(inside), same))
         out = []
         for (text, item), spans in sorted(found.items()):
             n = min(sum(s[1] for s in spans), int(self.count[item]))
@@ -162,20 +171,27 @@ class TemplateIndex:
         """None unless all tokens agree, values included."""
         return True if np.array_equal(tokens.exact[here : here + length], self.tokens.exact[there : there + length]) else None
 
-    def _consistent(self, tokens: Tokens, here: int, there: int, length: int) -> bool | None:
-        """None unless words agree and slots map one to one by type; else whether all values are the same."""
+    def _consistent(self, tokens: Tokens, here: int, there: int, length: int) -> tuple[bool | None, list[int]]:
+        """Whether all values are the same, None if words or names disagree; and where numbers or units conflict.
+
+        From each conflict on, values are matched anew.
+        """
         mine, other = tokens.codes[here : here + length], self.tokens.codes[there : there + length]
         if len(mine) != len(other) or (mine != other).any():
-            return None
+            return None, []
+        names: dict[bytes, bytes] = {}
         ahead: dict[tuple[int, bytes], bytes] = {}
-        back: dict[tuple[int, bytes], bytes] = {}
-        same = True
+        same, cuts = True, []
         for i in np.flatnonzero(mine <= _UNIT).tolist():
             kind, x, y = int(mine[i]), self.tokens.value(there + i), tokens.value(here + i)
-            if ahead.setdefault((kind, x), y) != y or back.setdefault((kind, y), x) != x:
-                return None
+            if kind == _NAME:
+                if names.setdefault(x, y) != y:
+                    return None, []
+            elif ahead.setdefault((kind, x), y) != y:
+                ahead = {(kind, x): y}
+                cuts.append(i)
             same &= x == y
-        return same
+        return same, cuts
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
