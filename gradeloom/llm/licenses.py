@@ -3,6 +3,8 @@
 Words are runs of A-Z (lower-cased), 0-9 and bytes beyond ASCII.  The whole text, each paragraph (parted by empty
 lines) and each line are compared with licence templates: twice the common distinct bigrams over the sum of both
 numbers of distinct bigrams.  Only templates whose size can reach the threshold with the unit's are compared.
+Runs of adjoining lines, over paragraphs too, are compared where no text or paragraph matches, and must score more than
+any matching line in them: the best ones that do not overlap count as units of the kind ``run``.
 
 Cases: null, empty and one-word texts match nothing; a text that is one line is compared once, as a text; a text that
 matches nothing gives a row with null licence and score 0; ties go to the template, then the unit kind, that sorts
@@ -22,7 +24,7 @@ from . import rowbatch, wordhash
 #: As a fraction of whole numbers, so that scores at the threshold are told exactly.
 THRESHOLD = (4, 5)
 FOUND = "doc_id long, license string, score double, unit string, n_matches long"
-KINDS = ("line", "paragraph", "text")
+KINDS = ("line", "paragraph", "text", "run")
 #: Notices and texts of public licences.
 TEMPLATES = {
     "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -109,6 +111,7 @@ class Scanner:
             first = np.flatnonzero(heads)
             for k in within[2 * base * common[within] >= top * (a + b)[within]].tolist():
                 found.append((int(t[first[unit_of[k]]]), -float(score[k]), int(template[k]), kind, int(u[first[unit_of[k]]])))
+        found += self._runs(h, text, line, np.searchsorted(breaks, end), paragraph, hit, found)
         lines = np.bincount(np.searchsorted(offsets, breaks, "right") - 1, minlength=len(offsets) - 1) if len(breaks) else np.zeros(len(offsets) - 1, np.int64)
         out: dict[int, tuple] = {}
         units: dict[int, set] = {}
@@ -119,6 +122,69 @@ class Scanner:
             units.setdefault(text_no, set()).add((kind, unit))
         return [(k, v[0], v[1], v[2], len(units[k])) for k, v in sorted(out.items())]
 
+    def _runs(self, h: np.ndarray, text: np.ndarray, line: np.ndarray, last: np.ndarray, paragraph: np.ndarray, hit: np.ndarray, found: list[tuple]) -> list[tuple]:
+        """Matches of runs of two adjoining lines or more, outside matching texts and paragraphs."""
+        top, base = self.threshold
+        at = np.flatnonzero(hit)
+        low, high = np.searchsorted(self.keys, h[at]), np.searchsorted(self.keys, h[at], "right")
+        m = high - low
+        which = self.which[np.repeat(low - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+        pairs = np.unique(np.rec.fromarrays([np.repeat(text[at], m), which, np.repeat(h[at], m)]))
+        held, common = np.unique(np.rec.fromarrays([pairs.f0, pairs.f1]), return_counts=True)
+        enough = common * (2 * base - top) >= top * self.size[held.f1]
+        matched: dict[int, list[tuple[int, int]]] = {}
+        bars: dict[tuple[int, int], float] = {}
+        for text_no, score, _, kind, unit in found:
+            if kind:
+                matched.setdefault(text_no, []).append((kind, unit))
+            else:
+                bars[text_no, unit] = max(bars.get((text_no, unit), 0.0), -score)
+        runs: dict[int, list[tuple[float, int, int, int]]] = {}
+        for text_no, template in zip(held.f0[enough].tolist(), held.f1[enough].tolist()):
+            a, b = np.searchsorted(text, text_no), np.searchsorted(text, text_no, "right")
+            taken = np.zeros(b - a, bool)
+            for kind, unit in matched.get(text_no, []):
+                taken |= (kind == 2) | (paragraph[a:b] == unit)
+            if taken.all() or line[a] == last[b - 1]:
+                continue
+            known = set(self.keys[self.which == template].tolist())
+            grams, begins, ends, size = h[a:b].tolist(), line[a:b].tolist(), last[a:b].tolist(), len(known)
+            # A run may not touch a taken line, whether it begins or ends there.
+            shut = set(line[a:b][taken].tolist())
+            first: dict[int, int] = {}
+            mine = {begins[i] for i in range(b - a) if grams[i] in known}
+            for i, x in enumerate(begins):
+                if x in mine:
+                    first.setdefault(x, i)
+            for start, i in first.items():
+                seen: set[int] = set()
+                n, best, bar = 0, None, 0.0
+                while i < len(grams) and begins[i] not in shut and ends[i] not in shut:
+                    if grams[i] not in seen:
+                        seen.add(grams[i])
+                        n += grams[i] in known
+                        if len(seen) * top > (2 * base - top) * size:
+                            break
+                    bar = max(bar, bars.get((text_no, begins[i]), 0.0), bars.get((text_no, ends[i]), 0.0))
+                    whole = i + 1 == len(grams) or ends[i + 1] > ends[i]
+                    if whole and ends[i] > start and 2 * base * n >= top * (len(seen) + size):
+                        score = 2.0 * n / (len(seen) + size)
+                        if score > bar:
+                            best = max(best or (0.0, 0), (score, -ends[i]))
+                    if whole and n == size:
+                        break
+                    i += 1
+                if best:
+                    runs.setdefault(text_no, []).append((-best[0], template, start, -best[1]))
+        out = []
+        for text_no, some in runs.items():
+            kept: list[tuple[int, int]] = []
+            for score, template, start, end in sorted(some):
+                if all(end < s or start > e for s, e in kept):
+                    kept.append((start, end))
+                    out.append((text_no, score, template, 3, start))
+        return out
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """A row a document: the best licence, its score and kind of unit, and the number of units with a match."""
