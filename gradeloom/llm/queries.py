@@ -121,6 +121,44 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_OTHER = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]*"
+_UNITS = ", ".join(f"'{u}'" for u in templates.UNITS)
+#: Tokens with their codes, windows by key, and the map of values that the matches of a document and item agree on.
+OP4_SQL = rf"""
+WITH t AS (
+  SELECT 'd' AS src, doc_id AS id, row_number() OVER () AS r, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'b', item_id, row_number() OVER (), text FROM benchmark WHERE text IS NOT NULL
+), p AS (SELECT src, id, r, regexp_extract_all(text, '{_OTHER}(?:[0-9]+(?:[.,][0-9]+)*|[A-Za-z\x{{80}}-\x{{10FFFF}}]+)') AS ps FROM t),
+q AS (SELECT src, id, r, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM p),
+s AS (SELECT src, id, r, i, regexp_extract(piece, '^{_OTHER}') AS sep, regexp_replace(piece, '^{_OTHER}', '') AS raw FROM q),
+k AS (SELECT *, regexp_matches(raw, '^[0-9]') AS number, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM s),
+c AS (
+  SELECT src, id, r, i, word, CASE WHEN number THEN '#1' WHEN coalesce(lag(number) OVER (PARTITION BY src, r ORDER BY i), false) AND word IN ({_UNITS}) THEN '#3'
+    WHEN regexp_matches(raw, '^[A-Z\x{{C0}}-\x{{DE}}]') AND i > 1 AND NOT regexp_matches(sep, '[\n!.?]') THEN '#2' ELSE word END AS code FROM k
+), l AS (SELECT src, id, r, list(code ORDER BY i) AS codes, list(word ORDER BY i) AS words FROM c GROUP BY 1, 2, 3),
+sized AS (
+  SELECT *, least(8, len(codes)) AS size FROM l WHERE src = 'b' AND len(codes) >= 4
+  UNION ALL SELECT l.*, z.size FROM l, (SELECT DISTINCT least(8, len(codes)) AS size FROM l WHERE src = 'b' AND len(codes) >= 4) z WHERE src = 'd' AND len(codes) >= z.size
+), w AS (SELECT src, id, r, size, unnest(range(1, len(codes) - size + 2)) AS pos, codes, words FROM sized),
+v AS (SELECT src, id, r, size, pos, codes[pos:pos + size - 1] AS cs, words[pos:pos + size - 1] AS ws FROM w),
+x AS (SELECT *, len(list_filter(cs, lambda e: e[1] != '#')) >= CASE WHEN size = 8 THEN 5 ELSE 4 END AS plain FROM v),
+y AS (SELECT *, CASE WHEN plain THEN 'T ' || array_to_string(cs, ' ') ELSE 'V ' || array_to_string(ws, ' ') END AS key FROM x),
+n AS (SELECT r, count(DISTINCT key) AS item_windows FROM y WHERE src = 'b' GROUP BY r),
+m AS (SELECT d.r AS drow, d.id AS doc_id, b.r AS brow, b.id AS item_id, d.key, d.pos AS here, d.pos - b.pos AS shift, d.plain, d.size, d.cs, b.ws AS xs, d.ws AS ys FROM y d JOIN y b ON d.src = 'd' AND b.src = 'b' AND d.key = b.key),
+e AS (SELECT * EXCLUDE (cs, xs, ys, plain, size), unnest(range(1, size + 1)) AS j, unnest(cs) AS code, unnest(xs) AS xv, unnest(ys) AS yv, plain FROM m),
+o AS (SELECT * EXCLUDE (code, xv, yv, plain), CASE WHEN slot THEN code END AS kind, CASE WHEN slot THEN xv END AS x, CASE WHEN slot THEN yv END AS y FROM (SELECT *, plain AND code[1] = '#' AS slot FROM e)),
+t1 AS (SELECT *, coalesce(kind = '#2' AND min(y) OVER g != max(y) OVER g, false) AS torn FROM o WINDOW g AS (PARTITION BY drow, brow, shift, kind, x)),
+t2 AS (SELECT *, bool_or(torn) OVER g AS bad, count(*) FILTER (j = 1) OVER g AS n_aligned FROM t1 WINDOW g AS (PARTITION BY drow, brow, shift)),
+t3 AS (SELECT *, dense_rank() OVER (PARTITION BY drow, brow ORDER BY n_aligned DESC, shift) AS place FROM t2 WHERE NOT bad),
+t4 AS (SELECT *, count(*) OVER g AS support, min(here * 8 + j) OVER g AS seen FROM t3 WINDOW g AS (PARTITION BY drow, brow, kind, x, place, y)),
+t5 AS (SELECT *, kind IS NULL OR y = first_value(y) OVER (PARTITION BY drow, brow, kind, x ORDER BY place, support DESC, seen) AS agrees FROM t4),
+a AS (SELECT drow, brow, doc_id, item_id, key, here, shift, bool_and(agrees) AS agrees, bool_and(coalesce(x = y, true)) AS same FROM t5 GROUP BY ALL),
+f AS (SELECT drow, brow, doc_id, item_id, count(DISTINCT key) AS n_windows, min(here) - 1 AS first_token, bool_and(same) AS same FROM a WHERE agrees GROUP BY ALL)
+SELECT doc_id, item_id, n_windows, item_windows, first_token, CASE WHEN same THEN 'verbatim' ELSE 'reparameterised' END AS kind
+FROM f JOIN n ON n.r = f.brow WHERE n_windows >= 6 OR 2 * n_windows >= item_windows
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linechunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -189,4 +227,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_spans": OP2_SQL, "op3_licenses": OP3_SQL, "op5_line_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op8_warc": OP8_SQL, "op9_shingle_join": OP9_SQL}
+ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_spans": OP2_SQL, "op3_licenses": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op8_warc": OP8_SQL, "op9_shingle_join": OP9_SQL}

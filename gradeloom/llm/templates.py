@@ -1,17 +1,21 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become tokens: numbers, names (capitalised inside a sentence) and units (after a number) turn into typed
-placeholders, all else into lower-cased words.  Windows of eight tokens, five of them words, are hash-joined with
-those of the benchmark.  Adjoining matches of one item form a span, and a span counts if its slots are consistent:
-within a type, each value of the item stands for one value of the document.  A number or unit that conflicts cuts the
-span, and its parts count each; a name that conflicts discards it, for it tells another question.  So a question with
-other numbers, names or units is found, while texts of like grammar are not.  A document leaks an item if its
-consistent spans cover half of the item's windows, or six of them.  An item of eight tokens or more whose windows all
-have too few words (sums, tables, lists of names) is searched by its windows of any tokens, with equal values.
-
-Cases: null, empty and short texts leak nothing; a benchmark item shorter than a window is one window if it has four
-words, else it is ignored; null item texts are ignored; repeated rows and ties are judged each; empty tables on either
-side leak nothing; further columns are ignored, or pass through ``drop_leaks``.
+placeholders, all else into lower-cased words.  Every window of eight tokens has one key: its placeholders and words if
+five tokens or more are words, else its tokens with their values.  Windows of documents and of benchmark items meet in
+a hash join on the key, and each slot of a match says that a value of the item stands for a value of the document.
+
+Matches of one document and item with equal distance of their places are an alignment.  One in which a name stands for
+two names tells another question and is dropped.  Over the others one map of values holds: a value stands for what the
+alignment with the most windows says, there the most frequent (ties: the alignment further to the left, the value seen
+first).  Matches that contradict the map don't count.  A document leaks an item if what is left holds half of the item's
+different windows, or six of them.  So a question with other numbers, names or units is found, while texts of like
+grammar are not.
+
+Cases: null, empty and short texts leak nothing; an item of four to seven tokens is one window, with placeholders if
+four tokens are words; items of fewer tokens and null item texts are ignored; repeated rows and ties are judged each,
+also when they share a doc_id; empty tables on either side leak nothing; further columns are ignored, or pass through
+``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import rowbatch, wordhash
+from . import rowbatch, shared, wordhash
 
-WINDOW, LEAST_WORDS, LEAST_SHORT, ENOUGH_WINDOWS, ENOUGH_PART = 8, 5, 4, 6, 0.5
-#: Benchmark text bytes that are broadcast at once; a larger benchmark goes over the documents in blocks.
-BLOCK_BYTES = 8 << 20
-LEAKS = "doc_id long, item_id long, n_windows long, item_windows long, first_token long, kind string"
+WINDOW, LEAST_WORDS, LEAST_SHORT, ENOUGH_WINDOWS = 8, 5, 4, 6
+#: The filter that goes to all tasks has 2**SKETCH_BITS bits, whatever the size of the benchmark: 2 MB.
+SKETCH_BITS = 24
+ITEMS = "item long, item_id long, item_windows long, size int, there int, hash long, kinds array<tinyint>, x array<long>"
+CANDIDATES = "row long, doc_id long, mark long, hash long, here int, y array<long>"
 #: Units that follow numbers.
 UNITS = """
 mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles nm
@@ -39,6 +45,7 @@ usd eur gbp vnd dollar dollars euro euros cent cents đồng
 kmh mph kwh w kw v hz khz mhz ghz kb mb gb tb degrees degree percent
 """.split()
 _NUM, _NAME, _UNIT = np.uint64(1), np.uint64(2), np.uint64(3)
+_VALUES = np.uint64(0x9E3779B97F4A7C15)
 _WORD, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
 _DIGIT[48:58] = True
 _WORD[65:91] = _WORD[97:123] = True
@@ -52,10 +59,9 @@ def _unit_hashes() -> np.ndarray:
 
 
 class Tokens:
-    """Tokens of texts one after another: starts, ends, text numbers and codes (placeholders 1 to 3, words hashed)."""
+    """Tokens of texts one after another: starts, ends, text numbers, codes (placeholders 1 to 3, words hashed), values hashed."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        self.data = data
         digit = _DIGIT[data]
         kind = np.where(digit, 2, np.where(_WORD[data], 1, 0)).astype(np.int8)
         if len(data) > 2:  # a point or comma between digits belongs to the number
@@ -74,174 +80,131 @@ class Tokens:
         opens = np.ones(len(self.starts), bool)
         opens[1:] = (self.text[1:] != self.text[:-1]) | (stops[self.starts[1:]] > stops[self.ends[:-1]])
         self.codes = wordhash.ranges(data, self.starts, self.ends, fold=True) | np.uint64(4)
-        self.exact = self.codes.copy()
+        self.values = self.codes.copy()
         units = np.zeros(len(number), bool)
         units[1:] = number[:-1] & (self.text[1:] == self.text[:-1]) & ~number[1:]
         at = np.flatnonzero(units)
-        known = _unit_hashes() | np.uint64(4)
-        units[at] = np.isin(self.codes[at], known)
+        units[at] = np.isin(self.codes[at], _unit_hashes() | np.uint64(4))
         self.codes[capital & ~opens & ~number] = _NAME
         self.codes[units] = _UNIT
         self.codes[number] = _NUM
-
-    def windows(self, size: int, least: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and first tokens of the windows with enough words; ``exact``: of all, hashed with their values."""
-        h, at = wordhash.grams(self.exact if exact else self.codes, self.text, size)
-        if exact:
-            return h, at
-        words = np.concatenate([[0], np.cumsum(self.codes > _UNIT)])
-        ok = words[at + size] - words[at] >= least
-        return h[ok], at[ok]
-
-    def value(self, i: int) -> bytes:
-        return self.data[self.starts[i] : self.ends[i]].tobytes()
-
-
-class TemplateIndex:
-    """The windows of one block of benchmark items, by size and whether they are exact."""
-
-    def __init__(self, items: list[tuple[int | None, str]]) -> None:
-        raw = [t.encode("utf-8") for _, t in items]
-        self.ids = [i for i, _ in items]
-        self.tokens = Tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-        held = np.bincount(self.tokens.text, minlength=len(items))
-        self.first = np.cumsum(held) - held
-        self.sizes: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
-        self.count = np.zeros(len(items), np.int64)
-        for size in sorted({min(WINDOW, n) for n in held.tolist() if n >= LEAST_SHORT}):
-            h, at = self.tokens.windows(size, LEAST_WORDS if size == WINDOW else LEAST_SHORT)
-            mine = np.minimum(held[self.tokens.text[at]], WINDOW) == size
-            h, at = h[mine], at[mine]
-            self.count += np.bincount(self.tokens.text[at], minlength=len(items))
-            order = np.argsort(h, kind="stable")
-            self.sizes[size, False] = h[order], at[order]
-        wordless = (held >= WINDOW) & (self.count == 0)
-        if wordless.any():
-            h, at = self.tokens.windows(WINDOW, 0, exact=True)
-            mine = wordless[self.tokens.text[at]]
-            h, at = h[mine], at[mine]
-            self.count += np.bincount(self.tokens.text[at], minlength=len(items))
-            order = np.argsort(h, kind="stable")
-            self.sizes[WINDOW, True] = h[order], at[order]
-        self.seen = {key: _bits(h) for key, (h, _) in self.sizes.items()}
-
-    def leaks(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, str]]:
-        """(text, item, windows, first token in the text, kind) of every leak, in order of texts and items."""
-        tokens = Tokens(data, offsets)
-        text_first = np.searchsorted(tokens.text, np.arange(len(offsets)))
-        found: dict[tuple[int, int], list[tuple[int, int, bool]]] = {}
-        for (size, exact), (keys, places) in self.sizes.items():
-            h, at = tokens.windows(size, LEAST_WORDS if size == WINDOW else LEAST_SHORT, exact)
-            seen = self.seen[size, exact]
-            near = seen[h & np.uint64(len(seen) - 1)]
-            h, at = h[near], at[near]
-            lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
-            n = hi - lo
-            which = np.repeat(np.arange(len(h)), n)
-            there = places[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            here = at[which]
-            item = self.tokens.text[there]
-            shift = here - there
-            order = np.lexsort((here, shift, item))
-            here, there, item, shift = here[order], there[order], item[order], shift[order]
-            new = np.ones(len(here), bool)
-            new[1:] = (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (here[1:] > here[:-1] + size) | (tokens.text[here[1:]] != tokens.text[here[:-1]])
-            edges = [*np.flatnonzero(new).tolist(), len(here)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                length = int(here[b - 1] - here[a]) + size
-                if exact:
-                    same, cuts = self._equal(tokens, int(here[a]), int(there[a]), length), []
-                else:
-                    same, cuts = self._consistent(tokens, int(here[a]), int(there[a]), length)
-                if same is None:
-                    continue
-                bounds = int(here[a]) + np.array([0, *cuts, length])
-                for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    inside = here[a:b][(here[a:b] >= start) & (here[a:b] + size <= end)]
-                    if len(inside):
-                        found.setdefault((int(tokens.text[here[a]]), int(item[a])), []).append((int(inside[0]), len(inside), same))
-        out = []
-        for (text, item), spans in sorted(found.items()):
-            n = min(sum(s[1] for s in spans), int(self.count[item]))
-            if n >= ENOUGH_WINDOWS or n >= ENOUGH_PART * self.count[item]:
-                out.append((text, item, n, min(s[0] for s in spans) - int(text_first[text]), "verbatim" if all(s[2] for s in spans) else "reparameterised"))
-        return out
-
-    def _equal(self, tokens: Tokens, here: int, there: int, length: int) -> bool | None:
-        """None unless all tokens agree, values included."""
-        return True if np.array_equal(tokens.exact[here : here + length], self.tokens.exact[there : there + length]) else None
-
-    def _consistent(self, tokens: Tokens, here: int, there: int, length: int) -> tuple[bool | None, list[int]]:
-        """Whether all values are the same, None if words or names disagree; and where numbers or units conflict.
-
-        From each conflict on, values are matched anew.
-        """
-        mine, other = tokens.codes[here : here + length], self.tokens.codes[there : there + length]
-        if len(mine) != len(other) or (mine != other).any():
-            return None, []
-        names: dict[bytes, bytes] = {}
-        ahead: dict[tuple[int, bytes], bytes] = {}
-        same, cuts = True, []
-        for i in np.flatnonzero(mine <= _UNIT).tolist():
-            kind, x, y = int(mine[i]), self.tokens.value(there + i), tokens.value(here + i)
-            if kind == _NAME:
-                if names.setdefault(x, y) != y:
-                    return None, []
-            elif ahead.setdefault((kind, x), y) != y:
-                ahead = {(kind, x): y}
-                cuts.append(i)
-            same &= x == y
-        return same, cuts
-
-
-def _bits(h: np.ndarray) -> np.ndarray:
-    """A table that is true at the low bits of every hash."""
-    out = np.zeros(1 << max(16, int(len(h)).bit_length() + 4), bool)
-    out[h & np.uint64(len(out) - 1)] = True
+        self.words = np.concatenate([[0], np.cumsum(self.codes > _UNIT)])
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key and first token of each window, and whether it has placeholders (else values)."""
+        h, at = wordhash.grams(self.codes, self.text, size)
+        plain = self.words[at + size] - self.words[at] >= (LEAST_WORDS if size == WINDOW else LEAST_SHORT)
+        exact, _ = wordhash.grams(self.values, self.text, size)
+        return wordhash.scramble(np.where(plain, h, exact ^ _VALUES) + np.uint64(size)), at, plain
+
+    def slots(self, at: np.ndarray, plain: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List offsets, kinds and values of the slots of windows; windows of values have none."""
+        place = at[:, None] + np.arange(size)
+        slot = (self.codes[place] <= _UNIT) & plain[:, None]
+        place = place[slot]
+        return np.append(0, np.cumsum(slot.sum(axis=1))).astype(np.int32), self.codes[place].astype(np.int8), self.values[place].view(np.int64)
+
+
+def item_windows(bench: DataFrame) -> DataFrame:
+    """A row a window of the benchmark, with the number of its item's different windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rowbatch.small(batches, "text"):
+            tokens = Tokens(*rowbatch.text_bytes(batch.column("text")))
+            held = np.bincount(tokens.text, minlength=batch.num_rows)
+            first = np.cumsum(held) - held
+            for size in range(LEAST_SHORT, WINDOW + 1):
+                h, at, plain = tokens.windows(size)
+                mine = np.minimum(held[tokens.text[at]], WINDOW) == size
+                h, at, plain = h[mine], at[mine], plain[mine]
+                owner = tokens.text[at]
+                distinct = np.unique(np.rec.fromarrays([owner, h])).f0
+                offsets, kinds, values = tokens.slots(at, plain, size)
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("item").take(take), batch.column("item_id").take(take), pa.array(np.bincount(distinct, minlength=batch.num_rows)[owner]), pa.array(np.full(len(at), size, np.int32)),
+                     pa.array((at - first[owner]).astype(np.int32)), pa.array(h.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(kinds)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                    names=[f.split()[0] for f in ITEMS.split(", ")])
+
+    known = bench.where(F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long"), "text")
+    return known.mapInArrow(run, ITEMS)
+
+
+def sketch_of(items: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the low bits of each key: at most 2**bits / 64 words, however large the benchmark."""
+    low = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
+    words = items.groupBy(F.shiftright(low, 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(hash & 63 as int)))").alias("set"))
+    out = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
+    got = words.toArrow()
+    out[got.column("at").to_numpy()] = got.column("set").to_numpy().view(np.uint64)
     return out
 
 
-def blocks(bench: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
-    """The benchmark's items in blocks of about ``block_bytes`` of text, dealt by hash."""
-    known = bench.where(F.col("text").isNotNull()).select("item_id", "text")
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    for k in range(n):
-        rows = known if n == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r.item_id, r.text) for r in rows.orderBy("item_id", "text").collect()]
-
-
-def find_leaks(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each document and benchmark item that it leaks; no shuffle, a scan of the documents a block."""
-    spark, out = docs.sparkSession, None
-    for items in blocks(bench, block_bytes):
-        shared_index = spark.sparkContext.broadcast(TemplateIndex(items))
-
-        def run(batches: Iterator[pa.RecordBatch], shared_index=shared_index) -> Iterator[pa.RecordBatch]:
-            index = shared_index.value
-            for batch in rowbatch.small(batches, "text"):
-                found = index.leaks(*rowbatch.text_bytes(batch.column("text")))
-                if found:
-                    text, item, n, first, kind = zip(*found)
-                    columns = [batch.column("doc_id").take(pa.array(text)), pa.array([index.ids[i] for i in item], pa.int64()), pa.array(n, pa.int64()), pa.array([int(index.count[i]) for i in item], pa.int64()), pa.array(first, pa.int64()), pa.array(kind)]
-                    yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in LEAKS.split(", ")])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, LEAKS)
-        out = part if out is None else out.unionAll(part)
-    return spark.createDataFrame([], LEAKS) if out is None else out
-
-
-def drop_leaks(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the rows that leak an item; each block filters what the former left."""
-    out, names = docs, docs.columns
-    for items in blocks(bench, block_bytes):
-        shared_index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(items))
-
-        def run(batches: Iterator[pa.RecordBatch], shared_index=shared_index) -> Iterator[pa.RecordBatch]:
-            for batch in rowbatch.small(batches, "text"):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[x[0] for x in shared_index.value.leaks(*rowbatch.text_bytes(batch.column("text")))]] = False
-                yield batch.filter(pa.array(keep)).select(names)
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+def candidates(docs: DataFrame, sizes: list[int], sketch: np.ndarray) -> DataFrame:
+    """Windows of ``docs`` (row, doc_id, mark, text) that the filter lets pass, with the values of their slots."""
+    spread = docs.sparkSession.sparkContext.broadcast(sketch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = spread.value
+        for batch in rowbatch.small(batches, "text"):
+            tokens = Tokens(*rowbatch.text_bytes(batch.column("text")))
+            first = np.searchsorted(tokens.text, np.arange(batch.num_rows))
+            for size in sizes:
+                h, at, plain = tokens.windows(size)
+                near = (bits[(h >> np.uint64(6)) & np.uint64(len(bits) - 1)] >> (h & np.uint64(63))) & np.uint64(1) > 0
+                h, at, plain = h[near], at[near], plain[near]
+                offsets, _, values = tokens.slots(at, plain, size)
+                owner = tokens.text[at]
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(take) for c in ("row", "doc_id", "mark")), pa.array(h.view(np.int64)), pa.array((at - first[owner]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                    names=[f.split()[0] for f in CANDIDATES.split(", ")])
+
+    return docs.mapInArrow(run, CANDIDATES)
+
+
+def judged(matches: DataFrame) -> DataFrame:
+    """Leaks from matches: one deal by (document, item), which all windows and sums below share.
+
+    The rows of one document and item are bounded by their lengths.
+    """
+    pair = ["row", "item"]
+    slots = matches.repartition(*pair).select("*", (F.col("here") - F.col("there")).alias("shift"), F.posexplode_outer(F.arrays_zip("kinds", "x", "y")).alias("j", "s"))
+    slots = slots.select(*pair, "doc_id", "mark", "item_id", "item_windows", "hash", "here", "shift", F.coalesce("j", F.lit(0)).alias("j"), F.col("s.kinds").alias("kind"), F.col("s.x").alias("x"), F.col("s.y").alias("y"))
+    value, aligned = W.partitionBy(*pair, "shift", "kind", "x"), W.partitionBy(*pair, "shift")
+    torn = F.coalesce((F.col("kind") == int(_NAME)) & (F.min("y").over(value) != F.max("y").over(value)), F.lit(False))
+    whole = slots.withColumn("torn", torn).withColumn("torn", F.max("torn").over(aligned)).withColumn("size", F.count_if(F.col("j") == 0).over(aligned)).where("not torn")
+    said = W.partitionBy(*pair, "kind", "x", "rank", "y")
+    ranked = whole.withColumn("rank", F.dense_rank().over(W.partitionBy(*pair).orderBy(F.desc("size"), "shift")))
+    voted = ranked.withColumn("support", F.count("*").over(said)).withColumn("seen", F.min(F.col("here").cast("long") * WINDOW + F.col("j")).over(said))
+    best = F.first("y").over(W.partitionBy(*pair, "kind", "x").orderBy("rank", F.desc("support"), "seen"))
+    about = [*pair, "doc_id", "mark", "item_id", "item_windows"]
+    agreed = voted.withColumn("agrees", F.coalesce(F.col("y") == best, F.lit(True))).groupBy(*about, "hash", "here", "shift").agg(F.min("agrees").alias("agrees"), F.min(F.coalesce(F.col("x") == F.col("y"), F.lit(True))).alias("same"))
+    different = agreed.where("agrees").groupBy(*about, "hash").agg(F.min("here").alias("here"), F.min("same").alias("same"))
+    counted = different.groupBy(*about).agg(F.count("*").alias("n_windows"), F.min("here").cast("long").alias("first_token"), F.min("same").alias("same"))
+    enough = (F.col("n_windows") >= ENOUGH_WINDOWS) | (2 * F.col("n_windows") >= F.col("item_windows"))
+    return counted.where(enough).select("doc_id", "mark", "item_id", "n_windows", "item_windows", "first_token", F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"))
+
+
+def leak_rows(docs: DataFrame, bench: DataFrame, bits: int) -> DataFrame:
+    """Leaks of ``docs`` with ``mark``, a hash of the text: one scan of the documents, and shuffles of matches only.
+
+    The keys of the benchmark are a saved table, so that the join broadcasts it by its real size or else shuffles both
+    sides.  Its filter is of one size and lets all pass when it is full; it decides nothing.
+    """
+    items = shared.saved(item_windows(bench), "templates")
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
+    rows = docs.where(F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
+    near = candidates(rows, sizes, sketch_of(items, bits))
+    return judged(shared.saved(near.join(items, "hash"), "template-matches"))
+
+
+def find_leaks(docs: DataFrame, bench: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """A row for each document and benchmark item that it leaks."""
+    return leak_rows(docs, bench, bits).drop("mark")
+
+
+def drop_leaks(docs: DataFrame, bench: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """``docs`` without the rows that leak an item: those of equal doc_id and text share their fate."""
+    gone = shared.saved(leak_rows(docs, bench, bits).select(F.col("doc_id").alias("__leak_id"), F.col("mark").alias("__leak_mark")).distinct(), "leaks")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__leak_id")) & (F.xxhash64("text") == F.col("__leak_mark")), "left_anti")
