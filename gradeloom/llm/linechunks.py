@@ -1,11 +1,12 @@
 """Line dedup by content-defined chunks, in DataFrame functions only.
 
-A rolling hash over the hashes of three successive lines ends a chunk after each line where it is 0 modulo
-``MEAN_LINES``, so boundaries depend on nearby lines alone and survive shifts.  A chunk of two lines or more that
-occurs again anywhere is removed everywhere but at its first place (lowest doc_id, then position), after its bytes
-have been compared with those of the first.
+A rolling hash runs over the hashes of two successive lines.  In each of ``PHASES`` gradings a chunk ends after each
+line where the hash's part for that grading is even, so boundaries depend on nearby lines alone and survive shifts, and
+a passage of few lines has in one grading or another a chunk that lies inside it.  A chunk of two lines or more that
+occurs again anywhere, in any grading, is removed everywhere but at its first place (lowest doc_id, then position),
+after its bytes have been compared with those of the first.  Lines go that any such chunk covers.
 
-Cases: a null text stays null; an empty text is one empty line and stays; a document all of whose chunks go keeps an
+Cases: a null text stays null; an empty text is one empty line and stays; a document all of whose lines go keeps an
 empty text; null doc_ids come after all others; rows that repeat a doc_id and its text are one document and share its
 fate; an empty table gives an empty table; further columns pass through, whatever their names.
 """
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-MEAN_LINES, LEAST_LINES = 4, 2
+#: Gradings, bits between their parts of the hash, and lines of the smallest chunk.
+PHASES, STRIDE, LEAST_LINES = 6, 5, 2
 _TEXT, _KEY, _CHUNKS = "__text", "__key", "__cuts"
 
 
@@ -32,21 +34,18 @@ def key_of(doc_id: str, text: str) -> Column:
 
 
 def chunk_bounds(docs: DataFrame) -> DataFrame:
-    """``docs`` (key, text) with ``at``: (start, n) of every chunk, in lines.
+    """``docs`` (key, text) with ``at``: the different (start, n) of all chunks of two lines or more, in lines.
 
     Arrays that lambdas index are columns with several uses, which Catalyst doesn't inline into the lambdas.
     """
     lines = docs.select(_KEY, F.split(_TEXT, "\n", -1).alias("lines"))
-    hashed = lines.select(_KEY, "lines", F.transform("lines", line_hash).alias("lh"))
-    ended = hashed.select(
-        _KEY, "lines",
-        F.filter(
-            F.transform("lh", lambda x, i: F.when((x + 31 * F.coalesce(F.get("lh", i - 1), F.lit(0)) + 961 * F.coalesce(F.get("lh", i - 2), F.lit(0))) % MEAN_LINES == 0, i + 1)),
-            lambda e: e.isNotNull() & (e < F.size("lh")),
-        ).alias("ends"),
-    )
-    edged = ended.select(_KEY, "lines", F.concat(F.array(F.lit(0)), "ends").alias("b"), F.concat("ends", F.array(F.size("lines"))).alias("e"))
-    return edged.select(_KEY, "lines", F.zip_with("b", "e", lambda b, e: F.struct(b.alias("start"), (e - b).alias("n"))).alias("at"))
+    hashed = lines.where(F.size("lines") >= LEAST_LINES).select(_KEY, "lines", F.transform("lines", line_hash).alias("lh"))
+    rolled = hashed.select(_KEY, "lines", F.transform("lh", lambda x, i: x + 31 * F.coalesce(F.get("lh", i - 1), F.lit(0))).alias("r"))
+    ends = lambda p: F.filter(F.transform("r", lambda x, i: F.when(F.shiftright(x, STRIDE * p) % 2 == 0, i + 1)), lambda e: e.isNotNull() & (e < F.size("lines")))
+    ended = rolled.select(_KEY, "lines", *(ends(p).alias(f"e{p}") for p in range(PHASES)))
+    zero, size = F.array(F.lit(0)), F.array(F.size("lines"))
+    cut = lambda p: F.zip_with(F.concat(zero, f"e{p}"), F.concat(f"e{p}", size), lambda b, e: F.struct(b.alias("start"), (e - b).alias("n")))
+    return ended.select(_KEY, "lines", F.array_distinct(F.filter(F.concat(*(cut(p) for p in range(PHASES))), lambda c: c["n"] >= LEAST_LINES)).alias("at"))
 
 
 def chunk_text(lines: Column, chunk: Column) -> Column:
@@ -55,7 +54,7 @@ def chunk_text(lines: Column, chunk: Column) -> Column:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """A row a document with repeated chunks: key, and (start, n, hash, whether first) of each, by start."""
-    found = chunk_bounds(docs).select(_KEY, "lines", F.explode(F.filter("at", lambda c: c["n"] >= LEAST_LINES)).alias("c"))
+    found = chunk_bounds(docs).select(_KEY, "lines", F.explode("at").alias("c"))
     chunks = found.select(_KEY, F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(chunk_text(F.col("lines"), F.col("c"))).alias("hash"))
     again = chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(F.struct(_KEY, "start")).alias("first")).where("times > 1")
     spots = chunks.join(shared.dealt(again), "hash").select(_KEY, F.struct("start", "n", "hash", (F.struct(_KEY, "start") == F.col("first")).alias("is_first")).alias("s"))
@@ -85,9 +84,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     else:
         cuts = marked.join(unequal, _KEY, "left").select("row", F.filter(F.coalesce(_CHUNKS, F.array()), lambda c: ~c["is_first"] & ~F.array_contains(F.coalesce("unequal", F.array().cast("array<int>")), c["start"])).alias("cut"))
 
-    split = cuts.select("row", "cut", F.split(f"row.{text}", "\n", -1).alias("lines"))
-    ends = split.select("row", "cut", "lines", F.concat(F.array(F.lit(0)), F.transform("cut", lambda c: c["start"] + c["n"])).alias("b"), F.concat(F.transform("cut", lambda c: c["start"]), F.array(F.size("lines"))).alias("e"))
-    kept = F.array_join(F.flatten(F.zip_with("b", "e", lambda b, e: F.slice(F.col("lines"), b + 1, e - b))), "\n")
-    gone = F.aggregate("cut", F.lit(0), lambda a, c: a + c["n"]).cast("long")
+    gone = F.array_distinct(F.flatten(F.transform("cut", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
+    split = cuts.select("row", F.when(F.size("cut") > 0, F.split(f"row.{text}", "\n", -1)).alias("lines"), F.when(F.size("cut") > 0, gone).alias("gone"))
+    left = split.select("row", "lines", "gone", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone").alias("left"))
+    kept = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
     whole = F.col(f"row.{text}")
-    return ends.select(*(F.when(F.size("cut") == 0, whole).otherwise(kept).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names), gone.alias("n_lines_cut"))
+    count = F.coalesce(F.size("lines") - F.size("left"), F.lit(0)).cast("long")
+    return left.select(*(F.when(F.col("gone").isNull(), whole).otherwise(kept).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names), count.alias("n_lines_cut"))

@@ -1,11 +1,12 @@
 """Quality rules: base text measures, and lines that too many documents of a host share.
 
-Lines are normalised (words joined by one blank, A-Z lower-cased), hashed, and counted per host over documents of
-different text.  A line found in more than ``line_limit`` of them is dropped; a document that keeps less than
+Lines are normalised (words joined by one blank, A-Z lower-cased), hashed, and counted per host over its different
+documents.  A line found in more than ``line_limit`` of them is dropped; a document that keeps less than
 ``least_left`` of its words, or fewer than ``least_words``, is depleted and rejected.
 
 Cases: a null text has no words, so it fails the base rules; a null host is a host of its own; rows that repeat are
-judged each, and copies of one text count as one document; a text with no line above the limits loses nothing; an
+judged each, and rows of one doc_id count as one document (each row without one as its own), while copies under other
+doc_ids count each; a text with no line above the limits loses nothing; an
 empty table gives an empty table; further columns are ignored.  Words are runs of bytes other than space, tab, newline,
 vertical tab, form feed and carriage return.
 """
@@ -23,7 +24,7 @@ from . import rowbatch, shared, wordhash
 
 LINE_LIMIT, LEAST_LEFT, LEAST_WORDS, WINDOW = 100, 0.5, 50, 3
 SYMBOLS = b"#*$%&|<>"
-FEATURES = "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hashes array<long>, line_words array<long>"
+FEATURES = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hashes array<long>, line_words array<long>"
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -89,7 +90,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def features(docs: DataFrame, host_col: str = "source") -> DataFrame:
     """Base measures and distinct normalised lines (hash, words in all its copies) of every document."""
-    source = docs.select("doc_id", "text", F.col(host_col).alias("host"), F.xxhash64("text").alias("text_hash"))
+    source = docs.select("doc_id", "text", F.col(host_col).alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rowbatch.small(batches, "text"):
@@ -104,7 +105,7 @@ def features(docs: DataFrame, host_col: str = "source") -> DataFrame:
             edges = np.flatnonzero(new)
             total = np.add.reduceat(words, edges) if len(edges) else words
             ends = pa.array(np.append(0, np.cumsum(np.bincount(text[edges], minlength=n))).astype(np.int32))
-            columns = [batch.column("doc_id"), batch.column("host"), batch.column("text_hash")]
+            columns = [batch.column("doc_id"), batch.column("host")]
             columns += [pa.array(got[c].astype(np.int64)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             columns += [pa.ListArray.from_arrays(ends, pa.array(line[edges].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(total.astype(np.int64)))]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in FEATURES.split(", ")])
@@ -120,8 +121,9 @@ def verdicts(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: float =
     adaptive execution splits.
     """
     known = shared.saved(features(docs, host_col).withColumn("row", F.monotonically_increasing_id()), "quality-features")
-    lines = known.select("row", "host", "text_hash", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l")).select("row", "host", "text_hash", F.col("l.line_hashes").alias("line"), F.col("l.line_words").alias("words"))
-    common = lines.select("host", "line", "text_hash").distinct().groupBy("host", "line").count().where(F.col("count") > line_limit).select(F.col("host").alias("h"), F.col("line").alias("l"))
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")).alias("row")).alias("document")
+    lines = known.select("row", "host", document, F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l")).select("row", "host", "document", F.col("l.line_hashes").alias("line"), F.col("l.line_words").alias("words"))
+    common = lines.select("host", "line", "document").distinct().groupBy("host", "line").count().where(F.col("count") > line_limit).select(F.col("host").alias("h"), F.col("line").alias("l"))
     cut = lines.join(shared.dealt(common), (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))).groupBy("row").agg(F.sum("words").alias("cut"), F.count("*").alias("n_lines_cut"))
     left = F.col("n_words") - F.coalesce("cut", F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -84,7 +84,10 @@ e AS (SELECT *, regexp_extract(tok, '^[^\x20\x09-\x0D]+') AS word FROM w),
 s AS (SELECT *, coalesce(sum((contains(tok, chr(10)) OR regexp_matches(word, '[.!?]["'')\]}]?$'))::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM e),
 g AS (SELECT doc_id, sent, string_agg(tok, '' ORDER BY i) AS body, string_agg(word, ' ' ORDER BY i) AS ws, count(*) AS n FROM s GROUP BY 1, 2),
 l AS (SELECT doc_id, sent, ws, n, lead(ws, 1) OVER o AS ws1, lead(n, 1) OVER o AS n1, lead(ws, 2) OVER o AS ws2, lead(n, 2) OVER o AS n2 FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY sent)),
-sp AS (SELECT doc_id, sent, 3 AS k, ws || ' ' || ws1 || ' ' || ws2 AS h FROM l WHERE n + n1 + n2 >= 8 UNION ALL SELECT doc_id, sent, 2, ws || ' ' || ws1 FROM l WHERE n + n1 >= 20),
+sp AS (
+  SELECT doc_id, sent, 3 AS k, ws || ' ' || ws1 || ' ' || ws2 AS h FROM l WHERE n2 IS NOT NULL
+  UNION ALL SELECT doc_id, sent, 2, ws || ' ' || ws1 FROM l WHERE n + n1 >= 20 UNION ALL SELECT doc_id, sent, 1, ws FROM l WHERE n >= 50
+),
 r AS (SELECT *, row_number() OVER (PARTITION BY k, h ORDER BY doc_id, sent) > 1 AS again FROM sp),
 cut AS (SELECT DISTINCT doc_id, sent + j AS sent FROM r, (SELECT unnest([0, 1, 2]) AS j) WHERE again AND j < k),
 k AS (SELECT doc_id, string_agg(body, '' ORDER BY sent) FILTER (cut.sent IS NULL) AS rest, count(cut.sent) AS n_cut FROM g LEFT JOIN cut USING (doc_id, sent) GROUP BY doc_id)
@@ -163,15 +166,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linechunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: Rows of the documents with their repeated chunks gone.
-OP5_SQL = """
+#: Rows of the documents without the lines that repeated chunks of any grading cover.
+OP5_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS x FROM l),
-r AS (SELECT *, (x + 31 * lag(x, 1, 0) OVER w + 961 * lag(x, 2, 0) OVER w) % 4 = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-k AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM r),
-c AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM k GROUP BY doc_id, chunk),
-g AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, chunk) > 1 AND n > 1 AS cut FROM c),
-t AS (SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT cut), '') AS text, coalesce(sum(n) FILTER (cut), 0)::BIGINT AS n_lines_cut FROM g GROUP BY doc_id)
+p AS (SELECT *, x + 31 * lag(x, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS r, unnest(range(0, {linechunks.PHASES})) AS phase FROM h),
+k AS (SELECT *, coalesce(sum(((r >> ({linechunks.STRIDE} * phase)) % 2 = 0)::INT) OVER (PARTITION BY doc_id, phase ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM p),
+c AS (SELECT doc_id, phase, chunk, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM k GROUP BY doc_id, phase, chunk),
+d AS (SELECT DISTINCT doc_id, start, n, body FROM c WHERE n > 1),
+g AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) > 1 AS cut FROM d),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + n)) AS i FROM g WHERE cut),
+t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone.i IS NULL), '') AS text, count(gone.i) AS n_lines_cut FROM l LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT d.doc_id, t.text, coalesce(t.n_lines_cut, 0) AS n_lines_cut FROM documents d LEFT JOIN t USING (doc_id)
 """
 
@@ -187,7 +192,7 @@ w AS (SELECT r, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]
 pos AS (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3),
 tri AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS c FROM pos),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM tri, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY r),
-raw AS (SELECT r, source, md5(text) AS t, unnest(lines) AS line FROM w),
+raw AS (SELECT r, source, coalesce(doc_id::VARCHAR, 'row ' || r) AS t, unnest(lines) AS line FROM w),
 norm AS (SELECT r, source, t, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM raw),
 full_lines AS (SELECT r, source, t, line, array_to_string(ws, ' ') AS n, len(ws) AS k FROM norm WHERE len(ws) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY r),

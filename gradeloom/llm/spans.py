@@ -1,11 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
 Sentences end at a word that ends in . ! or ? (closing quotes and brackets may follow) and at line breaks.  Every run
-of three sentences with eight words or more, and every run of two with twenty or more, is hashed; equal hashes meet
-globally.  A sentence goes if any span that covers it occurs first elsewhere: in a document of lower doc_id, or
+of three sentences is hashed, however short; so are runs of two with twenty words or more, and single sentences of
+fifty, which passages of few long sentences need.  Equal hashes meet globally.  A sentence goes if any span that covers it occurs first elsewhere: in a document of lower doc_id, or
 earlier in its own.
 
-Cases: a null text stays null and an empty one empty; texts of one sentence have no span and stay; null doc_ids come
+Cases: a null text stays null and an empty one empty; texts of one or two short sentences have no span and stay; null doc_ids come
 after all others and count as one; rows that share a doc_id count as one document, so that repeated rows keep what
 either keeps; a document all of whose sentences go keeps an empty text; an empty table gives an empty table; further
 columns pass through, whatever their names, but for ``n_sentences_cut``, which is replaced.
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from . import rowbatch, shared, wordhash
 
 #: Runs of so many sentences with so many words at least.
-RUNS = ((3, 8), (2, 20))
+RUNS = ((3, 0), (2, 20), (1, 50))
 _ENDS, _CLOSERS = np.zeros(256, bool), np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 _CLOSERS[list(b"\"')]}")] = True
