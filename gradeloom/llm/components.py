@@ -29,12 +29,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v: long) to (node, component: the least node); nodes without edges are absent."""
-    now = shared.saved(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now, path = shared.saved_at(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while True:
         said = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if said == before or said[0] == 0:
             break
         before = said
-        now = shared.saved(_star(_star(now, True), False), "edges")
+        now, next_path = shared.saved_at(_star(_star(now, True), False), "edges")
+        shared.remove(edges.sparkSession, path)
+        path = next_path
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

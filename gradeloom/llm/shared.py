@@ -27,12 +27,16 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/gradeloom/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends there."""
+def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read again, so that its lineage ends there; and its path."""
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    return saved_at(df, name)[0]
 
 
 def dealt(df: DataFrame) -> DataFrame:
