@@ -2,6 +2,10 @@
 
 Every stage gets (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's ``docs``.  All but the last return the columns of ``documents``.
+
+Cases: rows that share a doc_id are judged each by their own text, and only rows equal in doc_id and text share a fate;
+null doc_ids, texts and sources pass through; a table without labels, or of one without text, is identified as it is:
+the first stage then rejects nothing; empty tables pass as empty tables.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ LEAST_SCORE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language the network recognises."""
+    """Keeps the documents whose language the network recognises; all if there is no label to learn from."""
     return langid.keep_identified(docs, langid.learn(docs), LEAST_SCORE)
 
 
@@ -28,9 +32,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id."""
-    linked = shinglejoin.link_documents(docs).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(linked, docs["doc_id"] == linked["copy_id"], "left_anti")
+    """One document of each group of near copies stays: the one with the least doc_id.
+
+    Of a doc_id that names several texts only the texts that are copies go, and of rows equal in both one stays.
+    """
+    return shinglejoin.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is saved in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what each returns is saved in the shared folder until the next one has read it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = shared.saved(docs, f"stage-{name}")
+            docs, path = shared.saved_at(docs, f"stage-{name}")
+            if before:
+                shared.remove(spark, before)
+            before = path
     return docs
