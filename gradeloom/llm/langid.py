@@ -6,8 +6,9 @@ numpy, by backpropagation through time with Adam, on slices of a bounded sample
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; texts of any length are worked through whole, in
 windows whose last one ends with the text; rows that repeat are labelled each; ties of the probabilities go to the
-label that sorts first; without any labelled row every document is ``und``; an empty table gives an empty table; null
-doc_ids are not learned from and not held out; further columns are ignored.
+label that sorts first; without any labelled row every document is ``und``, and ``keep_identified``, which has nothing to
+judge by then, keeps all rows; an empty table gives an empty table; null doc_ids are not learned from and not held out;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import rowbatch
 
 #: Label of texts without letters, hidden units a direction, bytes of a window, windows worked through together.
 UNKNOWN, HIDDEN, WINDOW, LANES = "und", 8, 96, 1024
-#: Bound of the training sample: about so many documents a label and so many characters of each.
-SAMPLE, SLICE = 400, 1500
+#: Bound of the training sample: so many documents a label, so many characters of each, so many documents in all.
+SAMPLE, SLICE, MOST = 400, 1500, 40_000
 STEPS, BATCH, TRAIN_WINDOW, RATE = 300, 192, 40, 0.02
 
 
@@ -188,24 +190,20 @@ def held_out(doc_id: str) -> F.Column:
 
 
 def learn(docs: DataFrame) -> Net | None:
-    """Trains on slices of about SAMPLE documents a label, chosen by a hash of doc_id; held-out rows take no part.
+    """Trains on slices of SAMPLE documents a label, the least by a hash of doc_id and text; held-out rows take no part.
 
-    One aggregate counts the labels; then a scan keeps each label's share.  What comes to the driver is bounded by the
-    sample, whatever the size of the table.
+    Ranks are limited in each task before the shuffle, so a label of a third of all rows is SAMPLE rows a task.  What
+    comes to the driver is bounded by SAMPLE rows a label and by MOST in all, lower ranks first, whatever the table's size.
     """
-    known = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0)).where(F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id")).groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    share = F.create_map(*(F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, SAMPLE / n))))
-    order = F.xxhash64("doc_id", F.lit(1))
-    chosen = known.where(F.pmod(order, F.lit(1_000_003)) < 1_000_003 * share[F.col("lang")])
-    at = F.pmod(order, F.greatest(F.length("text") - SLICE, F.lit(1))).cast("int") + 1
-    rows = chosen.select("lang", "doc_id", order.alias("o"), F.col("text").substr(at, F.lit(SLICE)).alias("text")).orderBy("o", "doc_id", "text").limit(2 * SAMPLE * len(counts))
+    known = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0))
+    order = F.xxhash64("doc_id", "text")
+    at = F.pmod(order, F.greatest(F.length("text") - SLICE, F.lit(1)).cast("long")).cast("int") + 1
+    sliced = known.select("lang", order.alias("o"), F.col("text").substr(at, F.lit(SLICE)).alias("text"))
+    ranked = sliced.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("o", "text"))).where(F.col("place") <= SAMPLE)
     samples: dict[str, list[bytes]] = {}
-    for r in rows.collect():
+    for r in ranked.orderBy("place", "o", "lang").limit(MOST).collect():
         samples.setdefault(r.lang, []).append(r.text.encode("utf-8"))
-    return train(samples)
+    return train({k: sorted(v) for k, v in samples.items()})
 
 
 def identify(docs: DataFrame, net: Net | None) -> DataFrame:
@@ -228,15 +226,19 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, net: Net | None, least_score: float) -> DataFrame:
-    """The rows of ``docs`` with a label of at least ``least_score``, unchanged; each row is judged by its own text."""
+    """The rows of ``docs`` with a label of at least ``least_score``, unchanged; each row is judged by its own text.
+
+    Rows without a letter go too.  Without a network all rows stay.
+    """
+    if net is None:
+        return docs
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = regex.compile(r"\p{L}")
         for batch in rowbatch.small(batches, "text"):
-            lettered = np.array([t is not None and letter.search(t) is not None for t in batch.column("text").to_pylist()], bool)
-            if net is not None:
-                lettered &= label_texts(*rowbatch.text_bytes(batch.column("text")), net).max(axis=1) >= least_score
-                yield batch.filter(pa.array(lettered)).select(names)
+            kept = np.array([t is not None and letter.search(t) is not None for t in batch.column("text").to_pylist()], bool)
+            kept &= label_texts(*rowbatch.text_bytes(batch.column("text")), net).max(axis=1) >= least_score
+            yield batch.filter(pa.array(kept)).select(names)
 
     return docs.mapInArrow(run, docs.schema)
