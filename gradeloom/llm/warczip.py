@@ -34,11 +34,21 @@ from . import rowbatch, shared
 RECORDS, INDEX, PACKAGE_BYTES = "archive/data.warc.gz", "indexes/index.cdxj", 64 << 20
 #: Fixed values of the ZIP format: signatures of the local header, central entry, end record and its ZIP64 forms.
 LOCAL, ENTRY, END, END64, LOCATOR64 = b"PK\3\4", b"PK\1\2", b"PK\5\6", b"PK\6\6", b"PK\6\7"
+#: Bytes of adjoining records that are read at once.
+RANGE_BYTES = 4 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MANIFEST = "path string, records long, bytes long"
 READ = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, intact boolean"
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it, from any task; Hadoop's names of S3 are the plain one's."""
+    for name in ("s3a://", "s3n://"):
+        if uri.startswith(name):
+            uri = "s3://" + uri[len(name) :]
+    return fs.FileSystem.from_uri(uri)
+
+
 def digest(payload: bytes) -> str:
     """Upper-case base32 of the SHA-1."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -99,7 +109,7 @@ def write(pages: DataFrame, where: str, package_bytes: int = PACKAGE_BYTES) -> D
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(where)
+        store, base = store_of(where)
         rows = ((*key, html) for batch in rowbatch.small(batches, "html") for *key, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "html"))))
         row = next(rows, None)
         while row is not None:
@@ -216,6 +226,32 @@ class Package:
             yield rest
 
 
+def records_of(package: Package, index: Package, most: int = RANGE_BYTES) -> Iterator[bytes]:
+    """The packed records that the index names, in its order; adjoining ones are read in ranges of at most ``most`` bytes, or one record."""
+    base, size = package.start(RECORDS)
+    start, filled, lengths = 0, 0, []
+
+    def held() -> Iterator[bytes]:
+        raw, at = package.bytes_at(base + start, filled), 0
+        for n in lengths:
+            yield raw[at : at + n]
+            at += n
+
+    for line in index.lines(INDEX):
+        entry = json.loads(line)
+        if entry["offset"] + entry["length"] > size:
+            raise ValueError("the index points outside the archive member")
+        if lengths and (entry["offset"] != start + filled or filled + entry["length"] > most):
+            yield from held()
+            lengths = []
+        if not lengths:
+            start, filled = entry["offset"], 0
+        lengths.append(entry["length"])
+        filled += entry["length"]
+    if lengths:
+        yield from held()
+
+
 def parse(raw: bytes) -> dict:
     """What one WARC record says."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -239,19 +275,15 @@ def read(packages: DataFrame, where: str, batch_bytes: int = 1 << 20) -> DataFra
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(where)
+        store, _ = store_of(where)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 with store.open_input_file(path) as source, store.open_input_file(path) as again:
                     package, index = Package(source, source.size()), Package(again, again.size())
-                    base, size = package.start(RECORDS)
                     rows, held = [], 0
-                    for line in index.lines(INDEX):
-                        entry = json.loads(line)
-                        if entry["offset"] + entry["length"] > size:
-                            raise ValueError("the index points outside the archive member")
-                        rows.append(parse(gzip.decompress(package.bytes_at(base + entry["offset"], entry["length"]))))
-                        held += len(rows[-1]["payload"] or b"")
+                    for raw in records_of(package, index):
+                        rows.append(parse(gzip.decompress(raw)))
+                        held += 256 + len(rows[-1]["payload"] or b"")
                         if held >= batch_bytes:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
