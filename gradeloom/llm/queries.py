@@ -65,7 +65,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for arrival in range(4):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == arrival))
     store.compact()
-    store.vacuum()
+    store.vacuum(grace_seconds=0)  # no other writer knows this store
     return store.snapshot().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -215,7 +215,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages, where = warczip.archive(table(spark, sf_dir, "pages"))
-    spread = packages.repartition(max(1, packages.count()), "path")
+    spread = packages.repartition(max(1, packages.count()))
     return warczip.read(spread, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 

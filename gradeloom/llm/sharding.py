@@ -2,9 +2,10 @@
 
 ``append`` writes what arrives as small shards.  ``compact`` merges runs of shards of one size tier into files of the
 target size and leaves full files alone, so a row is rewritten about once a tier.  A manifest is a whole list of
-shards; it becomes visible by one rename to the next version's name, which fails if another writer was first.  Readers
-open the files of one manifest and never list folders.  Files of failed or lost work are in no manifest; ``vacuum``
-deletes them.
+shards; it becomes visible by one rename to the next version's name, which fails if another writer was first; an append
+then tries again on the newer manifest.  Object stores rename by copying, so the store refuses them.  Readers open the
+files of one manifest and never list folders.  Files of failed or lost work are in no manifest; ``vacuum`` deletes them
+when they are older than any append in flight may be.
 
 Cases: nulls, empty and long texts, ties and repeated rows are kept as they are, each row once; an empty append adds
 no shard and an empty store reads as no rows of its schema; columns of any names pass through (names that differ only
@@ -14,6 +15,7 @@ in case are refused by Spark's writer); appends of another schema are refused.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -24,6 +26,10 @@ from pyspark.sql import types as T
 
 #: Bytes of a full file; shards of one tier from which a run is merged; growth of a tier; runs merged in one job.
 TARGET_BYTES, LEAST_RUN, TIER, RUNS_A_JOB = 128 << 20, 4, 4, 64
+#: Seconds for which ``vacuum`` spares files that no manifest names, and tries of an append.
+GRACE_SECONDS, TRIES = 86_400, 8
+#: Schemes of stores whose rename is a copy, not one step.
+OBJECT_STORES = ("s3", "s3a", "s3n", "gs", "oss", "cos", "cosn", "obs", "wasb", "wasbs", "swift")
 
 
 @dataclass(frozen=True)
@@ -43,6 +49,8 @@ class ShardStore:
         self.spark, self.root = spark, root.rstrip("/")
         self.jvm = spark.sparkContext._jvm
         self.files = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if (scheme := self.files.getUri().getScheme()) in OBJECT_STORES:
+            raise ValueError(f"{scheme} has no atomic rename, which commits need")
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -95,13 +103,20 @@ class ShardStore:
         return sorted((int(r.f.split("-")[1]), f"{name}/{r.f}", sizes[r.f], r.n) for r in counted.collect())
 
     def append(self, df: DataFrame) -> int:
-        """Commits the rows of ``df`` as new small shards; the new version."""
-        old = self.manifest()
-        schema = df.schema.json()
-        if old["schema"] is not None and _shape(old["schema"]) != _shape(schema):
-            raise ValueError("an append must have the columns of the store")
-        new = [Shard(path, size, rows, old["next"] + i) for i, (_, path, size, rows) in enumerate(self._write(df))]
-        return self._commit({"version": old["version"] + 1, "schema": old["schema"] or schema, "next": old["next"] + len(new), "shards": [*old["shards"], *map(asdict, new)]})
+        """Commits the rows of ``df`` as new small shards; the new version.  The files are written once, whoever commits between."""
+        schema, made = df.schema.json(), None
+        for left in reversed(range(TRIES)):
+            old = self.manifest()
+            if old["schema"] is not None and _shape(old["schema"]) != _shape(schema):
+                raise ValueError("an append must have the columns of the store")
+            made = self._write(df) if made is None else made
+            new = [Shard(path, size, rows, old["next"] + i) for i, (_, path, size, rows) in enumerate(made)]
+            try:
+                return self._commit({"version": old["version"] + 1, "schema": old["schema"] or schema, "next": old["next"] + len(new), "shards": [*old["shards"], *map(asdict, new)]})
+            except CommitConflict:
+                if not left:
+                    raise
+        raise AssertionError("unreachable")
 
     def compact(self, target_bytes: int = TARGET_BYTES, least_run: int = LEAST_RUN) -> list[int]:
         """Merges until no tier has a run left; the versions committed."""
@@ -137,15 +152,24 @@ class ShardStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{s['path']}" for s in got["shards"]))
 
-    def vacuum(self) -> int:
-        """Deletes files that the latest manifest doesn't name, and all older manifests; the number of files."""
+    def vacuum(self, grace_seconds: float = GRACE_SECONDS) -> int:
+        """Deletes files that the latest manifest doesn't name, and older manifests; the number of files.
+
+        Both are spared for ``grace_seconds``: an append that has not committed yet, and readers of older versions.
+        """
         have, live, gone = self.versions(), {s["path"] for s in self.manifest()["shards"]}, 0
+        before = time.time() * 1000 - grace_seconds * 1000
+        old = lambda status: grace_seconds <= 0 or status.getModificationTime() < before
         for v in have[:-1]:
-            self.files.delete(self._path(f"manifests/v{v:010d}.json"), False)
+            path = self._path(f"manifests/v{v:010d}.json")
+            if old(self.files.getFileStatus(path)):
+                self.files.delete(path, False)
+            else:
+                live |= {s["path"] for s in self.manifest(v)["shards"]}
         for folder in self.files.listStatus(self._path("data")):
             for file in self.files.listStatus(folder.getPath()):
                 name = file.getPath().getName()
-                if name.startswith("part-") and f"data/{folder.getPath().getName()}/{name}" not in live:
+                if name.startswith("part-") and f"data/{folder.getPath().getName()}/{name}" not in live and old(file):
                     gone += bool(self.files.delete(file.getPath(), False))
         return gone
 
