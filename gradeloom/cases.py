@@ -1,0 +1,269 @@
+"""Registered queries of worked cases: functions that SQL can't express, over given inputs, beside their stated results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import answers as A
+from .functions import solver as S
+from .functions import text as T
+from .queries import query
+
+
+def frame(spark, schema: str, rows: list[tuple]):
+    """The cases, numbered, with their inputs."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"no int, {schema}")
+
+
+def literal(v: object) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, float):
+        return f"{v!r}::DOUBLE"
+    return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+
+def stated(columns: str, results: list[tuple]) -> str:
+    """SQL of the stated results, numbered as the cases are."""
+    rows = ", ".join("(" + ", ".join([str(i), *map(literal, r)]) + ")" for i, r in enumerate(results))
+    return f"SELECT * FROM (VALUES {rows}) t(no, {columns})"
+
+
+# (text) -> answer and anchor of the last anchor, and of the older rule that takes the first anchor of the list.
+EXTRACTED = [
+    ("Ta có 3 + 4 = 7.\nĐáp án là: 7", "7", "dap_an_la", "7"),
+    ("#### 12", "12", "hash4", "12"),
+    ("#### 12\nThe answer is: 13.", "13", "the_answer_is", "13"),
+    ("The answer is 5. Đáp án là: 6 cm", "6", "dap_an_la", "6"),
+    ("Đáp án là: 1\nrồi #### 2", "2", "hash4", "1"),
+    ("Câu trả lời là: 3,5 đồng", "3,5", "cau_tra_loi_la", "3,5"),
+    ("ĐÁP ÁN LÀ 9;", "9", "dap_an_la", "9"),
+    ("Đáp án: 4", "4", "dap_an", "4"),
+    (r"Vậy \boxed{\frac{1}{2}} và \boxed{42}", "42", "boxed", "42"),
+    (r"\boxed{\frac{1}{2}}", r"\frac{1}{2}", "boxed", r"\frac{1}{2}"),
+    ("no answer 17 here", None, None, None),
+    ("", None, None, None),
+    (None, None, None, None),
+]
+
+
+@query(stated("answer, anchor, first_answer", [r[1:] for r in EXTRACTED]))
+def extracted_answers(spark, sf_dir):
+    rows = frame(spark, "t string", [(r[0],) for r in EXTRACTED])
+    return rows.select("no", A.extracted("t").alias("a"), A.extracted("t", first=True).alias("f")).select("no", "a.answer", "a.anchor", F.col("f.answer").alias("first_answer"))
+
+
+# (text) -> number, loose number, form, canonical text, key.
+PARSED = [
+    ("42", 42.0, 42.0, "integer", "42", "42"),
+    ("-7", -7.0, -7.0, "negative_integer", "-7", "-7"),
+    ("3,5", 3.5, 35.0, "decimal_comma", "3.5", "3.5"),
+    ("2.50", 2.5, 2.5, "decimal_dot", "2.5", "2.5"),
+    ("1e3", 1000.0, 1.0, "scientific", "1000", "1000"),
+    ("1,234,567", 1234567.0, 1234567.0, "numeric_other", "1234567", "1234567"),
+    (r"\frac{3}{4}", 0.75, 3.0, "numeric_other", "0.75", "0.75"),
+    (r"\dfrac{1}{3}", 1 / 3, 1.0, "numeric_other", "0.333333", "0.3333333333"),
+    (r"2\sqrt{9}", 6.0, 2.0, "numeric_other", "6", "6"),
+    ("x = 12", 12.0, 12.0, "numeric_other", "12", "12"),
+    ("2^10", 1024.0, 2.0, "numeric_other", "1024", "1024"),
+    ("$5$", 5.0, 5.0, "numeric_other", "5", "5"),
+    ("(1, 2)", None, 1.0, "non_numeric", None, None),
+    ("[1, 2]", None, 1.0, "non_numeric", None, None),
+    ("x + 1", None, 1.0, "non_numeric", None, None),
+    ("3(4)", 12.0, 3.0, "numeric_other", "12", "12"),
+    ("1/0", None, 1.0, "non_numeric", None, None),
+    ("0.1+0.2", 0.1 + 0.2, 0.1, "numeric_other", "0.3", "0.3"),
+    ("123456.789", 123456.789, 123456.789, "decimal_dot", "123457", "123456.789"),
+    ("", None, None, "missing", None, None),
+    (None, None, None, "missing", None, None),
+]
+
+
+@query(stated("num, simple, form, canonical, key, back", [(*r[1:], None if r[5] is None else float(r[5])) for r in PARSED]))
+def parsed_numbers(spark, sf_dir):
+    rows = frame(spark, "t string", [(r[0],) for r in PARSED]).withColumn("num", A.parsed("t"))
+    keyed = rows.select("no", "num", A.simple_number("t").alias("simple"), A.answer_form("t", "num").alias("form"), A.keyed("num", 6).alias("canonical"), A.keyed("num").alias("key"))
+    return keyed.withColumn("back", A.number_from_key("key"))
+
+
+# (a, b) -> equal by relative and by absolute tolerance.
+CLOSE = [(1.0, 1.0 + 5e-10, True, True), (1e6, 1e6 + 5e-4, True, False), (1.0, 1.1, False, False), (0.0, 1e-10, True, True), (None, 1.0, False, False)]
+
+
+@query(stated("relative, absolute", [r[2:] for r in CLOSE]))
+def close_numbers(spark, sf_dir):
+    return frame(spark, "a double, b double", [r[:2] for r in CLOSE]).select("no", A.close("a", "b").alias("relative"), A.close("a", "b", relative=False).alias("absolute"))
+
+
+# (text) -> output line, text behind artifacts, normalised response with answer 7.
+CLEANED = [
+    ("Đáp án là: 3,50 hue", "Đáp án là: 3.5", "Đáp án là: 3,50", "\nĐáp án là: 7"),
+    ("so #### 12</s><pad>", "Đáp án là: 12", "so #### 12", "so\nĐáp án là: 7"),
+    ("no number at all<|endoftext|>", "no number at all", "no number at all", "no number at all<|endoftext|>\nĐáp án là: 7"),
+    ("a\n#### 3\n#### 4", "Đáp án là: 4", "a\n#### 3\n#### 4", "a\nĐáp án là: 7"),
+]
+
+
+@query(stated("line, clean, response", [r[1:] for r in CLEANED]))
+def cleaned_outputs(spark, sf_dir):
+    rows = frame(spark, "t string", [(r[0],) for r in CLEANED])
+    return rows.select("no", A.sanitized("t").alias("line"), T.clean_artifacts("t").alias("clean"), A.normalized_response("t", F.lit("7")).alias("response"))
+
+
+# (text) -> key, strip, casefold_space, casefold_alnum, NFC folded, word characters alone, mask, numbers, skeleton.
+KEYS = [
+    ("  Tổng  CỦA 3,5 và \n 12 ", "tổng của 3,5 và 12", "Tổng  CỦA 3,5 và \n 12", "tổng của 3,5 và 12", "tổng của 3 5 và 12", "  tổng  của 3,5 và \n 12 ", "TổngCỦA35và12", "  Tổng  CỦA <NUM> và \n <NUM> ", "3,5|12", "Tổng CỦA <num> và <num>"),
+    ("Straße ﬁve ①", "straße five 1", "Straße five 1", "strasse five 1", "strasse five 1", "strasse five ①", "Straßeﬁve", "Straße ﬁve ①", "", "Straße ﬁve ①"),
+    (r"Cho \frac{1}{2} và -4, x2", r"cho \frac{1}{2} và -4, x2", r"Cho \frac{1}{2} và -4, x2", r"cho \frac{1}{2} và -4, x2", "cho frac 1 2 và 4 x2", r"cho \frac{1}{2} và -4, x2", "Chofrac12và4x2", r"Cho \frac{<NUM>}{<NUM>} và <NUM>, x2", "1|2|-4", "Cho <num> và <num> , x2"),
+    ("", "", "", "", "", "", "", "", "", ""),
+]
+
+
+@query(stated("key, strip, folded, alnum, nfc, plain, mask, numbers, skeleton", [r[1:] for r in KEYS]))
+def text_keys(spark, sf_dir):
+    t = frame(spark, "t string", [(r[0],) for r in KEYS])
+    return t.select(
+        "no", T.text_key("t").alias("key"), T.normalize("t", "strip").alias("strip"), T.normalize("t", "casefold_space").alias("folded"), T.normalize("t", "casefold_alnum").alias("alnum"), T.compat("t", "NFC", fold=True).alias("nfc"),
+        T.alnum_only("t").alias("plain"), T.mask_numbers("t").alias("mask"), F.array_join(T.numbers("t"), "|").alias("numbers"), T.skeleton("t").alias("skeleton"),
+    )
+
+
+# (query, original, id) -> query key, group key.
+GROUPS = [(" Hai  TÁO ", None, 5, "hai táo", "source_id:5"), ("", "Two Apples", 6, "query_id:6", "original:two apples"), (None, "  ", 7, "query_id:7", "source_id:7")]
+
+
+@query(stated("query_key, group_key", [r[3:] for r in GROUPS]))
+def group_keys(spark, sf_dir):
+    rows = frame(spark, "q string, original string, id int", [r[:3] for r in GROUPS])
+    fallback = F.concat(F.lit("source_id:"), F.col("id").cast("string"))
+    return rows.select("no", T.query_key("q", "id").alias("query_key"), T.first_filled(["original"], fallback).alias("group_key"))
+
+
+# (a, b) -> whether the numbers of both queries agree; those of the first; arithmetic on them.
+PAIRS = [
+    ("abcd", "bcde", True, "", ""),
+    ("3 táo và 4 cam", "3 cam và 4 táo", True, "3.0,4.0", "3.0,4.0,7.0,-1.0,1.0,12.0"),
+    (r"\frac{1}{2} của 8", "8 và 0,5", False, "0.5,8.0", "0.5,8.0,8.5,-7.5,7.5,4.0"),
+    ("5 và 5", "5 và 5", True, "5.0,5.0", "5.0,10.0,0.0,25.0"),
+]
+
+
+@query(stated("same, numbers, made", [r[2:] for r in PAIRS]))
+def number_signatures(spark, sf_dir):
+    rows = frame(spark, "a string, b string", [r[:2] for r in PAIRS]).withColumn("x", T.query_numbers("a")).withColumn("y", T.query_numbers("b"))
+    joined = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return rows.select("no", T.same_numbers("x", "y").alias("same"), joined(F.col("x")).alias("numbers"), joined(A.arithmetic_values("x", cap=6)).alias("made"))
+
+
+RATIOS = [("abcd", "bcde", 0.75), ("3 táo và 4 cam", "3 cam và 4 táo", 0.571429), ("", "", 1.0), ("a", "b", 0.0), (None, "b", None)]
+
+
+@query(stated("ratio", [r[2:] for r in RATIOS]))
+def text_ratios(spark, sf_dir):
+    return frame(spark, "a string, b string", [r[:2] for r in RATIOS]).select("no", F.round(T.ratio("a", "b"), 6).alias("ratio"))
+
+
+# (answer, query) -> whether it stands there.
+LITERALS = [("$3.5", "giá 3,5 đồng", True), ("12", "có 12 quả", True), ("7", "có 12 quả", False), ("", "x", False), (None, "x", False), ("123456789012345678901", "123456789012345678901", False)]
+
+
+@query(stated("inside", [r[2:] for r in LITERALS]))
+def answer_literals(spark, sf_dir):
+    return frame(spark, "a string, q string", [r[:2] for r in LITERALS]).select("no", T.literal_in("a", "q").alias("inside"))
+
+
+# (text) -> sentences, chunks, last two sentences, equations.
+SPLITS = [
+    ("Ta có 3.5 + 1 = 4.5. Vậy xong! Hết", "Ta có 3.5 + 1 = 4.5.|Vậy xong!|Hết", "Ta có 3.5 + 1 = 4.5.|Vậy xong!|Hết", "Vậy xong! Hết", "3.5 + 1 = 4.5"),
+    ("- a; b\n• c", "a; b|c", "a|b|c", "a; b c", ""),
+    ("2*3 = 6 và 2 * 3 = 6, 12/4=3", "2*3 = 6 và 2 * 3 = 6, 12/4=3", "2*3 = 6 và 2 * 3 = 6, 12/4=3", "2*3 = 6 và 2 * 3 = 6, 12/4=3", "2*3 = 6|2 * 3 = 6, 12/4=3"),
+]
+
+
+@query(stated("sentences, chunks, last, equations", [r[1:] for r in SPLITS]))
+def split_reasons(spark, sf_dir):
+    rows = frame(spark, "t string", [(r[0],) for r in SPLITS])
+    joined = lambda c: F.array_join(c, "|")
+    return rows.select("no", joined(T.sentences("t")).alias("sentences"), joined(T.chunks("t")).alias("chunks"), T.last_sentences("t", 2).alias("last"), joined(A.equations("t")).alias("equations"))
+
+
+# (text) -> body, compact reasoning, anchors, answer first, characters before and behind.
+REASONS = [
+    ("Ta có 3 + 4 = 7. Vậy xong.\nĐáp án là: 7", "Ta có 3 + 4 = 7. Vậy xong.", "Ta có 3 + 4 = 7.", 1, False, 26, 1),
+    (r"Có \boxed{2} quả. Rồi thêm 3. Thôi. Đáp án là: 5 Đáp án là: 6", "Có 2 quả. Rồi thêm 3. Thôi. Đáp án là: 5", "Rồi thêm 3. Đáp án là: 5", 2, False, 48, 1),
+    ("Đáp án là: 9", "", "", 1, True, 0, 1),
+    ("không có gì", "không có gì", "không có gì", 0, False, 0, 0),
+]
+
+
+@query(stated("body, compact, anchors, answer_first, reason_chars, tail_chars", [r[1:] for r in REASONS]))
+def compact_reasons(spark, sf_dir):
+    rows = frame(spark, "t string", [(r[0],) for r in REASONS])
+    return rows.select("no", A.without_tail("t").alias("body"), A.compact_reasoning("t").alias("compact"), A.anchor_layout("t").alias("l")).select("no", "body", "compact", "l.*")
+
+
+# (text) -> shape, equality signs before the anchor, prompt, output line.
+SHAPES = [("Phương trình: 1 + 1 = 2 Đáp án là: 2", "equation_plus_answer", 1), ("Đáp án là: 2", "answer_only", 0), ("x = 2 = y. Đáp án là: 2", "other_with_answer_anchor", 2), ("hết", "no_answer_anchor", 0), (None, "no_answer_anchor", 0)]
+
+
+@query(stated("shape, equals, prompt, item", [(s, e, f"Câu hỏi: {(t or '').strip()}\n", "Đáp án là: 5" if i % 2 else t or "") for i, (t, s, e) in enumerate(SHAPES)]))
+def output_shapes(spark, sf_dir):
+    rows = frame(spark, "t string", [(r[0],) for r in SHAPES]).withColumn("key", F.when(F.col("no") % 2 == 1, "5"))
+    shape = A.output_shape("t", "Phương trình:", "Đáp án là:", "Đáp án là:")
+    return rows.select("no", shape.alias("s"), A.prompt("t").alias("prompt"), A.answer_item("key", "t").alias("item")).select("no", "s.*", "prompt", "item")
+
+
+# (kind, query) -> prompt behind the kind's worked example.
+@query(stated("prompt", [("VD: 1+1=2\nCâu hỏi: hai cộng hai\n",), ("Câu hỏi: ba\n",)]))
+def prompts_with_examples(spark, sf_dir):
+    rows = frame(spark, "kind string, q string", [("GSM", " hai cộng hai "), ("MATH", "ba")])
+    return rows.select("no", A.prompt_with_examples("q", "kind", {"GSM": "VD: 1+1=2\n"}).alias("prompt"))
+
+
+# (points, extractable, equation, tokens, final anchor, answer first, reason characters, several) -> two rewards.
+REWARDS = [(10, True, True, 20, True, False, 40, False, 1.2, 1.4), (0, False, False, 200, False, False, 3, False, 0.0, 0.0), (5, True, False, 80, True, True, 0, True, 0.65, 0.15), (1, True, True, 100, True, False, 30, False, 0.25, 0.65)]
+
+
+@query(stated("plain, layout", [r[8:] for r in REWARDS]))
+def rewards(spark, sf_dir):
+    rows = frame(spark, "p int, e boolean, q boolean, t int, f boolean, a boolean, c int, s boolean", [r[:8] for r in REWARDS])
+    plain = A.reward(F.col("p"), F.col("e"), F.col("q"), F.col("t"))
+    layout = A.layout_reward(F.col("p"), F.col("f"), F.col("a"), F.col("c"), F.col("q"), F.col("s"), F.col("t"))
+    return rows.select("no", F.round(plain, 6).alias("plain"), F.round(layout, 6).alias("layout"))
+
+
+# (query) -> distractor points.
+DISTRACTORS = [("lan có 3 quả, 4 quả, 5 quả và 6 quả", 1), ("tìm x biết 10% của x là 5", 3), ("1 2 3 4 5 6 neu 7", 3), ("không có số", 0), (None, 0)]
+
+
+@query(stated("points", [r[1:] for r in DISTRACTORS]))
+def distractor_scores(spark, sf_dir):
+    return frame(spark, "q string", [(r[0],) for r in DISTRACTORS]).select("no", A.distractor_score("q").alias("points"))
+
+
+# (service response) -> text, JSON object in it.
+RESPONSES = [('{"output_text": "a {\\"x\\": 1} b"}', 'a {"x": 1} b', '{"x": 1}'), ('{"output": [{"content": [{"text": "p"}, {"text": "{}"}]}]}', "p\n{}", "{}"), ("plain", "plain", None)]
+
+
+@query(stated("text, object", [r[1:] for r in RESPONSES]))
+def service_responses(spark, sf_dir):
+    rows = frame(spark, "r string", [(r[0],) for r in RESPONSES]).withColumn("text", A.response_text("r"))
+    return rows.select("no", "text", A.json_object("text").alias("object"))
+
+
+# (question) -> answer, rule.
+SOLVED = [
+    ("15% của 200 là bao nhiêu?", "30", "percent_of"), ("Solve 3x + 4 = 19", "5", "linear_equation"), ("How many roots has 1x^2 + 2x + 1 = 0?", "1", "quadratic_roots"),
+    ("In how many ways can you choose 2 people from 5?", "10", "combinations"), ("least common multiple of 4 and 6", "12", "least_common_multiple"), ("ước chung lớn nhất của 12 và 18", "6", "greatest_common_divisor"),
+    ("Find the arithmetic mean of 4, 8 and 12", "8", "mean"), ("What is the remainder when 17 is divided by 5?", "2", "remainder"), ("diện tích hình vuông cạnh 7", "49", "square_area"),
+    ("chu vi hình chữ nhật dài 5 rộng 3", "16", "rectangle_perimeter"), ("Find the 5th term of the geometric sequence 2, 6", "162", "geometric_term"), ("How many positive divisors does 12 have?", "6", "divisors"),
+    ("A shirt costs 80 and is discounted by 25%", "60", "discounted"), ("What is 4!?", "24", "factorial"), ("a triangle has base 6 and height 5; its area?", "15", "triangle_area"), ("căn bậc hai của 144", "12", "square_root"),
+    ("Tính 3 + 4 * 2", "11", "arithmetic"), ("Who is there?", None, None), (None, None, None),
+]
+
+
+@query(stated("answer, rule", [r[1:] for r in SOLVED]))
+def solver_rules(spark, sf_dir):
+    return frame(spark, "q string", [(r[0],) for r in SOLVED]).select("no", S.solved("q").alias("s")).select("no", "s.*")

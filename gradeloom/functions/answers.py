@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_column, clean_artifacts
+from .text import as_column, cap_words, clean_artifacts, sentences
 
 #: What announces an answer, in order of precedence, and units that end one.
 ANCHORS = {
@@ -21,6 +21,7 @@ ANCHORS = {
 }
 ENGLISH = ("the_answer_is", "hash4")
 UNIT_TAIL = r"\s*(đô\s*la|usd|đồng|vnd|cm2?|m2?|km2?|\$|%)\b.*$"
+#: Fixed value: a box with one level of braces inside.
 BOXED = r"\\boxed\{([^{}]*(?:\{[^{}]*\}[^{}]*)*)\}"
 _COMPILED = {k: re.compile(v, re.IGNORECASE) for k, v in ANCHORS.items()}
 _UNIT, _BOX = re.compile(UNIT_TAIL, re.IGNORECASE), re.compile(BOXED)
@@ -264,15 +265,27 @@ def equations(x: Column | str) -> Column:
     return F.array_distinct(F.filter(tidy, lambda r: (F.length(r) >= 5) & r.rlike(r"[-+*/=×÷^]") & r.rlike(r"\d")))
 
 
-def arithmetic_values(nums: Column | str, most: int = 6) -> Column:
-    """Values that simple arithmetic makes of a query's numbers; none for more than ``most``."""
+def number_from_key(key: Column | str) -> Column:
+    """The number that a key tells, null if none."""
+    return as_column(key).try_cast("double")
+
+
+def arithmetic_values(nums: Column | str, most: int = 6, cap: int | None = None) -> Column:
+    """Values that simple arithmetic makes of a query's numbers: those of different keys, in order, ``cap`` at most.
+
+    The numbers, their sum, first and last less each other, and the product of two to four; none for more than ``most``.
+    """
     n = as_column(nums)
     size, first, last = F.size(n), F.get(n, F.lit(0)), F.element_at(n, -1)
     total = F.aggregate(n, F.lit(0.0), lambda a, v: a + v)
     product = F.aggregate(n, F.lit(1.0), lambda a, v: a * v)
     more = F.when(size >= 2, F.array(first - last, last - first)).otherwise(F.array().cast("array<double>"))
     times = F.when((size > 1) & (size <= 4), F.array(product)).otherwise(F.array().cast("array<double>"))
-    return F.when((size == 0) | (size > most), F.array().cast("array<double>")).otherwise(F.array_distinct(F.concat(n, F.array(total), more, times)))
+    every = F.when((size == 0) | (size > most), F.array().cast("array<double>")).otherwise(F.concat(n, F.array(total), more, times))
+    # Values whose keys are equal differ by less than their tenth digit: compared as rounded texts.
+    key = lambda v: F.when(F.abs(v - F.rint(v)) < 1e-9, F.rint(v) + 0.0).otherwise(F.format_string("%.9e", v).cast("double"))
+    different = F.aggregate(every, F.array().cast("array<double>"), lambda a, v: F.when(F.array_contains(F.transform(a, key), key(v)), a).otherwise(F.concat(a, F.array(v))))
+    return different if cap is None else F.slice(different, 1, cap)
 
 
 def json_object(x: Column | str) -> Column:
@@ -280,9 +293,123 @@ def json_object(x: Column | str) -> Column:
     return F.nullif(F.regexp_extract(as_column(x), r"(?s)\{.*\}", 0), F.lit(""))
 
 
-def reward(x: Column | str, correct: Column, most: float = 1.2) -> Column:
-    """Weights of a right number, an anchor, a short text and an equation, clipped."""
+def response_text(x: Column | str) -> Column:
+    """The text of a service's JSON response: ``output_text``, else all text of its output's contents, else as it is."""
+    c = as_column(x)
+    parts = F.from_json(F.get_json_object(c, "$.output"), "array<struct<content:array<struct<text:string>>>>")
+    texts = F.flatten(F.transform(parts, lambda p: F.coalesce(p["content"]["text"], F.array().cast("array<string>"))))
+    joined = F.array_join(F.filter(texts, lambda t: t.isNotNull() & (t != "")), "\n")
+    return F.coalesce(F.nullif(F.get_json_object(c, "$.output_text"), F.lit("")), F.nullif(joined, F.lit("")), c)
+
+
+#: The line that tells an answer, what a prompt says, and an answer's tail with all that follows it.
+ANSWER_LINE, QUESTION_LINE = "Đáp án là: ", "Câu hỏi: "
+TAIL = r"(?:đ[áa]p\s*[áa]n\s*l[àa]\s*[:：]?|c[âa]u\s*tr[ảa]\s*l[ờo]i\s*l[àa]\s*[:：]?|####)"
+
+
+def answer_target(canonical: Column | str) -> Column:
+    """The training target that tells the answer alone."""
+    return F.concat(F.lit(ANSWER_LINE), as_column(canonical).cast("string"))
+
+
+def answer_item(key: Column | str, fallback: Column | str) -> Column:
+    """The output line of an answer key, else the fallback output, else nothing."""
+    return F.coalesce(answer_target(key), as_column(fallback), F.lit(""))
+
+
+def prompt(query: Column | str, template: str = QUESTION_LINE + "{q}\n") -> Column:
+    """A template with the trimmed query in the place of ``{q}``."""
+    head, _, tail = template.partition("{q}")
+    return F.concat(F.lit(head), F.trim(F.coalesce(as_column(query), F.lit(""))), F.lit(tail))
+
+
+def prompt_with_examples(query: Column | str, kind: Column | str, examples: dict[str, str], template: str = QUESTION_LINE + "{q}\n") -> Column:
+    """The prompt behind the worked examples of the query's kind, if there are any."""
+    shots = F.lit("")
+    for name, text in examples.items():
+        shots = F.when(as_column(kind) == name, F.lit(text)).otherwise(shots)
+    return F.concat(shots, prompt(query, template))
+
+
+def unboxed(x: Column | str) -> Column:
+    """Boxes replaced by what they hold."""
+    return F.regexp_replace(as_column(x), r"\\boxed\{([^{}]+)\}", "$1")
+
+
+def without_tail(x: Column | str) -> Column:
+    """A solution up to its last anchor, unboxed, in one line; without an anchor all of it."""
     c = F.coalesce(as_column(x), F.lit(""))
-    anchored = c.rlike("(?iU)" + "|".join(ANCHORS.values()))
-    value = F.when(correct, 1.0).otherwise(0.0) + F.when(anchored, 0.1).otherwise(-0.1) + F.when(F.length(c) <= 400, 0.05).otherwise(-0.05) + F.when(F.size(equations(c)) > 0, 0.05).otherwise(0.0)
-    return F.least(F.lit(most), F.greatest(F.lit(0.0), value))
+    body = F.regexp_replace(c, rf"(?isu){TAIL}(?!.*{TAIL}).*$", "")
+    return F.trim(F.regexp_replace(unboxed(body), r"(?U)\s+", " "))
+
+
+def compact_reasoning(x: Column | str, most_words: int = 96) -> Column:
+    """The last two sentences with an equation of the last six, else the last two with a digit, else the last two."""
+    body = without_tail(x)
+    tail = F.slice(sentences(body), F.greatest(F.size(sentences(body)) - 5, F.lit(1)), 6)
+    digits = F.filter(tail, lambda s: s.rlike("[0-9]"))
+    sums = F.filter(digits, lambda s: s.rlike(r"[+\-*/=×÷^]|\\\\frac|\\\\sqrt"))
+    two = lambda a: F.slice(a, F.greatest(F.size(a) - 1, F.lit(1)), 2)
+    return cap_words(F.array_join(F.when(F.size(sums) > 0, two(sums)).when(F.size(digits) > 0, two(digits)).otherwise(two(tail)), " "), most_words, tail=True)
+
+
+def normalized_response(x: Column | str, canonical: Column | str) -> Column:
+    """A response without its trailing anchors, and one canonical answer line behind it."""
+    body = F.regexp_replace(F.rtrim(F.coalesce(as_column(x), F.lit(""))), rf"(?isu)(?:\s*{TAIL}[^\n]*)+\s*$", "")
+    return F.concat(F.regexp_replace(body, r"\s+$", ""), F.lit("\n"), F.coalesce(answer_target(canonical), F.lit(ANSWER_LINE)))
+
+
+#: Phrases that mark a question with distracting facts.
+MARKERS = (" x ", " x%", " n ", " bien ", " gia tri ", " khong lien quan ", " neu ", " nhung ")
+
+
+def distractor_score(query: Column | str) -> Column:
+    """Points for many numbers, many words, percent or money, unknowns, and a marking phrase, of a normalised query."""
+    q = as_column(query)
+    n, w = F.regexp_count(q, F.lit(r"[-+]?[0-9]+(?:[.,][0-9]+)?")), F.array_distinct(F.regexp_extract_all(q, F.lit(r"(?U)\w+"), F.lit(0)))
+    marked = F.lit(False)
+    for m in MARKERS:
+        marked = marked | F.concat(F.lit(" "), q, F.lit(" ")).contains(m)
+    points = (n >= 4, n >= 6, F.size(w) >= 55, q.contains("%") | q.contains("$"), F.array_contains(w, "x") | F.array_contains(w, "n"), marked)
+    return F.coalesce(sum((p.cast("int") for p in points[1:]), points[0].cast("int")), F.lit(0))
+
+
+def output_shape(x: Column | str, equation_prefix: str, answer_prefix: str, anchor: str) -> Column:
+    """struct(shape, equals): how an output begins, and the equality signs before its first anchor."""
+    t = F.trim(F.coalesce(as_column(x), F.lit("")))
+    shape = F.when(t.startswith(equation_prefix), "equation_plus_answer").when(t.startswith(answer_prefix), "answer_only").when(t.contains(anchor), "other_with_answer_anchor").otherwise("no_answer_anchor")
+    before = F.substring_index(t, anchor, 1)
+    return F.struct(shape.alias("shape"), (F.length(before) - F.length(F.replace(before, F.lit("="), F.lit("")))).alias("equals"))
+
+
+#: Fixed value: the anchor of a final answer.
+FINAL_ANCHOR = r"đ[áa]p\s*[áa]n\s*l[àa]\s*[:：]?"
+
+
+def anchor_layout(x: Column | str) -> Column:
+    """struct(anchors, answer_first, reason_chars, tail_chars) of a text: what stands before and behind its last anchor."""
+    c = clean_artifacts(x)
+    n = F.regexp_count(c, F.lit(f"(?iu){FINAL_ANCHOR}"))
+    before = F.regexp_replace(c, rf"(?isu){FINAL_ANCHOR}(?!.*{FINAL_ANCHOR}).*$", "")
+    after = F.regexp_replace(c, rf"(?isu)^.*{FINAL_ANCHOR}", "")
+    chars = lambda t: F.when(n > 0, F.length(F.trim(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")))).otherwise(0)
+    first = F.coalesce(c.rlike(rf"(?isu)^.{{0,2}}{FINAL_ANCHOR}"), F.lit(False))
+    return F.struct(n.alias("anchors"), first.alias("answer_first"), chars(before).alias("reason_chars"), chars(after).alias("tail_chars"))
+
+
+def has_equation(x: Column | str) -> Column:
+    """Whether a text holds a digit and an operator."""
+    return as_column(x).rlike("[0-9]") & as_column(x).rlike(r"[+\-*/=^]|\\\\frac|\\\\sqrt")
+
+
+def reward(points: Column, extractable: Column, equation: Column, tokens: Column) -> Column:
+    """The plain reward: a tenth of the score, an answer, few tokens and an equation; within 0 and 1.2."""
+    value = points / 10.0 + F.when(extractable, 0.15).otherwise(-0.20) + F.when(tokens <= 64, 0.05).when(tokens > 96, -0.05).otherwise(0.0) + F.when(equation, 0.05).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.2), value))
+
+
+def layout_reward(points: Column, final: Column, answer_first: Column, reason_chars: Column, equation: Column, several: Column, tokens: Column) -> Column:
+    """The reward that looks at the layout: the reasons stand before one final anchor; within 0 and 1.4."""
+    value = points / 10.0 + F.when(final, 0.20).otherwise(-0.30) + F.when(answer_first, -0.35).otherwise(0.10) + F.when(reason_chars >= 24, 0.15).otherwise(-0.15)
+    value = value + F.when(equation, 0.10).otherwise(0.0) + F.when(several, -0.10).otherwise(0.0) + F.when(tokens.between(32, 96), 0.05).when((tokens < 12) | (tokens > 128), -0.10).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.4), value))

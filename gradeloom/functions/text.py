@@ -63,7 +63,7 @@ def alnum_only(x: Column | str) -> Column:
 
 
 def words(x: Column | str, distinct: bool = False) -> Column:
-    found = F.regexp_extract_all(F.lower(as_column(x)), F.lit(r"(?U)[\p{L}\p{N}_]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(as_column(x)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     return F.array_distinct(found) if distinct else found
 
 
@@ -143,19 +143,38 @@ def family(x: Column | str, rules: list[tuple[str, list[str]]], other: str = "ot
     return F.coalesce(out, F.lit(other))
 
 
-def flags(x: Column | str) -> dict[str, Column]:
-    """Boolean columns of what a text holds."""
+def flags(x: Column | str, prefixes: dict[str, str] | None = None) -> dict[str, Column]:
+    """Boolean columns of what a text holds, and of the named ``prefixes`` that it starts with."""
     c = F.coalesce(as_column(x), F.lit(""))
     found = {
         "has_latex": c.rlike(r"\\[a-zA-Z]+"), "has_dollar_math": c.rlike(r"\$[^$]+\$"), "has_percent": c.contains("%"),
         "has_money": c.rlike(r"(?iU)(usd|vnd|đồng|\$)"), "has_negative": c.rlike(r"-\d"), "has_fraction": c.rlike(r"\d\s*/\s*\d"),
     }
-    return found
+    return found | {name: c.startswith(prefix) for name, prefix in (prefixes or {}).items()}
 
 
-def sentences(x: Column | str) -> Column:
-    """Parts after . ! ? and white space, or at line breaks; blank ones dropped."""
-    return F.filter(F.transform(F.split(as_column(x), r"(?<=[.!?。])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+def sentences(x: Column | str, also: str = "") -> Column:
+    """Parts after . ! ? and white space, or at line breaks (and at any of ``also``); bullets trimmed, blank ones dropped."""
+    parts = F.split(as_column(x), rf"(?<=[.!?。])\s+|[\n{also}]+")
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, "^[ \t•-]+|[ \t•-]+$", "")), lambda s: s != "")
+
+
+def chunks(x: Column | str) -> Column:
+    """Sentences, cut at semicolons as well."""
+    return sentences(x, ";")
+
+
+def digest(x: Column | str) -> Column:
+    """SHA-1 of a text: a join key of bounded size."""
+    return F.sha1(as_column(x).cast("string").cast("binary"))
+
+
+def literal_in(answer: Column | str, query: Column | str, most: int = 20) -> Column:
+    """Whether a short answer, or its form with the other decimal mark, stands in the query."""
+    value = F.replace(F.trim(as_column(answer)), F.lit("$"), F.lit(""))
+    q = as_column(query)
+    inside = q.contains(value) | q.contains(F.replace(value, F.lit("."), F.lit(","))) | q.contains(F.replace(value, F.lit(","), F.lit(".")))
+    return F.coalesce((F.length(value) > 0) & (F.length(value) <= most) & inside, F.lit(False))
 
 
 def last_sentences(x: Column | str, n: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,11 +69,15 @@ def group_sizes(df: DataFrame, group: str, key: str) -> DataFrame:
 
 
 def overlap_class(df: DataFrame, source: DataFrame, key: str, number: str) -> DataFrame:
-    """``overlap``: whether the source has the key, and with the same number, others only, or none."""
-    s = source.groupBy(F.col(key).alias("__k")).agg(F.collect_set(number).alias("__numbers"), F.count("*").alias("__n"))
-    same = F.array_contains("__numbers", F.col(number))
-    out = F.when(F.col("__n").isNull(), "unseen").when(F.col(number).isNull() | (F.size("__numbers") == 0), "missing").when(same, "same").otherwise("conflict")
-    return df.join(s, F.col(key) == F.col("__k"), "left").withColumn("overlap", out).drop("__k", "__numbers", "__n")
+    """``overlap``: whether the source has the key, and with the same number, others only, or none.
+
+    Numbers are not gathered: rows meet the source's distinct keys, and its distinct (key, number).
+    """
+    keys = source.groupBy(F.col(key).alias("__k")).agg(F.count(number).alias("__numbers"))
+    both = source.where(F.col(number).isNotNull()).select(F.col(key).alias("__l"), F.col(number).alias("__v")).distinct()
+    joined = df.join(keys, F.col(key) == F.col("__k"), "left").join(both, (F.col(key) == F.col("__l")) & (F.col(number) == F.col("__v")), "left")
+    out = F.when(F.col("__k").isNull(), "unseen").when(F.col(number).isNull() | (F.col("__numbers") == 0), "missing").when(F.col("__v").isNotNull(), "same").otherwise("conflict")
+    return joined.withColumn("overlap", out).drop("__k", "__numbers", "__l", "__v")
 
 
 def flag_class(same: Column, conflict: Column, missing: Column) -> Column:
@@ -113,6 +119,109 @@ def tail_mean(df: DataFrame, group: str, order: str, value: str, last: int = 50)
     return df.withColumn("__p", place).where(F.col("__p") <= last).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
-def advantage(value: str, group: str) -> Column:
-    """A value less the mean of its group."""
-    return F.col(value) - F.avg(value).over(W.partitionBy(group))
+def advantage(df: DataFrame, value: str, group: str) -> DataFrame:
+    """``advantage``: a value less the mean of its group, which is pre-aggregated and joined back."""
+    means = df.groupBy(F.col(group).alias("__g")).agg(F.avg(value).alias("__mean"))
+    return df.join(means, F.col(group).eqNullSafe(F.col("__g"))).withColumn("advantage", F.col(value) - F.col("__mean")).drop("__g", "__mean")
+
+
+def parser_audit(df: DataFrame, simple: str, robust: str, by: list[str]) -> DataFrame:
+    """Per group, how two parsers agree: both, one of them, none, and different results."""
+    s, r = F.col(simple), F.col(robust)
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count(s).alias("simple_numeric"), F.count(r).alias("robust_numeric"), F.count_if(~s.eqNullSafe(r)).alias("mismatch"),
+        F.count_if(s.isNotNull() & r.isNotNull()).alias("both"), F.count_if(s.isNotNull() & r.isNull()).alias("simple_only"), F.count_if(s.isNull() & r.isNotNull()).alias("robust_only"), F.count_if(s.isNull() & r.isNull()).alias("neither"),
+    )
+
+
+def evaluate_strategy(rows: DataFrame, candidates: DataFrame, row: str, candidate: str, fallback: str | None, score: Callable[[Column], Column], family: str) -> DataFrame:
+    """Per family and over all (null): rows, total, uses and buckets of a strategy's answers.
+
+    A row without a candidate takes its ``fallback`` answer, if there is one; ``score`` judges an answer.
+    """
+    found = candidates.where(F.col(candidate).isNotNull()).select(F.col(row).alias("__r"), F.col(candidate).alias("__c"))
+    joined = rows.join(found, F.col(row) == F.col("__r"), "left")
+    chosen = F.coalesce("__c", F.col(fallback)) if fallback else F.col("__c")
+    scored = joined.withColumn("__s", score(chosen))
+    buckets = [F.count_if(F.col("__s") == k).alias(f"b{k}") for k in SCORES]
+    return scored.groupingSets([[F.col(family)], []], F.col(family)).agg(F.grouping(family).alias("over_all"), F.count("*").alias("n"), F.sum("__s").alias("raw"), F.round(F.sum("__s") / F.count("*"), 6).alias("score_10"), F.count("__c").alias("used"), *buckets)
+
+
+def by_template(df: DataFrame, template: str, answer: str, score: str, row: str, answers: int = 10, examples: int = 5) -> DataFrame:
+    """Per template: rows, total, its most frequent answers (ties: seen first) and its first rows.
+
+    Answers and examples are ranked from counts and limited before they are listed.
+    """
+    said = F.coalesce(F.col(answer).cast("string"), F.lit("<none>"))
+    sums = df.groupBy(template).agg(F.count("*").alias("n"), F.sum(score).alias("raw"))
+    counts = df.groupBy(F.col(template).alias("__t"), said.alias("a")).agg(F.count("*").alias("c"), F.min(row).alias("seen"))
+    rank = F.row_number().over(W.partitionBy("__t").orderBy(F.desc("c"), "seen", "a"))
+    top = counts.withColumn("p", rank).where(F.col("p") <= answers).groupBy("__t").agg(F.array_sort(F.collect_list(F.struct("p", F.concat_ws("=", "a", "c").alias("x")))).alias("l")).select("__t", F.array_join("l.x", ";").alias("top_answers"))
+    first = df.select(F.col(template).alias("__u"), F.col(row).alias("r")).withColumn("p", F.row_number().over(W.partitionBy("__u").orderBy("r"))).where(F.col("p") <= examples)
+    shown = first.groupBy("__u").agg(F.array_join(F.array_sort(F.collect_list("r")).cast("array<string>"), ",").alias("examples"))
+    return sums.join(top, F.col(template).eqNullSafe(F.col("__t"))).join(shown, F.col(template).eqNullSafe(F.col("__u"))).select(template, "n", "raw", F.round(F.col("raw") / F.col("n"), 6).alias("score_10"), "top_answers", "examples")
+
+
+def target_meta(equations: str, tokens: str) -> list[Column]:
+    """Aggregates of training targets: none, one and more equations, and mean and largest number of tokens."""
+    e = F.coalesce(F.col(equations), F.lit(0))
+    return [F.count("*").alias("n"), F.count_if(e == 0).alias("fallback_answer_only"), F.count_if(e == 1).alias("one_equation"), F.count_if(e >= 2).alias("multi_equation"), F.round(F.coalesce(F.avg(tokens), F.lit(0.0)), 6).alias("target_tokens_mean"), F.coalesce(F.max(tokens), F.lit(0)).alias("target_tokens_max")]
+
+
+def output_stats(text: Column, short: int = 40) -> list[Column]:
+    """Aggregates of outputs: filled, with digits, of several lines, long, short single lines, different ones, lengths."""
+    c = F.coalesce(text, F.lit(""))
+    tidy = F.trim(c)
+    return [
+        F.count("*").alias("n"), F.count_if(tidy != "").alias("filled"), F.count_if(c.rlike("[0-9]")).alias("has_digit"), F.count_if(c.contains("\n")).alias("multiline"), F.count_if(F.length(c) > short).alias("long"),
+        F.count_if(~tidy.contains("\n") & (F.length(tidy) <= short)).alias("single_short"), F.count_distinct(F.sha1(c.cast("binary"))).alias("unique_outputs"), F.round(F.avg(F.length(c)), 6).alias("mean_chars"), F.max(F.length(c)).alias("most_chars"),
+    ]
+
+
+def require_digits(df: DataFrame, text: str, least: float = 0.9) -> DataFrame:
+    """``df``, if at least that part of its outputs holds a digit; raises otherwise."""
+    r = df.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col(text), F.lit("")).rlike("[0-9]")).alias("d")).first()
+    if r.n and r.d < least * r.n:
+        raise ValueError(f"only {r.d} of {r.n} outputs hold a digit")
+    return df
+
+
+def kind_table(train: DataFrame, valid: DataFrame, kind: str, group: str, lengths: dict[str, Column]) -> DataFrame:
+    """Per kind: rows of both splits, distinct groups over their union, and mean lengths."""
+    both = train.withColumn("__s", F.lit(1)).unionByName(valid.withColumn("__s", F.lit(0)))
+    return both.groupBy(kind).agg(F.sum("__s").alias("n_train"), F.count_if(F.col("__s") == 0).alias("n_valid"), F.count_distinct(group).alias("n_groups"), *(F.round(F.avg(c), 2).alias(n) for n, c in lengths.items()))
+
+
+def coverage(df: DataFrame, kind: str, ok: Column) -> DataFrame:
+    """Per kind: rows, those that are covered, and their part."""
+    return df.groupBy(kind).agg(F.count("*").alias("n"), F.count_if(ok).alias("covered")).withColumn("coverage", F.round(F.col("covered") / F.col("n"), 6))
+
+
+def notebook_runtime(cells: DataFrame, notebook: str, tree: str) -> DataFrame:
+    """Per notebook: cells with a duration and their seconds, from JSON metadata of cells.
+
+    A cell's duration is its own, else that of ``papermill``, else of ``execution``; what is no number doesn't count.
+    """
+    found = [F.get_json_object(tree, f"$.{p}duration") for p in ("", "papermill.", "execution.")]
+    seconds = F.coalesce(*found).try_cast("double")
+    return cells.groupBy(notebook).agg(F.count(seconds).alias("n_cells"), F.round(F.coalesce(F.sum(seconds), F.lit(0.0)), 6).alias("total_seconds"))
+
+
+def decision_sources(decisions: DataFrame, rows: DataFrame, row: str, source: str, score: str) -> DataFrame:
+    """Per source of a decision: rows, total and buckets of the scored rows it decided."""
+    scored = rows.select(F.col(row).alias("__r"), F.col(score).alias("__s"))
+    joined = decisions.join(scored, F.col(row) == F.col("__r"))
+    return joined.groupBy(F.coalesce(F.col(source), F.lit("<missing>")).alias(source)).agg(F.count("*").alias("n"), F.sum("__s").alias("raw"), *(F.count_if(F.col("__s") == k).alias(f"b{k}") for k in SCORES))
+
+
+def overlap_rows(df: DataFrame, train: DataFrame, row: str, group: str, query: str, number: str, similarity: Callable[[Column, Column], Column]) -> DataFrame:
+    """Per row: whether its query and group occur in ``train``, the largest similarity to a query of its group, and its class.
+
+    Similarities are taken of pairs inside a group and reduced to their maximum; no list of a group's queries is made.
+    """
+    seen = train.select(F.col(query).alias("__q")).distinct()
+    groups = train.select(F.col(group).alias("__g"), F.col(query).alias("__t"))
+    best = df.join(groups, F.col(group) == F.col("__g")).groupBy(F.col(row).alias("__r")).agg(F.max(similarity(F.col(query), F.col("__t"))).alias("__best"))
+    classed = overlap_class(df, train.select(group, number), group, number)
+    out = classed.join(seen, F.col(query) == F.col("__q"), "left").join(best, F.col(row) == F.col("__r"), "left")
+    return out.select(row, F.col("__q").isNotNull().alias("query_seen"), (F.col("overlap") != "unseen").alias("group_seen"), F.coalesce("__best", F.lit(0.0)).alias("max_similarity"), "overlap")

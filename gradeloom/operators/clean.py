@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 from ..functions.text import jaccard, stable_fraction
 
 
+def digest(keys: list[str]) -> Column:
+    """A key of bounded size for long keys: SHA-1 of their texts, nulls told apart."""
+    return F.sha1(F.to_json(F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))), {"ignoreNullFields": "false"}).cast("binary"))
+
+
 def keep_first(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """The first row of each key by ordinal; a partial aggregate of ordinals, then a join back of survivors.
 
-    No window: a key that holds a third of all rows is pre-aggregated instead of being sorted in one task.
+    No window: a key that holds a third of all rows is pre-aggregated instead of being sorted in one task.  Keys meet
+    by digest, so that long texts are not shuffled as keys.
     """
-    first = df.groupBy(*keys).agg(F.min(ordinal).alias("__first"))
-    cond = F.col("__first") == F.col(f"d.{ordinal}")
-    for k in keys:
-        cond = cond & F.col(f"d.{k}").eqNullSafe(F.col(f"f.{k}"))
-    return df.alias("d").join(first.alias("f"), cond, "left_semi")
+    first = df.groupBy(digest(keys).alias("__key")).agg(F.min(ordinal).alias("__first"))
+    marked = df.withColumn("__digest", digest(keys))
+    return marked.join(first, (F.col("__digest") == F.col("__key")) & (F.col(ordinal) == F.col("__first")), "left_semi").drop("__digest")
 
 
 def reject_reasons(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
@@ -50,13 +54,27 @@ def hash_split(df: DataFrame, key: str, fraction: float, salt: str = "split:") -
     return df.withColumn("held", salted(key, salt) < fraction)
 
 
+#: Parts of the range of hashes by which a large group is cut.
+HASH_PARTS = 1024
+
+
 def holdout_per_group(df: DataFrame, group: str, key: str, fraction: float = 0.1, salt: str = "holdout:") -> DataFrame:
-    """``held``: in each group of two keys or more, about ``fraction`` of its distinct keys, one at least, not all."""
-    keys = df.select(group, key).distinct()
-    size = F.count("*").over(W.partitionBy(group))
-    place = F.row_number().over(W.partitionBy(group).orderBy(salted(F.col(key), salt), key))
+    """``held``: in each group of two keys or more, about ``fraction`` of its distinct keys, one at least, not all.
+
+    The keys of least hash are held.  Counts by part of the range of hashes tell in which part the last of them lies;
+    only that part's keys are ranked, so no task sorts a whole group.
+    """
+    f = salted(F.col(key), salt)
+    keys = df.select(F.col(group).alias("__g"), F.col(key).alias("__k"), f.alias("__f")).distinct().withColumn("__part", F.floor(F.col("__f") * HASH_PARTS).cast("int"))
+    w = W.partitionBy("__g").orderBy("__part")
+    size, upto = F.sum("__n").over(W.partitionBy("__g")), F.sum("__n").over(w)
     take = F.when(size >= 2, F.greatest(F.lit(1), F.least(size - 1, F.bround(size * fraction).cast("long")))).otherwise(0)
-    chosen = keys.select(F.col(group).alias("__g"), F.col(key).alias("__k"), (place <= take).alias("held"))
+    parts = keys.groupBy("__g", "__part").agg(F.count("*").alias("__n")).select(F.col("__g").alias("__h"), F.col("__part").alias("__p"), (take - (upto - F.col("__n"))).alias("__left"), "__n")
+    joined = keys.join(parts, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__part") == F.col("__p")))
+    split = joined.where((F.col("__left") > 0) & (F.col("__left") < F.col("__n")))
+    ranked = split.withColumn("__held", F.row_number().over(W.partitionBy("__g", "__part").orderBy("__f", "__k")) <= F.col("__left"))
+    whole = joined.where((F.col("__left") <= 0) | (F.col("__left") >= F.col("__n"))).withColumn("__held", F.col("__left") > 0)
+    chosen = ranked.unionByName(whole).select("__g", "__k", F.col("__held").alias("held"))
     return df.join(chosen, F.col(group).eqNullSafe(F.col("__g")) & F.col(key).eqNullSafe(F.col("__k"))).drop("__g", "__k")
 
 
@@ -92,35 +110,56 @@ def replay(df: DataFrame, key: str, fraction: float, salt: str = "replay:") -> D
 
 
 def augment(df: DataFrame, weight: str, order: str, most_copies: int, cap: int) -> DataFrame:
-    """min(most_copies, weight // 2) numbered copies of each row, in order, ``cap`` in all.
-
-    The running total is two-level: totals of hash-free order buckets, then inside each bucket.
-    """
+    """min(most_copies, weight // 2) numbered copies of each row; the first ``cap`` of all by ``order`` and number."""
     copies = F.least(F.lit(most_copies), F.floor(F.col(weight) / 2).cast("int"))
     some = df.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
     return some.orderBy(order, "copy").limit(cap)
 
 
-def running_total(df: DataFrame, value: str, order: str, width: int) -> DataFrame:
-    """``total`` of ``value`` up to each row by a numeric ``order``: per bucket of ``width``, then inside it."""
+def _ahead(sums: DataFrame, width: int, levels: int) -> DataFrame:
+    """(b, ahead) of bucket sums (b, s): what lies before each bucket, by buckets of buckets."""
+    if levels == 0:
+        return sums.select("b", (F.sum("s").over(W.orderBy("b")) - F.col("s")).alias("ahead"))
+    up = F.floor(F.col("b") / width)
+    above = _ahead(sums.groupBy(up.alias("b")).agg(F.sum("s").alias("s")), width, levels - 1).select(F.col("b").alias("up"), F.col("ahead").alias("base"))
+    inside = sums.select("b", "s", up.alias("u")).withColumn("inside", F.sum("s").over(W.partitionBy("u").orderBy("b")) - F.col("s"))
+    return inside.join(above, F.col("u") == F.col("up")).select("b", (F.col("base") + F.col("inside")).alias("ahead"))
+
+
+def running_total(df: DataFrame, value: str, order: str, width: int, levels: int = 2) -> DataFrame:
+    """``total`` of ``value`` up to each row by a numeric ``order``: per bucket of ``width``, then inside it.
+
+    Buckets are summed up in buckets of buckets, ``levels`` times, so the one window without a partition runs over the
+    range of ``order`` divided by ``width`` to the power of ``levels + 1``.
+    """
     b = F.floor(F.col(order) / width)
-    sums = df.groupBy(b.alias("b")).agg(F.sum(value).alias("s"))
-    ahead = sums.select(F.col("b").alias("__b"), (F.sum("s").over(W.orderBy("b")) - F.col("s")).alias("__ahead"))
+    ahead = _ahead(df.groupBy(b.alias("b")).agg(F.sum(value).alias("s")), width, levels).select(F.col("b").alias("__b"), F.col("ahead").alias("__ahead"))
     inside = F.sum(value).over(W.partitionBy("__b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     return df.join(ahead, b == F.col("__b")).withColumn("total", F.col("__ahead") + inside).drop("__b", "__ahead")
 
 
-def nearest(df: DataFrame, other: DataFrame, left: str, right: str, least_shared: int, most_df: int, k: int) -> DataFrame:
-    """The ``k`` rows of ``other`` with the most similar word sets for each row of ``df``.
+def with_target(df: DataFrame, canonical: Column, target: Column, stage: str) -> DataFrame:
+    """Rows with a canonical answer, their ``target`` text and ``stage``: answer-only and stage records."""
+    return df.where(canonical.isNotNull()).withColumn("target", target).withColumn("stage", F.lit(stage))
 
-    Columns ``id`` and ``tokens`` (distinct) on both sides.  Pairs come from an inverted index: an equi-join on tokens
-    of which ``other`` has at most ``most_df``; the similarity is then exact.
-    """
-    index = other.select(F.col("id").alias(right), F.explode("tokens").alias("token"))
-    rare = index.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= most_df)
-    index = index.join(rare, "token", "left_semi")
-    pairs = df.select(F.col("id").alias(left), F.explode("tokens").alias("token")).join(index, "token").groupBy(left, right).agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
-    full = pairs.join(df.select(F.col("id").alias(left), F.col("tokens").alias("a")), left).join(other.select(F.col("id").alias(right), F.col("tokens").alias("b")), right)
-    scored = full.select(left, right, jaccard("a", "b").alias("jaccard"))
-    place = F.row_number().over(W.partitionBy(left).orderBy(F.desc("jaccard"), right))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+
+def mode_mix(df: DataFrame, key: str, stage: str, compact: Column, answer_only: Column, fraction: float) -> DataFrame:
+    """``target_mode`` and ``target``: compact for keys whose salted hash falls below ``fraction``, else the answer alone."""
+    is_compact = stable_fraction(F.concat(F.lit(f"{stage}:"), F.col(key).cast("string"))) < fraction
+    return df.withColumn("target_mode", F.when(is_compact, "compact_equation").otherwise("answer_only")).withColumn("target", F.when(is_compact, compact).otherwise(answer_only))
+
+
+def of_kinds(df: DataFrame, kind: str, kinds: list[str], row_id: str, ordinal: str) -> DataFrame:
+    """Rows of some kinds (null: ``unknown``) with their ids, or positions where there is none, and their positions."""
+    return df.where(F.coalesce(F.col(kind), F.lit("unknown")).isin(*kinds)).withColumn(row_id, F.coalesce(F.col(row_id), F.col(ordinal))).withColumn("position", F.col(ordinal))
+
+
+def source_entries(df: DataFrame, name: str, ordinal: str, query: str, key: str) -> DataFrame:
+    """Index entries of rows with a query and an answer key: source, position, query, key."""
+    some = (F.coalesce(F.col(query), F.lit("")) != "") & F.col(key).isNotNull()
+    return df.where(some).select(F.lit(name).alias("source"), F.col(ordinal).alias("position"), F.col(query).alias("query"), F.col(key).alias("key"))
+
+
+def gold_from_report(report: DataFrame) -> DataFrame:
+    """Gold rows made of a report's rows: id, type and the answer behind an anchor (null answers as ``None``)."""
+    return report.select("id", "type", F.concat(F.lit("#### "), F.coalesce(F.col("gold_answer").cast("string"), F.lit("None"))).alias("response"))

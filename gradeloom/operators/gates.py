@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def grid(spark: SparkSession, **values: list[float]) -> DataFrame:
-    """The Cartesian grid of named values, numbered by ``config``."""
-    rows = [(i, *v) for i, v in enumerate(product(*values.values()))]
-    return spark.createDataFrame(rows, ", ".join(["config int", *(f"{k} double" for k in values)]))
+def grid(**values: list[float]) -> list[dict[str, float]]:
+    """The Cartesian grid of named values, in order; a configuration's number is its place."""
+    return [dict(zip(values, v)) for v in product(*values.values())]
 
 
 def configs_for(kinds: DataFrame, kind: str, defaults: dict[str, float], overrides: DataFrame) -> DataFrame:
@@ -30,23 +30,57 @@ def gate_reason(checks: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def sweep(rows: DataFrame, configs: DataFrame, kind: str, passes: Column, gated: str, base: str) -> DataFrame:
+def sweep(rows: DataFrame, configs: list[dict[str, float]], kind: str, passes: Callable[[dict[str, float]], Column], gated: str, base: str) -> DataFrame:
     """Per kind the configuration with the best total, and whether it beats the base.
 
-    Rows meet all configurations of the grid, which Spark broadcasts if its size allows, and partial sums are a row a task, kind and configuration.  Ties: more
-    tens, fewer zeros, fewer uses, lower number.
+    All configurations are conditional sums of one aggregate, so rows are neither copied nor joined.  Ties: more tens,
+    fewer zeros, fewer uses, lower number.
     """
-    value = F.when(passes, F.col(gated)).otherwise(F.col(base))
-    every = rows.crossJoin(configs).groupBy(kind, "config").agg(
-        F.sum(value).alias("raw"), F.count_if(value == 10).alias("tens"), F.count_if(value == 0).alias("zeros"), F.count_if(passes).alias("used"), F.sum(base).alias("base_raw"), F.count("*").alias("n"))
-    best = every.groupBy(kind).agg(F.max(F.struct("raw", "tens", (-F.col("zeros")).alias("z"), (-F.col("used")).alias("u"), (-F.col("config")).alias("c"), "used", "base_raw", "n")).alias("m"))
-    return best.select(kind, (-F.col("m.c")).alias("config"), F.col("m.raw").alias("raw"), F.col("m.base_raw").alias("base_raw"), F.col("m.used").alias("used"), F.col("m.n").alias("n"), (F.col("m.raw") > F.col("m.base_raw")).alias("enabled"))
-
-
-def threshold_replay(rows: DataFrame, thresholds: DataFrame, similarity: str, gated: str, base: str) -> DataFrame:
-    """Totals when values above each threshold take the place of the base."""
-    use = F.coalesce(F.col(similarity) >= F.col("threshold"), F.lit(False))
-    return rows.crossJoin(thresholds).groupBy("threshold").agg(F.count_if(use).alias("used"), F.sum(F.when(use, F.col(gated)).otherwise(F.col(base))).alias("raw"))
+    sums = []
+    for i, config in enumerate(configs):
+        use = F.coalesce(passes(config), F.lit(False))
+        value = F.when(use, F.col(gated)).otherwise(F.col(base))
+        sums += [F.sum(value).alias(f"raw{i}"), F.count_if(value == 10).alias(f"tens{i}"), F.count_if(value == 0).alias(f"zeros{i}"), F.count_if(use).alias(f"used{i}")]
+    totals = rows.groupBy(kind).agg(F.sum(base).alias("base_raw"), F.count("*").alias("n"), *sums)
+    rank = lambda i: F.struct(F.col(f"raw{i}").alias("raw"), F.col(f"tens{i}").alias("tens"), (-F.col(f"zeros{i}")).alias("z"), (-F.col(f"used{i}")).alias("u"), F.lit(-i).alias("c"))
+    best = totals.select(kind, "base_raw", "n", F.array_max(F.array(*(rank(i) for i in range(len(configs))))).alias("m"))
+    return best.select(kind, (-F.col("m.c")).alias("config"), F.col("m.raw").alias("raw"), "base_raw", (-F.col("m.u")).alias("used"), "n", (F.col("m.raw") > F.col("base_raw")).alias("enabled"))
+
+
+def threshold_replay(rows: DataFrame, thresholds: list[float], similarity: str, gated: str, base: str) -> DataFrame:
+    """Totals when values above each threshold take the place of the base: conditional sums of one aggregate."""
+    use = [F.coalesce(F.col(similarity) >= t, F.lit(False)) for t in thresholds]
+    totals = rows.agg(*(c for i, u in enumerate(use) for c in (F.count_if(u).alias(f"used{i}"), F.sum(F.when(u, F.col(gated)).otherwise(F.col(base))).alias(f"raw{i}"))))
+    each = F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"used{i}").alias("used"), F.col(f"raw{i}").alias("raw")) for i, t in enumerate(thresholds)))
+    return totals.select(F.explode(each).alias("t")).select("t.*")
+
+
+def named_gates(rows: DataFrame, gates: dict[str, list[str] | None], kind: str, gated: str, base: str) -> DataFrame:
+    """Totals when gated values count for the kinds that a named gate allows (None: all), the base elsewhere."""
+    value = lambda kinds: F.col(gated) if kinds is None else F.when(F.col(kind).isin(*kinds), F.col(gated)).otherwise(F.col(base))
+    totals = rows.agg(F.count("*").alias("n"), *(c for i, kinds in enumerate(gates.values()) for c in (F.sum(value(kinds)).alias(f"raw{i}"), F.count_if(value(kinds) == 10).alias(f"tens{i}"))))
+    each = F.array(*(F.struct(F.lit(name).alias("gate"), F.col(f"raw{i}").alias("raw"), F.col(f"tens{i}").alias("tens")) for i, name in enumerate(gates)))
+    return totals.select("n", F.explode(each).alias("g")).select("g.*", "n")
+
+
+def ungated_majority(hits: DataFrame, queries: DataFrame, query: str, key: str, allowed: Column, least_rows: int = 1, least_frac: float = 0.34) -> DataFrame:
+    """The older rule: the largest answer group of a query's hits (``jaccard``), without margins or similarity gates.
+
+    ``allowed`` is a condition on queries.  Reasons in order: type_not_allowed, source_unseen, low_majority, used.  Ties
+    of groups: the larger similarity, the smaller magnitude, the larger number, the larger key.
+    """
+    number = F.col(key).cast("string").try_cast("double")
+    groups = hits.groupBy(F.col(query).alias("__q"), key).agg(F.count("*").alias("n"), F.max("jaccard").alias("j"))
+    best = groups.groupBy("__q").agg(F.sum("n").alias("pool"), F.max(F.struct("n", "j", (-F.abs(number)).alias("size"), number.alias("number"), F.col(key).alias("key"))).alias("m"))
+    out = queries.join(best, F.col(query) == F.col("__q"), "left").withColumn("pool", F.coalesce("pool", F.lit(0)))
+    frac = F.col("m.n") / F.col("pool")
+    reason = gate_reason([("type_not_allowed", allowed), ("source_unseen", F.col("pool") >= least_rows), ("low_majority", frac >= least_frac)])
+    return out.select(*queries.columns, reason.alias("reason"), F.when(reason == "used", F.col("m.key")).alias("chosen"), "pool", frac.alias("frac"))
+
+
+def split_solved(df: DataFrame, answer: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with an answer, and the others."""
+    return df.where(F.col(answer).isNotNull()), df.where(F.col(answer).isNull())
 
 
 def select_best(summaries: DataFrame, order: list[Column]) -> DataFrame:

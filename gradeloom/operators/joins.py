@@ -8,26 +8,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def align(gold: DataFrame, preds: DataFrame, key: str, ordinal: str | None = None, strict: bool = False) -> DataFrame:
+def align(gold: DataFrame, preds: DataFrame, key: str, ordinal: str | None = None, strict: bool = True) -> DataFrame:
     """Every gold row with its prediction; of repeated ids the last by ordinal counts.  ``strict``: raises if one lacks.
 
-    Gold columns keep their names; prediction columns come as the struct ``pred``, null where there is none.
+    Ids meet as text.  Gold columns keep their names; prediction columns come as the struct ``pred``, null if there is none.
     """
     packed = F.struct(*(F.col(c) for c in preds.columns))
     pick = F.max_by(packed, ordinal) if ordinal else F.max(packed)
-    one = preds.groupBy(F.col(key).alias("__key")).agg(pick.alias("pred"))
-    out = gold.join(one, F.col(key) == F.col("__key"), "left").drop("__key")
-    if strict and not out.where("pred is null").isEmpty():
-        raise ValueError("gold rows without a prediction")
+    one = preds.groupBy(F.col(key).cast("string").alias("__key")).agg(pick.alias("pred"))
+    out = gold.join(one, F.col(key).cast("string") == F.col("__key"), "left").drop("__key")
+    if strict and (lacking := [r[0] for r in out.where("pred is null").select(key).limit(5).collect()]):
+        raise ValueError(f"gold rows without a prediction, such as {lacking}")
     return out
 
 
 def align_by_place(gold: DataFrame, preds: DataFrame, ordinal: str) -> DataFrame:
-    """Rows of equal ordinal; raises unless both sides have the same ordinals."""
-    out = gold.alias("g").join(preds.alias("p"), F.col(f"g.{ordinal}") == F.col(f"p.{ordinal}"), "full")
-    if not out.where(F.col(f"g.{ordinal}").isNull() | F.col(f"p.{ordinal}").isNull()).isEmpty():
+    """Rows of equal ordinal, predictions as the struct ``pred``; raises unless both sides have the same ordinals."""
+    packed = preds.select(F.col(ordinal).alias("__place"), F.struct(*(F.col(c) for c in preds.columns)).alias("pred"))
+    out = gold.join(packed, F.col(ordinal) == F.col("__place"), "full")
+    if not out.where(F.col(ordinal).isNull() | F.col("__place").isNull()).isEmpty():
         raise ValueError("both sides must have the same rows")
-    return out
+    return out.drop("__place")
+
+
+def align_as_given(gold: DataFrame, preds: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """By id if every row of both sides has one, else by place; raises where a gold row has no prediction."""
+    lacks = lambda df: key not in df.columns or not df.where(F.col(key).isNull()).isEmpty()
+    return align_by_place(gold, preds, ordinal) if lacks(gold) or lacks(preds) else align(gold, preds, key, ordinal)
+
+
+def common_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that both sides have."""
+    return a.select(key).intersect(b.select(key))
+
+
+def all_keys(frames: list[DataFrame], key: str) -> DataFrame:
+    """Distinct keys of any side."""
+    return union_all([f.select(key) for f in frames]).distinct()
+
+
+def require_disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
+    """Raises if a key is on both sides."""
+    if shared := [r[0] for r in common_keys(a, b, key).limit(5).collect()]:
+        raise ValueError(f"keys on both sides, such as {shared}")
+
+
+def with_scores(candidates: DataFrame, cached: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """Candidates with the cached ``score`` of their keys, null where none is cached."""
+    return candidates.join(cached.select(*keys, score), keys, "left")
 
 
 def integrity(df: DataFrame, key: str) -> DataFrame:
@@ -46,9 +74,9 @@ def unseen_in(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 def unpivot_keys(df: DataFrame, row_id: str, fields: dict[str, Column], norms: dict[str, object]) -> DataFrame:
-    """(row id, field, norm, key) of every field under every norm, without empty keys."""
+    """(row id, field, norm, SHA-1 of the key) of every field under every norm, without empty keys."""
     parts = [F.struct(F.lit(f).alias("field"), F.lit(n).alias("norm"), norm(c).alias("key")) for f, c in fields.items() for n, norm in norms.items()]
-    return df.select(row_id, F.explode(F.array(*parts)).alias("k")).select(row_id, "k.field", "k.norm", "k.key").where("key is not null and key != ''")
+    return df.select(row_id, F.explode(F.array(*parts)).alias("k")).where("k.key is not null and k.key != ''").select(row_id, "k.field", "k.norm", F.sha1(F.col("k.key").cast("binary")).alias("key"))
 
 
 def overlap_matrix(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
@@ -83,12 +111,11 @@ def coalesce_sources(keys: DataFrame, sources: list[DataFrame], key: str, value:
 def pair_runs(scores: DataFrame, run: str, key: str, score: str) -> DataFrame:
     """For each pair of runs: common rows, better, worse, same, and the difference of the scores.
 
-    One row a key with its runs as a map, so that no run pairs are joined row by row.
+    One row a key with its runs in order, which makes the pairs: one shuffle, as many scores a key as there are runs.
     """
-    runs = scores.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(run, score))).alias("m"))
-    names = [r[0] for r in scores.select(run).distinct().orderBy(run).collect()]
-    pairs = F.array(*(F.struct(F.lit(a).alias("run_a"), F.lit(b).alias("run_b")) for i, a in enumerate(names) for b in names[i + 1 :]))
-    rows = runs.select("m", F.explode(pairs).alias("p")).select("p.run_a", "p.run_b", F.try_element_at("m", F.col("p.run_a")).alias("a"), F.try_element_at("m", F.col("p.run_b")).alias("b")).where("a is not null and b is not null")
+    runs = scores.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(run).alias("r"), F.col(score).alias("s")))).alias("l"))
+    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter("l", lambda y, j: j > i), lambda y: F.struct(x["r"].alias("run_a"), y["r"].alias("run_b"), x["s"].alias("a"), y["s"].alias("b")))))
+    rows = runs.select(F.explode(pairs).alias("p")).select("p.*").where("run_a < run_b and a is not null and b is not null")
     return rows.groupBy("run_a", "run_b").agg(F.count("*").alias("n"), F.count_if(F.col("b") > F.col("a")).alias("better"), F.count_if(F.col("b") < F.col("a")).alias("worse"), F.count_if(F.col("b") == F.col("a")).alias("same"), F.sum(F.col("b") - F.col("a")).alias("delta"))
 
 

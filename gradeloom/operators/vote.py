@@ -116,3 +116,90 @@ def sanity_penalty(query: Column, value: Column, rules: list[tuple[list[str], li
             cost = F.when(size > limit, c).otherwise(cost)
         out = out + F.when(hit, cost).otherwise(0.0)
     return F.when(value.isNull(), 3.0).otherwise(out)
+
+
+def nearest_group(hits: DataFrame, groups: DataFrame, query: str, key: str, similarity: str, ordinal: str) -> DataFrame:
+    """Per query the answer group of its nearest hit (ties: the first by ordinal), with that hit's similarity."""
+    best = hits.groupBy(F.col(query).alias("__q")).agg(F.max(F.struct(F.col(similarity).alias("s"), (-F.col(ordinal)).alias("o"), F.col(key).alias("k"))).alias("m"))
+    joined = groups.join(best, (F.col(query) == F.col("__q")) & (F.col(key) == F.col("m.k")))
+    return joined.select(*groups.columns, F.col("m.s").alias("nearest"))
+
+
+#: Sources that are safe by themselves, and the default profile of the verified override.
+SAFE_SOURCES = ("template_exact_query", "template_exact_numbers", "template_linear")
+DIRECT = "retrieval_direct_safe"
+PROFILE = {
+    "least_sim": 0.92, "least_jaccard": 0.70, "least_frac": 0.55, "least_margin": 0.20, "direct_confidence": 0.94,
+    "safe_confidence": 0.90, "least_confidence": 0.82, "tolerance": 0.35, "override_margin": 0.55,
+}
+
+
+def profile_safe(retrieved: str, profile: dict[str, float]) -> Column:
+    """Whether any retrieval facts (array of structs) of a candidate pass all limits and share numbers or skeleton."""
+    limit = {**PROFILE, **profile}
+    ok = lambda m: (m["top_sim"] >= limit["least_sim"]) & (m["top_jaccard"] >= limit["least_jaccard"]) & (m["frac"] >= limit["least_frac"]) & (m["margin"] >= limit["least_margin"]) & ((m["same_numbers"] > 0) | (m["same_skeleton"] > 0))
+    return F.coalesce(F.exists(retrieved, ok), F.lit(False))
+
+
+def verified_override(cands: DataFrame, row: str, key: str, model_key: str, profile: dict[str, float] | None = None, retrieved: str | None = None, ordinal: str = "ordinal") -> DataFrame:
+    """Per row the model's candidate, unless another one is safe or much likelier: chosen key and reason.
+
+    Candidates have ``sources`` (array), ``confidence``, ``prior_norm``, ``logprob`` and an ordinal; without a candidate
+    of the model's key the first one stands for it.  Another candidate may take its place if the model has no answer, if
+    its source is safe, confident and not much less likely, or if it is confident and likelier by a margin; of these the
+    one of the largest rank, ties: the first.  ``retrieved`` names an array of retrieval facts, which a profile judges;
+    without it the source of directly safe retrieval counts as safe.
+    """
+    p = {**PROFILE, **(profile or {})}
+    rank = F.struct((F.col(key).eqNullSafe(F.col(model_key)) & F.col(model_key).isNotNull()).alias("own"), (-F.col(ordinal)).alias("o"), F.col("logprob").alias("lp"), F.col(key).alias("k"))
+    model = cands.groupBy(F.col(row).alias("__row")).agg(F.max(rank).alias("m"))
+    both = cands.join(model, F.col(row) == F.col("__row"))
+    delta = F.coalesce(F.col("logprob") - F.col("m.lp"), F.lit(0.0))
+    direct = profile_safe(retrieved, p) if retrieved else F.array_contains("sources", DIRECT)
+    safe = F.arrays_overlap("sources", F.array(*map(F.lit, SAFE_SOURCES))) | direct
+    confidence = F.when(direct, F.greatest(F.col("confidence"), F.lit(p["direct_confidence"]))).otherwise(F.col("confidence")) if retrieved else F.col("confidence")
+    facts = both.withColumns({"delta": delta, "safe": safe, "conf": confidence, "own": -F.col(ordinal) == F.col("m.o")})
+    missing = F.col(model_key).isNull() & F.col(key).isNotNull() if p.get("allow_missing", True) else F.lit(False)
+    by_safety = F.col("safe") & (F.col("conf") >= p["safe_confidence"]) & (F.col("delta") >= -p["tolerance"])
+    by_likelihood = (F.col("conf") >= p["least_confidence"]) & (F.col("delta") >= p["override_margin"])
+    score = 2.0 * F.col("conf") + 0.30 * F.col("prior_norm") + 0.75 * F.col("delta") + F.when(F.col("safe"), 0.35).otherwise(0.0)
+    reason = F.when(missing, "model_missing").when(by_safety, "safe_template_or_retrieval").otherwise("logprob_override")
+    eligible = ~F.col("own") & (missing | by_safety | by_likelihood)
+    pick = F.max(F.when(eligible, F.struct(score.alias("s"), (-F.col(ordinal)).alias("o"), F.col(key).alias("k"), reason.alias("r"))))
+    best = facts.groupBy(row).agg(pick.alias("b"), F.first("m.k").alias("m"))
+    return best.select(row, F.when(F.col("b").isNull(), F.col("m")).otherwise(F.col("b.k")).alias("chosen"), F.coalesce("b.r", F.lit("model_default")).alias("reason"))
+
+
+def model_first(cands: DataFrame, row: str, is_model: Column, order: list[Column], most: int = 6) -> DataFrame:
+    """The model's candidates, then the best others, ``most`` a row in all."""
+    return top_k(cands.withColumn("__model", F.coalesce(is_model, F.lit(False))), row, [F.desc("__model"), *order], most).drop("__model")
+
+
+def first_of_each(df: DataFrame, row: str, named: dict[str, Column], ordinal: str) -> DataFrame:
+    """For each named condition that any row meets, the first of these rows: one aggregate."""
+    found = df.agg(*(F.min_by(F.when(cond, F.col(row)), F.when(cond, F.col(ordinal))).alias(f"x{i}") for i, cond in enumerate(named.values())))
+    each = F.array(*(F.struct(F.lit(name).alias("error"), F.col(f"x{i}").alias("id")) for i, name in enumerate(named)))
+    return found.select(F.explode(each).alias("e")).select("e.*").where("id is not null")
+
+
+def ordered_checkpoints(df: DataFrame, path: str, epoch: str, final: str, name: str, latest: int | None = None) -> DataFrame:
+    """Distinct checkpoints by (epoch, final, name), a null epoch last, numbered; the ``latest`` of them alone if asked."""
+    key = F.struct(F.coalesce(F.col(epoch).cast("double"), F.lit(1e9)).alias("epoch"), F.coalesce(F.col(final), F.lit(False)).cast("int").alias("final"), F.col(name).alias("name"))
+    one = df.groupBy(path).agg(F.min(key).alias("k")).select(path, "k.*")
+    if latest is not None:
+        one = one.orderBy(F.desc("epoch"), F.desc("final"), F.desc("name")).limit(latest)
+    return one.orderBy("epoch", "final", "name")
+
+
+def unique_entries(df: DataFrame, label: str, key: list[Column], order: str, ordinal: str, k: int | None = None) -> DataFrame:
+    """Entries of epochs, the first of each label, the best ``k`` by ``key``, in their own order."""
+    epochs = df.where(F.col(label).startswith("epoch_"))
+    first = epochs.groupBy(F.col(label).alias("__l")).agg(F.min(ordinal).alias("__o"))
+    one = epochs.join(first, (F.col(label) == F.col("__l")) & (F.col(ordinal) == F.col("__o"))).drop("__l", "__o")
+    return (one if k is None else one.orderBy(*key).limit(k)).orderBy(F.asc_nulls_last(order), label)
+
+
+def checkpoint_curve(reports: DataFrame, run: str, selected: str, checkpoints: str) -> DataFrame:
+    """A row a checkpoint of each run's report (array of structs with ``label``), and whether it is the selected one."""
+    each = reports.select(run, selected, F.explode(checkpoints).alias("c"))
+    return each.select(run, "c.*", F.col("c.label").eqNullSafe(F.col(selected)).alias("selected"))

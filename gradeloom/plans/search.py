@@ -1,0 +1,108 @@
+"""Top-k search of a stated query set against all rows of an index.
+
+Queries come to the driver in blocks of bounded size and go to the tasks as an inverted index; each task reads its rows
+of the index once a block, scores them in batches of bounded size, and keeps the best ``k`` rows a query.  What is
+shuffled is k rows a task and query.  No pair of a query and a row is ever a row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: Terms of the queries of one block, and cells (rows times queries) scored at a time.
+BLOCK_TERMS, CELLS = 2_000_000, 1 << 18
+
+
+def terms_of(grams: F.Column) -> F.Column:
+    """64-bit hashes of an array of strings: terms meet by them."""
+    return F.transform(grams, lambda g: F.xxhash64(g))
+
+
+class Postings:
+    """Queries of one block by term: ``terms`` sorted, and for each its queries and weights."""
+
+    def __init__(self, ids: list[int], terms: list[np.ndarray], weights: list[np.ndarray]) -> None:
+        self.ids, self.sizes = np.array(ids, np.int64), np.array([len(t) for t in terms], np.int64)
+        flat, owner = np.concatenate([*terms, np.empty(0, np.int64)]), np.repeat(np.arange(len(ids)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.owner, self.weight = owner[order], np.concatenate([*weights, np.empty(0)])[order]
+        self.terms, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+
+    def products(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """Sums of products of weights over common terms: n rows by queries."""
+        at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
+        hit = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.empty(0, np.int64)
+        many = self.count[at[hit]]
+        place = np.repeat(self.first[at[hit]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        cell = np.repeat(rows[hit], many) * len(self.ids) + self.owner[place]
+        return np.bincount(cell, weights=np.repeat(weights[hit], many) * self.weight[place], minlength=n * len(self.ids)).reshape(n, len(self.ids))
+
+
+def best(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores of each query; ties: the lesser row id."""
+    order = np.lexsort((row, -score, query))
+    first = np.searchsorted(query[order], query[order])
+    return order[np.arange(len(order)) - first < k]
+
+
+def top_k(queries: DataFrame, index: DataFrame, k: int, measure: str, digits: int | None = None, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """(query_id, index_id, similarity, place) of the ``k`` most similar index rows above 0 of each query.
+
+    Both sides have ``id`` and ``terms`` (distinct hashes).  ``dot`` sums products of their ``weights``; ``jaccard`` divides
+    common by all terms.  ``digits``: similarities are compared rounded.
+    """
+    plain = measure == "jaccard"
+    columns = ["id", "terms"] if plain else ["id", "terms", "weights"]
+    total = queries.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = max(1, -(-total // block_terms))
+    schema = "query_id long, index_id long, similarity double"
+    parts = []
+    for b in range(blocks):
+        mine = queries.select(*columns).where(F.size("terms") > 0).where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        got = mine.orderBy("id").toArrow()
+        terms = [np.array(t, np.int64) for t in got.column("terms").to_pylist()]
+        weights = [np.ones(len(t)) for t in terms] if plain else [np.array(w, float) for w in got.column("weights").to_pylist()]
+        spread = queries.sparkSession.sparkContext.broadcast(Postings(got.column("id").to_pylist(), terms, weights))
+
+        def run(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
+            known = spread.value
+            q, r, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            level = (lambda x: x) if digits is None else (lambda x: np.round(x, digits))
+            step = max(1, CELLS // max(len(known.ids), 1))
+            for batch in batches if len(known.ids) else ():
+                for at in range(0, batch.num_rows, step):
+                    some = batch.slice(at, step)
+                    n, lists = some.num_rows, some.column("terms")
+                    held = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    flat = lists.flatten().to_numpy(zero_copy_only=False)
+                    w = np.ones(len(flat)) if plain else some.column("weights").flatten().to_numpy(zero_copy_only=False)
+                    score = known.products(np.repeat(np.arange(n), held), flat, w, n)
+                    if plain:
+                        score /= np.maximum(held[:, None] + known.sizes[None, :] - score, 1)
+                    least = np.zeros(len(known.ids))
+                    full = np.bincount(q, minlength=len(known.ids)) >= k
+                    if len(q):
+                        worst = np.full(len(known.ids), np.inf)
+                        np.minimum.at(worst, q, level(s))
+                        least[full] = worst[full]
+                    row, query = np.nonzero((score > 0) & (level(score) >= least[None, :]))
+                    ids = some.column("id").to_numpy(zero_copy_only=False)
+                    q, r, s = np.concatenate([q, query]), np.concatenate([r, ids[row]]), np.concatenate([s, score[row, query]])
+                    keep = best(q, r, level(s), k)
+                    q, r, s = q[keep], r[keep], s[keep]
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(known.ids[q]), pa.array(r), pa.array(s)], names=["query_id", "index_id", "similarity"])
+
+        parts.append(index.select(*columns).mapInArrow(run, schema))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionAll(p)
+    level = F.col("similarity") if digits is None else F.round("similarity", digits)
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(level.desc(), "index_id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)

@@ -86,12 +86,12 @@ def alignment_integrity(spark, sf_dir):
     return both.agg(F.count("g").alias("gold"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("g").isNull()).alias("unknown"))
 
 
-@query("""SELECT o_orderkey, last.l_extendedprice AS last_price FROM orders LEFT JOIN (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1) last ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""")
+@query("""SELECT o_orderkey, last.l_extendedprice AS last_price FROM orders LEFT JOIN (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1) last ON l_orderkey = o_orderkey""")
 def last_prediction_wins(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice", order.alias("ordinal"))
-    return J.align(orders, lines, "o_orderkey", "ordinal").select("o_orderkey", F.col("pred.l_extendedprice").alias("last_price"))
+    return J.align(orders, lines, "o_orderkey", "ordinal", strict=False).select("o_orderkey", F.col("pred.l_extendedprice").alias("last_price"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT doc_id) AS n_distinct, min(doc_id) AS least, max(doc_id) AS largest, max(doc_id) - min(doc_id) + 1 = count(DISTINCT doc_id) AS contiguous FROM documents")
@@ -224,37 +224,54 @@ def running_clicks(spark, sf_dir):
 # Overlap and retrieval: benchmark items against documents.
 
 
-@query("""SELECT item_id FROM benchmark WHERE lower(trim(text)) IN (SELECT lower(trim(unnest(string_split(text, chr(10))))) FROM documents UNION SELECT lower(trim(text)) FROM documents)""")
+@query("""SELECT conv_id, turn FROM conversations WHERE lower(trim(text)) IN (SELECT lower(trim(text)) FROM conversations GROUP BY 1 HAVING count(*) > 1) OR text IN (SELECT text FROM documents)""")
 def exact_overlap(spark, sf_dir):
+    """Turns whose text another turn or a document has."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lower(F.trim("text")).alias("key"))
+    again = turns.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     docs = table(spark, sf_dir, "documents").select("text")
-    parts = docs.select(F.explode(F.split("text", "\n")).alias("text")).unionAll(docs)
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("key"))
-    return J.seen_in(items, parts.select(F.lower(F.trim("text")).alias("key")).distinct(), "key").select("item_id")
+    return J.union_all([J.seen_in(turns, again, "key").select("conv_id", "turn"), J.seen_in(turns, docs, "text").select("conv_id", "turn")]).distinct()
 
 
-@query("""WITH d AS (SELECT doc_id, unnest([{'f': 'first_line', 'k': string_split(text, chr(10))[1]}, {'f': 'whole', 'k': text}, {'f': 'source', 'k': source}]) AS x FROM documents),
-a AS (SELECT doc_id, x.f AS field, unnest([{'n': 'strip', 'k': trim(x.k)}, {'n': 'lower', 'k': lower(trim(x.k))}, {'n': 'alnum', 'k': regexp_replace(lower(x.k), '[^a-z0-9]+', '', 'g')}]) AS y FROM d),
+@query("""SELECT unnest(['shared', 'any', 'left_only']) AS keys, unnest([(SELECT count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer)), (SELECT count(*) FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer)),
+(SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))]) AS n""")
+def key_sets(spark, sf_dir):
+    """Keys of customers and of orders: shared, of either, and customers without an order; held-out keys are disjoint."""
+    orders, customers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    split = P.hash_split(customers, "k", 0.1)
+    J.require_disjoint(split.where("held"), split.where("not held"), "k")
+    counts = [J.common_keys(orders, customers, "k"), J.all_keys([orders, customers], "k"), J.unseen_in(customers, orders, "k")]
+    return J.union_all([df.agg(F.count("*").alias("n")).select(F.lit(name).alias("keys"), "n") for name, df in zip(("shared", "any", "left_only"), counts)])
+
+
+OVERLAP_FIELDS = {"whole": "text", "first_line": "string_split(text, chr(10))[1]", "second_line": "string_split(text, chr(10))[2]", "source": "source"}
+OVERLAP_NORMS = {"strip": "trim(x.k)", "space": "trim(regexp_replace(x.k, '[ \\t\\r\\n]+', ' ', 'g'))", "lower": "lower(trim(x.k))", "alnum": "regexp_replace(lower(x.k), '[^a-z0-9]+', '', 'g')"}
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest([{", ".join(f"{{'f': '{n}', 'k': {e}}}" for n, e in OVERLAP_FIELDS.items())}]) AS x FROM documents),
+a AS (SELECT doc_id, x.f AS field, unnest([{", ".join(f"{{'n': '{n}', 'k': {e}}}" for n, e in OVERLAP_NORMS.items())}]) AS y FROM d),
 k AS (SELECT doc_id, field, y.n AS norm, y.k AS key FROM a WHERE y.k IS NOT NULL AND y.k != ''),
-l AS (SELECT * FROM k WHERE doc_id % 2 = 0), r AS (SELECT * FROM k WHERE doc_id % 2 = 1)
-SELECT l.norm, l.field AS left_field, r.field AS right_field, count(DISTINCT r.doc_id) AS n_rows, count(*) AS n_pairs FROM l JOIN r ON l.norm = r.norm AND l.key = r.key GROUP BY 1, 2, 3""")
+l AS (SELECT norm, field, key, count(*) AS n FROM k GROUP BY ALL), r AS (SELECT norm, field, key, count(*) AS n, count(DISTINCT doc_id) AS m FROM k GROUP BY ALL)
+SELECT l.norm, l.field AS left_field, r.field AS right_field, sum(r.m)::BIGINT AS n_rows, sum(l.n * r.n)::BIGINT AS n_pairs FROM l JOIN r ON l.norm = r.norm AND l.key = r.key GROUP BY 1, 2, 3""")
 def overlap_matrix(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    norms = {"strip": F.trim, "lower": lambda c: F.lower(F.trim(c)), "alnum": lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")}
-    fields = {"first_line": F.get(F.split("text", "\n"), F.lit(0)), "whole": F.col("text"), "source": F.col("source")}
-    keys = J.unpivot_keys(docs, "doc_id", fields, norms)
-    return J.overlap_matrix(keys.where("doc_id % 2 = 0"), keys.where("doc_id % 2 = 1"), "doc_id", "doc_id")
+    """All documents against all, four fields of either by four normal forms; a document meets itself in equal fields."""
+    line = lambda i: F.get(F.split("text", "\n"), F.lit(i))
+    norms = {"strip": F.trim, "space": lambda c: F.trim(F.regexp_replace(c, "[ \\t\\r\\n]+", " ")), "lower": lambda c: F.lower(F.trim(c)), "alnum": lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")}
+    fields = {"whole": F.col("text"), "first_line": line(0), "second_line": line(1), "source": F.col("source")}
+    keys = J.unpivot_keys(table(spark, sf_dir, "documents"), "doc_id", fields, norms)
+    return J.overlap_matrix(keys, keys, "doc_id", "doc_id")
 
 
 @query(f"""WITH t AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '{WORDS}')) AS w FROM documents),
 b AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '{WORDS}')) AS w FROM benchmark),
-i AS (SELECT id, unnest(w) AS token FROM t), rare AS (SELECT token FROM i GROUP BY token HAVING count(*) <= 100),
-p AS (SELECT x.id AS item_id, i.id AS doc_id, count(*) AS shared FROM (SELECT id, unnest(w) AS token FROM b) x JOIN i USING (token) JOIN rare USING (token) GROUP BY 1, 2 HAVING count(*) >= 2),
-s AS (SELECT item_id, doc_id, len(list_intersect(b.w, t.w)) / (len(b.w) + len(t.w) - len(list_intersect(b.w, t.w))) AS j FROM p JOIN b ON b.id = item_id JOIN t ON t.id = doc_id)
+p AS (SELECT x.id AS item_id, i.id AS doc_id, count(*) AS shared FROM (SELECT id, unnest(w) AS token FROM b) x JOIN (SELECT id, unnest(w) AS token FROM t) i USING (token) GROUP BY 1, 2),
+s AS (SELECT item_id, doc_id, shared / (len(b.w) + len(t.w) - shared) AS j FROM p JOIN b ON b.id = item_id JOIN t ON t.id = doc_id)
 SELECT item_id, doc_id, round(j, 6) AS jaccard, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS place FROM s) WHERE place <= 3""")
 def nearest_by_jaccard(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.words("text", distinct=True).alias("tokens"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), T.words("text", distinct=True).alias("tokens"))
-    return P.nearest(items, docs, "item_id", "doc_id", 2, 100, 3).select("item_id", "doc_id", F.round("jaccard", 6).alias("jaccard"), "place")
+    """The three documents nearest to each item by their sets of words, exactly."""
+    sets = lambda name, row: table(spark, sf_dir, name).select(F.col(row).alias("id"), R.terms_of(T.words("text", distinct=True)).alias("terms"))
+    got = R.top_k(sets("benchmark", "item_id"), sets("documents", "doc_id"), 3, "jaccard")
+    return got.select(F.col("query_id").alias("item_id"), F.col("index_id").alias("doc_id"), F.round("similarity", 6).alias("jaccard"), "place")
 
 
 @query("""WITH p AS (SELECT l_orderkey, round(l_extendedprice, 2) AS price FROM lineitem), o AS (SELECT o_orderkey, round(o_totalprice, 2) AS price, o_orderpriority FROM orders),
@@ -298,16 +315,16 @@ def first_of_mode(spark, sf_dir):
     return V.first_of_mode(table(spark, sf_dir, "events"), "user_id", "value", "event_type", "event_id", digits=0)
 
 
-# Runs: three quality scores of each order's line items.
+# Runs: quality scores of each order's line items, a run a line number.
 
-RUNS_SQL = """WITH runs AS (SELECT l_orderkey AS id, 'r' || l_linenumber AS run, CASE WHEN l_discount <= 0.01 THEN 10 WHEN l_discount <= 0.03 THEN 5 WHEN l_discount <= 0.06 THEN 1 ELSE 0 END AS score, l_returnflag AS kind FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) = 1 AND l_linenumber <= 3)
+RUNS_SQL = """WITH runs AS (SELECT l_orderkey AS id, 'r' || l_linenumber AS run, CASE WHEN l_discount <= 0.01 THEN 10 WHEN l_discount <= 0.03 THEN 5 WHEN l_discount <= 0.06 THEN 1 ELSE 0 END AS score, l_returnflag AS kind FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) = 1)
 """
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("l_discount")
     score = F.when(d <= 0.01, 10).when(d <= 0.03, 5).when(d <= 0.06, 1).otherwise(0)
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    lines = table(spark, sf_dir, "lineitem")
     one = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag")).alias("m"))
     one = one.select("l_orderkey", "l_linenumber", "m.l_discount", "m.l_returnflag")
     return one.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("run"), score.alias("score"), F.col("l_returnflag").alias("kind"))
@@ -378,14 +395,13 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT kind, config, sum(CASE WHEN p THEN gated ELSE base END) AS raw, count(*) FILTER (CASE WHEN p THEN gated ELSE base END = 10) AS tens, count(*) FILTER (CASE WHEN p THEN gated ELSE base END = 0) AS zeros, count(*) FILTER (p) AS used, sum(base) AS base_raw, count(*) AS n FROM (SELECT *, sim >= least_sim AND gated >= least_gated AS p FROM x, c) GROUP BY 1, 2)
 SELECT kind, config, raw::BIGINT AS raw, base_raw::BIGINT AS base_raw, used, n, raw > base_raw AS enabled FROM e QUALIFY row_number() OVER (PARTITION BY kind ORDER BY raw DESC, tens DESC, zeros, used, config) = 1""")
 def gate_sweep(spark, sf_dir):
-    configs = H.grid(spark, least_sim=[0.3, 0.5, 0.7], least_gated=[0.0, 5.0])
-    return H.sweep(gated(spark, sf_dir), configs, "kind", (F.col("sim") >= F.col("least_sim")) & (F.col("gated") >= F.col("least_gated")), "gated", "base")
+    configs = H.grid(least_sim=[0.3, 0.5, 0.7], least_gated=[0.0, 5.0])
+    return H.sweep(gated(spark, sf_dir), configs, "kind", lambda c: (F.col("sim") >= c["least_sim"]) & (F.col("gated") >= c["least_gated"]), "gated", "base")
 
 
 @query(RUNS_SQL + GATE + """SELECT threshold, count(*) FILTER (sim >= threshold) AS used, sum(CASE WHEN sim >= threshold THEN gated ELSE base END)::BIGINT AS raw FROM x, (SELECT unnest([0.2, 0.4, 0.5, 0.6, 0.8])::DOUBLE AS threshold) GROUP BY 1""")
 def threshold_replay(spark, sf_dir):
-    thresholds = H.grid(spark, threshold=[0.2, 0.4, 0.5, 0.6, 0.8]).select("threshold")
-    return H.threshold_replay(gated(spark, sf_dir), thresholds, "sim", "gated", "base")
+    return H.threshold_replay(gated(spark, sf_dir), [0.2, 0.4, 0.5, 0.6, 0.8], "sim", "gated", "base")
 
 
 @query(RUNS_SQL + GATE + """SELECT CASE WHEN kind = 'N' THEN 'type_not_allowed' WHEN sim < 0.3 THEN 'low_similarity' WHEN gated < base THEN 'low_confidence' ELSE 'used' END AS reason, count(*) AS n FROM x GROUP BY 1""")
@@ -394,17 +410,17 @@ def gate_reasons(spark, sf_dir):
     return gated(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT slice, count(*) AS n, sum(quality)::BIGINT AS good, sum(toxic)::BIGINT AS toxic FROM (SELECT unnest(list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN n_chars > 2000 THEN 'long' END, 'all', 'lang_' || lang], lambda x: x IS NOT NULL)) AS slice, quality, toxic FROM labels JOIN documents USING (doc_id)) GROUP BY slice""")
+@query("""SELECT slice, count(*) AS n, sum(quality)::BIGINT AS good, sum(toxic)::BIGINT AS toxic FROM (SELECT unnest(list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN n_chars > 2000 THEN 'long' END, 'all'], lambda x: x IS NOT NULL)) AS slice, quality, toxic FROM labels JOIN documents USING (doc_id)) GROUP BY slice""")
 def overlapping_slices(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    langs = F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("n_chars") > 2000, "long"), F.lit("all"), F.concat(F.lit("lang_"), "lang")))
-    return rows.withColumn("slice", F.explode(langs)).groupBy("slice").agg(F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic"))
+    named = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1, "long": F.col("n_chars") > 2000, "all": F.lit(True)}
+    return G.slices(rows, named, [F.count("*").alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("toxic")])
 
 
 @query("""SELECT o_orderkey, o_custkey, advantage FROM (SELECT o_orderkey, o_custkey, round(year(o_orderdate) - avg(year(o_orderdate)) OVER (PARTITION BY o_custkey), 6) AS advantage FROM orders)""")
 def group_advantage(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("double").alias("y"))
-    return orders.select("o_orderkey", "o_custkey", F.round(G.advantage("y", "o_custkey"), 6).alias("advantage"))
+    return G.advantage(orders, "y", "o_custkey").select("o_orderkey", "o_custkey", F.round("advantage", 6).alias("advantage"))
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS p FROM events) WHERE p <= 50 GROUP BY 1""")
@@ -425,12 +441,14 @@ def question_answer_pairs(spark, sf_dir):
     return rows.where((F.col("role") == "user") & (F.col("next.role") == "assistant") & (F.col("next.turn") == F.col("turn") + 1)).select("conv_id", "turn", F.col("next.turn").alias("reply_turn"), F.col("next.n").alias("reply_chars"))
 
 
-@query()
+@query("""SELECT o_orderkey, a AS answer, anchor, a::DOUBLE AS num, regexp_replace(a, '\.0$', '') AS key, CASE WHEN a IS NULL THEN 'missing' WHEN contains(a, '.') THEN 'decimal_dot' ELSE 'integer' END AS form FROM (
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN printf('%.2f', floor(o_totalprice) + 0.25) WHEN 3 THEN NULL ELSE o_custkey::VARCHAR END AS a, CASE o_orderkey % 4 WHEN 0 THEN 'dap_an_la' WHEN 1 THEN 'hash4' WHEN 2 THEN 'boxed' END AS anchor FROM orders)""")
 def reply_answers(spark, sf_dir):
-    """Answers and numbers in the assistants' turns; the parser has no SQL form."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    got = rows.select("conv_id", "turn", A.extracted("text", bare=True).alias("a"))
-    return got.select("conv_id", "turn", "a.answer", "a.anchor", "a.num", A.keyed("a.num").alias("key"), A.answer_form("a.answer", "a.num").alias("form"))
+    """Answers and numbers in replies that name an order's price or customer behind an anchor, in a box, or not at all."""
+    k, price, customer = F.col("o_orderkey") % 4, F.format_string("%.2f", F.floor("o_totalprice") + 0.25), F.col("o_custkey").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("Ta tính #### 1\nĐáp án là: "), price, F.lit("."))).when(k == 1, F.concat(F.lit("Đáp án là: 5\n#### "), customer)).when(k == 2, F.concat(F.lit("Vậy \\boxed{"), customer, F.lit("} là số khách"))).otherwise("không có")
+    got = table(spark, sf_dir, "orders").select("o_orderkey", A.extracted(text).alias("a"))
+    return got.select("o_orderkey", "a.answer", "a.anchor", "a.num", A.keyed("a.num").alias("key"), A.answer_form("a.answer", "a.num").alias("form"))
 
 
 # Retrieval, candidates and templates.
@@ -446,20 +464,30 @@ bx AS (SELECT id, term, tf * idf AS x FROM bc JOIN idf USING (term)), bw AS (SEL
 s AS (SELECT bw.id AS query_id, dw.id AS index_id, sum(bw.w * dw.w) AS sim FROM bw JOIN dw USING (term) GROUP BY 1, 2)
 SELECT query_id, index_id, round(sim, 6) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, index_id) AS place FROM s) WHERE place <= 5""")
 def tfidf_neighbours(spark, sf_dir):
-    index = R.term_counts(table(spark, sf_dir, "documents"), "doc_id", R.word_grams("text"))
-    items = R.term_counts(table(spark, sf_dir, "benchmark"), "item_id", R.word_grams("text"))
-    idf = R.fit(index, max_df=0.35)
-    got = R.top_k(R.weighted(items, idf), R.weighted(index, idf), 5)
+    docs = table(spark, sf_dir, "documents")
+    index = R.word_gram_counts(docs, "doc_id", "text")
+    items = R.word_gram_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    got = R.nearest_by_tfidf(index, items, docs.where(F.col("text").rlike(r"[\p{L}\p{N}_]")), 5, max_df=0.35)
     return got.select("query_id", "index_id", F.round("similarity", 6).alias("similarity"), "place")
 
 
-@query()
+#: Grams of three to five characters inside each blank-padded word; a padded word that is shorter counts once.
+CHAR_GRAMS_SQL = "flatten(list_transform(w, lambda v: list_concat(CASE WHEN length(v) < 1 THEN [' ' || v || ' '] ELSE [] END, flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, length(v) + 4 - n), lambda i: substr(' ' || v || ' ', i::BIGINT, n::BIGINT)))))))"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{WORDS}') AS w FROM documents), b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '{WORDS}') AS w FROM benchmark),
+dc AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({CHAR_GRAMS_SQL}) AS term FROM d) GROUP BY 1, 2), bc AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({CHAR_GRAMS_SQL}) AS term FROM b) GROUP BY 1, 2),
+n AS (SELECT count(DISTINCT id) AS n FROM dc), idf AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM dc, n GROUP BY term, n),
+dx AS (SELECT id, term, tf * idf AS x FROM dc JOIN idf USING (term)), dn AS (SELECT id, sqrt(sum(x * x)) AS norm FROM dx GROUP BY id), bx AS (SELECT id, term, tf * idf AS x FROM bc JOIN idf USING (term)), bn AS (SELECT id, sqrt(sum(x * x)) AS norm FROM bx GROUP BY id),
+s AS (SELECT bx.id AS query_id, dx.id AS index_id, sum(bx.x / bn.norm * (dx.x / dn.norm)) AS sim FROM bx JOIN bn ON bn.id = bx.id JOIN dx USING (term) JOIN dn ON dn.id = dx.id GROUP BY 1, 2)
+SELECT query_id, index_id, round(sim, 6) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, index_id) AS place FROM s) WHERE place <= 9""")
 def char_gram_neighbours(spark, sf_dir):
     """Character n-gram retrieval of documents, by their whole texts, for benchmark items."""
-    index = R.char_gram_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
+    index = R.char_gram_counts(docs, "doc_id", "text")
     items = R.char_gram_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    idf = R.fit(index)
-    return R.top_k(R.weighted(items, idf), R.weighted(index, idf), 9).select("query_id", "index_id", F.round("similarity", 6).alias("similarity"), "place")
+    got = R.nearest_by_tfidf(index, items, docs.where(F.col("text").rlike(r"[\p{L}\p{N}_]")), 9)
+    return got.select("query_id", "index_id", F.round("similarity", 6).alias("similarity"), "place")
 
 
 CANDIDATES_SQL = """WITH h AS (SELECT l_orderkey AS row, l_shipmode AS key, l_discount * 10 AS similarity, l_tax * 10 AS jaccard FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)),
@@ -506,30 +534,49 @@ def merged_candidates(spark, sf_dir):
     return V.merge_candidates(frames, "row", "key").withColumn("sources", F.array_join("sources", ","))
 
 
-@query("""WITH k AS (SELECT regexp_replace(lower(p_name), '[0-9]+', '<num>', 'g') AS skeleton, p_brand, count(*) AS n FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2)
-SELECT p_partkey, k.p_brand AS answer, n FROM (SELECT p_partkey, regexp_replace(lower(p_name), '[0-9]+', '<num>', 'g') AS skeleton FROM part WHERE p_partkey % 2 = 1) q JOIN k USING (skeleton)""")
+@query("""WITH k AS (SELECT regexp_replace(lower(p_name), '[0-9]+', '<num>', 'g') AS skeleton, p_brand, count(*) AS n FROM part GROUP BY 1, 2)
+SELECT p_partkey, k.p_brand AS answer, n FROM (SELECT p_partkey, regexp_replace(lower(p_name), '[0-9]+', '<num>', 'g') AS skeleton FROM part) q JOIN k USING (skeleton)""")
 def template_lookup(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.lower("p_name"), "[0-9]+", "<num>").alias("skeleton"), F.col("p_brand").alias("answer"))
-    return R.lookup(parts.where("p_partkey % 2 = 1").select("p_partkey", "skeleton"), parts.where("p_partkey % 2 = 0"), ["skeleton"], "answer").select("p_partkey", "answer", "n")
+    return R.lookup(parts.select("p_partkey", "skeleton"), parts, ["skeleton"], "answer").select("p_partkey", "answer", "n")
 
 
-@query()
+@query("""SELECT p_brand, count(*) AS support, round(avg(abs(a * p_partkey + b - p_retailprice) / greatest(1.0, p_retailprice)), 6) AS mean_error FROM part JOIN (SELECT p_brand, regr_slope(p_retailprice, p_partkey) AS a, regr_intercept(p_retailprice, p_partkey) AS b FROM part GROUP BY 1) USING (p_brand) GROUP BY 1
+HAVING count(*) >= 4 AND avg(abs(a * p_partkey + b - p_retailprice) / greatest(1.0, p_retailprice)) <= 0.02 AND max(abs(a * p_partkey + b - p_retailprice) / greatest(1.0, p_retailprice)) <= 0.1""")
 def linear_templates(spark, sf_dir):
-    """Parts whose line prices are a linear function of quantity; least squares has no SQL form here."""
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.array("l_quantity").alias("numbers"), F.col("l_extendedprice").alias("answer"))
-    got = H.linear_templates(lines, "l_partkey", "numbers", "answer")
-    return got.select("l_partkey", "support", F.round("mean_error", 6).alias("mean_error"))
+    """Brands whose prices are a linear function of the part's number."""
+    parts = table(spark, sf_dir, "part").select("p_brand", F.array(F.col("p_partkey").cast("double")).alias("numbers"), F.col("p_retailprice").alias("answer"))
+    got = H.linear_templates(parts, "p_brand", "numbers", "answer")
+    return got.select("p_brand", "support", F.round("mean_error", 6).alias("mean_error"))
 
 
-@query()
+@query("SELECT p_partkey, CASE WHEN p_size > 0 THEN (p_partkey % 17)::VARCHAR END AS answer, CASE WHEN p_size > 0 THEN 'linear_equation' END AS rule FROM part")
 def solved_questions(spark, sf_dir):
-    """The template solver over the users' turns."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", S.solved("text").alias("s"))
-    return rows.select("conv_id", "turn", "s.answer", "s.rule")
+    """The template solver over equations made of parts."""
+    a, x, b = F.col("p_size").cast("long"), F.col("p_partkey") % 17, F.col("p_partkey") % 50
+    question = F.concat(F.lit("Giải phương trình "), a.cast("string"), F.lit("x + "), b.cast("string"), F.lit(" = "), (a * x + b).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.solved(question).alias("s")).select("p_partkey", "s.answer", "s.rule")
 
 
-@query()
+@query("""WITH t AS (SELECT p_partkey, p_name, p_size::DOUBLE AS a, (p_partkey % 90 + 10)::DOUBLE AS b FROM part)
+SELECT p_partkey, lower('Mua ' || a::INT || ' ' || p_name || ' giá ' || b::INT || ' = 2 + 3') AS key, 4 AS n_numbers, sha1('Mua <num> ' || p_name || ' giá <num> = <num> + <num>') AS skeleton,
+len(list_distinct([a, b, 2.0, 3.0, a + b + 5, a - 3, 3 - a, a * b * 6]))::INT AS n_values, 1 AS n_equations FROM t""")
 def query_features(spark, sf_dir):
-    """Numbers, skeleton key, arithmetic values and equations of the users' turns, by Unicode-aware patterns."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("nums", T.query_numbers("text"))
-    return rows.select("conv_id", "turn", T.text_key("text").alias("key"), F.size("nums").alias("n_numbers"), F.sha1(T.skeleton("text")).alias("skeleton"), F.size(A.arithmetic_values("nums")).alias("n_values"), F.size(A.equations("text")).alias("n_equations"))
+    """Key, numbers, skeleton, arithmetic values and equations of questions made of parts."""
+    text = F.concat(F.lit("Mua "), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name"), F.lit(" giá "), (F.col("p_partkey") % 90 + 10).cast("string"), F.lit(" = 2 + 3"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).withColumn("nums", T.query_numbers("text"))
+    return rows.select("p_partkey", T.text_key("text").alias("key"), F.size("nums").alias("n_numbers"), T.digest(T.skeleton("text")).alias("skeleton"), F.size(A.arithmetic_values("nums")).alias("n_values"), F.size(A.equations("text")).alias("n_equations"))
+
+
+@query(r"""SELECT doc_id, sha1(text) AS digest, CASE WHEN trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')), ' ')) END::INT AS parts, length(regexp_replace(text, '[^\p{L}\p{M}\p{N}_]+', '', 'g'))::INT AS word_chars,
+array_to_string(string_split(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')), ' ')[1:8], ' ') AS head, array_to_string(string_split(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')), ' ')[-8:], ' ') AS tail,
+starts_with(text, 'The ') AS starts_the, regexp_matches(text, '\$[^$]+\$') AS has_dollar_math FROM documents WHERE text IS NOT NULL""")
+def document_measures(spark, sf_dir):
+    """Digest, parts between white space, word characters, first and last parts, and flags of every document."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    flags = T.flags("text", {"starts_the": "The "})
+    return docs.select("doc_id", T.digest("text").alias("digest"), T.space_count("text").alias("parts"), F.length(T.alnum_only("text")).alias("word_chars"), T.cap_words("text", 8).alias("head"), T.cap_words("text", 8, tail=True).alias("tail"), flags["starts_the"].alias("starts_the"), flags["has_dollar_math"].alias("has_dollar_math"))
+
+
+
+from . import cases, composites, files  # noqa: E402, F401  (they register queries of their own)

@@ -29,17 +29,20 @@ def first_existing(spark: SparkSession, *paths: str) -> str:
     raise FileNotFoundError(", ".join(paths))
 
 
-def find_named(spark: SparkSession, root: str, name: str) -> list[str]:
-    """Files of a name below a folder, sorted."""
+def find_files(spark: SparkSession, root: str) -> list[str]:
+    """All files below a folder, sorted."""
     target, fs = _files(spark, root)
     found, walk = [], fs.listFiles(target, True)
     while walk.hasNext():
-        p = walk.next().getPath()
-        if p.getName() == name:
-            found.append(p.toString())
+        found.append(walk.next().getPath().toString())
     return sorted(found)
 
 
+def find_named(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Files of a name below a folder, sorted."""
+    return [p for p in find_files(spark, root) if p.rsplit("/", 1)[-1] == name]
+
+
 def is_array(spark: SparkSession, path: str) -> bool:
     """Whether a JSON file starts as an array; reads its first bytes only."""
     target, fs = _files(spark, path)
@@ -53,8 +56,8 @@ def is_array(spark: SparkSession, path: str) -> bool:
     return False
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None, strict: bool = False) -> DataFrame:
-    """A JSON array or JSON lines, told apart by the first character; ``strict``: raises on malformed records."""
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None, strict: bool = True) -> DataFrame:
+    """A JSON array or JSON lines, told apart by the first character; raises on malformed records, or else has nulls there."""
     reader = spark.read.option("multiLine", is_array(spark, path)).option("mode", "FAILFAST" if strict else "PERMISSIVE")
     return (reader.schema(schema) if schema else reader).json(path)
 
@@ -68,8 +71,8 @@ def with_ordinal(df: DataFrame, name: str = "source_id") -> DataFrame:
         offsets[p], at = at, at + n
     if not offsets:
         return df.withColumn(name, F.lit(None).cast("long"))
-    table = F.create_map(*(F.lit(v) for p, o in offsets.items() for v in (p, o)))
-    return part.withColumn(name, (F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + table[F.col("__p")]).cast("long")).drop("__p", "__m")
+    starts = df.sparkSession.createDataFrame(list(offsets.items()), "__q int, __start long")
+    return part.join(starts, F.col("__p") == F.col("__q")).withColumn(name, F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__start")).drop("__p", "__m", "__q", "__start")
 
 
 def read_document(spark: SparkSession, path: str, default: object = None) -> object:
@@ -148,9 +151,27 @@ def scan_manifests(spark: SparkSession, glob: str, fields: dict[str, str]) -> Da
     return text.select("path", *out, tree.isNull().alias("error"))
 
 
-def write_report_rows(df: DataFrame, path: str, columns: list[str]) -> None:
-    """A CSV of fixed columns, with header."""
-    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+def cell_text(x: Column, kind: T.DataType, digits: int = 4) -> Column:
+    """A report's cell: fractions without trailing zeros, null and NaN as ``NaN``."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        text = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", x), r"(?<=\.[0-9]{0,9})0+$", ""), r"\.$", "")
+        return F.when(x.isNull() | F.isnan(x), "NaN").when(text == "-0", "0").otherwise(text)
+    return F.coalesce(x.cast("string"), F.lit("NaN"))
+
+
+#: The columns of a table of scored predictions.
+SCORED_COLUMNS = ("id", "type", "query", "gold_answer", "gold_num", "pred_answer", "pred_num", "rel_error", "score", "extractable", "anchor", "output_field", "model_output")
+
+
+def write_report_rows(df: DataFrame, path: str, columns: list[str] | tuple[str, ...] = SCORED_COLUMNS, cells: bool = False, bom: bool = False) -> None:
+    """A CSV of fixed columns, with header: others are left out, and those that lack are null.
+
+    ``cells``: values as a report shows them; ``bom``: the header starts with a byte order mark.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    have = [F.col(c) if c in kinds else F.lit(None).cast("string") for c in columns]
+    named = [(cell_text(x, kinds.get(c, T.StringType())) if cells else x).alias(("\ufeff" if bom and i == 0 else "") + c) for i, (c, x) in enumerate(zip(columns, have))]
+    df.select(*named).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
