@@ -14,6 +14,7 @@ fate; an empty table gives an empty table; further columns pass through, whateve
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shared
@@ -34,7 +35,7 @@ def key_of(doc_id: str, text: str) -> Column:
 
 
 def chunk_bounds(docs: DataFrame) -> DataFrame:
-    """``docs`` (key, text) with ``at``: the different (start, n) of all chunks of two lines or more, in lines.
+    """``docs`` (key, text) with ``at``: the different (start, n) of all chunks, in lines.
 
     Arrays that lambdas index are columns with several uses, which Catalyst doesn't inline into the lambdas.
     """
@@ -45,7 +46,7 @@ def chunk_bounds(docs: DataFrame) -> DataFrame:
     ended = rolled.select(_KEY, "lines", *(ends(p).alias(f"e{p}") for p in range(PHASES)))
     zero, size = F.array(F.lit(0)), F.array(F.size("lines"))
     cut = lambda p: F.zip_with(F.concat(zero, f"e{p}"), F.concat(f"e{p}", size), lambda b, e: F.struct(b.alias("start"), (e - b).alias("n")))
-    return ended.select(_KEY, "lines", F.array_distinct(F.filter(F.concat(*(cut(p) for p in range(PHASES))), lambda c: c["n"] >= LEAST_LINES)).alias("at"))
+    return ended.select(_KEY, "lines", F.array_distinct(F.concat(*(cut(p) for p in range(PHASES)))).alias("at"))
 
 
 def chunk_text(lines: Column, chunk: Column) -> Column:
@@ -53,12 +54,17 @@ def chunk_text(lines: Column, chunk: Column) -> Column:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """A row a document with repeated chunks: key, and (start, n, hash, whether first) of each, by start."""
-    found = chunk_bounds(docs).select(_KEY, "lines", F.explode("at").alias("c"))
+    """A row a document with repeated chunks: key, and (start, n, hash, whether first) of those that matter, by start."""
+    # Exploding a plain column would have Catalyst filter by its size first, which works the chunks out twice.
+    found = chunk_bounds(docs).select(_KEY, "lines", F.explode(F.filter("at", lambda c: c["n"] >= LEAST_LINES)).alias("c"))
     chunks = found.select(_KEY, F.col("c.start").alias("start"), F.col("c.n").alias("n"), F.xxhash64(chunk_text(F.col("lines"), F.col("c"))).alias("hash"))
     again = chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(F.struct(_KEY, "start")).alias("first")).where("times > 1")
-    spots = chunks.join(shared.dealt(again), "hash").select(_KEY, F.struct("start", "n", "hash", (F.struct(_KEY, "start") == F.col("first")).alias("is_first")).alias("s"))
-    return spots.distinct().groupBy(_KEY).agg(F.array_sort(F.collect_list("s")).alias(_CHUNKS))
+    spots = chunks.join(shared.dealt(again), "hash").select(_KEY, "start", "n", "hash", (F.struct(_KEY, "start") == F.col("first")).alias("is_first"))
+    # One deal by document, which the three steps share.  A later chunk inside another one adds no line to what goes.
+    one = spots.repartition(_KEY).distinct()
+    before = F.max(F.col("start") + F.col("n")).over(W.partitionBy(_KEY, "is_first").orderBy("start", F.desc("n")).rowsBetween(W.unboundedPreceding, -1))
+    outer = one.withColumn("before", before).where(F.col("is_first") | F.col("before").isNull() | (F.col("start") + F.col("n") > F.col("before")))
+    return outer.groupBy(_KEY).agg(F.array_sort(F.collect_list(F.struct("start", "n", "hash", "is_first"))).alias(_CHUNKS))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

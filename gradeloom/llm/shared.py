@@ -31,7 +31,7 @@ def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read again, so that its lineage ends there; and its path."""
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
