@@ -383,7 +383,8 @@ def blocks(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     held = placed.groupBy("component", "band").agg(F.count("*").alias("n"), F.sum("held").alias("g"))
     whole = held.groupBy("component").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
     small = (F.col("n") <= BLOCK_SETS) & (F.col("g") <= BLOCK_GRAMS)
-    tasks = max(1, -(-int(whole.where(small).agg(F.sum("g")).first()[0] or 0) // BLOCK_GRAMS))
+    grams, count = whole.where(small).agg(F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(1, -(-int(grams) // BLOCK_GRAMS), -(-int(count) // BLOCK_SETS))
     number = F.ceil(F.greatest(F.col("held.n") / BLOCK_SETS, F.col("held.g") / BLOCK_GRAMS)).cast("int")
     large = shared.saved(held.alias("held").join(whole.where(~small).select(F.col("component").alias("c")), F.col("component") == F.col("c")).select("c", F.col("band").alias("at"), number.alias("blocks")), "shingle-large")
     each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
