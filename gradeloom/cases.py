@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import answers as A
 from .functions import solver as S
 from .functions import text as T
+from .operators import vote as V
 from .queries import query
 
 
@@ -267,3 +268,38 @@ SOLVED = [
 @query(stated("answer, rule", [r[1:] for r in SOLVED]))
 def solver_rules(spark, sf_dir):
     return frame(spark, "q string", [(r[0],) for r in SOLVED]).select("no", S.solved("q").alias("s")).select("no", "s.*")
+
+
+# (question) -> family by the retrieval audit's rules, by the release audit's.
+FAMILY_CASES = [
+    ("cho cấp số cộng có 5 số hạng", "arithmetic_sequence", "arithmetic_sequence"), ("lan mua 3 quyển sách và 2 cây bút", "books_pens", "other"), ("lan mua sách", "other", "other"),
+    ("diện tích hình chữ nhật", "other", "rectangle_area"), ("giá sau khi giảm giá 20%", "original_price_discount", "percentage"), ("xác suất để giỏ hàng", "weighted_average_cart", "probability"), ("giải phương trình", "equation", "equation"),
+    ("cáº¥p sá»‘ cá»™ng", "arithmetic_sequence", "other"), ("tổ hợp chập 2", "other", "combinatorics"), ("", "other", "other"),
+]
+
+
+@query(stated("audit, release", [r[1:] for r in FAMILY_CASES]))
+def template_families(spark, sf_dir):
+    rows = frame(spark, "q string", [(r[0],) for r in FAMILY_CASES])
+    return rows.select("no", T.family("q", T.FAMILIES).alias("audit"), T.family("q", T.RELEASE_FAMILIES).alias("release"))
+
+
+# (question, value) -> penalty.
+SANITY_CASES = [("hỏi có bao nhiêu người", 20000.0, 3.0), ("hỏi có bao nhiêu người", 2000.0, 1.5), ("hỏi có bao nhiêu người", 20.0, 0.0), ("xác suất là", 2.0, 2.5), ("xác suất là", 0.5, 0.0), ("bao nhiêu phần trăm", 20000.0, 1.0), ("tính", 2e6, 4.0), ("tính", 2e5, 1.0), ("tính", None, 3.0)]
+
+
+@query(stated("penalty", [r[2:] for r in SANITY_CASES]))
+def sanity_penalties(spark, sf_dir):
+    rows = frame(spark, "q string, v double", [r[:2] for r in SANITY_CASES])
+    return rows.select("no", V.sanity_penalty(F.col("q"), F.col("v"), V.SANITY).alias("penalty"))
+
+
+# (ids) -> ids without the end marks at their end.
+ID_CASES = [("5,6,2,2", "5,6"), ("2,5,2,6", "2,5,2,6"), ("2,2", ""), ("", "")]
+
+
+@query(stated("left_ids", [r[1:] for r in ID_CASES]))
+def trailing_ids(spark, sf_dir):
+    ids = F.filter(F.transform(F.split("t", ","), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+    rows = frame(spark, "t string", [(r[0],) for r in ID_CASES]).select("no", ids.alias("ids"))
+    return rows.select("no", F.array_join(T.strip_trailing("ids", [2]).cast("array<string>"), ",").alias("left_ids"))

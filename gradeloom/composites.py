@@ -328,3 +328,56 @@ def without_leaked_texts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     toxic = docs.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id")
     return J.unseen_in(docs, toxic, "text").select("doc_id", "text")
+
+
+@query(HITS_SQL + """, g AS (SELECT row, a, count(*) AS n, max(sim) AS top, sum(count(*)) OVER (PARTITION BY row) AS total FROM hits GROUP BY row, a), r AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY row ORDER BY n DESC, top DESC, a) = 1),
+x AS (SELECT q.row, fallback AS model, (cust % 10) / 10 AS agreement, r.a AS retrieved, coalesce(top >= 0.8 AND n / total >= 0.4, false) AS used FROM q LEFT JOIN r USING (row)),
+d AS (SELECT *, CASE WHEN NOT used THEN 'model_consensus' WHEN retrieved IS NOT DISTINCT FROM model THEN 'retrieval_model_agree' WHEN agreement <= 0.5 THEN 'retrieval_low_model_conf' ELSE 'model_fallback_disagree' END AS source FROM x)
+SELECT row, CASE WHEN source LIKE 'retrieval%' THEN retrieved ELSE model END AS key, source FROM d""")
+def hybrid_decisions(spark, sf_dir):
+    """Retrieved answers against the model's: taken if both agree or the model is unsure."""
+    groups = hits(spark, sf_dir).groupBy("row", "a").agg(F.count("*").alias("n"), F.max("sim").alias("top"))
+    best = groups.groupBy(F.col("row").alias("r")).agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("top")).alias("top"), "a")).alias("m"), F.sum("n").alias("total"))
+    rows = asked(spark, sf_dir).join(best, F.col("row") == F.col("r"), "left")
+    used = (-F.col("m.top") >= 0.8) & (-F.col("m.n") / F.col("total") >= 0.4)
+    return rows.select("row", V.agreement_decision(used, F.col("m.a"), F.col("fallback"), (F.col("cust") % 10) / 10).alias("d")).select("row", "d.key", "d.source")
+
+
+@query("""WITH g AS (SELECT user_id, event_type, count(*) AS votes, max(event_id) AS priority FROM events GROUP BY 1, 2), c AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, priority DESC) = 1) SELECT votes, count(*) AS rows FROM c GROUP BY votes""")
+def agreement_counts(spark, sf_dir):
+    return V.agreement_histogram(V.consensus(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id"))
+
+
+def lookup_sql(keys: str) -> str:
+    return f"(SELECT {keys}, p_brand AS a, count(*) AS n, min(p_partkey) AS seen FROM t GROUP BY {keys}, p_brand QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, min(p_partkey), p_brand) = 1)"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_brand, lower('Mua ' || p_size || ' ' || p_name) AS norm, 'Mua <NUM> ' || p_name AS mask, p_size::VARCHAR AS numbers FROM part)
+SELECT t.p_partkey, x.a AS by_norm, y.a AS by_mask, z.a AS by_mask_numbers FROM t JOIN {lookup_sql("norm")} x USING (norm) JOIN {lookup_sql("mask")} y USING (mask) JOIN {lookup_sql("mask, numbers")} z ON z.mask = t.mask AND z.numbers = t.numbers""")
+def mask_lookups(spark, sf_dir):
+    """The most frequent answer of questions of equal text, of equal mask, and of equal mask and numbers."""
+    text = F.concat(F.lit("Mua "), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", T.text_key(text).alias("norm"), T.mask_numbers(text).alias("mask"), F.array_join(T.numbers(text), "|").alias("numbers"))
+    out = rows.select("p_partkey")
+    for name, keys in (("by_norm", ["norm"]), ("by_mask", ["mask"]), ("by_mask_numbers", ["mask", "numbers"])):
+        out = out.join(S.majority_lookup(rows, rows, keys, "p_partkey", "p_brand", "p_partkey").withColumnRenamed("candidate", name), "p_partkey")
+    return out
+
+
+@query(RUNS_SQL + "SELECT run, count(*) AS n, sum(score)::BIGINT AS raw_score, round(sum(score) / count(*), 6) AS score_10, count(*) FILTER (score = 10) AS b10, count(*) FILTER (score = 5) AS b5, count(*) FILTER (score = 1) AS b1, 0 AS b0 FROM runs GROUP BY run")
+def report_summaries(spark, sf_dir):
+    """Summaries of runs as JSON reports, plucked again; their buckets lack zeros."""
+    from .sources import readers as R
+
+    sums = runs(spark, sf_dir).groupBy("run").agg(F.count("*").alias("n"), F.sum("score").alias("raw_score"), F.round(F.avg("score"), 6).alias("score_10"), *(F.count_if(F.col("score") == k).alias(f"c{k}") for k in (10, 5, 1)))
+    buckets = F.create_map(*(x for k in (10, 5, 1) for x in (F.lit(str(k)), F.col(f"c{k}"))))
+    tree = F.to_json(F.struct(F.struct("n", "raw_score", "score_10", buckets.alias("buckets")).alias("summary")))
+    nothing = spark.createDataFrame([("none", "{}")], "run string, tree string")
+    return R.report_summaries(sums.select("run", tree.alias("tree")).unionAll(nothing), "tree")
+
+
+@query("SELECT n_nationkey, (n_nationkey - 12 + 25) % 25 AS turn FROM nation WHERE (n_nationkey - 12 + 25) % 25 < 4 UNION ALL SELECT n_nationkey, (n_nationkey - 24 + 25) % 25 FROM nation WHERE (n_nationkey - 24 + 25) % 25 < 4")
+def cyclic_batches(spark, sf_dir):
+    """Two batches of four nations, the second of which begins again at the first nation."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey")
+    return J.union_all([P.cyclic_batch(nations, "n_nationkey", 25, step, 4) for step in (3, 6)])

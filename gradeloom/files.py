@@ -109,3 +109,14 @@ def markdown_table(spark, sf_dir):
     write_text(spark, path, M.markdown(rows))
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "text"))
     return lines.where("at >= 2 and text != ''").select((F.col("at") - 2).cast("long").alias("line"), "text")
+
+
+@query("SELECT 'good' AS part, count(*) FILTER (c_acctbal >= 0) AS n FROM customer UNION ALL SELECT 'errors', count(*) FILTER (c_acctbal < 0) FROM customer UNION ALL SELECT 'report', 1")
+def artifact_with_errors(spark, sf_dir):
+    """Good rows and errors written apart, and a report beside the outputs, for the gold rows have answers."""
+    rows = table(spark, sf_dir, "customer").withColumn("error", F.when(F.col("c_acctbal") < 0, "negative"))
+    good, errors, out = scratch(spark, "good"), scratch(spark, "errors"), scratch(spark, "outputs")
+    R.write_artifact(rows, "error", good, errors)
+    R.write_outputs(rows, out, rows, "c_name", lambda p, g: p.agg(F.count("*").alias("n")), out + "-report")
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return count(spark.read.parquet(good), "good").unionAll(count(spark.read.parquet(errors), "errors")).unionAll(count(spark.read.json(out + "-report"), "report"))

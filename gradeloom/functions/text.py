@@ -132,17 +132,40 @@ def query_key(text: Column | str, row_id: Column | str, unicode_forms: bool = Tr
     return F.when(key != "", key).otherwise(F.concat(F.lit("query_id:"), as_column(row_id).cast("string")))
 
 
-def family(x: Column | str, rules: list[tuple[str, list[str]]], other: str = "other") -> Column:
-    """The name of the first rule of which a part occurs in the text."""
+def family(x: Column | str, rules: list[tuple[str, list[str | tuple[str, ...]]]], other: str = "other") -> Column:
+    """The name of the first rule of which a part occurs in the text; of a tuple all must occur."""
     out = F.lit(None).cast("string")
     for name, parts in reversed(rules):
         hit = F.lit(False)
         for part in parts:
-            hit = hit | as_column(x).contains(part)
+            every = F.lit(True)
+            for p in (part,) if isinstance(part, str) else part:
+                every = every & as_column(x).contains(p)
+            hit = hit | every
         out = F.when(hit, F.lit(name)).otherwise(out)
     return F.coalesce(out, F.lit(other))
 
 
+#: Template families of normalised questions, in order: of the retrieval audit, and of the release audit.
+FAMILIES = [
+    ("arithmetic_sequence", ["cấp số cộng", "cáº¥p sá»‘ cá»™ng"]), ("set_union", ["thích bóng đá", "thÃ­ch bÃ³ng Ä‘Ã¡"]), ("books_pens", [("lan mua", "cây bút"), ("lan mua", "cÃ¢y bÃºt")]),
+    ("free_shipping", ["miễn phí giao hàng", "miá»…n phÃ­ giao hÃ ng"]), ("remainder_oranges", ["quả cam", "quáº£ cam"]), ("weighted_average_cart", ["giỏ hàng", "giá» hÃ ng"]),
+    ("original_price_discount", ["sau khi giảm giá", "sau khi giáº£m giÃ¡"]), ("simple_interest_principal", ["lãi đơn", "lÃ£i Ä‘Æ¡n"]), ("isosceles_perimeter", ["tam giác cân", "tam giÃ¡c cÃ¢n"]),
+    ("lcm_max", ["bội chung nhỏ nhất", "bá»™i chung nhá» nháº¥t"]), ("floor_ceil", ["floor", "lfloor", "lceil"]), ("probability", ["xác suất", "xÃ¡c suáº¥t"]), ("equation", ["phương trình", "phÆ°Æ¡ng trÃ¬nh"]),
+]
+RELEASE_FAMILIES = [
+    ("arithmetic_sequence", ["cấp số cộng"]), ("geometric_sequence", ["cấp số nhân"]), ("average", ["trung bình cộng"]), ("rectangle_area", [("diện tích", "hình chữ nhật")]), ("rectangle_perimeter", [("chu vi", "hình chữ nhật")]),
+    ("percentage", ["phần trăm", "%"]), ("equation", ["phương trình", "giá trị của x"]), ("motion", ["vận tốc", "quãng đường", "thời gian"]), ("probability", ["xác suất"]), ("combinatorics", ["tổ hợp", "hoán vị"]),
+]
+
+
+def strip_trailing(ids: Column | str, ends: list[int]) -> Column:
+    """An array of token ids without the run of ``ends`` at its end."""
+    a = as_column(ids)
+    last = F.array_max(F.transform(a, lambda x, i: F.when(~x.isin(*ends), i)))
+    return F.slice(a, 1, F.coalesce(last + 1, F.lit(0)))
+
+
 def flags(x: Column | str, prefixes: dict[str, str] | None = None) -> dict[str, Column]:
     """Boolean columns of what a text holds, and of the named ``prefixes`` that it starts with."""
     c = F.coalesce(as_column(x), F.lit(""))

@@ -163,3 +163,9 @@ def source_entries(df: DataFrame, name: str, ordinal: str, query: str, key: str)
 def gold_from_report(report: DataFrame) -> DataFrame:
     """Gold rows made of a report's rows: id, type and the answer behind an anchor (null answers as ``None``)."""
     return report.select("id", "type", F.concat(F.lit("#### "), F.coalesce(F.col("gold_answer").cast("string"), F.lit("None"))).alias("response"))
+
+
+def cyclic_batch(df: DataFrame, ordinal: str, n: int, step: int, size: int) -> DataFrame:
+    """The ``size`` of ``n`` rows (numbered from 0) that come at a step, beginning again after the last one, with ``turn``."""
+    turn = F.pmod(F.col(ordinal) - F.lit(step * size), F.lit(n))
+    return df.withColumn("turn", turn).where(F.col("turn") < size)

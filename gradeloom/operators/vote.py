@@ -203,3 +203,22 @@ def checkpoint_curve(reports: DataFrame, run: str, selected: str, checkpoints: s
     """A row a checkpoint of each run's report (array of structs with ``label``), and whether it is the selected one."""
     each = reports.select(run, selected, F.explode(checkpoints).alias("c"))
     return each.select(run, "c.*", F.col("c.label").eqNullSafe(F.col(selected)).alias("selected"))
+
+
+#: Phrases and limits of the sanity penalty, each limit with its cost; the largest limit passed counts.
+COUNTED = (
+    "bao nhiêu sản phẩm", "bao nhieu san pham", "bao nhiêu cây", "bao nhieu cay", "bao nhiêu quyển", "bao nhieu quyen", "bao nhiêu người", "bao nhieu nguoi", "bao nhiêu năm", "bao nhieu nam",
+    "bao nhiêu điểm", "bao nhieu diem", "bao nhiêu ô", "bao nhieu o", "bao nhiêu quả", "bao nhieu qua", "hỏi n bằng bao nhiêu", "hoi n bang bao nhieu",
+)
+SANITY = [(list(COUNTED), [(1e4, 3.0), (1e3, 1.5)]), (["xác suất", "xac suat", "tỉ số", "ti so"], [(1.5, 2.5)]), (["phần trăm", "phan tram"], [(1e4, 1.0)])]
+
+
+def agreement_decision(used: Column, retrieved: Column, model: Column, agreement: Column, low: float = 0.5) -> Column:
+    """struct(key, source): the retrieved key if it passed its gate and the model agrees, or is unsure; else the model's."""
+    source = F.when(~F.coalesce(used, F.lit(False)), "model_consensus").when(retrieved.eqNullSafe(model), "retrieval_model_agree").when(agreement <= low, "retrieval_low_model_conf").otherwise("model_fallback_disagree")
+    return F.struct(F.when(source.startswith("retrieval"), retrieved).otherwise(model).alias("key"), source.alias("source"))
+
+
+def agreement_histogram(chosen: DataFrame, votes: str = "votes") -> DataFrame:
+    """How many rows the chosen key got each number of votes in."""
+    return chosen.groupBy(votes).agg(F.count("*").alias("rows"))

@@ -176,3 +176,28 @@ def write_report_rows(df: DataFrame, path: str, columns: list[str] | tuple[str,
 
 def write_predictions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_outputs(preds: DataFrame, path: str, gold: DataFrame, answer: str, summary, report: str) -> bool:
+    """Writes predictions, and a report by ``summary`` of the gold rows if the first of these has an answer; whether it did."""
+    write_predictions(preds, path)
+    first = gold.select(answer).first()
+    if first is None or first[0] is None:
+        return False
+    summary(preds, gold).write.mode("overwrite").json(report)
+    return True
+
+
+def write_artifact(rows: DataFrame, error: str, path: str, errors: str) -> None:
+    """Appends good rows to an artifact and rows with an error to its log."""
+    rows.where(F.col(error).isNull()).drop(error).write.mode("append").parquet(path)
+    rows.where(F.col(error).isNotNull()).write.mode("append").parquet(errors)
+
+
+def report_summaries(reports: DataFrame, tree: str) -> DataFrame:
+    """Counts, score and buckets of JSON reports (``summary``), nulls where there is none; a missing bucket is 0."""
+    got = lambda p: F.get_json_object(tree, f"$.summary.{p}")
+    buckets = F.from_json(got("buckets"), "map<string,bigint>")
+    rest = [c for c in reports.columns if c != tree]
+    out = reports.where(got("n").isNotNull())
+    return out.select(*rest, got("n").cast("long").alias("n"), got("raw_score").cast("long").alias("raw_score"), got("score_10").cast("double").alias("score_10"), *(F.coalesce(F.try_element_at(buckets, F.lit(str(k))), F.lit(0)).alias(f"b{k}") for k in (10, 5, 1, 0)))
