@@ -381,3 +381,31 @@ def cyclic_batches(spark, sf_dir):
     """Two batches of four nations, the second of which begins again at the first nation."""
     nations = table(spark, sf_dir, "nation").select("n_nationkey")
     return J.union_all([P.cyclic_batch(nations, "n_nationkey", 25, step, 4) for step in (3, 6)])
+
+
+@query("""SELECT o_orderpriority, coalesce(CASE o_orderpriority WHEN '1-URGENT' THEN 0.5::DOUBLE WHEN '5-LOW' THEN 0.9::DOUBLE END, 0.34::DOUBLE) AS majority, CASE o_orderpriority WHEN '5-LOW' THEN 0.45::DOUBLE ELSE 0.0::DOUBLE END AS jaccard FROM (SELECT DISTINCT o_orderpriority FROM orders)""")
+def kind_configs(spark, sf_dir):
+    """Settings of every kind: its own, else the default."""
+    own = spark.createDataFrame([("1-URGENT", 0.5, None), ("5-LOW", 0.9, 0.45)], "o_orderpriority string, majority double, jaccard double")
+    return H.configs_for(table(spark, sf_dir, "orders"), "o_orderpriority", {"majority": 0.34, "jaccard": 0.0}, own)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY 1 LIMIT 50")
+def missing_predictions(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return J.missing_keys(table(spark, sf_dir, "orders"), lines, "o_orderkey")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS row, l_partkey, l_linenumber, l_suppkey, 10.0 * l_quantity + 2.0 * l_discount + l_tax - 0.5 * (l_linenumber % 3) AS score FROM lineitem)
+SELECT row, l_partkey, l_linenumber, place FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY round(score, 9) DESC, l_linenumber, l_partkey, l_suppkey) AS place FROM c) WHERE place <= 5""")
+def seed_candidates(spark, sf_dir):
+    score = V.seed_score(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_linenumber") % 3)
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "row").withColumn("score", F.round(score, 9))
+    return V.top_k(lines, "row", [F.desc("score"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], 5).select("row", "l_partkey", "l_linenumber", "place")
+
+
+@query(SCORED_SQL + "SELECT score, l_returnflag, count(*) AS n FROM s JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linestatus = 'F' GROUP BY 1, 2")
+def labelled_predictions(spark, sf_dir):
+    """Labels of solved rows beside the scores of their predictions; rows without a label are left out."""
+    labels = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    return scored(spark, sf_dir).join(labels, "o_orderkey").groupBy("score", "l_returnflag").agg(F.count("*").alias("n"))

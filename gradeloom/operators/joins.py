@@ -121,3 +121,8 @@ def pair_runs(scores: DataFrame, run: str, key: str, score: str) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def missing_keys(gold: DataFrame, preds: DataFrame, key: str, most: int = 50) -> DataFrame:
+    """The first ``most`` keys of ``gold`` without a prediction."""
+    return unseen_in(gold.select(key), preds, key).orderBy(key).limit(most)

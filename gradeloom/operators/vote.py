@@ -222,3 +222,8 @@ def agreement_decision(used: Column, retrieved: Column, model: Column, agreement
 def agreement_histogram(chosen: DataFrame, votes: str = "votes") -> DataFrame:
     """How many rows the chosen key got each number of votes in."""
     return chosen.groupBy(votes).agg(F.count("*").alias("rows"))
+
+
+def seed_score(votes: Column, similarity: Column, prior: Column, penalty: Column) -> Column:
+    """Score of a row's candidates before they are scored by likelihood; fixed weights."""
+    return 10.0 * votes + 2.0 * similarity + prior - 0.5 * penalty

@@ -441,7 +441,7 @@ def question_answer_pairs(spark, sf_dir):
     return rows.where((F.col("role") == "user") & (F.col("next.role") == "assistant") & (F.col("next.turn") == F.col("turn") + 1)).select("conv_id", "turn", F.col("next.turn").alias("reply_turn"), F.col("next.n").alias("reply_chars"))
 
 
-@query("""SELECT o_orderkey, a AS answer, anchor, a::DOUBLE AS num, regexp_replace(a, '\.0$', '') AS key, CASE WHEN a IS NULL THEN 'missing' WHEN contains(a, '.') THEN 'decimal_dot' ELSE 'integer' END AS form FROM (
+@query(r"""SELECT o_orderkey, a AS answer, anchor, a::DOUBLE AS num, regexp_replace(a, '\.0$', '') AS key, CASE WHEN a IS NULL THEN 'missing' WHEN contains(a, '.') THEN 'decimal_dot' ELSE 'integer' END AS form FROM (
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN printf('%.2f', floor(o_totalprice) + 0.25) WHEN 3 THEN NULL ELSE o_custkey::VARCHAR END AS a, CASE o_orderkey % 4 WHEN 0 THEN 'dap_an_la' WHEN 1 THEN 'hash4' WHEN 2 THEN 'boxed' END AS anchor FROM orders)""")
 def reply_answers(spark, sf_dir):
     """Answers and numbers in replies that name an order's price or customer behind an anchor, in a box, or not at all."""
