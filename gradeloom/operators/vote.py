@@ -147,7 +147,7 @@ def verified_override(cands: DataFrame, row: str, key: str, model_key: str, prof
     Candidates have ``sources`` (array), ``confidence``, ``prior_norm``, ``logprob`` and an ordinal; without a candidate
     of the model's key the first one stands for it.  Another candidate may take its place if the model has no answer, if
     its source is safe, confident and not much less likely, or if it is confident and likelier by a margin; of these the
-    one of the largest rank, ties: the first.  ``retrieved`` names an array of retrieval facts, which a profile judges;
+    one of the largest rank, to nine digits; ties: the first.  ``retrieved`` names an array of retrieval facts, which a profile judges;
     without it the source of directly safe retrieval counts as safe.
     """
     p = {**PROFILE, **(profile or {})}
@@ -165,7 +165,7 @@ def verified_override(cands: DataFrame, row: str, key: str, model_key: str, prof
     score = 2.0 * F.col("conf") + 0.30 * F.col("prior_norm") + 0.75 * F.col("delta") + F.when(F.col("safe"), 0.35).otherwise(0.0)
     reason = F.when(missing, "model_missing").when(by_safety, "safe_template_or_retrieval").otherwise("logprob_override")
     eligible = ~F.col("own") & (missing | by_safety | by_likelihood)
-    pick = F.max(F.when(eligible, F.struct(score.alias("s"), (-F.col(ordinal)).alias("o"), F.col(key).alias("k"), reason.alias("r"))))
+    pick = F.max(F.when(eligible, F.struct(F.round(score, 9).alias("s"), (-F.col(ordinal)).alias("o"), F.col(key).alias("k"), reason.alias("r"))))
     best = facts.groupBy(row).agg(pick.alias("b"), F.first("m.k").alias("m"))
     return best.select(row, F.when(F.col("b").isNull(), F.col("m")).otherwise(F.col("b.k")).alias("chosen"), F.coalesce("b.r", F.lit("model_default")).alias("reason"))
 
