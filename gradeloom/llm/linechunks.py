@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Gradings, bits between their parts of the hash, and lines of the smallest chunk.
-PHASES, STRIDE, LEAST_LINES = 6, 5, 2
+PHASES, STRIDE, LEAST_LINES = 8, 4, 2
 _TEXT, _KEY, _CHUNKS = "__text", "__key", "__cuts"
 
 
