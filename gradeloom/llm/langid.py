@@ -27,8 +27,8 @@ from . import rowbatch
 
 #: Label of texts without letters, hidden units a direction, bytes of a window, windows worked through together.
 UNKNOWN, HIDDEN, WINDOW, LANES = "und", 8, 96, 1024
-#: Bound of the training sample: so many documents a label, so many characters of each, so many documents in all.
-SAMPLE, SLICE, MOST = 400, 1500, 40_000
+#: Bounds of the training sample: documents a label, characters of each, labels (the most frequent ones).
+SAMPLE, SLICE, LABELS = 400, 1500, 256
 STEPS, BATCH, TRAIN_WINDOW, RATE = 300, 192, 40, 0.02
 
 
@@ -192,16 +192,22 @@ def held_out(doc_id: str) -> F.Column:
 def learn(docs: DataFrame) -> Net | None:
     """Trains on slices of SAMPLE documents a label, the least by a hash of doc_id and text; held-out rows take no part.
 
-    Ranks are limited in each task before the shuffle, so a label of a third of all rows is SAMPLE rows a task.  What
-    comes to the driver is bounded by SAMPLE rows a label and by MOST in all, lower ranks first, whatever the table's size.
+    One aggregate counts the labels.  Then a scan keeps the lowest part of the hashes of each, about twice the sample,
+    which alone is ranked.  What comes to the driver is bounded by SAMPLE and LABELS, whatever the table's size.
     """
     known = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0))
     order = F.xxhash64("doc_id", "text")
     at = F.pmod(order, F.greatest(F.length("text") - SLICE, F.lit(1)).cast("long")).cast("int") + 1
-    sliced = known.select("lang", order.alias("o"), F.col("text").substr(at, F.lit(SLICE)).alias("text"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS).collect()
+    if not counts:
+        return None
+    top = 2**63 - 1
+    upto = F.create_map(*(F.lit(v) for r in counts for v in (r.lang, min(top, top * 2 * SAMPLE // r.n))))
+    low = known.where(order.bitwiseAND(F.lit(top)) <= upto[F.col("lang")])
+    sliced = low.select("lang", order.bitwiseAND(F.lit(top)).alias("o"), F.col("text").substr(at, F.lit(SLICE)).alias("text"))
     ranked = sliced.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("o", "text"))).where(F.col("place") <= SAMPLE)
     samples: dict[str, list[bytes]] = {}
-    for r in ranked.orderBy("place", "o", "lang").limit(MOST).collect():
+    for r in ranked.collect():
         samples.setdefault(r.lang, []).append(r.text.encode("utf-8"))
     return train({k: sorted(v) for k, v in samples.items()})
 
