@@ -116,6 +116,36 @@ def classed_starts(text: str) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def equal(a: np.ndarray, starts: np.ndarray, counts: np.ndarray, b: np.ndarray, other_starts: np.ndarray, other_counts: np.ndarray) -> np.ndarray:
+    """Whether ranges of two buffers hold the same bytes, pair by pair."""
+    out = np.zeros(len(starts), bool)
+    some, at = np.flatnonzero(counts == other_counts), 0
+    while at < len(some):  # bounded numbers of bytes at a time; a longer pair stands alone
+        to = at + max(1, int(np.searchsorted(np.cumsum(counts[some[at : at + SLICE]]), SLICE, "right")))
+        now = some[at:to]
+        size = counts[now]
+        begin = np.cumsum(size) - size
+        inside = np.arange(int(size.sum())) - np.repeat(begin, size)
+        differ = a[np.repeat(starts[now], size) + inside] != b[np.repeat(other_starts[now], size) + inside]
+        wrong = np.append(0, np.cumsum(differ))
+        out[now] = wrong[begin + size] == wrong[begin]
+        at = to
+    return out
+
+
+def alike(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and first range of each group of ranges with equal bytes, and every range's group.
+
+    Groups are found by hash and compared byte by byte with their first; ranges that differ from it though their hash
+    is equal are groups of their own.
+    """
+    keys, first, which = np.unique(wordhash.ranges(data, start, stop), return_index=True, return_inverse=True)
+    size = stop - start
+    odd = np.flatnonzero(~equal(data, start, size, data, start[first[which]], size[first[which]]))
+    which[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate([keys, np.zeros(len(odd), np.uint64)]), np.concatenate([first, odd]), which
+
+
 class Codec:
     """Encodes and decodes by one set of ranks and one pre-token pattern."""
 
@@ -266,11 +296,14 @@ class Codec:
         data, stop = np.frombuffer(b"".join(raws), np.uint8), np.concatenate(ends)
         del raws, ends
         start = np.append(0, stop[:-1])
-        keys, first, which = np.unique(wordhash.ranges(data, start, stop), return_index=True, return_inverse=True)
+        keys, first, which = alike(data, start, stop)
         counts = (stop - start)[first]
         at = np.searchsorted(self.whole_keys, keys)
         at[at == len(self.whole_keys)] = 0
         known = self.whole_keys[at] == keys
+        maybe = np.flatnonzero(known)
+        token = self.whole_ids[at[maybe]]
+        known[maybe] = equal(data, start[first[maybe]], counts[maybe], self.table, self.starts[token], self.lengths[token])
         size = np.where(known, 0, counts)
         spread = np.repeat(start[first] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         made, number = self.merge(data[spread], size)

@@ -80,10 +80,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = np.bincount(owner[again], minlength=n)
 
     folded = wordhash.ranges(data, starts, ends, fold=True)
-    place = np.arange(len(folded)) - np.repeat(first_word, words_in)
-    weighted = folded * wordhash.powers(int(words_in.max(initial=0)) + 1)[place]
-    line = np.add.reduceat(weighted, first_word) if len(first_word) else np.empty(0, np.uint64)
-    out["line"] = wordhash.scramble(line + words_in.astype(np.uint64))
+    out["line"] = wordhash.runs(folded, words_in)
     out["line_words"], out["line_text"] = words_in, owner
     return out
 

@@ -50,8 +50,7 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, ends, first, text = sentences(data, offsets)
     word = wordhash.ranges(data, starts, ends)
     inside = np.arange(len(text)) - np.searchsorted(text, text)
-    sums = np.append(np.uint64(0), np.cumsum(word * wordhash.powers(max(len(word), 1))[: len(word)]))
-    undo = wordhash.inverse_powers(len(word) + 1)
+    sentence = wordhash.runs(word, np.diff(first)) if len(text) else word
     found = []
     for run, least in RUNS:
         n = len(text) - run + 1
@@ -60,7 +59,9 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         a, b = first[:n], first[run : run + n]
         ok = (text[:n] == text[run - 1 :]) & (b - a >= least)
         a, b, at = a[ok], b[ok], np.flatnonzero(ok)
-        h = wordhash.scramble((sums[b] - sums[a]) * undo[a] + np.uint64(run))
+        h = sentence[at]
+        for i in range(1, run):
+            h = wordhash.mix(h, sentence[at + i])
         found.append((h, text[at], inside[at], np.full(len(at), run)))
     if not found:
         return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))

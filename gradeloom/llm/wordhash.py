@@ -1,7 +1,9 @@
 """Vectorised hashing of byte ranges of a text buffer: words, shingles, pre-tokens.
 
-A range's hash is a polynomial of its bytes modulo 2**64, read off prefix sums, then scrambled.  Buffers are worked
-through in pieces of bounded size, cut between ranges, so memory does not follow the longest text.
+A range is cut into blocks of eight bytes, and the blocks are mixed pairwise in a tree by a function that is neither
+linear nor symmetric, down to one; its length goes in at the end.  A sum or polynomial modulo 2**64 would do with less
+work, but has collisions that anyone can write down (words in the order of Thue and Morse).  Buffers are worked through
+in pieces of bounded size, cut between ranges, so memory does not follow the longest text.
 """
 
 from __future__ import annotations
@@ -11,8 +13,7 @@ import numpy as np
 #: Bytes worked through at a time; a single longer range stands alone.
 PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_LEFT, _RIGHT, _LENGTH = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
 #: Whitespace that parts words: space and tab to carriage return.
 SPACES = b" \t\n\v\f\r"
 
@@ -24,48 +25,53 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = scramble(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _BYTES[97:123]
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One hash of two, in this order."""
+    return scramble(scramble(left + _LEFT) * _RIGHT + right)
 
 
-def _power_table(base: int, slot: int, n: int) -> np.ndarray:
-    have = _powers[slot]
-    if len(have) < n:
-        size = max(n, PIECE + 1)
-        have = np.full(size, base & _MASK, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 8 * PIECE:
-            _powers[slot] = have
-    return have
+def runs(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash for each run of ``hashes``, ``counts`` (at least one each) long, which lie one after another."""
+    total = counts
+    while len(hashes) > len(counts):
+        starts = np.cumsum(counts) - counts
+        place = np.arange(len(hashes)) - np.repeat(starts, counts)
+        left = np.flatnonzero(place & 1 == 0)
+        paired = left + 1 < len(hashes)
+        paired[paired] = place[left[paired] + 1] == place[left[paired]] + 1
+        made = hashes[left]
+        made[paired] = mix(made[paired], hashes[left[paired] + 1])
+        hashes, counts = made, (counts + 1) >> 1
+    return scramble(hashes + total.astype(np.uint64) * _LENGTH)
 
 
-def powers(n: int) -> np.ndarray:
-    """The first ``n`` powers of the polynomials' base."""
-    return _power_table(_BASE, 0, n)[:n]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def inverse_powers(n: int) -> np.ndarray:
-    """Their inverses modulo 2**64."""
-    return _power_table(_INVERSE, 1, n)[:n]
-
-
-def ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+def ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, seed: int = 0) -> np.ndarray:
     """Hashes of ``data[starts[i]:ends[i]]``; ranges ascend and do not overlap.  ``fold``: A-Z count as a-z."""
-    table, n = _LOWER if fold else _BYTES, len(starts)
+    n = len(starts)
     out = np.empty(n, np.uint64)
+    key = scramble(np.array([seed * _BASE + 1 & (1 << 64) - 1], np.uint64))
     at = 0
     while at < n:
         base = int(starts[at])
         to = max(at + 1, int(np.searchsorted(ends, base + PIECE, "right")))
         size = int(ends[to - 1]) - base
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(table[data[base : base + size]] * _power_table(_BASE, 0, size)[:size], out=sums[1:])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        h = (sums[e] - sums[s]) * _power_table(_INVERSE, 1, size + 1)[s]
-        out[at:to] = scramble(h + (e - s).astype(np.uint64))
+        padded = np.zeros(size + 8, np.uint8)
+        padded[:size] = _LOWER[data[base : base + size]] if fold else data[base : base + size]
+        eights = np.ndarray(size + 1, "<u8", padded.data, strides=(1,))
+        s, length = starts[at:to] - base, ends[at:to] - starts[at:to]
+        head = scramble((eights[s] & _KEEP[np.minimum(length, 8)]) ^ key)
+        long = np.flatnonzero(length > 8)
+        if len(long):
+            blocks = (length[long] + 7) >> 3
+            inside = 8 * (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+            block = eights[np.repeat(s[long], blocks) + inside] & _KEEP[np.minimum(np.repeat(length[long], blocks) - inside, 8)]
+            head[long] = runs(scramble(block ^ key), blocks)
+        out[at:to] = scramble(head + length.astype(np.uint64) * _LENGTH)
         at = to
     return out
 
