@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, linechunks, quality, sharding, shared, shinglejoin, spans, templates, warczip
+from . import bpe, langid, licenses, linechunks, quality, sharding, shared, shinglejoin, spans, templates, veccodes, warczip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -219,6 +219,36 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.read(spread, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.codes(table(spark, sf_dir, "embeddings"))
+
+
+_DISTANCE = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT"
+_NEAREST = f"SELECT r, part, min(struct_pack(d := {_DISTANCE}, e := entry)) AS best FROM p JOIN {{}} USING (part) GROUP BY r, part"
+_MOVED = """
+SELECT o.part, o.entry, coalesce(n.c, o.c) AS c FROM {} o LEFT JOIN (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+    SELECT part, best.e AS entry, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM p JOIN {} USING (r, part), (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY ALL
+  ) GROUP BY part, entry
+) n USING (part, entry)
+"""
+#: Every part beside every entry of its codebook.
+OP13_SQL = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (SELECT r, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS x FROM k, (SELECT unnest(range(0, 16)) AS part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= 64),
+a0 AS MATERIALIZED ({_NEAREST.format("c0")}), c1 AS MATERIALIZED ({_MOVED.format("c0", "a0")}),
+a1 AS MATERIALIZED ({_NEAREST.format("c1")}), c2 AS MATERIALIZED ({_MOVED.format("c1", "a1")}),
+a2 AS MATERIALIZED ({_NEAREST.format("c2")}),
+e AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256
+FROM k JOIN e USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_spans": op2_spans,
@@ -230,6 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_shingle_join": op9_shingle_join,
     "op10_bpe": op10_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_spans": OP2_SQL, "op3_licenses": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op8_warc": OP8_SQL, "op9_shingle_join": OP9_SQL}
+ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_spans": OP2_SQL, "op3_licenses": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op8_warc": OP8_SQL, "op9_shingle_join": OP9_SQL, "op13_vector_codes": OP13_SQL}
