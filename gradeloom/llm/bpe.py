@@ -146,6 +146,47 @@ def alike(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return np.concatenate([keys, np.zeros(len(odd), np.uint64)]), np.concatenate([first, odd]), which
 
 
+def pieces(texts: list[str], pattern: str) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(number of the text, some bytes, ends of the pre-tokens in them), in order."""
+    for i, text in enumerate(texts):
+        if pattern != CLASSED:
+            sizes = [len(m.group().encode("utf-8")) for m in regex.finditer(pattern, text)]
+            yield i, text.encode("utf-8"), np.cumsum(sizes, dtype=np.int64)
+            continue
+        at = 0
+        while at < len(text):
+            some = text[at : at + SLICE]
+            starts = classed_starts(some)
+            if at + len(some) < len(text):
+                # The last matches may go on beyond the slice: leave them for the next, if any match is left.
+                if len(starts) < 4:
+                    some = text[at:]
+                    starts = classed_starts(some)
+                else:
+                    some = some[: starts[-3]]
+                    starts = starts[:-3]
+            raw = some.encode("utf-8")
+            if len(raw) != len(some):
+                lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+                starts = np.flatnonzero(lead)[starts]
+            yield i, raw, np.append(starts[1:], len(raw))
+            at += len(some)
+
+
+def pretokens(texts: list[str], pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts one after another, starts and ends of their pre-tokens, and each one's text."""
+    owners, raws, ends, base = [], [], [], 0
+    for i, raw, stops in pieces(texts, pattern):
+        raws.append(raw)
+        ends.append(stops + base)
+        owners.append(np.full(len(stops), i, np.int32))
+        base += len(raw)
+    if not base:
+        return np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+    stop = np.concatenate(ends)
+    return np.frombuffer(b"".join(raws), np.uint8), np.append(0, stop[:-1]), stop, np.concatenate(owners)
+
+
 class Codec:
     """Encodes and decodes by one set of ranks and one pre-token pattern."""
 
@@ -154,7 +195,7 @@ class Codec:
         tokens = [b""] * size
         for token, rank in ranks.items():
             tokens[rank] = token
-        self.size, self.pattern, self.split = size, pattern, regex.compile(pattern)
+        self.size, self.pattern = size, pattern
         self.lengths = np.fromiter(map(len, tokens), np.int64, size)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.table = np.frombuffer(b"".join(tokens), np.uint8)
@@ -257,45 +298,11 @@ class Codec:
             queue.put(rank, rest.tolist())
         return going
 
-    def pieces(self, texts: list[str]) -> Iterator[tuple[int, bytes, np.ndarray]]:
-        """(number of the text, some bytes, ends of the pre-tokens in them), in order."""
-        for i, text in enumerate(texts):
-            if self.pattern != CLASSED:
-                sizes = [len(m.group().encode("utf-8")) for m in self.split.finditer(text)]
-                yield i, text.encode("utf-8"), np.cumsum(sizes, dtype=np.int64)
-                continue
-            at = 0
-            while at < len(text):
-                some = text[at : at + SLICE]
-                starts = classed_starts(some)
-                if at + len(some) < len(text):
-                    # The last matches may go on beyond the slice: leave them for the next, if any match is left.
-                    if len(starts) < 4:
-                        some = text[at:]
-                        starts = classed_starts(some)
-                    else:
-                        some = some[: starts[-3]]
-                        starts = starts[:-3]
-                raw = some.encode("utf-8")
-                if len(raw) != len(some):
-                    lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
-                    starts = np.flatnonzero(lead)[starts]
-                yield i, raw, np.append(starts[1:], len(raw))
-                at += len(some)
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and each text's number of ids."""
-        owners, raws, ends, base = [], [], [], 0
-        for i, raw, stops in self.pieces(texts):
-            raws.append(raw)
-            ends.append(stops + base)
-            owners.append(np.full(len(stops), i, np.int32))
-            base += len(raw)
-        if not base:
+        data, start, stop, owner = pretokens(texts, self.pattern)
+        if not len(start):
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        data, stop = np.frombuffer(b"".join(raws), np.uint8), np.concatenate(ends)
-        del raws, ends
-        start = np.append(0, stop[:-1])
         keys, first, which = alike(data, start, stop)
         counts = (stop - start)[first]
         at = np.searchsorted(self.whole_keys, keys)
@@ -315,7 +322,7 @@ class Codec:
         other[where[known]] = False
         ids[other] = made
         each = number[which]
-        per_text = np.bincount(np.concatenate(owners), weights=each, minlength=len(texts)).astype(np.int64)
+        per_text = np.bincount(owner, weights=each, minlength=len(texts)).astype(np.int64)
         spread = np.repeat(where[which] - (np.cumsum(each) - each), each)
         spread += np.arange(len(spread))
         return ids[spread], per_text

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, linechunks, quality, sharding, shared, shinglejoin, spans, templates, veccodes, warczip
+from . import bpe, langid, licenses, linechunks, quality, sharding, shared, shinglejoin, spans, templates, tokencounts, veccodes, warczip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -219,6 +219,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.read(spread, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+#: More tokens are over the limit.
+TOKEN_LIMIT = 512
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = tokencounts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return veccodes.codes(table(spark, sf_dir, "embeddings"))
 
@@ -260,6 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_shingle_join": op9_shingle_join,
     "op10_bpe": op10_bpe,
+    "op12_token_counts": op12_token_counts,
     "op13_vector_codes": op13_vector_codes,
 }
 
