@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, linechunks, quality, sharding, shared, shinglejoin, spans, templates, tokencounts, veccodes, warczip
+from . import bpe, langid, licenses, linechunks, phrases, quality, sharding, shared, shinglejoin, spans, templates, tokencounts, veccodes, warczip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -219,6 +219,31 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.read(spread, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+#: Runs of one, two and three words of a piece, counted by grouping.
+OP11_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?
+-]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
+g AS MATERIALIZED (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 10),
+s AS (
+  SELECT c.*, cut, x.f AS l, y.f AS r, (1000000 * a::HUGEINT * a::HUGEINT // (x.f::HUGEINT * y.f::HUGEINT))::BIGINT AS score FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')
+), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+h AS (SELECT lang, phrase, max(a) AS held FROM (SELECT lang, array_to_string(ws[o:o + 1], ' ') AS phrase, a FROM c, (SELECT unnest([1, 2]) AS o) WHERE k = 3) GROUP BY ALL),
+q AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE held IS NULL OR 100 * held < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM q JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
 #: More tokens are over the limit.
 TOKEN_LIMIT = 512
 
@@ -270,8 +295,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_shingle_join": op9_shingle_join,
     "op10_bpe": op10_bpe,
+    "op11_phrases": op11_phrases,
     "op12_token_counts": op12_token_counts,
     "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_spans": OP2_SQL, "op3_licenses": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op8_warc": OP8_SQL, "op9_shingle_join": OP9_SQL, "op13_vector_codes": OP13_SQL}
+ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_spans": OP2_SQL, "op3_licenses": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_quality": OP6_SQL, "op8_warc": OP8_SQL, "op9_shingle_join": OP9_SQL, "op11_phrases": OP11_SQL, "op13_vector_codes": OP13_SQL}

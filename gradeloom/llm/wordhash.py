@@ -105,3 +105,8 @@ def grams(word_hashes: np.ndarray, texts: np.ndarray, size: int) -> tuple[np.nda
         h += word_hashes[i : i + n]
     at = np.flatnonzero(texts[:n] == texts[size - 1 :])
     return scramble(h[at]), at
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _LOWER[data]
