@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .plans import report as M
 from .queries import query, table
 from .sources import readers as R
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, or, in local mode without one, in a temporary folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="gradeloom-")
-    return f"{root.rstrip('/')}/gradeloom-files/{name}-{uuid.uuid4().hex}"
+from .sources.readers import scratch
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

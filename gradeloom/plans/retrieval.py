@@ -1,78 +1,10 @@
-"""TF-IDF retrieval over words or character n-grams, and template lookups."""
+"""Template lookups: answers of known rows with equal keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_column, words
-from .search import terms_of, top_k  # noqa: F401
-
-
-def char_grams(x: Column | str, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
-    """Character n-grams inside words, each padded by a blank; a short padded word is one gram once."""
-
-    none = F.array().cast("array<string>")
-
-    def of(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        n = F.length(padded)
-
-        def runs(size: int) -> Column:
-            short = F.array(padded) if size == sizes[0] else none
-            return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(padded, i, F.lit(size)))).otherwise(short)
-
-        return F.concat(*map(runs, sizes))
-
-    return F.flatten(F.transform(words(x), of))
-
-
-def word_grams(w: Column | str) -> Column:
-    """Words and pairs of adjoining words of an array of words, a column of its own: it is used several times."""
-    w = as_column(w)
-    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(w, pairs)
-
-
-def word_gram_counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(id, term, tf) of the words and pairs of every row; terms are 64-bit hashes."""
-    split = df.select(F.col(row_id).alias("id"), words(text).alias("w"))
-    return split.select("id", F.explode(word_grams("w")).alias("gram")).groupBy("id", F.xxhash64("gram").alias("term")).agg(F.count("*").alias("tf"))
-
-
-def char_gram_counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """``word_gram_counts``, but of ``char_grams``: grams lie inside words, so a row's equal words are counted before they are cut."""
-    found = df.select(F.col(row_id).alias("id"), F.explode(words(text)).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
-    return found.select("id", "n", F.explode(char_grams("word")).alias("gram")).groupBy("id", F.xxhash64("gram").alias("term")).agg(F.sum("n").alias("tf"))
-
-
-def fit(index: DataFrame, rows: DataFrame, max_df: float = 1.0) -> DataFrame:
-    """(term, idf) of term counts: ln((1 + n) / (1 + df)) + 1; terms of more than ``max_df`` of the n ``rows`` are left out."""
-    n = rows.agg(F.count("*").alias("n"))
-    # The largest tf keeps the columns of ``index``, so that its shuffle serves here and in the join with idf.
-    df = index.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("most"))
-    return df.crossJoin(F.broadcast(n)).where((F.col("df") <= F.col("n") * max_df) & (F.col("most") > 0)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-
-
-def weighted(counts: DataFrame, idf: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(id, terms, weights): tf * idf of length 1 per row; of the terms, ``only`` those named are listed."""
-    raw = counts.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("x"))
-    if only is not None:
-        raw = raw.join(only.select("term", F.lit(True).alias("listed")), "term", "left")
-    listed = F.lit(True) if only is None else F.col("listed")
-    rows = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.array_sort(F.collect_list(F.when(listed, F.struct("term", "x")))).alias("l"))
-    return rows.select("id", F.col("l.term").alias("terms"), F.transform("l.x", lambda x: x / F.col("norm")).alias("weights"))
-
-
-def nearest_by_tfidf(index: DataFrame, items: DataFrame, rows: DataFrame, k: int, max_df: float = 1.0) -> DataFrame:
-    """The ``k`` index rows nearest to each item, both as term counts: similarity above 0, to nine digits; ties: lower id.
-
-    The index's terms are counted once; only those that items have are kept for the search, all count for the norms.
-    """
-    idf = fit(index, rows, max_df)
-    only = items.select("term").distinct()
-    return top_k(weighted(items, idf), weighted(index, idf, only), k, "dot", digits=9)
-
 
 def lookup(queries: DataFrame, known: DataFrame, keys: list[str], answer: str) -> DataFrame:
     """For each query row the answers of known rows with equal keys, with counts: one row an answer."""

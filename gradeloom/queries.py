@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +17,8 @@ from .operators import gates as H
 from .operators import joins as J
 from .operators import vote as V
 from .plans import retrieval as R
+from .plans.retriever import Grams, Retriever
+from .sources.readers import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -224,6 +226,16 @@ def running_clicks(spark, sf_dir):
 # Overlap and retrieval: benchmark items against documents.
 
 
+def saved_index(spark: SparkSession, sf_dir: str, grams: Grams, jaccard: bool = False, max_df: float = 1.0, same: tuple[Column, ...] = ()) -> Retriever:
+    """An index of all documents, saved in the shared folder."""
+    rows = Retriever.rows(table(spark, sf_dir, "documents"), "doc_id", T.words("text"), same)
+    return Retriever.fit(rows, scratch(spark, "index"), grams, jaccard, max_df)
+
+
+def asked(index: Retriever, rows: DataFrame, row_id: str, k: int, same: tuple[Column, ...] = ()) -> DataFrame:
+    return index.search(Retriever.rows(rows, row_id, T.words("text"), same), k)
+
+
 @query("""SELECT conv_id, turn FROM conversations WHERE lower(trim(text)) IN (SELECT lower(trim(text)) FROM conversations GROUP BY 1 HAVING count(*) > 1) OR text IN (SELECT text FROM documents)""")
 def exact_overlap(spark, sf_dir):
     """Turns whose text another turn or a document has."""
@@ -269,11 +281,22 @@ s AS (SELECT item_id, doc_id, shared / (len(b.w) + len(t.w) - shared) AS j FROM
 SELECT item_id, doc_id, round(j, 6) AS jaccard, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS place FROM s) WHERE place <= 3""")
 def nearest_by_jaccard(spark, sf_dir):
     """The three documents nearest to each item by their sets of words, exactly."""
-    sets = lambda name, row: table(spark, sf_dir, name).select(F.col(row).alias("id"), R.terms_of(T.words("text", distinct=True)).alias("terms"))
-    got = R.top_k(sets("benchmark", "item_id"), sets("documents", "doc_id"), 3, "jaccard")
+    got = asked(saved_index(spark, sf_dir, Grams(), jaccard=True), table(spark, sf_dir, "benchmark"), "item_id", 3)
     return got.select(F.col("query_id").alias("item_id"), F.col("index_id").alias("doc_id"), F.round("similarity", 6).alias("jaccard"), "place")
 
 
+@query(f"""WITH t AS (SELECT doc_id AS id, source, lang, list_distinct(regexp_extract_all(lower(text), '{WORDS}')) AS w FROM documents),
+x AS (SELECT id, unnest(w) AS token FROM t), p AS (SELECT q.id AS query_id, i.id AS index_id, count(*) AS shared FROM x q JOIN x i USING (token) WHERE q.id % 20 = 0 GROUP BY 1, 2),
+s AS (SELECT query_id, index_id, round(shared / (len(a.w) + len(b.w) - shared), 9) AS j, coalesce(a.source = b.source, a.source IS NULL AND b.source IS NULL)::INT AS s1, coalesce(a.lang = b.lang, a.lang IS NULL AND b.lang IS NULL)::INT AS s2 FROM p JOIN t a ON a.id = query_id JOIN t b ON b.id = index_id)
+SELECT query_id, index_id, round(j, 6) AS jaccard, s1 = 1 AS same_source, s2 = 1 AS same_lang, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY j DESC, s1 DESC, s2 DESC, index_id) AS place FROM s) WHERE place <= 12""")
+def similar_documents(spark, sf_dir):
+    """The twelve documents most similar to every twentieth one; of equal similarity first those of its source, then of its language."""
+    docs = table(spark, sf_dir, "documents")
+    same = (F.col("source"), F.col("lang"))
+    got = asked(saved_index(spark, sf_dir, Grams(), jaccard=True, same=same), docs.where("doc_id % 20 = 0"), "doc_id", 12, same)
+    return got.select("query_id", "index_id", F.round("similarity", 6).alias("jaccard"), (F.col("same").bitwiseAND(2) > 0).alias("same_source"), (F.col("same").bitwiseAND(1) > 0).alias("same_lang"), "place")
+
+
 @query("""WITH p AS (SELECT l_orderkey, round(l_extendedprice, 2) AS price FROM lineitem), o AS (SELECT o_orderkey, round(o_totalprice, 2) AS price, o_orderpriority FROM orders),
 g AS (SELECT l_orderkey, list(DISTINCT price) AS prices FROM p GROUP BY 1)
 SELECT o_orderpriority, CASE WHEN g.l_orderkey IS NULL THEN 'unseen' WHEN o.price IS NULL THEN 'missing' WHEN list_contains(prices, o.price) THEN 'same' ELSE 'conflict' END AS overlap, count(*) AS n FROM o LEFT JOIN g ON l_orderkey = o_orderkey GROUP BY 1, 2""")
@@ -464,13 +487,26 @@ bx AS (SELECT id, term, tf * idf AS x FROM bc JOIN idf USING (term)), bw AS (SEL
 s AS (SELECT bw.id AS query_id, dw.id AS index_id, sum(bw.w * dw.w) AS sim FROM bw JOIN dw USING (term) GROUP BY 1, 2)
 SELECT query_id, index_id, round(sim, 6) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, index_id) AS place FROM s) WHERE place <= 5""")
 def tfidf_neighbours(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    index = R.word_gram_counts(docs, "doc_id", "text")
-    items = R.word_gram_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    got = R.nearest_by_tfidf(index, items, docs.where(F.col("text").rlike(r"[\p{L}\p{N}_]")), 5, max_df=0.35)
+    got = asked(saved_index(spark, sf_dir, Grams((1, 2)), max_df=0.35), table(spark, sf_dir, "benchmark"), "item_id", 5)
     return got.select("query_id", "index_id", F.round("similarity", 6).alias("similarity"), "place")
 
 
+@query(f"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{WORDS}') AS w FROM documents),
+b AS (SELECT 'item' AS asked, item_id AS id, regexp_extract_all(lower(text), '{WORDS}') AS w FROM benchmark UNION ALL SELECT 'first turn', conv_id, regexp_extract_all(lower(text), '{WORDS}') FROM conversations WHERE turn = 0),
+dc AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({GRAMS_SQL}) AS term FROM d) GROUP BY 1, 2), bc AS (SELECT asked, id, term, count(*) AS tf FROM (SELECT asked, id, unnest({GRAMS_SQL}) AS term FROM b) GROUP BY 1, 2, 3),
+n AS (SELECT count(DISTINCT id) AS n FROM dc), idf AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM dc, n GROUP BY term, n HAVING count(*) <= n * 0.35),
+dx AS (SELECT id, term, tf * idf AS x FROM dc JOIN idf USING (term)), dw AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM dx),
+bx AS (SELECT asked, id, term, tf * idf AS x FROM bc JOIN idf USING (term)), bw AS (SELECT asked, id, term, x / sqrt(sum(x * x) OVER (PARTITION BY asked, id)) AS w FROM bx),
+s AS (SELECT asked, bw.id AS query_id, dw.id AS index_id, sum(bw.w * dw.w) AS sim FROM bw JOIN dw USING (term) GROUP BY 1, 2, 3)
+SELECT asked, query_id, index_id, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY asked, query_id ORDER BY round(sim, 9) DESC, index_id) AS place FROM s) WHERE place = 1""")
+def one_index_two_query_sets(spark, sf_dir):
+    """The nearest document of each benchmark item and of each conversation's first turn, asked of one saved index."""
+    index = saved_index(spark, sf_dir, Grams((1, 2)), max_df=0.35)
+    again = Retriever(spark, index.path, index.grams, index.jaccard)
+    sets = {"item": (table(spark, sf_dir, "benchmark"), "item_id"), "first turn": (table(spark, sf_dir, "conversations").where("turn = 0"), "conv_id")}
+    return J.union_all([asked(again, rows, row, 1).select(F.lit(name).alias("asked"), "query_id", "index_id", F.round("similarity", 6).alias("similarity")) for name, (rows, row) in sets.items()])
+
+
 #: Grams of three to five characters inside each blank-padded word; a padded word that is shorter counts once.
 CHAR_GRAMS_SQL = "flatten(list_transform(w, lambda v: list_concat(CASE WHEN length(v) < 1 THEN [' ' || v || ' '] ELSE [] END, flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, length(v) + 4 - n), lambda i: substr(' ' || v || ' ', i::BIGINT, n::BIGINT)))))))"
 
@@ -483,10 +519,7 @@ s AS (SELECT bx.id AS query_id, dx.id AS index_id, sum(bx.x / bn.norm * (dx.x /
 SELECT query_id, index_id, round(sim, 6) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, index_id) AS place FROM s) WHERE place <= 9""")
 def char_gram_neighbours(spark, sf_dir):
     """Character n-gram retrieval of documents, by their whole texts, for benchmark items."""
-    docs = table(spark, sf_dir, "documents")
-    index = R.char_gram_counts(docs, "doc_id", "text")
-    items = R.char_gram_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    got = R.nearest_by_tfidf(index, items, docs.where(F.col("text").rlike(r"[\p{L}\p{N}_]")), 9)
+    got = asked(saved_index(spark, sf_dir, Grams((3, 4, 5), characters=True)), table(spark, sf_dir, "benchmark"), "item_id", 9)
     return got.select("query_id", "index_id", F.round("similarity", 6).alias("similarity"), "place")
 
 
