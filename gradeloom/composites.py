@@ -248,6 +248,14 @@ def overlap_rows(spark, sf_dir):
     return got.withColumn("max_similarity", F.round("max_similarity", 6))
 
 
+@query()
+def sequence_overlap(spark, sf_dir):
+    """Users' turns with the largest sequence ratio to another turn of their conversation, beside what ``overlap_rows`` tells."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), "conv_id", "role", "text", F.length("text").alias("num"))
+    got = G.overlap_rows(turns.where("role = 'user'"), turns.where("role != 'user'"), "row", "conv_id", "text", "num")
+    return got.withColumn("max_similarity", F.round("max_similarity", 6))
+
+
 # Records, splits and alignments.
 
 

@@ -23,14 +23,19 @@ def as_column(x: Column | str) -> Column:
 
 
 def compat(x: Column | str, form: str = "NFKC", fold: bool = False) -> Column:
-    """The Unicode normal form ``form`` of a text, case-folded if ``fold``; null stays null."""
+    """The Unicode normal form ``form`` of a text, case-folded if ``fold``; null stays null.
+
+    A text of ASCII is its own normal form and stays in the JVM; the others go to Python.
+    """
 
     @F.pandas_udf("string")
     def apply(texts: pd.Series) -> pd.Series:
         done = texts.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
         return done.str.casefold() if fold else done
 
-    return apply(as_column(x))
+    c = as_column(x)
+    other = F.when(c.rlike(r"[^\x00-\x7F]"), c)
+    return F.coalesce(apply(other), F.lower(c) if fold else c)
 
 
 def squeeze(x: Column | str) -> Column:
@@ -218,15 +223,3 @@ def cap_words(x: Column | str, n: int, tail: bool = False) -> Column:
     """The first (or last) ``n`` parts between white space."""
     parts = F.split(squeeze(as_column(x)), " ")
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)) if tail else F.lit(1), F.lit(n)), " ")
-
-
-def ratio(a: Column | str, b: Column | str) -> Column:
-    """Ratcliff-Obershelp similarity, as the standard library computes it."""
-
-    @F.pandas_udf("double")
-    def apply(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
-
-    return apply(as_column(a), as_column(b))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.nearest_text import best_in_group
+
 SCORES = (10, 5, 1, 0)
 
 
@@ -214,14 +216,20 @@ def decision_sources(decisions: DataFrame, rows: DataFrame, row: str, source: st
     return joined.groupBy(F.coalesce(F.col(source), F.lit("<missing>")).alias(source)).agg(F.count("*").alias("n"), F.sum("__s").alias("raw"), *(F.count_if(F.col("__s") == k).alias(f"b{k}") for k in SCORES))
 
 
-def overlap_rows(df: DataFrame, train: DataFrame, row: str, group: str, query: str, number: str, similarity: Callable[[Column, Column], Column]) -> DataFrame:
+def overlap_rows(df: DataFrame, train: DataFrame, row: str, group: str, query: str, number: str, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Per row: whether its query and group occur in ``train``, the largest similarity to a query of its group, and its class.
 
-    Similarities are taken of pairs inside a group and reduced to their maximum; no list of a group's queries is made.
+    The sequence ratio is taken of blocks of different queries of a group, and only of pairs that can be the best.
+    Another ``similarity`` of two columns is taken of all pairs in a group and reduced to its maximum.
     """
-    seen = train.select(F.col(query).alias("__q")).distinct()
-    groups = train.select(F.col(group).alias("__g"), F.col(query).alias("__t"))
-    best = df.join(groups, F.col(group) == F.col("__g")).groupBy(F.col(row).alias("__r")).agg(F.max(similarity(F.col(query), F.col("__t"))).alias("__best"))
+    seen = train.select(F.sha2(query, 256).alias("__q")).distinct()
+    if similarity is None:
+        best = best_in_group(df, train, group, query).select(F.col("group").alias("__g"), F.sha2("text", 256).alias("__t"), F.col("similarity").alias("__best"))
+        on = F.col(group).eqNullSafe(F.col("__g")) & (F.sha2(query, 256) == F.col("__t"))
+    else:
+        groups = train.select(F.col(group).alias("__g"), F.col(query).alias("__t"))
+        best = df.join(groups, F.col(group) == F.col("__g")).groupBy(F.col(row).alias("__r")).agg(F.max(similarity(F.col(query), F.col("__t"))).alias("__best"))
+        on = F.col(row) == F.col("__r")
     classed = overlap_class(df, train.select(group, number), group, number)
-    out = classed.join(seen, F.col(query) == F.col("__q"), "left").join(best, F.col(row) == F.col("__r"), "left")
+    out = classed.join(seen, F.sha2(query, 256) == F.col("__q"), "left").join(best, on, "left")
     return out.select(row, F.col("__q").isNotNull().alias("query_seen"), (F.col("overlap") != "unseen").alias("group_seen"), F.coalesce("__best", F.lit(0.0)).alias("max_similarity"), "overlap")

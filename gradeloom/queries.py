@@ -612,4 +612,4 @@ def document_measures(spark, sf_dir):
 
 
 
-from . import cases, composites, files  # noqa: E402, F401  (they register queries of their own)
+from . import composites, files, worded  # noqa: E402, F401  (they register queries of their own)
