@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.clean import keep_first, reject_reasons
+from .json_array import array_records
 
 
 def _files(spark: SparkSession, path: str):
@@ -69,8 +70,15 @@ def is_array(spark: SparkSession, path: str) -> bool:
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None, strict: bool = True) -> DataFrame:
-    """A JSON array or JSON lines, told apart by the first character; raises on malformed records, or else has nulls there."""
-    reader = spark.read.option("multiLine", is_array(spark, path)).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+    """A JSON array or JSON lines, told apart by the first character; raises on malformed records, or else has nulls there.
+
+    With a schema an array is read by a task for each block of its file; without one, to find it out, by one task.
+    """
+    mode = "FAILFAST" if strict else "PERMISSIVE"
+    array = is_array(spark, path)
+    if array and schema is not None:
+        return array_records(spark, path).select(F.from_json("text", schema, {"mode": mode}).alias("r")).select("r.*")
+    reader = spark.read.option("multiLine", array).option("mode", mode)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
