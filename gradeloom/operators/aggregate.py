@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.nearest_text import best_in_group
+from ..sources.readers import scratch
 
 SCORES = (10, 5, 1, 0)
 
@@ -24,13 +25,69 @@ def score_summary(score: str = "score", err: str = "rel_error", extractable: Col
     ]
 
 
-def error_quantiles(err: str = "rel_error") -> list[Column]:
-    """Mean, interpolated median and upper quantiles, and the largest."""
-    return [F.round(F.percentile(err, q), 6).alias(n) for n, q in (("err_p50", 0.5), ("err_p90", 0.9), ("err_p95", 0.95))] + [F.round(F.max(err), 6).alias("err_max")]
+#: The quantiles of errors.
+ERROR_POINTS = {"err_p50": 0.5, "err_p90": 0.9, "err_p95": 0.95}
+LENGTH_POINTS = {f"p{round(100 * p)}": p for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)}
+#: Values of a group that one task may hold, and bins that a round of the selection counts for a group and rank.
+MOST_VALUES, BINS = 1 << 20, 4096
 
 
-def linear_quantiles(value: str, points: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> list[Column]:
-    return [F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean")] + [F.round(F.percentile(value, p), 6).alias(f"p{round(100 * p)}") for p in points]
+def length_summary(value: str) -> list[Column]:
+    return [F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean")]
+
+
+def with_quantiles(df: DataFrame, by: str, value: str, points: dict[str, float], summaries: list[Column], most: int | None = None) -> DataFrame:
+    """``summaries`` and interpolated quantiles (rounded to six digits) of each group, exactly; nulls and NaN are left out of these.
+
+    Groups of up to ``most`` values are sorted by a task each; if one is larger, all quantiles come from ``selected``.
+    """
+    most = MOST_VALUES if most is None else most
+    known = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    largest = df.groupBy(by).agg(F.count(known).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= most:
+        return df.groupBy(by).agg(*summaries, *(F.round(F.percentile(known, p), 6).alias(n) for n, p in points.items()))
+    found = quantiles(df.select(F.col(by).alias("__b"), known.alias("__v")), "__b", "__v", points)
+    return df.groupBy(by).agg(*summaries).join(found, F.col(by).eqNullSafe(F.col("__b")), "left").drop("__b")
+
+
+def quantiles(df: DataFrame, by: str, value: str, points: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of each group by ``selected``: those of equal rank are selected once."""
+    ranks = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("q"), at.cast("long").alias("rank")) for n, p in points.items() for at in (F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1)))))
+    asked = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("__g")).agg(F.count("*").alias("n")).select("__g", "n", F.explode(ranks).alias("r")).select("__g", "n", "r.*")
+    got = selected(df, by, value, asked.select(F.col("__g").alias(by), "rank").distinct()).select(F.col(by).alias("__h"), F.col("rank").alias("at"), F.col("value").alias("x"))
+    place = F.col("q") * (F.col("n") - 1)
+    both = asked.join(got, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("rank") == F.col("at"))).groupBy("__g", "n", "name", "q").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    between = F.round(F.col("low") * (F.floor(place) + 1 - place) + F.col("high") * (place - F.floor(place)), 6)
+    return both.groupBy(F.col("__g").alias(by)).agg(*(F.max(F.when(F.col("name") == n, between)).alias(n) for n in points))
+
+
+def selected(df: DataFrame, by: str, value: str, asked: DataFrame) -> DataFrame:
+    """(group, rank, value): the values of the ``asked`` (group, rank) in the sorted lists of all groups.
+
+    Each rank has an interval that holds its value: first all of its group.  A round counts the values of the interval in ``BINS`` equal bins
+    and goes on with the bin that has the rank, from its least to its largest value; so intervals shrink by that factor at least, and outliers
+    drop out at once.  No task holds more than the bins of its groups, however many values are equal.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(by).alias("__g"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    ends = rows.groupBy(F.col("__g").alias("__e")).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    state = asked.select(F.col(by).alias("group"), "rank").join(ends, F.col("group").eqNullSafe(F.col("__e"))).select("group", "rank", "low", "high", F.lit(0).cast("long").alias("below"))
+    keys, done = ["group", "rank", "low", "high", "below"], None
+    while True:
+        path = scratch(spark, "quantiles")
+        state.write.parquet(path)
+        state = spark.read.schema(state.schema).parquet(path)
+        ready = state.where("low = high").select(F.col("group").alias(by), "rank", F.col("low").alias("value"))
+        done = ready if done is None else done.unionByName(ready)
+        state = state.where("low < high")
+        if state.isEmpty():
+            return done
+        inside = rows.join(state, F.col("__g").eqNullSafe(F.col("group")) & F.col("v").between(F.col("low"), F.col("high")))
+        part = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)  # halves: their difference is finite
+        bins = inside.groupBy(*keys, F.least(F.floor(part * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+        upto = bins.withColumn("upto", F.col("below") + F.sum("n").over(W.partitionBy("group", "rank").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))
+        right = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+        state = upto.where(right).select("group", "rank", F.col("least").alias("low"), F.col("most").alias("high"), (F.col("upto") - F.col("n")).alias("below"))
 
 
 def floor_quantiles(df: DataFrame, group: str, value: str, points: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:

@@ -8,6 +8,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -47,6 +48,39 @@ def sweep(rows: DataFrame, configs: list[dict[str, float]], kind: str, passes: C
     return best.select(kind, (-F.col("m.c")).alias("config"), F.col("m.raw").alias("raw"), "base_raw", (-F.col("m.u")).alias("used"), "n", (F.col("m.raw") > F.col("base_raw")).alias("enabled"))
 
 
+def grid_sweep(rows: DataFrame, axes: dict[str, list[float]], kind: str, gated: str, base: str) -> DataFrame:
+    """``sweep`` over all combinations of least values of the columns of ``axes``, at a cost that their number doesn't change.
+
+    Rows become cells, by how many limits of each axis they reach; cells are summed once; and sums from each cell on,
+    along one axis after the other, give every configuration.  A null reaches no limit.  Configurations are numbered as in ``grid``.
+    """
+    places = [f"__i{i}" for i in range(len(axes))]
+    measures = {"raw": F.col(gated) - F.col(base), "tens": (F.col(gated) == 10).cast("long") - (F.col(base) == 10).cast("long"), "zeros": (F.col(gated) == 0).cast("long") - (F.col(base) == 0).cast("long"), "used": F.lit(1)}
+    reached = {p: sum((F.coalesce(F.col(c) >= t, F.lit(False)).cast("int") for t in sorted(limits)[1:]), F.coalesce(F.col(c) >= min(limits), F.lit(False)).cast("int")) for p, (c, limits) in zip(places, axes.items())}
+    cells = rows.withColumns(reached).groupBy(kind, *places).agg(*(F.sum(m).alias(n) for n, m in measures.items()))
+    whole = rows.groupBy(kind).agg(F.sum(base).alias("base_raw"), F.count_if(F.col(base) == 10).alias("__tens"), F.count_if(F.col(base) == 0).alias("__zeros"), F.count("*").alias("n"))
+    full = whole
+    for p, limits in zip(places, axes.values()):
+        full = full.withColumn(p, F.explode(F.sequence(F.lit(1), F.lit(len(limits)))))
+    theirs = cells.select(F.col(kind).alias("__k"), *(F.col(p).alias(f"{p}c") for p in places), *measures)
+    same = F.col(kind).eqNullSafe(F.col("__k"))
+    for p in places:
+        same = same & (F.col(p) == F.col(f"{p}c"))
+    dense = full.join(theirs, same, "left").drop("__k", *(f"{p}c" for p in places)).fillna(0, list(measures))
+    for p in places:
+        onwards = W.partitionBy(kind, *(q for q in places if q != p)).orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+        dense = dense.withColumns({n: F.sum(n).over(onwards) for n in measures})
+    number = F.lit(0)
+    for p, limits in zip(places, axes.values()):
+        at = F.lit(-1)
+        for i, t in enumerate(limits):
+            at = F.when(F.col(p) == sorted(limits).index(t) + 1, i).otherwise(at)
+        number = number * len(limits) + at
+    rank = F.struct((F.col("base_raw") + F.col("raw")).alias("raw"), (F.col("__tens") + F.col("tens")).alias("tens"), -(F.col("__zeros") + F.col("zeros")), (-F.col("used")).alias("u"), (-number).alias("c"))
+    best = dense.groupBy(kind, "base_raw", "n").agg(F.max(rank).alias("m"))
+    return best.select(kind, (-F.col("m.c")).alias("config"), F.col("m.raw").alias("raw"), "base_raw", (-F.col("m.u")).alias("used"), "n", (F.col("m.raw") > F.col("base_raw")).alias("enabled"))
+
+
 def threshold_replay(rows: DataFrame, thresholds: list[float], similarity: str, gated: str, base: str) -> DataFrame:
     """Totals when values above each threshold take the place of the base: conditional sums of one aggregate."""
     use = [F.coalesce(F.col(similarity) >= t, F.lit(False)) for t in thresholds]

@@ -69,7 +69,8 @@ def score_summary(spark, sf_dir):
 
 @query(SCORED_SQL + f"SELECT type, {SUMMARY_SQL}, {QUANTILE_SQL} FROM s GROUP BY type")
 def score_by_type(spark, sf_dir):
-    return scored(spark, sf_dir).groupBy("type").agg(*G.score_summary(extractable=F.col("pred").isNotNull()), *G.error_quantiles())
+    summary = G.score_summary(extractable=F.col("pred").isNotNull())
+    return G.with_quantiles(scored(spark, sf_dir), "type", "rel_error", G.ERROR_POINTS, [*summary, F.round(F.max("rel_error"), 6).alias("err_max")])
 
 
 @query(SCORED_SQL + "SELECT type, o_orderkey, round(rel_error, 6) AS rel_error, place FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rel_error DESC NULLS FIRST, o_orderkey) AS place FROM s WHERE score = 0) WHERE place <= 5")
@@ -106,7 +107,7 @@ def id_integrity(spark, sf_dir):
 
 @query("""SELECT lang, count(n_chars) AS n, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean, """ + ", ".join(f"round(quantile_cont(n_chars, {p}), 6) AS p{round(100 * p)}" for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) + " FROM documents GROUP BY lang")
 def length_quantiles(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(*G.linear_quantiles("n_chars"))
+    return G.with_quantiles(table(spark, sf_dir, "documents"), "lang", "n_chars", G.LENGTH_POINTS, G.length_summary("n_chars"))
 
 
 @query("""WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE n_chars IS NOT NULL)
@@ -422,6 +423,26 @@ def gate_sweep(spark, sf_dir):
     return H.sweep(gated(spark, sf_dir), configs, "kind", lambda c: (F.col("sim") >= c["least_sim"]) & (F.col("gated") >= c["least_gated"]), "gated", "base")
 
 
+@query("""SELECT user_id, """ + ", ".join(f"round(quantile_cont(value, {p}), 6) AS p{round(100 * p)}" for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) + " FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def selected_quantiles(spark, sf_dir):
+    """Exact quantiles of every user's values by counting bins, whatever the size of a group."""
+    return G.quantiles(table(spark, sf_dir, "events"), "user_id", "value", G.LENGTH_POINTS)
+
+
+GRID = {"sim": [0.4, 0.5, 0.6, 0.7], "gated": [0.0, 1.0, 5.0, 10.0], "least": [0.02, 0.1, 0.2, 0.4]}
+
+
+@query(RUNS_SQL + GATE.replace("SELECT kind,", "SELECT id, kind,", 1) + f""", y AS (SELECT x.*, least FROM x JOIN (SELECT l_orderkey AS id, min(l_quantity) / 50 AS least FROM lineitem GROUP BY 1) USING (id)),
+c AS (SELECT row_number() OVER () - 1 AS config, a, b, d FROM (SELECT unnest({GRID["sim"]}) AS a) CROSS JOIN (SELECT unnest({GRID["gated"]}) AS b) CROSS JOIN (SELECT unnest({GRID["least"]}) AS d)),
+o AS (SELECT a, b, d, row_number() OVER (ORDER BY a, b, d) - 1 AS config FROM c),
+e AS (SELECT kind, config, sum(CASE WHEN p THEN gated ELSE base END) AS raw, count(*) FILTER (CASE WHEN p THEN gated ELSE base END = 10) AS tens, count(*) FILTER (CASE WHEN p THEN gated ELSE base END = 0) AS zeros, count(*) FILTER (p) AS used, sum(base) AS base_raw, count(*) AS n FROM (SELECT *, sim >= a AND gated >= b AND least >= d AS p FROM y, o) GROUP BY 1, 2)
+SELECT kind, config, raw::BIGINT AS raw, base_raw::BIGINT AS base_raw, used, n, raw > base_raw AS enabled FROM e QUALIFY row_number() OVER (PARTITION BY kind ORDER BY raw DESC, tens DESC, zeros, used, config) = 1""")
+def grid_sweep(spark, sf_dir):
+    """The whole grid of four limits on each of three columns, for each kind, from sums of cells."""
+    least = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.min("l_quantity") / 50).alias("least"))
+    return H.grid_sweep(gated(spark, sf_dir).join(least, "id"), GRID, "kind", "gated", "base")
+
+
 @query(RUNS_SQL + GATE + """SELECT threshold, count(*) FILTER (sim >= threshold) AS used, sum(CASE WHEN sim >= threshold THEN gated ELSE base END)::BIGINT AS raw FROM x, (SELECT unnest([0.2, 0.4, 0.5, 0.6, 0.8])::DOUBLE AS threshold) GROUP BY 1""")
 def threshold_replay(spark, sf_dir):
     return H.threshold_replay(gated(spark, sf_dir), [0.2, 0.4, 0.5, 0.6, 0.8], "sim", "gated", "base")
