@@ -136,7 +136,7 @@ def profile_runs(spark, sf_dir):
     cands = override_candidates(spark, sf_dir)
     gold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row")).agg(F.max_by("l_partkey", F.col("l_extendedprice") * 100000 + F.col("l_partkey")).alias("gold"))
     score = lambda c: F.when(c == F.col("gold"), 10).when(c % 10 == F.col("gold") % 10, 1).otherwise(0)
-    return S.run_profiles(lambda p: V.verified_override(cands, "row", "key", "model_key", p), PROFILES, gold, "row", "chosen", score)
+    return S.run_profiles(V.verified_overrides(cands, "row", "key", "model_key", PROFILES), gold, "row", "chosen", score)
 
 
 @query("""WITH c AS (SELECT l_orderkey AS row, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag = 'R' AS own, l_discount FROM lineitem)

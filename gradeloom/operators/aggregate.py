@@ -194,16 +194,21 @@ def parser_audit(df: DataFrame, simple: str, robust: str, by: list[str]) -> Data
 
 
 def evaluate_strategy(rows: DataFrame, candidates: DataFrame, row: str, candidate: str, fallback: str | None, score: Callable[[Column], Column], family: str) -> DataFrame:
-    """Per family and over all (null): rows, total, uses and buckets of a strategy's answers.
+    """``evaluated`` of one strategy's answers, (row, candidate)."""
+    found = candidates.where(F.col(candidate).isNotNull()).select(F.col(row).alias("__r"), F.col(candidate).alias("__c"))
+    return evaluated(rows.join(found, F.col(row) == F.col("__r"), "left"), "__c", fallback, score, family)
+
+
+def evaluated(answers: DataFrame, candidate: str, fallback: str | None, score: Callable[[Column], Column], family: str, strategy: str | None = None) -> DataFrame:
+    """Per family and over all (null), and per strategy: rows, total, uses and buckets of the answers.
 
     A row without a candidate takes its ``fallback`` answer, if there is one; ``score`` judges an answer.
     """
-    found = candidates.where(F.col(candidate).isNotNull()).select(F.col(row).alias("__r"), F.col(candidate).alias("__c"))
-    joined = rows.join(found, F.col(row) == F.col("__r"), "left")
-    chosen = F.coalesce("__c", F.col(fallback)) if fallback else F.col("__c")
-    scored = joined.withColumn("__s", score(chosen))
+    scored = answers.withColumn("__s", score(F.coalesce(candidate, F.col(fallback)) if fallback else F.col(candidate)))
     buckets = [F.count_if(F.col("__s") == k).alias(f"b{k}") for k in SCORES]
-    return scored.groupingSets([[F.col(family)], []], F.col(family)).agg(F.grouping(family).alias("over_all"), F.count("*").alias("n"), F.sum("__s").alias("raw"), F.round(F.sum("__s") / F.count("*"), 6).alias("score_10"), F.count("__c").alias("used"), *buckets)
+    sets, columns = ([[strategy, family], [strategy]], [strategy, family]) if strategy else ([[family], []], [family])
+    return scored.groupingSets([[F.col(c) for c in some] for some in sets], *map(F.col, columns)).agg(
+        F.grouping(family).alias("over_all"), F.count("*").alias("n"), F.sum("__s").alias("raw"), F.round(F.sum("__s") / F.count("*"), 6).alias("score_10"), F.count(candidate).alias("used"), *buckets)
 
 
 def by_template(df: DataFrame, template: str, answer: str, score: str, row: str, answers: int = 10, examples: int = 5) -> DataFrame:

@@ -142,32 +142,42 @@ def profile_safe(retrieved: str, profile: dict[str, float]) -> Column:
 
 
 def verified_override(cands: DataFrame, row: str, key: str, model_key: str, profile: dict[str, float] | None = None, retrieved: str | None = None, ordinal: str = "ordinal") -> DataFrame:
-    """Per row the model's candidate, unless another one is safe or much likelier: chosen key and reason.
+    """``verified_overrides`` of one profile: chosen key and reason per row."""
+    return verified_overrides(cands, row, key, model_key, {"": profile or {}}, retrieved, ordinal).drop("profile")
+
+
+def verified_overrides(cands: DataFrame, row: str, key: str, model_key: str, profiles: dict[str, dict[str, float]], retrieved: str | None = None, ordinal: str = "ordinal") -> DataFrame:
+    """Per profile and row the model's candidate, unless another one is safe or much likelier: chosen key and reason.
 
     Candidates have ``sources`` (array), ``confidence``, ``prior_norm``, ``logprob`` and an ordinal; without a candidate
     of the model's key the first one stands for it.  Another candidate may take its place if the model has no answer, if
     its source is safe, confident and not much less likely, or if it is confident and likelier by a margin; of these the
     one of the largest rank, to nine digits; ties: the first.  ``retrieved`` names an array of retrieval facts, which a profile judges;
     without it the source of directly safe retrieval counts as safe.
+
+    The candidates are read and dealt by row once, whatever the number of profiles: each is an aggregate of the same groups.
     """
-    p = {**PROFILE, **(profile or {})}
     rank = F.struct((F.col(key).eqNullSafe(F.col(model_key)) & F.col(model_key).isNotNull()).alias("own"), (-F.col(ordinal)).alias("o"), F.col("logprob").alias("lp"), F.col(key).alias("k"))
-    model = cands.groupBy(F.col(row).alias("__row")).agg(F.max(rank).alias("m"))
-    both = cands.join(model, F.col(row) == F.col("__row"))
-    delta = F.coalesce(F.col("logprob") - F.col("m.lp"), F.lit(0.0))
-    direct = profile_safe(retrieved, p) if retrieved else F.array_contains("sources", DIRECT)
-    safe = F.arrays_overlap("sources", F.array(*map(F.lit, SAFE_SOURCES))) | direct
-    confidence = F.when(direct, F.greatest(F.col("confidence"), F.lit(p["direct_confidence"]))).otherwise(F.col("confidence")) if retrieved else F.col("confidence")
-    facts = both.withColumns({"delta": delta, "safe": safe, "conf": confidence, "own": -F.col(ordinal) == F.col("m.o")})
-    missing = F.col(model_key).isNull() & F.col(key).isNotNull() if p.get("allow_missing", True) else F.lit(False)
-    by_safety = F.col("safe") & (F.col("conf") >= p["safe_confidence"]) & (F.col("delta") >= -p["tolerance"])
-    by_likelihood = (F.col("conf") >= p["least_confidence"]) & (F.col("delta") >= p["override_margin"])
-    score = 2.0 * F.col("conf") + 0.30 * F.col("prior_norm") + 0.75 * F.col("delta") + F.when(F.col("safe"), 0.35).otherwise(0.0)
-    reason = F.when(missing, "model_missing").when(by_safety, "safe_template_or_retrieval").otherwise("logprob_override")
-    eligible = ~F.col("own") & (missing | by_safety | by_likelihood)
-    pick = F.max(F.when(eligible, F.struct(F.round(score, 9).alias("s"), (-F.col(ordinal)).alias("o"), F.col(key).alias("k"), reason.alias("r"))))
-    best = facts.groupBy(row).agg(pick.alias("b"), F.first("m.k").alias("m"))
-    return best.select(row, F.when(F.col("b").isNull(), F.col("m")).otherwise(F.col("b.k")).alias("chosen"), F.coalesce("b.r", F.lit("model_default")).alias("reason"))
+    both = cands.withColumn("m", F.max(rank).over(W.partitionBy(row)))
+    facts = both.withColumns({"delta": F.coalesce(F.col("logprob") - F.col("m.lp"), F.lit(0.0)), "own": -F.col(ordinal) == F.col("m.o")})
+
+    def pick(profile: dict[str, float]) -> Column:
+        p = {**PROFILE, **profile}
+        direct = profile_safe(retrieved, p) if retrieved else F.array_contains("sources", DIRECT)
+        safe = F.arrays_overlap("sources", F.array(*map(F.lit, SAFE_SOURCES))) | direct
+        conf = F.when(direct, F.greatest(F.col("confidence"), F.lit(p["direct_confidence"]))).otherwise(F.col("confidence")) if retrieved else F.col("confidence")
+        missing = F.col(model_key).isNull() & F.col(key).isNotNull() if p.get("allow_missing", True) else F.lit(False)
+        by_safety = safe & (conf >= p["safe_confidence"]) & (F.col("delta") >= -p["tolerance"])
+        by_likelihood = (conf >= p["least_confidence"]) & (F.col("delta") >= p["override_margin"])
+        score = 2.0 * conf + 0.30 * F.col("prior_norm") + 0.75 * F.col("delta") + F.when(safe, 0.35).otherwise(0.0)
+        reason = F.when(missing, "model_missing").when(by_safety, "safe_template_or_retrieval").otherwise("logprob_override")
+        eligible = ~F.col("own") & (missing | by_safety | by_likelihood)
+        return F.max(F.when(eligible, F.struct(F.round(score, 9).alias("s"), (-F.col(ordinal)).alias("o"), F.col(key).alias("k"), reason.alias("r"))))
+
+    best = facts.groupBy(row).agg(F.first("m.k").alias("m"), *(pick(p).alias(f"b{i}") for i, p in enumerate(profiles.values())))
+    chosen = lambda b: F.when(b.isNull(), F.col("m")).otherwise(b["k"])
+    each = F.array(*(F.struct(F.lit(name).alias("profile"), chosen(F.col(f"b{i}")).alias("chosen"), F.coalesce(F.col(f"b{i}.r"), F.lit("model_default")).alias("reason")) for i, name in enumerate(profiles)))
+    return best.select(row, F.explode(each).alias("e")).select("e.profile", row, "e.chosen", "e.reason")
 
 
 def model_first(cands: DataFrame, row: str, is_model: Column, order: list[Column], most: int = 6) -> DataFrame:

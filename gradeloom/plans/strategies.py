@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.aggregate import evaluate_strategy
+from ..operators.aggregate import evaluated
 from ..operators.vote import majority
 
 #: Thresholds of similarity, in order.
@@ -38,29 +39,30 @@ def analyze_source(rows: DataFrame, entries: DataFrame, hits: DataFrame, row: st
     """Evaluates every strategy of one index: lookups by keys, thresholds, the nearest hit, and the best of all hits.
 
     One row a strategy and family (null: over all).  The best of all hits looks at the gold answer: an upper bound.
+    The hits are dealt by row once, and give the answers of all strategies but the lookups in one pass; a row then holds
+    its answers as an array, and all are judged together.
     """
-    found = {name: majority_lookup(rows, entries, keys, row, answer, ordinal) for name, keys in lookups.items()}
-    by_threshold = nearest_majority(hits, row, answer, similarity, ordinal, thresholds)
-    found |= {f"nearest_majority_{t:.2f}": by_threshold.where(F.col("threshold") == t) for t in thresholds}
-    nearest = hits.groupBy(row).agg(F.max(F.struct(F.col(similarity).alias("s"), (-F.col(ordinal)).alias("o"), F.col(answer).alias("a"))).alias("m"))
-    found["top1"] = nearest.select(row, F.col("m.a").alias("candidate"))
-    judged = hits.join(rows.withColumnRenamed(row, "__row"), F.col(row) == F.col("__row")).withColumn("__s", score(F.col(answer)))
-    best = judged.groupBy(row).agg(F.max(F.struct(F.col("__s").alias("s"), (-F.col(ordinal)).alias("o"), F.col(answer).alias("a"))).alias("m"))
-    found["oracle"] = best.select(row, F.col("m.a").alias("candidate"))
-    out = None
-    for name, candidates in found.items():
-        part = evaluate_strategy(rows, candidates.select(row, "candidate"), row, "candidate", fallback, score, family).withColumn("strategy", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    keep = [F.col(similarity) >= t for t in thresholds]
+    counts = [c for i, k in enumerate(keep) for c in (F.count_if(k).alias(f"n{i}"), F.min(F.when(k, F.col(ordinal))).alias(f"s{i}"))]
+    near = F.max(F.struct(F.col(similarity).alias("s"), (-F.col(ordinal)).alias("o")))
+    groups = hits.repartition(row).groupBy(F.col(row).alias("__row"), F.col(answer).alias("__a")).agg(*counts, near.alias("near"), F.min(ordinal).alias("first"))
+    judged = rows.join(groups, F.col(row) == F.col("__row")).withColumn("__s", score(F.col("__a")))
+    picks = {f"nearest_majority_{t:.2f}": F.min(F.when(F.col(f"n{i}") > 0, F.struct((-F.col(f"n{i}")).alias("n"), F.col(f"s{i}").alias("seen"), F.col("__a").alias("a")))) for i, t in enumerate(thresholds)}
+    picks |= {"top1": F.max(F.struct("near", F.col("__a").alias("a"))), "oracle": F.max(F.struct("__s", -F.col("first"), F.col("__a").alias("a")))}
+    best = judged.groupBy("__row").agg(*(c.alias(f"b{i}") for i, c in enumerate(picks.values())))
+    told, answers = rows.join(best, F.col(row) == F.col("__row"), "left"), {name: F.col(f"b{i}.a") for i, name in enumerate(picks)}
+    for i, (name, keys) in enumerate(lookups.items()):
+        known = majority(entries.withColumn("__key", F.struct(*(F.col(k) for k in keys))), "__key", answer, ordinal).select(F.col("__key").alias(f"k{i}"), F.col("top_answer").alias(f"l{i}"))
+        told, answers[name] = told.join(known, F.struct(*(rows[k] for k in keys)) == F.col(f"k{i}"), "left"), F.col(f"l{i}")
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("strategy"), c.alias("__c")) for name, c in answers.items())))
+    long = told.select(*(rows[c] for c in rows.columns), each.alias("__e")).select(*rows.columns, "__e.*")
+    return evaluated(long, "__c", fallback, score, family, "strategy")
 
 
-def run_profiles(choose: Callable[[dict], DataFrame], profiles: dict[str, dict], gold: DataFrame, row: str, chosen: str, score: Callable[[Column], Column]) -> DataFrame:
-    """Every profile's choices, scored: a row a profile, and whether it is the best (raw, tens, fewer zeros, name)."""
-    out = None
-    for name, profile in profiles.items():
-        part = choose(profile).select(F.lit(name).alias("profile"), F.col(row).alias("__r"), F.col(chosen).alias("__c"))
-        out = part if out is None else out.unionByName(part)
+def run_profiles(choices: DataFrame, gold: DataFrame, row: str, chosen: str, score: Callable[[Column], Column]) -> DataFrame:
+    """Every profile's choices (profile, row, chosen), scored: a row a profile, and whether it is the best (raw, tens, fewer zeros, name)."""
+    out = choices.select("profile", F.col(row).alias("__r"), F.col(chosen).alias("__c"))
     s = gold.join(out, F.col(row) == F.col("__r")).withColumn("__s", score(F.col("__c")))
     sums = s.groupBy("profile").agg(F.count("*").alias("n"), F.sum("__s").alias("raw"), F.count_if(F.col("__s") == 10).alias("tens"), F.count_if(F.col("__s") == 0).alias("zeros"))
-    best = sums.agg(F.min(F.struct(-F.col("raw"), -F.col("tens"), "zeros", "profile")).alias("m")).select(F.col("m.profile").alias("__best"))
-    return sums.crossJoin(F.broadcast(best)).withColumn("selected", F.col("profile") == F.col("__best")).drop("__best")
+    place = F.row_number().over(W.orderBy(F.desc("raw"), F.desc("tens"), "zeros", "profile"))  # of a row a profile
+    return sums.withColumn("selected", place == 1)
