@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.answers import close
+from ..functions.text import jaccard
+
 
 def grid(**values: list[float]) -> list[dict[str, float]]:
     """The Cartesian grid of named values, in order; a configuration's number is its place."""
@@ -97,6 +100,67 @@ def named_gates(rows: DataFrame, gates: dict[str, list[str] | None], kind: str,
     return totals.select("n", F.explode(each).alias("g")).select("g.*", "n")
 
 
+#: Settings of gated retrieval unless a kind has its own.
+GATED = {"enabled": True, "require_typed_pool": False, "least_frac": 0.0, "least_margin": 0.0, "least_jaccard": 0.0, "agreement_bypass": False}
+
+
+def gated_retrieval(queries: DataFrame, entries: DataFrame, row: str, kind: str, group: str, tokens: str, number: str, model: str, defaults: dict, by_kind: dict[str, dict], allowed: list[str] | None = None, least_rows: int = 1) -> DataFrame:
+    """Per query why the answer of its group's entries is used or not: ``queries``' columns, reason, chosen, pool, frac, margin, nearest.
+
+    The pool is the group's entries of the query's kind, or all if it has none.  Of its numbers the most frequent one is
+    chosen (ties: the nearest query by Jaccard, the smaller magnitude, the larger number).  Reasons in order:
+    type_gate_disabled, type_not_allowed, source_unseen, typed_pool_missing, low_confidence_model_disagree, low_confidence, used.
+    Where the settings say so, a model of the same number makes up for a lack of confidence.
+
+    Entries meet queries in one join by group; pools are aggregated by query and number, so no list of a pool is made.
+    """
+
+    def setting(name: str) -> Column:
+        out = F.lit({**GATED, **defaults}[name])
+        for k, own in by_kind.items():
+            out = F.when(F.col(kind) == k, F.lit(own[name])).otherwise(out) if name in own else out
+        return out
+
+    asked = queries.select(F.col(row).alias("__row"), F.col(kind).alias("__kind"), F.col(group).alias("__g"), F.col(tokens).alias("__t"))
+    held = entries.select(F.col(group).alias("__eg"), F.col(kind).alias("__ek"), F.col(number).cast("double").alias("__n"), F.col(tokens).alias("__et"))
+    pairs = asked.join(held, F.col("__g") == F.col("__eg"))
+    typed = F.col("__ek").eqNullSafe(F.col("__kind"))
+    numbers = pairs.groupBy("__row", typed.alias("typed"), "__n").agg(F.count("*").alias("count"), F.max(jaccard("__t", "__et")).alias("near"))
+    per_pool = numbers.groupBy("__row", "typed").agg(
+        F.sum("count").alias("pool"), F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), (-F.col("near")).alias("j"), F.abs("__n").alias("size"), (-F.col("__n")).alias("n")))).alias("ranked"))
+    pools = per_pool.groupBy("__row").agg(F.sum("pool").alias("rows"), F.max("typed").alias("typed"), F.max(F.struct("typed", "pool", "ranked")).alias("p"))
+    out = queries.join(pools, F.col(row) == F.col("__row"), "left").withColumn("__rows", F.coalesce("rows", F.lit(0)))
+    first, second = F.get("p.ranked", F.lit(0)), F.get("p.ranked", F.lit(1))
+    pool, frac = F.col("p.pool"), -first["c"] / F.col("p.pool")
+    margin, near, found = (-first["c"] + F.coalesce(second["c"], F.lit(0))) / pool, -first["j"], -first["n"]
+    agrees = close(model, found)
+    confident = (frac >= setting("least_frac")) & (margin >= setting("least_margin")) & (near >= setting("least_jaccard"))
+    passed = F.coalesce(confident, F.lit(False)) | (setting("agreement_bypass") & agrees)
+    reason = gate_reason([
+        ("type_gate_disabled", setting("enabled")), ("type_not_allowed", F.lit(True) if allowed is None else F.col(kind).isin(*allowed)), ("source_unseen", F.col("__rows") >= least_rows),
+        ("typed_pool_missing", ~setting("require_typed_pool") | F.col("typed")), ("low_confidence_model_disagree", passed | F.col(model).isNull() | agrees), ("low_confidence", passed),
+    ])
+    return out.select(*(queries[c] for c in queries.columns), reason.alias("reason"), F.when(reason == "used", found).alias("chosen"), pool.alias("pool"), frac.alias("frac"), margin.alias("margin"), near.alias("nearest"))
+
+
+def strict_decisions(queries: DataFrame, hits: DataFrame, row: str, key: str, model_key: str, gate: dict[str, float], override: bool = False, fill: bool = True, ordinal: str = "ordinal") -> DataFrame:
+    """Per query the model's key or, behind four limits, that of its hits: reason, source and chosen key.
+
+    The hits' key is the one with most hits (ties: similarity, Jaccard, ``prior``, seen first).  Where it differs from the model's it is taken only if
+    the model has none and ``fill`` is set, the missing-only form, or if ``override`` is.
+    """
+    groups = hits.groupBy(F.col(row).alias("__r"), F.col(key).alias("__k")).agg(F.count("*").alias("n"), F.max("similarity").alias("s"), F.max("jaccard").alias("j"), F.max("prior").alias("p"), F.min(ordinal).alias("o"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.col("s")).alias("s"), (-F.col("j")).alias("j"), (-F.col("p")).alias("p"), "o", F.col("__k").alias("k"))))
+    best = groups.groupBy("__r").agg(F.sum("n").alias("hits"), ranked.alias("g"))
+    out = queries.join(best, F.col(row) == F.col("__r"), "left")
+    top, second = F.get("g", F.lit(0)), F.get("g", F.lit(1))
+    frac, margin = -top["n"] / F.col("hits"), (-top["n"] + F.coalesce(second["n"], F.lit(0))) / F.col("hits")
+    passed = (-top["s"] >= gate["least_sim"]) & (-top["j"] >= gate["least_jaccard"]) & (frac >= gate["least_frac"]) & (margin >= gate["least_margin"])
+    reason = F.when(F.col("hits").isNull(), "no_hits").when(passed, "passed").otherwise("low_confidence")
+    source = F.when(reason != "passed", "model").when(top["k"] == F.col(model_key), "retrieval_model_agree").when(F.col(model_key).isNull() & F.lit(fill), "retrieval_model_missing").when(F.lit(override), "retrieval_override").otherwise("model_fallback_disagree")
+    return out.select(row, reason.alias("reason"), source.alias("source"), F.when(source.startswith("retrieval"), top["k"]).otherwise(F.col(model_key)).alias("chosen"), frac.alias("frac"), margin.alias("margin"))
+
+
 def ungated_majority(hits: DataFrame, queries: DataFrame, query: str, key: str, allowed: Column, least_rows: int = 1, least_frac: float = 0.34) -> DataFrame:
     """The older rule: the largest answer group of a query's hits (``jaccard``), without margins or similarity gates.
 

@@ -89,6 +89,19 @@ def pick(cands: DataFrame, row: str, key: str, score: Column, ties: list[Column]
     return cands.groupBy(row).agg(F.max(F.struct(*parts)).alias("m")).select(row, F.col("m.k").alias("chosen"), F.col("m.s").alias("score"))
 
 
+def select_candidates(cands: DataFrame, row: str, key: str, profile: dict[str, float]) -> DataFrame:
+    """Per row the candidate of the largest (score, has a model, retrieval passes, votes, prior, key), as from ``model_and_retrieval``.
+
+    A candidate of retrieval alone counts only where the profile has ``retrieval_only`` and its four limits are passed.
+    """
+    p = {"vote": 1.0, "prior": 0.0, "bonus": 0.0, "retrieval_only": False, "least_sim": 1.0, "least_jaccard": 1.0, "least_frac": 1.0, "least_margin": 1.0, **profile}
+    passes = (F.col("top_sim") >= p["least_sim"]) & (F.col("top_jaccard") >= p["least_jaccard"]) & (F.col("frac") >= p["least_frac"]) & (F.col("margin") >= p["least_margin"])
+    model = F.col("model_votes") > 0
+    score = p["vote"] * F.col("model_frac") + p["prior"] * F.col("prior_norm") + 0.001 * F.col("model_priority") + F.when(passes, p["bonus"] + 0.20 * F.col("frac") + 0.10 * F.col("margin")).otherwise(0.0)
+    some = cands.where(model | (F.lit(p["retrieval_only"]) & passes))
+    return pick(some, row, key, F.round(score, 9), [model, passes, F.col("model_votes"), F.col("prior")])
+
+
 def top_k(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group; Spark prunes by rank before the shuffle."""
     return df.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("place") <= k)

@@ -588,6 +588,69 @@ def merged_candidates(spark, sf_dir):
     return V.merge_candidates(frames, "row", "key").withColumn("sources", F.array_join("sources", ","))
 
 
+SELECTED_SQL = CANDIDATES_SQL + """, m AS (SELECT o_orderkey AS row, CASE WHEN o_orderstatus = 'O' THEN 'NO' WHEN o_orderstatus = 'F' THEN 'RF' ELSE 'AF' END AS key, 2 AS model_votes, 0.5::DOUBLE AS model_frac, (o_custkey % 3)::DOUBLE AS model_priority FROM orders WHERE o_custkey % 5 > 0),
+pr AS (SELECT l_returnflag || l_linestatus AS key, count(*) AS prior FROM lineitem GROUP BY 1), pn AS (SELECT key, prior, ln(1 + prior) / ln(1 + max(prior) OVER ()) AS prior_norm FROM pr),
+c AS (SELECT coalesce(m.row, a.row) AS row, coalesce(m.key, a.key) AS key, coalesce(model_votes, 0) AS votes, coalesce(model_frac, 0) AS f, coalesce(model_priority, 0) AS pri, coalesce(top_sim, 0) AS s, coalesce(top_jaccard, 0) AS j, coalesce(frac, 0) AS fr, coalesce(margin, 0) AS mg FROM m FULL JOIN a ON m.row = a.row AND m.key = a.key),
+x AS (SELECT c.*, coalesce(prior, 0) AS prior, coalesce(prior_norm, 0) AS pn, s >= 0.6 AND j >= 0.3 AND fr >= 0.5 AND mg >= 0.2 AS ok FROM c LEFT JOIN pn USING (key)),
+y AS (SELECT *, round(f + 0.1::DOUBLE * pn + 0.001::DOUBLE * pri + CASE WHEN ok THEN 0.3::DOUBLE + 0.20::DOUBLE * fr + 0.10::DOUBLE * mg ELSE 0.0 END, 9) AS score FROM x WHERE votes > 0 OR ok)
+SELECT row, key AS chosen, round(score, 6) AS score FROM y QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, votes > 0 DESC, ok DESC, votes DESC, prior DESC, key DESC) = 1"""
+
+
+@query(SELECTED_SQL)
+def selected_candidates(spark, sf_dir):
+    """Model and retrieval candidates by the six-part rank; retrieval alone counts where its four limits are passed."""
+    status = F.col("o_orderstatus")
+    model = table(spark, sf_dir, "orders").where("o_custkey % 5 > 0").select(F.col("o_orderkey").alias("row"), F.when(status == "O", "NO").when(status == "F", "RF").otherwise("AF").alias("key"), F.lit(2).alias("model_votes"), F.lit(0.5).alias("model_frac"), (F.col("o_custkey") % 3).cast("double").alias("model_priority"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("k")).agg(F.count("*").alias("prior"))
+    priors = lines.withColumn("prior_norm", F.log1p("prior") / F.log1p(F.max("prior").over(W.partitionBy())))  # of a row a key
+    both = V.model_and_retrieval(model, hit_groups(spark, sf_dir), "row", "key").join(priors, F.col("key") == F.col("k"), "left").fillna(0, ["prior", "prior_norm"])
+    got = V.select_candidates(both, "row", "key", {"prior": 0.1, "bonus": 0.3, "retrieval_only": True, "least_sim": 0.6, "least_jaccard": 0.3, "least_frac": 0.5, "least_margin": 0.2})
+    return got.select("row", "chosen", F.round("score", 6).alias("score"))
+
+
+@query("""WITH q AS (SELECT p_partkey AS row, CASE p_size % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'N' WHEN 2 THEN 'R' WHEN 3 THEN 'O' ELSE 'X' END AS kind, CASE WHEN p_partkey % 7 = 0 THEN -1 ELSE p_partkey END AS g, ['q' || (p_size % 5), 's' || (p_size % 3)] AS t, CASE WHEN p_size % 9 > 0 THEN (p_size % 8)::DOUBLE END AS model FROM part),
+e AS (SELECT l_partkey AS g, l_returnflag AS kind, l_linenumber::DOUBLE AS n, ['q' || (l_quantity::INT % 5), 's' || (l_suppkey % 3)] AS t FROM lineitem WHERE l_quantity > 40),
+p AS (SELECT row, e.kind = q.kind AS typed, n, count(*) AS c, max(len(list_intersect(q.t, e.t)) / (4 - len(list_intersect(q.t, e.t)))) AS j FROM q JOIN e USING (g) GROUP BY ALL),
+s AS (SELECT row, count(*) AS groups, sum(c) AS n_rows, bool_or(typed) AS typed FROM p GROUP BY 1),
+w AS (SELECT p.*, sum(c) OVER (PARTITION BY row) AS pool, row_number() OVER (PARTITION BY row ORDER BY c DESC, j DESC, abs(n), n DESC) AS place FROM p JOIN s USING (row) WHERE p.typed = s.typed),
+b AS (SELECT a.row, a.n, a.pool, a.c / a.pool AS frac, (a.c - coalesce(z.c, 0)) / a.pool AS margin, a.j FROM w a LEFT JOIN w z ON z.row = a.row AND z.place = 2 WHERE a.place = 1),
+f AS (SELECT q.row, q.kind, q.model, coalesce(n_rows, 0) AS n_rows, coalesce(typed, false) AS typed, b.*, coalesce(abs(q.model - b.n) <= 1e-9 * greatest(1.0, abs(q.model), abs(b.n)), false) AS agrees FROM q LEFT JOIN s USING (row) LEFT JOIN b USING (row)),
+d AS (SELECT *, coalesce(frac >= CASE WHEN kind = 'A' THEN 0.2 ELSE 0.34 END AND margin >= 0.1 AND j >= 0.3, false) OR (kind = 'N' AND agrees) AS passed FROM f),
+r AS (SELECT *, CASE WHEN kind = 'R' THEN 'type_gate_disabled' WHEN kind = 'X' THEN 'type_not_allowed' WHEN n_rows < 2 THEN 'source_unseen' WHEN kind = 'A' AND NOT typed THEN 'typed_pool_missing' WHEN NOT passed AND model IS NOT NULL AND NOT agrees THEN 'low_confidence_model_disagree' WHEN NOT passed THEN 'low_confidence' ELSE 'used' END AS reason FROM d)
+SELECT row, reason, CASE WHEN reason = 'used' THEN n END AS chosen, pool::BIGINT AS pool, round(frac, 6) AS frac, round(margin, 6) AS margin, round(j, 6) AS nearest FROM r""")
+def gated_retrieval(spark, sf_dir):
+    """Parts ask the line items of their number for one; all reasons of the gate, typed pools, and models that agree."""
+    size, words = F.col("p_size"), lambda q, s: F.array(F.concat(F.lit("q"), (q % 5).cast("string")), F.concat(F.lit("s"), (s % 3).cast("string")))
+    kind = F.when(size % 5 == 0, "A").when(size % 5 == 1, "N").when(size % 5 == 2, "R").when(size % 5 == 3, "O").otherwise("X")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), kind.alias("kind"), F.when(F.col("p_partkey") % 7 == 0, -1).otherwise(F.col("p_partkey")).alias("g"), words(size, size).alias("t"), F.when(size % 9 > 0, (size % 8).cast("double")).alias("model"))
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("g"), F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("n"), words(F.col("l_quantity").cast("int"), F.col("l_suppkey")).alias("t"))
+    by_kind = {"R": {"enabled": False}, "A": {"require_typed_pool": True, "least_frac": 0.2}, "N": {"agreement_bypass": True}}
+    got = H.gated_retrieval(parts, lines, "row", "kind", "g", "t", "n", "model", {"least_frac": 0.34, "least_margin": 0.1, "least_jaccard": 0.3}, by_kind, ["A", "N", "R", "O"], 2)
+    return got.select("row", "reason", "chosen", "pool", *(F.round(c, 6).alias(c) for c in ("frac", "margin", "nearest")))
+
+
+@query("""WITH h AS (SELECT l_orderkey AS row, l_returnflag || l_linestatus AS key, l_quantity / 50 AS s, l_discount * 10 AS j, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS o FROM lineitem WHERE l_tax > 0.01),
+pr AS (SELECT key, count(*) AS prior FROM h GROUP BY 1), g AS (SELECT row, key, count(*) AS n, max(s) AS s, max(j) AS j, max(prior) AS p, min(o) AS o FROM h JOIN pr USING (key) GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER (PARTITION BY row) AS hits, row_number() OVER w AS place, lead(n, 1, 0) OVER w AS nxt FROM g WINDOW w AS (PARTITION BY row ORDER BY n DESC, s DESC, j DESC, p DESC, o, key)),
+q AS (SELECT o_orderkey AS row, CASE WHEN o_orderstatus = 'O' THEN 'NO' WHEN o_orderstatus = 'F' THEN 'RF' END AS model FROM orders),
+d AS (SELECT q.row, model, key, hits, n / hits AS frac, (n - nxt) / hits AS margin, s >= 0.5 AND j >= 0.2 AND n / hits >= 0.5 AND (n - nxt) / hits >= 0.25 AS ok FROM q LEFT JOIN (SELECT * FROM r WHERE place = 1) b USING (row)),
+f AS (SELECT *, unnest(['missing_only', 'override', 'agree_only']) AS form FROM d),
+e AS (SELECT *, CASE WHEN hits IS NULL THEN 'no_hits' WHEN ok THEN 'passed' ELSE 'low_confidence' END AS reason FROM f),
+x AS (SELECT *, CASE WHEN reason != 'passed' THEN 'model' WHEN key = model THEN 'retrieval_model_agree' WHEN model IS NULL AND form != 'agree_only' THEN 'retrieval_model_missing' WHEN form = 'override' THEN 'retrieval_override' ELSE 'model_fallback_disagree' END AS source FROM e)
+SELECT form, row, reason, source, CASE WHEN source LIKE 'retrieval%' THEN key ELSE model END AS chosen, round(frac, 6) AS frac, round(margin, 6) AS margin FROM x""")
+def strict_decisions(spark, sf_dir):
+    """Strict decisions over the hits of orders whose model may have no key: missing-only, with override, and neither."""
+    seen = F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey")
+    hits = table(spark, sf_dir, "lineitem").where("l_tax > 0.01").select(F.col("l_orderkey").alias("row"), F.concat("l_returnflag", "l_linestatus").alias("key"), (F.col("l_quantity") / 50).alias("similarity"), (F.col("l_discount") * 10).alias("jaccard"), seen.alias("ordinal"))
+    priors = hits.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("prior"))
+    told = hits.join(priors, F.col("key") == F.col("k"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.when(F.col("o_orderstatus") == "O", "NO").when(F.col("o_orderstatus") == "F", "RF").alias("model"))
+    gate = {"least_sim": 0.5, "least_jaccard": 0.2, "least_frac": 0.5, "least_margin": 0.25}
+    forms = {"missing_only": {}, "override": {"override": True}, "agree_only": {"fill": False}}
+    done = [H.strict_decisions(orders, told, "row", "key", "model", gate, **how).select(F.lit(form).alias("form"), "row", "reason", "source", "chosen", F.round("frac", 6).alias("frac"), F.round("margin", 6).alias("margin")) for form, how in forms.items()]
+    return J.union_all(done)
+
+
 @query("""WITH k AS (SELECT regexp_replace(lower(p_name), '[0-9]+', '<num>', 'g') AS skeleton, p_brand, count(*) AS n FROM part GROUP BY 1, 2)
 SELECT p_partkey, k.p_brand AS answer, n FROM (SELECT p_partkey, regexp_replace(lower(p_name), '[0-9]+', '<num>', 'g') AS skeleton FROM part) q JOIN k USING (skeleton)""")
 def template_lookup(spark, sf_dir):
