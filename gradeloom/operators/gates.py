@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -203,32 +203,52 @@ def route(base: DataFrame, expert: DataFrame, kind: str, key: str, score: str) -
 LEAST_SUPPORT, MEAN_ERROR, LARGEST_ERROR, LARGEST_VALUE, MOST_NUMBERS = 4, 0.02, 0.10, 1e9, 6
 
 
+def triangle(rows: np.ndarray) -> np.ndarray:
+    """The triangular factor of a block of rows: all that their least squares need, in as many rows as there are columns at most."""
+    return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
+
+
 def linear_templates(known: DataFrame, template: str, numbers: str, answer: str) -> DataFrame:
     """Least squares of the answer on a template's numbers, for templates that it fits well.
 
-    Groups never meet in one task: each one's normal equations are sums, pre-aggregated; only the small systems are
-    solved in Python.  Errors are then checked against all rows.
+    Each task reduces the rows of a template to a triangular factor, and factors are merged in two steps, by a few
+    hundred groups and then by template, so no task meets all rows of a template.  Unlike sums of products, which square the condition number,
+    that is as exact as least squares of all rows.  Errors are then checked against all rows.
     """
-    rows = known.where(F.col(answer).isNotNull() & (F.size(numbers) <= MOST_NUMBERS)).select(template, F.concat(numbers, F.array(F.lit(1.0))).alias("x"), F.col(answer).alias("y"))
-    k = MOST_NUMBERS + 1
-    at = lambda i: F.coalesce(F.get("x", F.lit(i)), F.lit(0.0))
-    sums = [F.sum(at(i) * at(j)).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(at(i) * F.col("y")).alias(f"b{i}") for i in range(k)]
-    groups = rows.groupBy(template, F.size("x").alias("k")).agg(F.count("*").alias("support"), *sums).where(F.col("support") >= F.greatest(F.lit(LEAST_SUPPORT), F.col("k") + 1))
-    packed = groups.select(template, "k", "support", F.array(*(F.col(c) for c in groups.columns if c[0] in "ab" and c[1:2].isdigit())).alias("sums"))
-
-    @F.pandas_udf("array<double>")
-    def solve(sizes: pd.Series, systems: pd.Series) -> pd.Series:
-        out = []
-        for n, s in zip(sizes, systems):
-            a, b, p = np.zeros((k, k)), np.array(s[-k:]), 0
-            for i in range(k):
-                for j in range(i, k):
-                    a[i, j] = a[j, i] = s[p]
-                    p += 1
-            out.append(np.linalg.lstsq(a[:n, :n], b[:n], rcond=None)[0].tolist())
-        return pd.Series(out)
-
-    fits = packed.select(F.col(template).alias("__t"), F.col("k").alias("__n"), "support", solve("k", "sums").alias("weights"))
+    kind = known.schema[template].dataType.simpleString()
+    rows = known.where(F.col(answer).isNotNull() & F.col(template).isNotNull() & (F.size(numbers) <= MOST_NUMBERS)).select(template, F.concat(numbers, F.array(F.lit(1.0))).alias("x"), F.col(answer).cast("double").alias("y"))
+    factors = f"template {kind}, k int, support long, factor array<double>"
+
+    def frame(found: dict[tuple, tuple[int, np.ndarray]]) -> pd.DataFrame:
+        return pd.DataFrame([(t, k, n, f.reshape(-1).tolist()) for (t, k), (n, f) in found.items()], columns=["template", "k", "support", "factor"])
+
+    def reduced(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, tuple[int, np.ndarray]] = {}
+        for part in parts:
+            for (t, k), some in part.groupby([part[template], part["x"].map(len)]):
+                block = np.column_stack([np.array(some["x"].tolist(), float).reshape(len(some), k), some["y"]])
+                n, before = found.get((t, k), (0, np.empty((0, k + 1))))
+                found[t, k] = n + len(some), triangle(np.vstack([before, block]))
+            if len(found) > MOST_FACTORS:
+                yield frame(found)
+                found = {}
+        if found:
+            yield frame(found)
+
+    def merged(some: pd.DataFrame) -> pd.DataFrame:
+        k = int(some["k"].iloc[0])
+        return frame({(some["template"].iloc[0], k): (int(some["support"].sum()), triangle(np.vstack([np.array(f).reshape(-1, k + 1) for f in some["factor"]])))})
+
+    def solved(some: pd.DataFrame) -> pd.DataFrame:
+        done = merged(some)
+        k, f = int(done["k"].iloc[0]), np.array(done["factor"].iloc[0]).reshape(-1, int(done["k"].iloc[0]) + 1)
+        done["weights"] = [np.linalg.lstsq(f[:, :k], f[:, k], rcond=None)[0].tolist()]
+        return done.drop(columns="factor")
+
+    first = rows.mapInPandas(reduced, factors).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(MERGED_PARTS)))
+    halfway = first.groupBy("template", "k", "part").applyInPandas(merged, factors)
+    fits = halfway.groupBy("template", "k").applyInPandas(solved, f"template {kind}, k int, support long, weights array<double>")
+    fits = fits.where(F.col("support") >= F.greatest(F.lit(LEAST_SUPPORT), F.col("k") + 1)).select(F.col("template").alias("__t"), F.col("k").alias("__n"), "support", "weights")
     guess = F.aggregate(F.zip_with("x", "weights", lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
     err = F.abs(guess - F.col("y")) / F.greatest(F.lit(1.0), F.abs("y"))
     checked = rows.join(fits, (F.col(template) == F.col("__t")) & (F.size("x") == F.col("__n"))).groupBy(template, "support", "weights").agg(F.avg(err).alias("mean_error"), F.max(err).alias("largest_error"))
@@ -243,6 +263,8 @@ def apply_templates(queries: DataFrame, templates: DataFrame, template: str, num
     return queries.join(t, (F.col(template) == F.col("__t")) & (F.size(x) == F.size("weights"))).withColumn("predicted", F.when(F.abs(guess) <= LARGEST_VALUE, guess)).drop("__t", "weights")
 
 
+#: Factors that a task holds before it hands them on, and groups in which a template's factors are merged first.
+MOST_FACTORS, MERGED_PARTS = 10_000, 256
 #: Settings of the ranker: trees, depth, and rows of a leaf.
 TREES, DEPTH, LEAF = 300, 8, 3
 

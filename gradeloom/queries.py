@@ -667,6 +667,19 @@ def linear_templates(spark, sf_dir):
     return got.select("p_brand", "support", F.round("mean_error", 6).alias("mean_error"))
 
 
+@query("""WITH t AS (SELECT p_partkey, CASE WHEN p_size % 6 < 3 THEN p_name || ' ' ELSE '' END || (p_size % 6) AS template, p_size % 6 AS form, 100000000.0 + p_partkey AS a, p_size::DOUBLE AS b FROM part),
+s AS (SELECT template, count(*) AS n, count(DISTINCT b) AS m FROM t GROUP BY 1)
+SELECT p_partkey, template, round(CASE form WHEN 0 THEN 3 * a - 2 * b + 7 WHEN 1 THEN a - b ELSE 0.5 * b + 4 END, 2) AS predicted FROM t JOIN s USING (template) WHERE n >= 4 AND form < 3""")
+def template_predictions(spark, sf_dir):
+    """Templates whose answers are linear in two numbers, one of them large beside its spread, fitted and applied to all parts."""
+    form, a, b = F.col("p_size") % 6, 100000000.0 + F.col("p_partkey"), F.col("p_size").cast("double")
+    crooked = F.when(F.col("p_partkey") % 2 == 0, 1000.0).otherwise(-1000.0) * (1 + F.col("p_partkey") % 7)
+    answer = F.when(form == 0, 3 * a - 2 * b + 7).when(form == 1, a - b).when(form == 2, 0.5 * b + 4).otherwise(crooked)
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.when(form < 3, F.concat("p_name", F.lit(" "))).otherwise(""), form.cast("string")).alias("template"), F.array(a, b).alias("numbers"), answer.alias("answer"))
+    fits = H.linear_templates(parts, "template", "numbers", "answer")
+    return H.apply_templates(parts, fits, "template", "numbers").select("p_partkey", "template", F.round("predicted", 2).alias("predicted"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_size > 0 THEN (p_partkey % 17)::VARCHAR END AS answer, CASE WHEN p_size > 0 THEN 'linear_equation' END AS rule FROM part")
 def solved_questions(spark, sf_dir):
     """The template solver over equations made of parts."""
