@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import answers as A
@@ -12,6 +13,7 @@ from .operators import gates as H
 from .operators import joins as J
 from .operators import vote as V
 from .plans import strategies as S
+from .plans import trees as TR
 from .queries import FRACTION, GATE, RUNS_SQL, SCORED_SQL, WORDS, gated, query, runs, scored, table
 
 # Strategies: orders ask for the answer that their status tells; line items are hits and known answers.
@@ -139,6 +141,50 @@ def profile_runs(spark, sf_dir):
     return S.run_profiles(V.verified_overrides(cands, "row", "key", "model_key", PROFILES), gold, "row", "chosen", score)
 
 
+# The ranker: an order's line items are candidates, named by their line numbers; their flags are the predictions.
+
+RANKED_SQL = """WITH c AS (SELECT l_orderkey AS row, l_linenumber AS name, l_returnflag AS key, o_orderpriority AS type, CASE WHEN l_tax >= 0.06 THEN 10 WHEN l_tax >= 0.04 THEN 5 WHEN l_tax >= 0.02 THEN 1 ELSE 0 END AS score, l_partkey * 100000 + l_suppkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+"""
+
+
+def ranker_candidates(spark, sf_dir):
+    """row, name, key, type, score, agree (candidates of the row with the key), raw (the name's total) and n (of the row)."""
+    tax = F.col("l_tax")
+    score = F.when(tax >= 0.06, 10).when(tax >= 0.04, 5).when(tax >= 0.02, 1).otherwise(0)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("type"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("name"), F.col("l_returnflag").alias("key"), score.alias("score"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("part"), "l_quantity")
+    rows = lines.join(orders, F.col("row") == F.col("o_orderkey")).drop("o_orderkey")
+    totals = rows.groupBy(F.col("name").alias("__n")).agg(F.sum("score").alias("raw"))
+    counted = rows.withColumn("agree", F.count("*").over(W.partitionBy("row", "key"))).withColumn("n", F.count("*").over(W.partitionBy("row")))
+    return counted.join(totals, F.col("name") == F.col("__n")).drop("__n")
+
+
+@query(RANKED_SQL + """, t AS (SELECT type, name, avg(score / 10) AS m FROM c GROUP BY ALL), b AS (SELECT name, avg(score / 10) AS m, sum(score) AS raw FROM c GROUP BY ALL),
+s AS (SELECT c.*, b.raw, round(0.60 * t.m + 0.35 * b.m + 0.04 * count(*) OVER (PARTITION BY row, key) / count(*) OVER (PARTITION BY row), 9) AS s FROM c JOIN t USING (type, name) JOIN b USING (name))
+SELECT row, name AS chosen, round(s, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY row ORDER BY s DESC, raw DESC, name, part DESC) = 1""")
+def fallback_choices(spark, sf_dir):
+    """Per order the candidate of the largest table score: means by type and name, by name, and agreement."""
+    cands = ranker_candidates(spark, sf_dir)
+    by_type = cands.groupBy(F.col("type").alias("t"), F.col("name").alias("tn")).agg(F.avg(F.col("score") / 10).alias("type_mean"))
+    by_name = cands.groupBy(F.col("name").alias("bn")).agg(F.avg(F.col("score") / 10).alias("name_mean"))
+    told = cands.join(by_type, (F.col("type") == F.col("t")) & (F.col("name") == F.col("tn"))).join(by_name, F.col("name") == F.col("bn"))
+    value = F.round(0.60 * F.col("type_mean") + 0.35 * F.col("name_mean") + 0.04 * F.col("agree") / F.col("n"), 9)
+    return V.pick(told, "row", "name", value, [F.col("raw"), -F.col("name"), F.col("part")]).select("row", "chosen", F.round("score", 6).alias("score"))
+
+
+@query()
+def ranker_choices(spark, sf_dir):
+    """The same by randomised trees over agreement, priors, sizes, and the names and types as columns of 1 and 0."""
+    cands = ranker_candidates(spark, sf_dir)
+    priors = cands.groupBy(F.col("key").alias("pk")).agg(F.log1p(F.count("*")).alias("prior"))
+    told = cands.join(priors, F.col("key") == F.col("pk")).withColumns({"agree_part": F.col("agree") / F.col("n"), "agree_count": F.col("agree").cast("double"), "rank_part": F.col("name") / 8, "whole": F.log1p("l_quantity")})
+    types = sorted(r.type for r in cands.select("type").where("type IS NOT NULL").distinct().collect())  # the kinds of a fixed list
+    rows, hot = TR.one_hot(told, {"name": list(range(1, 8)), "type": types})
+    forest = TR.fit(rows.withColumn("y", F.col("score") / 10), ["agree_part", "agree_count", "rank_part", "prior", "whole", *hot], "y", trees=12, depth=5)
+    scored = forest.predict(rows.select("row", "name", "raw", "part", *forest.features))
+    return V.pick(scored, "row", "name", F.round("rank_score", 9), [F.col("raw"), -F.col("name"), F.col("part")]).select("row", "chosen", F.round("score", 6).alias("score"))
+
+
 @query("""WITH c AS (SELECT l_orderkey AS row, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag = 'R' AS own, l_discount FROM lineitem)
 SELECT row, l_linenumber, l_partkey, place FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY own DESC, l_discount DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM c) WHERE place <= 3""")
 def model_first_candidates(spark, sf_dir):

@@ -265,21 +265,3 @@ def apply_templates(queries: DataFrame, templates: DataFrame, template: str, num
 
 #: Factors that a task holds before it hands them on, and groups in which a template's factors are merged first.
 MOST_FACTORS, MERGED_PARTS = 10_000, 256
-#: Settings of the ranker: trees, depth, and rows of a leaf.
-TREES, DEPTH, LEAF = 300, 8, 3
-
-
-def train_ranker(rows: DataFrame, numbers: list[str], kinds: list[str], label: str, trees: int = TREES, seed: int = 7):
-    """A random forest that predicts a candidate's score from numbers and kinds (one-hot), trained by Spark.
-
-    It stands in for extremely randomised trees, which Spark lacks; ``hierarchical_means`` is the exact fallback.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    index = StringIndexer(inputCols=kinds, outputCols=[f"__{k}" for k in kinds], handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=[f"__{k}" for k in kinds], outputCols=[f"__{k}_hot" for k in kinds])
-    features = VectorAssembler(inputCols=[*numbers, *(f"__{k}_hot" for k in kinds)], outputCol="__features", handleInvalid="keep")
-    forest = RandomForestRegressor(featuresCol="__features", labelCol=label, predictionCol="rank_score", numTrees=trees, maxDepth=DEPTH, minInstancesPerNode=LEAF, seed=seed)
-    return Pipeline(stages=[index, hot, features, forest]).fit(rows)

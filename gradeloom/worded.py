@@ -14,6 +14,7 @@ from .functions import sequence
 from .functions import solver as S
 from .functions import text as T
 from .operators import vote as V
+from .plans import report
 from .queries import query, table
 
 SOURCE = "(SELECT p_partkey AS k, p_size AS s, p_name AS n FROM part)"
@@ -343,3 +344,11 @@ def trailing_ids(spark, sf_dir):
 
     rows = worded(spark, sf_dir, t=column(IDS)).select("k", ids("t").alias("ids"))
     return rows.select("k", F.array_join(T.strip_trailing("ids", [2]).cast("array<string>"), ",").alias("left_ids"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag != 'N' THEN l_discount - l_tax END AS d FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN d IS NULL THEN 'NaN' ELSE printf('%.1f', 100.0 * d) || '%' END AS share, CASE WHEN d IS NULL THEN 'NaN' ELSE printf('%+.3f', d) END AS change, round(sign(d) * log10(1 + abs(d)), 6) AS size FROM v""")
+def formatted_measures(spark, sf_dir):
+    """Differences of line items as percentages, with signs, and on a signed logarithmic scale."""
+    d = F.when(F.col("l_returnflag") != "N", F.col("l_discount") - F.col("l_tax"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", report.percent(d).alias("share"), report.with_sign(d).alias("change"), F.round(report.signed_logarithm(d), 6).alias("size"))
