@@ -114,8 +114,9 @@ def histogram(df: DataFrame, value: str, ordinal: str, k: int) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, key: str, response: str, number: str) -> DataFrame:
-    """One row: groups of more than one row, by whether responses and numbers agree."""
-    g = df.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(response).alias("responses"), F.count_distinct(number).alias("numbers")).where("n > 1")
+    """One row: groups of more than one row, by whether responses and numbers agree.  Keys and responses are dealt as digests."""
+    digest = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    g = df.groupBy(digest(key)).agg(F.count("*").alias("n"), F.count_distinct(digest(response)).alias("responses"), F.count_distinct(number).alias("numbers")).where("n > 1")
     return g.agg(
         F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"),
         F.count_if(F.col("responses") <= 1).alias("exact"), F.count_if((F.col("responses") > 1) & (F.col("numbers") <= 1)).alias("consistent"), F.count_if(F.col("numbers") > 1).alias("conflicting"),

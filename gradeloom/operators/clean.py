@@ -5,6 +5,8 @@ Every choice depends on values and an ordinal alone, so results do not change wi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,34 +60,36 @@ def hash_split(df: DataFrame, key: str, fraction: float, salt: str = "split:") -
 HASH_PARTS = 1024
 
 
-def holdout_per_group(df: DataFrame, group: str, key: str, fraction: float = 0.1, salt: str = "holdout:") -> DataFrame:
-    """``held``: in each group of two keys or more, about ``fraction`` of its distinct keys, one at least, not all.
+def least_hashes(keys: DataFrame, take: Callable[[Column], Column]) -> DataFrame:
+    """``held``: of the distinct keys (__g, __k, __f) those of least hash __f in their group, ``take`` of a group's size.
 
-    The keys of least hash are held.  Counts by part of the range of hashes tell in which part the last of them lies;
-    only that part's keys are ranked, so no task sorts a whole group.
+    Counts by part of the range of hashes tell in which part the last of them lies; only that part's keys are ranked, so
+    no task sorts a whole group.
     """
-    f = salted(F.col(key), salt)
-    keys = df.select(F.col(group).alias("__g"), F.col(key).alias("__k"), f.alias("__f")).distinct().withColumn("__part", F.floor(F.col("__f") * HASH_PARTS).cast("int"))
-    w = W.partitionBy("__g").orderBy("__part")
-    size, upto = F.sum("__n").over(W.partitionBy("__g")), F.sum("__n").over(w)
-    take = F.when(size >= 2, F.greatest(F.lit(1), F.least(size - 1, F.bround(size * fraction).cast("long")))).otherwise(0)
-    parts = keys.groupBy("__g", "__part").agg(F.count("*").alias("__n")).select(F.col("__g").alias("__h"), F.col("__part").alias("__p"), (take - (upto - F.col("__n"))).alias("__left"), "__n")
-    joined = keys.join(parts, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__part") == F.col("__p")))
+    parted = keys.withColumn("__part", F.floor(F.col("__f") * HASH_PARTS).cast("int"))
+    size, upto = F.sum("__n").over(W.partitionBy("__g")), F.sum("__n").over(W.partitionBy("__g").orderBy("__part"))
+    parts = parted.groupBy("__g", "__part").agg(F.count("*").alias("__n")).select(F.col("__g").alias("__h"), F.col("__part").alias("__p"), (take(size) - (upto - F.col("__n"))).alias("__left"), "__n")
+    joined = parted.join(parts, F.col("__g").eqNullSafe(F.col("__h")) & (F.col("__part") == F.col("__p")))
     split = joined.where((F.col("__left") > 0) & (F.col("__left") < F.col("__n")))
     ranked = split.withColumn("__held", F.row_number().over(W.partitionBy("__g", "__part").orderBy("__f", "__k")) <= F.col("__left"))
     whole = joined.where((F.col("__left") <= 0) | (F.col("__left") >= F.col("__n"))).withColumn("__held", F.col("__left") > 0)
-    chosen = ranked.unionByName(whole).select("__g", "__k", F.col("__held").alias("held"))
+    return ranked.unionByName(whole).select("__g", "__k", F.col("__held").alias("held"))
+
+
+def holdout_per_group(df: DataFrame, group: str, key: str, fraction: float = 0.1, salt: str = "holdout:") -> DataFrame:
+    """``held``: in each group of two keys or more, about ``fraction`` of its distinct keys, one at least, not all."""
+    keys = df.select(F.col(group).alias("__g"), F.col(key).alias("__k"), salted(F.col(key), salt).alias("__f")).distinct()
+    chosen = least_hashes(keys, lambda size: F.when(size >= 2, F.greatest(F.lit(1), F.least(size - 1, F.bround(size * fraction).cast("long")))).otherwise(0))
     return df.join(chosen, F.col(group).eqNullSafe(F.col("__g")) & F.col(key).eqNullSafe(F.col("__k"))).drop("__g", "__k")
 
 
 def group_disjoint_split(df: DataFrame, group: str, kind: str, fraction: float = 0.1, salt: str = "group:") -> DataFrame:
     """``held``: whole groups, about ``fraction`` of those of each dominant kind, one at least."""
     counts = df.groupBy(group, kind).agg(F.count("*").alias("n"))
-    main = counts.groupBy(group).agg(F.min(F.struct(-F.col("n"), F.col(kind))).alias("m")).select(F.col(group).alias("__g"), F.col(f"m.{kind}").alias("bucket"))
-    w = W.partitionBy("bucket")
-    place = F.row_number().over(w.orderBy(salted(F.col("__g"), salt), "__g"))
-    chosen = main.select("__g", (place <= F.greatest(F.lit(1), F.bround(F.count("*").over(w) * fraction).cast("long"))).alias("held"))
-    return df.join(chosen, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    main = counts.groupBy(group).agg(F.min(F.struct(-F.col("n"), F.col(kind))).alias("m"))
+    keys = main.select(F.col(f"m.{kind}").alias("__g"), F.col(group).alias("__k"), salted(F.col(group), salt).alias("__f"))
+    chosen = least_hashes(keys, lambda size: F.greatest(F.lit(1), F.bround(size * fraction).cast("long"))).drop("__g")
+    return df.join(chosen, F.col(group).eqNullSafe(F.col("__k"))).drop("__k")
 
 
 def calibration_split(df: DataFrame, key: str, fraction: float, cap: int | None = None) -> DataFrame:
