@@ -141,6 +141,32 @@ def profile_runs(spark, sf_dir):
     return S.run_profiles(V.verified_overrides(cands, "row", "key", "model_key", PROFILES), gold, "row", "chosen", score)
 
 
+@query(f"""WITH r AS (SELECT doc_id, quality FROM documents JOIN labels USING (doc_id)), t AS (SELECT conv_id AS doc_id, substr(text, 1, 40) AS r FROM conversations WHERE turn = 1),
+j AS (SELECT r.doc_id, quality, t.r, t.r IS NOT NULL AS has_reasoning FROM r LEFT JOIN t USING (doc_id))
+SELECT doc_id, coalesce(r || chr(10), '') || 'Đáp án là: ' || quality AS target, 'taught_or_fallback' AS stage, has_reasoning FROM j
+UNION ALL SELECT doc_id, 'Đáp án là: ' || quality, 'replay', has_reasoning FROM j WHERE {FRACTION.format("doc_id::VARCHAR")} < 0.25""")
+def distilled_records(spark, sf_dir):
+    """Labelled documents with the second turn of the conversation of their number as reasoning, and a replay of the bare answers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
+    taught = table(spark, sf_dir, "conversations").where("turn = 1").select(F.col("conv_id").alias("doc_id"), F.substring("text", 1, 40).alias("reasoning"))
+    got = P.distilled_records(docs, taught, "doc_id", F.col("quality"), "reasoning", A.answer_target, 0.25)
+    return got.select("doc_id", "target", "stage", "has_reasoning")
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(f"""WITH t AS (SELECT strftime(l_shipdate, '%Y-%m-%d') AS q, l_suppkey::DOUBLE AS n, {PRIORITIES}[1 + l_linenumber % 5] AS r FROM lineitem),
+d AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS q, (o_custkey % 50)::DOUBLE AS n, o_orderpriority AS r FROM orders)
+SELECT o_orderkey, q IN (SELECT q FROM t) AS seen_query, EXISTS (SELECT 1 FROM t WHERE t.q = d.q AND t.n = d.n) AS same_answer, EXISTS (SELECT 1 FROM t WHERE t.q = d.q AND t.r = d.r) AS same_response FROM d""")
+def seen_flags(spark, sf_dir):
+    """Orders' days, numbers and priorities that line items have too."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    lines = table(spark, sf_dir, "lineitem").select(day("l_shipdate").alias("q"), F.col("l_suppkey").alias("n"), F.element_at(F.array(*map(F.lit, PRIORITIES)), (1 + F.col("l_linenumber") % 5).cast("int")).alias("r"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", day("o_orderdate").alias("q"), (F.col("o_custkey") % 50).cast("double").alias("n"), F.col("o_orderpriority").alias("r"))
+    return J.seen_flags(orders, lines, "q", "n", "r").select("o_orderkey", "seen_query", "same_answer", "same_response")
+
+
 # The ranker: an order's line items are candidates, named by their line numbers; their flags are the predictions.
 
 RANKED_SQL = """WITH c AS (SELECT l_orderkey AS row, l_linenumber AS name, l_returnflag AS key, o_orderpriority AS type, CASE WHEN l_tax >= 0.06 THEN 10 WHEN l_tax >= 0.04 THEN 5 WHEN l_tax >= 0.02 THEN 1 ELSE 0 END AS score, l_partkey * 100000 + l_suppkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey)

@@ -113,6 +113,18 @@ def replay(df: DataFrame, key: str, fraction: float, salt: str = "replay:") -> D
     return df.withColumn("is_replay", F.lit(False)).unionByName(df.where(salted(key, salt) < fraction).withColumn("is_replay", F.lit(True)))
 
 
+def distilled_records(records: DataFrame, taught: DataFrame, key: str, canonical: Column, reasoning: str, target: Callable[[Column], Column], replayed: float) -> DataFrame:
+    """Records with a canonical answer and the reasoning that ``taught`` (a row a key) has for them, before the answer's
+    target line; without one the target alone.  Rows whose hash falls below ``replayed`` come once more with the target alone.
+    """
+    answer = records.withColumn("__line", target(canonical)).where(canonical.isNotNull())
+    known = taught.select(F.col(key).alias("__k"), F.col(reasoning).alias("__r"))
+    joined = answer.join(known, F.col(key) == F.col("__k"), "left").withColumn("has_reasoning", F.col("__r").isNotNull())
+    first = joined.withColumns({"target": F.coalesce(F.concat("__r", F.lit("\n"), "__line"), F.col("__line")), "stage": F.lit("taught_or_fallback")})
+    again = joined.where(stable_fraction(key) < replayed).withColumns({"target": F.col("__line"), "stage": F.lit("replay")})
+    return first.unionByName(again).drop("__k", "__r", "__line")
+
+
 def augment(df: DataFrame, weight: str, order: str, most_copies: int, cap: int) -> DataFrame:
     """min(most_copies, weight // 2) numbered copies of each row; the first ``cap`` of all by ``order`` and number."""
     copies = F.least(F.lit(most_copies), F.floor(F.col(weight) / 2).cast("int"))

@@ -68,6 +68,27 @@ def seen_in(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(key), key, "left_semi")
 
 
+def seen_flags(df: DataFrame, train: DataFrame, query: str, number: str, response: str) -> DataFrame:
+    """``df`` with seen_query, same_answer (a number of the query's in ``train``, but for 1e-9) and same_response.
+
+    All keys are digests of distinct values, so a query that a third of ``train`` asks is one row a different number or response.
+    Numbers meet by cells of 1e-8 and the cells beside, and are then compared.
+    """
+    digest = lambda *cs: F.sha2(F.to_json(F.array(*(F.col(c).cast("string") for c in cs))), 256)
+    cell = lambda x: F.floor(x.cast("double") * 1e8).cast("double")
+    mark = lambda keys, name: keys.distinct().withColumn(name, F.lit(True))
+    asked = train.where(F.col(query).isNotNull())
+    queries = mark(asked.select(digest(query).alias("__q")), "__seen")
+    answers = mark(asked.where(F.col(response).isNotNull()).select(digest(query, response).alias("__a")), "__same")
+    numbers = asked.where(F.col(number).isNotNull()).select(digest(query).alias("__nq"), F.col(number).cast("double").alias("__v")).distinct().withColumn("__c", cell(F.col("__v")))
+    rows = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__d", digest(query))
+    near = rows.where(F.col(number).isNotNull()).select("__row", "__d", F.col(number).cast("double").alias("__x"), F.explode(F.transform(F.array(F.lit(-1.0), F.lit(0.0), F.lit(1.0)), lambda i: cell(F.col(number)) + i)).alias("__near"))
+    hits = near.join(numbers, (F.col("__d") == F.col("__nq")) & (F.col("__near") == F.col("__c")) & (F.abs(F.col("__x") - F.col("__v")) <= 1e-9)).select(F.col("__row").alias("__hit")).distinct()
+    out = rows.join(queries, F.col("__d") == F.col("__q"), "left").join(answers, digest(query, response) == F.col("__a"), "left").join(hits, F.col("__row") == F.col("__hit"), "left")
+    told = lambda c: F.coalesce(c, F.lit(False))
+    return out.select(*df.columns, told(F.col("__seen")).alias("seen_query"), F.col("__hit").isNotNull().alias("same_answer"), told(F.col("__same")).alias("same_response"))
+
+
 def unseen_in(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows whose key ``other`` lacks, repeats included (anti-join)."""
     return df.join(other.select(key), key, "left_anti")

@@ -237,13 +237,19 @@ def asked(index: Retriever, rows: DataFrame, row_id: str, k: int, same: tuple[Co
     return index.search(Retriever.rows(rows, row_id, T.words("text"), same), k)
 
 
-@query("""SELECT conv_id, turn FROM conversations WHERE lower(trim(text)) IN (SELECT lower(trim(text)) FROM conversations GROUP BY 1 HAVING count(*) > 1) OR text IN (SELECT text FROM documents)""")
+@query("""WITH d AS (SELECT doc_id, lower(trim(text)) AS key, string_split(text, chr(10))[1] AS head FROM documents),
+p AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM conversations)
+SELECT doc_id, key IN (SELECT key FROM d GROUP BY 1 HAVING count(*) > 1) AS copied, coalesce(head IN (SELECT head FROM d GROUP BY 1 HAVING count(DISTINCT key) > 1), false) AS shares_head FROM d
+WHERE key IN (SELECT key FROM d GROUP BY 1 HAVING count(*) > 1) OR head IN (SELECT head FROM d GROUP BY 1 HAVING count(DISTINCT key) > 1) OR head IN (SELECT line FROM p)""")
 def exact_overlap(spark, sf_dir):
-    """Turns whose text another turn or a document has."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lower(F.trim("text")).alias("key"))
-    again = turns.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    docs = table(spark, sf_dir, "documents").select("text")
-    return J.union_all([J.seen_in(turns, again, "key").select("conv_id", "turn"), J.seen_in(turns, docs, "text").select("conv_id", "turn")]).distinct()
+    """Documents whose text another one has, or whose first line another text starts with or a conversation has as a line."""
+    digest = lambda c: F.sha2(c, 256)
+    docs = table(spark, sf_dir, "documents").select("doc_id", digest(F.lower(F.trim("text"))).alias("key"), digest(F.get(F.split("text", "\n"), F.lit(0))).alias("head"))
+    copies = docs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 AND key IS NOT NULL")
+    heads = docs.groupBy("head").agg(F.count_distinct("key").alias("n")).where("n > 1 AND head IS NOT NULL")
+    lines = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n")).alias("line")).select(digest("line").alias("head"))
+    found = J.union_all([J.seen_in(docs, copies, "key").select("doc_id", F.lit(1).alias("how")), J.seen_in(docs, heads, "head").select("doc_id", F.lit(2).alias("how")), J.seen_in(docs, lines, "head").select("doc_id", F.lit(4).alias("how"))])
+    return found.groupBy("doc_id").agg((F.max(F.col("how") == 1)).alias("copied"), (F.max(F.col("how") == 2)).alias("shares_head"))
 
 
 @query("""SELECT unnest(['shared', 'any', 'left_only']) AS keys, unnest([(SELECT count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer)), (SELECT count(*) FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer)),
