@@ -211,6 +211,45 @@ def ranker_choices(spark, sf_dir):
     return V.pick(scored, "row", "name", F.round("rank_score", 9), [F.col("raw"), -F.col("name"), F.col("part")]).select("row", "chosen", F.round("score", 6).alias("score"))
 
 
+@query("""WITH h AS (SELECT l_orderkey AS row, l_returnflag AS key, 0.8 + l_quantity / 250 AS s, 0.5 + 6 * l_tax AS j, l_linenumber % 2 = 0 AS a, l_suppkey % 3 = 0 AS b, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS o FROM lineitem),
+g AS (SELECT row, key, count(*) AS n, count(*) FILTER (a) AS a, count(*) FILTER (b) AS b, max(s) AS s, max(j) AS j, min(o) AS o FROM h GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY row) AS hits, row_number() OVER w AS rank, lead(n, 1, 0) OVER w AS nxt FROM g WINDOW w AS (PARTITION BY row ORDER BY n DESC, a DESC, b DESC, s DESC, j DESC, o, key)),
+m AS (SELECT *, n / hits AS frac, CASE WHEN rank = 1 THEN (n - nxt) / hits ELSE 0.0 END AS margin FROM r),
+c AS (SELECT *, least(1.0, 0.50 * s + 0.18 * j + 0.18 * frac + 0.10 * margin + CASE WHEN a > 0 THEN 0.12 ELSE 0.0 END + CASE WHEN b > 0 THEN 0.08 ELSE 0.0 END) AS conf, s >= 0.92 AND j >= 0.70 AND frac >= 0.55 AND margin >= 0.20 AND (a > 0 OR b > 0) AS safe FROM m)
+SELECT row, key, CASE WHEN safe THEN 'retrieval_direct_safe' ELSE 'retrieval_group' END AS source, round(CASE WHEN safe THEN greatest(conf, 0.94) ELSE conf END, 6) AS confidence, rank FROM c WHERE rank <= 2""")
+def retrieval_candidates(spark, sf_dir):
+    """The two largest groups of an order's line items by flag; some are directly safe."""
+    seen = F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey")
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_returnflag").alias("key"), (0.8 + F.col("l_quantity") / 250).alias("similarity"), (0.5 + 6 * F.col("l_tax")).alias("jaccard"), (F.col("l_linenumber") % 2 == 0).alias("same_numbers"), (F.col("l_suppkey") % 3 == 0).alias("same_skeleton"), seen.alias("ordinal"))
+    return V.retrieval_candidates(hits, "row", "key", 2, "ordinal").select("row", "key", "source", F.round("confidence", 6).alias("confidence"), "rank")
+
+
+FACT_PROFILES = {"strict": {"safe_confidence": 0.90, "least_confidence": 0.99, "tolerance": 0.35, "override_margin": 0.55}, "wide": {"safe_confidence": 0.84, "least_confidence": 0.99, "tolerance": 0.50, "override_margin": 0.40, "least_sim": 0.5, "least_jaccard": 0.3, "direct_confidence": 0.9}, "filled": {"safe_confidence": 0.9, "least_confidence": 0.8, "tolerance": 0.1, "override_margin": 0.1, "allow_missing": False}}
+
+
+def fact_profiles_sql() -> str:
+    names = ("safe_confidence", "least_confidence", "tolerance", "override_margin", "least_sim", "least_jaccard", "direct_confidence")
+    rows = ", ".join(f"('{n}', " + ", ".join(f"{({**V.PROFILE, **p})[k]}::DOUBLE" for k in names) + f", {str(p.get('allow_missing', True)).lower()})" for n, p in FACT_PROFILES.items())
+    sql = OVERRIDES_SQL.replace("{profiles}", rows).replace("override_margin)", "override_margin, least_sim, least_jaccard, direct_confidence, allow_missing)").replace("l_returnflag AS flag", "l_returnflag AS flag, l_quantity / 50 AS fs, 10 * l_discount AS fj, l_linenumber % 2 AS odd")
+    facts = "fs >= least_sim AND fj >= least_jaccard AND odd > 0"
+    sql = sql.replace("flag IN ('R', 'A') AS safe", f"flag = 'R' OR ({facts}) AS safe, CASE WHEN {facts} THEN greatest(confidence, direct_confidence) ELSE confidence END AS conf")
+    for old in ("safe AND confidence >=", "confidence >= least_confidence", "2.0 * confidence +"):
+        sql = sql.replace(old, old.replace("confidence", "conf", 1))
+    return sql.replace("model_key IS NULL AS missing", "model_key IS NULL AND allow_missing AS missing")
+
+
+@query(fact_profiles_sql() + "SELECT profile, row, chosen, reason FROM chosen")
+def profiles_with_facts(spark, sf_dir):
+    """Overrides by three profiles that judge each candidate's retrieval facts; one takes no candidate where the model has none."""
+    lines = table(spark, sf_dir, "lineitem")
+    ordinal = F.col("l_linenumber").cast("long") * 10000000000 + F.col("l_suppkey") * 100000 + F.round(F.col("l_extendedprice") % 100000).cast("long")
+    facts = F.array(F.struct((F.col("l_quantity") / 50).alias("top_sim"), (10 * F.col("l_discount")).alias("top_jaccard"), F.lit(0.6).alias("frac"), F.lit(0.3).alias("margin"), (F.col("l_linenumber") % 2).alias("same_numbers"), F.lit(0).alias("same_skeleton")))
+    told = lines.select(F.col("l_orderkey").alias("fact_row"), F.col("l_partkey").alias("fact_key"), ordinal.alias("fact_ordinal"), facts.alias("facts"))
+    cands = override_candidates(spark, sf_dir)
+    both = cands.join(told, (F.col("row") == F.col("fact_row")) & (F.col("key") == F.col("fact_key")) & (F.col("ordinal") == F.col("fact_ordinal")))
+    return V.verified_overrides(both, "row", "key", "model_key", FACT_PROFILES, "facts")
+
+
 @query("""WITH c AS (SELECT l_orderkey AS row, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag = 'R' AS own, l_discount FROM lineitem)
 SELECT row, l_linenumber, l_partkey, place FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY own DESC, l_discount DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM c) WHERE place <= 3""")
 def model_first_candidates(spark, sf_dir):

@@ -69,6 +69,25 @@ def direct_safe(same_numbers: Column, same_skeleton: Column) -> Column:
     return (F.col("top_sim") >= 0.92) & (F.col("top_jaccard") >= 0.70) & (F.col("frac") >= 0.55) & (F.col("margin") >= 0.20) & (same_numbers | same_skeleton)
 
 
+def retrieval_candidates(hits: DataFrame, row: str, key: str, most: int, ordinal: str) -> DataFrame:
+    """Per row its ``most`` largest answer groups as candidates: key, source, confidence and facts (similarities, part, lead, shared numbers, skeletons).
+
+    Hits have similarity, jaccard, same_numbers and same_skeleton (booleans).  A group is directly safe if its similarities, part
+    and lead pass their limits and a hit shares numbers or skeleton; its confidence is 0.94 at least.
+    """
+    counts = {"retrieval_count": F.count("*"), "same_numbers": F.count_if("same_numbers"), "same_skeleton": F.count_if("same_skeleton"), "top_sim": F.max("similarity"), "top_jaccard": F.max("jaccard"), "__o": F.min(ordinal)}
+    groups = hits.where(F.col(key).isNotNull()).groupBy(row, key).agg(*(c.alias(n) for n, c in counts.items()))
+    totals = hits.groupBy(F.col(row).alias("__r")).agg(F.count("*").alias("hits"))
+    order = W.partitionBy(row).orderBy(*(F.desc(c) for c in list(counts)[:5]), "__o", key)
+    rank, lead = F.row_number().over(order), F.col("retrieval_count") - F.coalesce(F.lead("retrieval_count").over(order), F.lit(0))
+    placed = groups.join(totals, F.col(row) == F.col("__r")).withColumns({"rank": rank, "frac": F.col("retrieval_count") / F.col("hits"), "margin": F.when(rank == 1, lead / F.col("hits")).otherwise(0.0)})
+    numbers, skeleton = F.col("same_numbers") > 0, F.col("same_skeleton") > 0
+    safe = direct_safe(numbers, skeleton)
+    conf = group_confidence(numbers, skeleton)
+    facts = F.struct("top_sim", "top_jaccard", "frac", "margin", "same_numbers", "same_skeleton")
+    return placed.where(F.col("rank") <= most).select(row, key, F.when(safe, DIRECT).otherwise("retrieval_group").alias("source"), F.when(safe, F.greatest(conf, F.lit(PROFILE["direct_confidence"]))).otherwise(conf).alias("confidence"), "rank", facts.alias("facts"))
+
+
 def merge_candidates(frames: list[DataFrame], row: str, key: str) -> DataFrame:
     """The union of candidate tables (row, key, source, confidence), one row a key: largest confidence, all sources."""
     out = frames[0]
