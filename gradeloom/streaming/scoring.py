@@ -19,6 +19,15 @@ def score_stream(preds: DataFrame, gold: DataFrame, key: str, pred: str, truth:
     return first.join(gold, key).withColumn("rel_error", rel_error(pred, truth)).withColumn("score", score("rel_error"))
 
 
+def score_last_stream(preds: DataFrame, gold: DataFrame, key: str, pred: str, truth: str, time: str, gap: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
+    """As ``score_stream``, but of the predictions of an id that follow one another within ``gap`` the last counts, as in batch.
+
+    A prediction leaves once the watermark has passed the gap behind it: no later one can take its place then.
+    """
+    last = preds.withWatermark(time, delay).groupBy(F.session_window(time, gap), key).agg(F.max_by(F.struct(*(F.col(c) for c in preds.columns if c != key)), time).alias("__p"))
+    return last.select(key, "__p.*").join(gold, key).withColumn("rel_error", rel_error(pred, truth)).withColumn("score", score("rel_error"))
+
+
 def windowed_summary(scored: DataFrame, time: str, kind: str, width: str = "5 minutes") -> DataFrame:
     """Rows, total and mean error per window of event time and kind; a window is final once the watermark passed it."""
     w = F.window(time, width)

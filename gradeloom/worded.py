@@ -14,7 +14,7 @@ from .functions import sequence
 from .functions import solver as S
 from .functions import text as T
 from .operators import vote as V
-from .plans import report
+from .plans import report, retrieval
 from .queries import query, table
 
 SOURCE = "(SELECT p_partkey AS k, p_size AS s, p_name AS n FROM part)"
@@ -352,3 +352,12 @@ def formatted_measures(spark, sf_dir):
     """Differences of line items as percentages, with signs, and on a signed logarithmic scale."""
     d = F.when(F.col("l_returnflag") != "N", F.col("l_discount") - F.col("l_tax"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", report.percent(d).alias("share"), report.with_sign(d).alias("change"), F.round(report.signed_logarithm(d), 6).alias("size"))
+
+
+@query(f"""WITH q AS (SELECT k, k % 3 AS form, CASE k % 3 WHEN 0 THEN [s + 100.0, 7] WHEN 1 THEN [s % 5 + 1.0] ELSE [] END AS x, n FROM {SOURCE})
+SELECT a.k, b.n AS answer, count(*) AS n FROM q a JOIN q b ON a.form = b.form AND a.x = b.x WHERE b.n IS NOT NULL GROUP BY ALL""")
+def template_answers(spark, sf_dir):
+    """Names of the parts whose question has the same skeleton and the same numbers."""
+    rows = worded(spark, sf_dir, t=["(s + 100) || ' táo và 7 cam'", "'còn ' || (s % 5 + 1) || ' quả'", "'không có số'"])
+    asked = rows.select("k", T.skeleton("t").alias("skeleton"), T.query_numbers("t").alias("x"), F.col("n").alias("answer"))
+    return retrieval.lookup(asked.drop("answer"), asked, ["skeleton"], "answer", "x").select("k", "answer", "n")
