@@ -15,6 +15,7 @@ from .operators import vote as V
 from .plans import strategies as S
 from .plans import trees as TR
 from .queries import FRACTION, GATE, RUNS_SQL, SCORED_SQL, WORDS, gated, query, runs, scored, table
+from .sources.readers import scratch
 
 # Strategies: orders ask for the answer that their status tells; line items are hits and known answers.
 
@@ -173,16 +174,21 @@ RANKED_SQL = """WITH c AS (SELECT l_orderkey AS row, l_linenumber AS name, l_ret
 """
 
 
-def ranker_candidates(spark, sf_dir):
-    """row, name, key, type, score, agree (candidates of the row with the key), raw (the name's total) and n (of the row)."""
+def ranker_rows(spark, sf_dir):
+    """row, name, key, type, score, part, agree (candidates of the row with the key) and n (of the row)."""
     tax = F.col("l_tax")
     score = F.when(tax >= 0.06, 10).when(tax >= 0.04, 5).when(tax >= 0.02, 1).otherwise(0)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("type"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("name"), F.col("l_returnflag").alias("key"), score.alias("score"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("part"), "l_quantity")
     rows = lines.join(orders, F.col("row") == F.col("o_orderkey")).drop("o_orderkey")
+    return rows.withColumn("agree", F.count("*").over(W.partitionBy("row", "key"))).withColumn("n", F.count("*").over(W.partitionBy("row")))
+
+
+def ranker_candidates(spark, sf_dir):
+    """The rows with raw, the name's total."""
+    rows = ranker_rows(spark, sf_dir)
     totals = rows.groupBy(F.col("name").alias("__n")).agg(F.sum("score").alias("raw"))
-    counted = rows.withColumn("agree", F.count("*").over(W.partitionBy("row", "key"))).withColumn("n", F.count("*").over(W.partitionBy("row")))
-    return counted.join(totals, F.col("name") == F.col("__n")).drop("__n")
+    return rows.join(totals, F.col("name") == F.col("__n")).drop("__n")
 
 
 @query(RANKED_SQL + """, t AS (SELECT type, name, avg(score / 10) AS m FROM c GROUP BY ALL), b AS (SELECT name, avg(score / 10) AS m, sum(score) AS raw FROM c GROUP BY ALL),
@@ -201,14 +207,23 @@ def fallback_choices(spark, sf_dir):
 @query()
 def ranker_choices(spark, sf_dir):
     """The same by randomised trees over agreement, priors, sizes, and the names and types as columns of 1 and 0."""
-    cands = ranker_candidates(spark, sf_dir)
-    priors = cands.groupBy(F.col("key").alias("pk")).agg(F.log1p(F.count("*")).alias("prior"))
-    told = cands.join(priors, F.col("key") == F.col("pk")).withColumns({"agree_part": F.col("agree") / F.col("n"), "agree_count": F.col("agree").cast("double"), "rank_part": F.col("name") / 8, "whole": F.log1p("l_quantity")})
-    types = sorted(r.type for r in cands.select("type").where("type IS NOT NULL").distinct().collect())  # the kinds of a fixed list
+    cands = ranker_rows(spark, sf_dir)
+    same = ["name", "key", "type", "agree", "n", "l_quantity"]  # candidates alike in these have one rank score
+
+    def saved(df, name):
+        df.write.parquet(path := scratch(spark, name))
+        return spark.read.schema(df.schema).parquet(path)
+
+    kinds = saved(cands.groupBy(*same, "score").agg(F.count("*").alias("times")), "ranker-kinds")
+    totals = kinds.groupBy(F.col("name").alias("__n")).agg(F.sum(F.col("score") * F.col("times")).alias("raw"))
+    priors = kinds.groupBy(F.col("key").alias("pk")).agg(F.log1p(F.sum("times")).alias("prior"))
+    told = kinds.join(totals, F.col("name") == F.col("__n")).join(priors, F.col("key") == F.col("pk")).withColumns({"agree_part": F.col("agree") / F.col("n"), "agree_count": F.col("agree").cast("double"), "rank_part": F.col("name") / 8, "whole": F.log1p("l_quantity")})
+    types = sorted(r.type for r in kinds.select("type").where("type IS NOT NULL").distinct().collect())  # the kinds of a fixed list
     rows, hot = TR.one_hot(told, {"name": list(range(1, 8)), "type": types})
-    forest = TR.fit(rows.withColumn("y", F.col("score") / 10), ["agree_part", "agree_count", "rank_part", "prior", "whole", *hot], "y", trees=12, depth=5)
-    scored = forest.predict(rows.select("row", "name", "raw", "part", *forest.features))
-    return V.pick(scored, "row", "name", F.round("rank_score", 9), [F.col("raw"), -F.col("name"), F.col("part")]).select("row", "chosen", F.round("score", 6).alias("score"))
+    forest = TR.fit(rows.withColumn("y", F.col("score") / 10), ["agree_part", "agree_count", "rank_part", "prior", "whole", *hot], "y", trees=12, depth=5, times="times")
+    ranked = saved(forest.predict(rows.select(*same, "raw", *forest.features).distinct()).select(*(F.col(c).alias(f"of_{c}") for c in same), "raw", "rank_score"), "ranker-scores")
+    found = cands.join(ranked, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in same])
+    return V.pick(found, "row", "name", F.round("rank_score", 9), [F.col("raw"), -F.col("name"), F.col("part")]).select("row", "chosen", F.round("score", 6).alias("score"))
 
 
 @query("""WITH h AS (SELECT l_orderkey AS row, l_returnflag AS key, 0.8 + l_quantity / 250 AS s, 0.5 + 6 * l_tax AS j, l_linenumber % 2 = 0 AS a, l_suppkey % 3 = 0 AS b, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS o FROM lineitem),

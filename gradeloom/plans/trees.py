@@ -3,8 +3,9 @@
 All trees see all rows.  At each node every feature gets one threshold, drawn between its least and largest value there by a hash of
 (seed, tree, node, feature); the feature whose two sides differ most in the label's mean splits the node.  A level
 takes two passes over the rows: one for counts, label sums and the ends of all features at all nodes of all trees, one for
-the sums left of the thresholds.  Tasks add up arrays and hand on a row a node; what reaches the driver is the model, bounded by
-trees, depth and features.  Any partitioning grows the same trees: sums are compared rounded to nine digits, and of equal splits the first feature wins.
+the sums left of the thresholds.  Rows of equal features are summed up first, in a saved table, so their source is read once.
+Tasks add up arrays and hand on a row a node; what reaches the driver is the model, bounded by
+trees, depth and features.  Any partitioning grows the same trees: gains a row are compared rounded to ten digits, and of equal splits the first feature wins.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import scratch
+
 #: Settings of the ranker: trees, depth, and rows of a leaf at least.
 TREES, DEPTH, LEAF = 300, 8, 3
 
@@ -37,8 +40,8 @@ def best_split(n: np.ndarray, total: np.ndarray, left_n: np.ndarray, left: np.nd
     right_n, right = n[..., None] - left_n, total[..., None] - left
     ok = (left_n >= leaf) & (right_n >= leaf)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(ok, left**2 / left_n + right**2 / right_n - (total**2 / n)[..., None], -1.0)
-    gain = np.round(gain, 9)
+        gain = (left**2 / left_n + right**2 / right_n - (total**2 / n)[..., None]) / n[..., None]
+    gain = np.where(ok, np.round(gain, 10), -1.0)  # a row, so that the noise of large sums stays below the digits
     best = gain.argmax(axis=-1)
     return np.where(np.take_along_axis(gain, best[..., None], -1)[..., 0] > 0, best, -1)
 
@@ -88,28 +91,35 @@ def one_hot(df: DataFrame, kinds: dict[str, list]) -> tuple[DataFrame, list[str]
     return df.withColumns(columns), list(columns)
 
 
-def fit(rows: DataFrame, features: list[str], label: str, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, seed: int = 7) -> Forest:
-    """A forest over ``rows`` without null features or labels; rows with any are left out.  Without rows all trees say 0."""
-    known = rows.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(label).cast("double").alias("__y")).dropna()
+def fit(rows: DataFrame, features: list[str], label: str, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, seed: int = 7, times: str | None = None) -> Forest:
+    """A forest over ``rows`` without null features or labels; rows with any are left out.  Without rows all trees say 0.
+
+    ``times``: a column that tells how many rows a row stands for.
+    """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "tree-rows")
+    each = rows.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(label).cast("double").alias("__y"), (F.col(times) if times else F.lit(1)).cast("long").alias("__n")).dropna()
+    alike = each.groupBy(*features).agg(F.sum(F.col("__y") * F.col("__n")).alias("__y"), F.sum("__n").cast("double").alias("__n"))
+    alike.write.parquet(path)
+    known = spark.read.schema(alike.schema).parquet(path)
     width, wide = 2 << depth, len(features)
     forest = Forest(features, np.full((trees, width), -1), np.zeros((trees, width)), np.zeros((trees, width)))
     for level in range(depth + 1):
         first, count = 1 << level, 1 << level
-        spread = rows.sparkSession.sparkContext.broadcast(forest)
+        spread = spark.sparkContext.broadcast(forest)
 
-        def placed(batch: pa.RecordBatch, forest: Forest, first=first, count=count) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            """Cell (tree, node of this level), row, features and label of each row in each tree where it has come to this level."""
-            x, y = matrix(batch, forest.features), batch.column("__y").to_numpy()
+        def placed(batch: pa.RecordBatch, forest: Forest, first=first, count=count) -> tuple[np.ndarray, ...]:
+            """Cell (tree, node of this level), row, features, label sum and number of each row in each tree where it has come to this level."""
+            x, y, w = matrix(batch, forest.features), batch.column("__y").to_numpy(), batch.column("__n").to_numpy()
             at = forest.nodes(x)
             row, tree = np.nonzero(at >= first)
-            return tree * count + at[row, tree] - first, row, x, y
+            return tree * count + at[row, tree] - first, row, x, y, w
 
         def ends(batches: Iterator[pa.RecordBatch], spread=spread, count=count) -> Iterator[pa.RecordBatch]:
             n, total = np.zeros(trees * count), np.zeros(trees * count)
             low, high = np.full((trees * count, wide), np.inf), np.full((trees * count, wide), -np.inf)
             for batch in batches:
-                cell, row, x, y = placed(batch, spread.value)
-                n += np.bincount(cell, minlength=len(n))
+                cell, row, x, y, w = placed(batch, spread.value)
+                n += np.bincount(cell, weights=w[row], minlength=len(n))
                 total += np.bincount(cell, weights=y[row], minlength=len(n))
                 np.minimum.at(low, cell, x[row])
                 np.maximum.at(high, cell, x[row])
@@ -124,15 +134,15 @@ def fit(rows: DataFrame, features: list[str], label: str, trees: int = TREES, de
         cuts = np.full((trees * count, wide), np.nan)
         cuts[cell] = low + (high - low) * fraction(seed, tree[:, None], node[:, None], np.arange(wide)[None, :])
         cuts[cell] = np.where(low < high, cuts[cell], np.nan)
-        sent = rows.sparkSession.sparkContext.broadcast(cuts)
+        sent = spark.sparkContext.broadcast(cuts)
 
         def lefts(batches: Iterator[pa.RecordBatch], spread=spread, sent=sent, count=count) -> Iterator[pa.RecordBatch]:
             n, left_n, left = np.zeros(trees * count), np.zeros((trees * count, wide)), np.zeros((trees * count, wide))
             for batch in batches:
-                cell, row, x, y = placed(batch, spread.value)
-                n += np.bincount(cell, minlength=len(n))
+                cell, row, x, y, w = placed(batch, spread.value)
+                n += np.bincount(cell, weights=w[row], minlength=len(n))
                 goes = x[row] <= sent.value[cell]
-                np.add.at(left_n, cell, goes)
+                np.add.at(left_n, cell, goes * w[row][:, None])
                 np.add.at(left, cell, goes * y[row][:, None])
             yield emitted(n > 0, n, n, left_n, left)
 
