@@ -31,7 +31,13 @@ def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read again, so that its lineage ends there; and its path."""
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")  # shuffles that only this table needed go once it is saved, not when the driver collects garbage
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
