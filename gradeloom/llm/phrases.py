@@ -31,7 +31,7 @@ from . import bpe, rowbatch, shared, wordhash
 
 LEAST, MAX_WORDS, TOP, COVERED_PERCENT = 10, 3, 2000, 50
 #: Text bytes whose words are counted together, and pointers that are combined and grown together.
-BATCH_BYTES, POINTERS = 8 << 20, 1 << 21
+BATCH_BYTES, POINTERS = 4 << 20, 1 << 20
 #: Prefixes and pairs with a part of all words above 1/HOT, and with so many at least, are dealt out.
 HOT, LEAST_HOT = 1 << 13, 1 << 12
 #: The filter of frequent words has a bit for 1/16 of a word, and at most so many (as a power of two).
@@ -52,7 +52,8 @@ def keyed_words(batch: pa.RecordBatch, seed: int) -> tuple[np.ndarray, np.ndarra
     lang = wordhash.ranges(langs, at[:-1], at[1:], seed=seed)
     keys = wordhash.mix(lang[text], wordhash.ranges(data, starts, ends, fold=True, seed=seed))
     keys[keys == 0] = 1  # 0 stands for no word
-    breaks = np.append(0, np.cumsum(_BREAKS[data]))
+    breaks = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+    np.cumsum(_BREAKS[data], out=breaks[1:])
     goes_on = np.zeros(len(starts), bool)
     goes_on[:-1] = (text[1:] == text[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
     return data, starts, ends, text, keys, goes_on
@@ -108,13 +109,17 @@ def passes(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def combined(columns: list[np.ndarray], weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted distinct rows and their summed weights."""
+    """Sorted distinct rows and their summed weights; one column is put in order at a time, so that no sorted copy of all is held."""
     order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
     edges = np.flatnonzero(new)
-    return [c[edges] for c in columns], np.add.reduceat(weight[order], edges) if len(edges) else weight
+    summed = np.add.reduceat(weight[order], edges) if len(edges) else weight
+    first = order[edges]
+    return [c[first] for c in columns], summed
 
 
 def dealt_keys(columns: list[np.ndarray], hot: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -146,6 +151,7 @@ def pointers(docs: DataFrame, seed: int, words: np.ndarray, hot: tuple[np.ndarra
 
     def out(held: list[list[np.ndarray]], hot: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*held)]
+        held.clear()
         columns, n = combined(columns, np.ones(len(columns[0]), np.int64))
         return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(dealt_keys(columns, hot)), pa.array(n)], names=[*names, "deal", "n"])
 
